@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat_format, mixing, packing, quality_rules
+from . import chat_format, embedding_dedup, mixing, packing, pii, quality_classifier, quality_rules, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op3_pii": pii.op3_pii,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op5_url_filter": url_filter.op5_url_filter,
     "op6_packing": packing.op6_packing,
+    "op8_quality_classifier": quality_classifier.op8_quality_classifier,
+    "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
     "op10_chat_format": chat_format.op10_chat_format,
 }
 SQL = {"op1_mixing": mixing.OP1_SQL, "op10_chat_format": chat_format.OP10_SQL}

@@ -109,3 +109,33 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components not settled after {max_rounds} rounds")
     root = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(root)
+
+
+def in_cells(rows: DataFrame, keys: list[str], salt: Column, most: int) -> DataFrame:
+    """rows with cell_i, cell_j and chunk, so that every two rows of a group meet in exactly one cell of bounded size.
+
+    A group of n rows gets c = ceil(n / most) chunks by the hash salt, and cells (i, j), i <= j. A row of chunk k goes
+    to the c cells that have k. Groups of one row are dropped. Groups of at most `most` rows have the one cell (0, 0)
+    and are not copied. The table of the larger groups is written first, so that Spark broadcasts it only if it is
+    small.
+    """
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1")
+    sizes = stash(sizes.withColumn("_c", F.ceil(F.col("_n") / most).cast("int")), "cells")
+    dealt = rows.join(sizes, keys).withColumn("chunk", F.pmod(salt, F.col("_c")).cast("int"))
+    cell = lambda x: F.struct(F.least("chunk", x).alias("i"), F.greatest("chunk", x).alias("j"))
+    dealt = dealt.withColumn("_cell", F.explode(F.transform(F.sequence(F.lit(0), F.col("_c") - 1), cell)))
+    return dealt.select(*rows.columns, "chunk", F.col("_cell.i").alias("cell_i"), F.col("_cell.j").alias("cell_j"))
+
+
+def least_reachable(linked) -> list[int]:
+    """For a symmetric boolean matrix, the least index that each index reaches (itself included)."""
+    import numpy as np
+
+    n = len(linked)
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label, np.where(linked, label[None, :], n).min(1, initial=n))
+        least = np.minimum(least, least[least])
+        if (least == label).all():
+            return label
+        label = least
