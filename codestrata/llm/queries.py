@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat_format, embedding_dedup, mixing, packing, pii, quality_classifier, quality_rules, url_filter
+from . import chat_format, embedding_dedup, minhash_dedup, mixing, packing, pii, quality_classifier, quality_rules, secret_scan, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_minhash_dedup": minhash_dedup.op2_minhash_dedup,
     "op3_pii": pii.op3_pii,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_packing": packing.op6_packing,
+    "op7_secret_scan": secret_scan.op7_secret_scan,
     "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
     "op10_chat_format": chat_format.op10_chat_format,

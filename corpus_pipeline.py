@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import mixing, packing, quality_rules, shared
+from codestrata.llm import minhash_dedup, mixing, packing, quality_rules, secret_scan, shared
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -22,6 +22,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, that with the least doc_id; rows that share it all stay."""
+    gone = minhash_dedup.find_groups(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, the secrets in them replaced by a mark (n_chars follows)."""
+    return secret_scan.redact(docs, secret_scan.default_forest(spark))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mixture takes it; rows that share a doc_id take the largest of their counts."""
     taken = mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").alias("_copies"))
@@ -37,7 +48,13 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality", quality), ("mixing", mix), ("packing", pack)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality),
+    ("near_dedup", near_dedup),
+    ("secrets", secrets),
+    ("mixing", mix),
+    ("packing", pack),
+]
 
 #: The stages hash shingles, train trees and tokenise, which SQL does not express: tests hold them against brute force.
 ORACLE_SQL = None
