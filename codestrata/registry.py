@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from codestrata.plans import fact_queries, search_queries
 
 
-def oracle_sql() -> dict:
-    return {}
+def queries() -> dict[str, Callable]:
+    return {**search_queries.QUERIES, **fact_queries.QUERIES}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {**search_queries.SQL, **fact_queries.SQL}
