@@ -58,30 +58,28 @@ def check(repos: DataFrame, changes: DataFrame) -> DataFrame:
 def crossref(identifiers: DataFrame, lines: DataFrame, most: int = 20, all_occurrences: bool = True) -> DataFrame:
     """(identifier, status, evidence_count): how often an identifier is found in lines (path, line_no, line).
 
-    Identifiers of one word meet the lines by their words, an equi-join whose broadcast side Spark chooses by size;
-    what holds a slash is found as a substring. At most `most` lines count: 0 PHANTOM, 1 or 2 CANDIDATE, more
-    IMPLEMENTED. all_occurrences=False looks only at the first occurrence in a line.
+    An identifier counts where no ASCII letter, digit or underscore adjoins, one with a slash anywhere. At most `most`
+    lines count: 0 PHANTOM, 1 or 2 CANDIDATE, more IMPLEMENTED. all_occurrences=False tests only the first occurrence
+    in a line.
+
+    Lines and identifiers meet by ASCII words, an equi-join: a word inside a match is always a whole word of the line.
+    Only identifiers that have no such word are compared with every line.
     """
     wanted = identifiers.select("identifier").where(F.octet_length("identifier") >= 3).where(~F.col("identifier").isin(*GENERIC_PATHS)).distinct()
+    line, name = F.col("line"), F.col("identifier")
+    inner = F.regexp_extract("identifier", r"(?<=[^A-Za-z0-9_])([A-Za-z0-9_]+)(?=[^A-Za-z0-9_])", 1)
+    lead = F.when(name.contains("/"), inner).otherwise(F.regexp_extract("identifier", "([A-Za-z0-9_]+)", 1))
+    keyed = wanted.withColumn("lead", lead)
+    if all_occurrences:
+        alone = F.expr(r"line rlike concat('(?<![A-Za-z0-9_])\\Q', identifier, '\\E(?![A-Za-z0-9_])')")
+    else:
+        alone = T.first_is_bounded(line, name)
+    fits = line.contains(name) & (name.contains("/") | alone)
     words = F.array_distinct(F.regexp_extract_all("line", F.lit("([A-Za-z0-9_]+)"), F.lit(1)))
-    single = wanted.where(F.col("identifier").rlike("^[A-Za-z0-9_]+$"))
-    hits = lines.select("path", "line_no", "line", F.explode(words).alias("identifier")).join(single, "identifier")
-    if not all_occurrences:
-        hits = hits.where(T.first_is_bounded(F.col("line"), F.col("identifier")))
-    hits = hits.select("identifier", "path", "line_no")
-    other = wanted.where(~F.col("identifier").rlike("^[A-Za-z0-9_]+$"))
-    # the first word of the identifier, of three letters or more, narrows the lines to compare
-    lead = F.regexp_extract("identifier", "([A-Za-z0-9_]{3,})", 1)
-    other = other.withColumn("lead", lead).where("lead <> ''")
-    found = (
-        lines.select("path", "line_no", "line", F.explode(words).alias("lead"))
-        .join(other, "lead")
-        .where(F.col("line").contains(F.col("identifier")))
-        .where(F.col("identifier").contains("/") | T.first_is_bounded(F.col("line"), F.col("identifier")))
-        .select("identifier", "path", "line_no")
-        .distinct()
-    )
-    counted = hits.unionByName(found).groupBy("identifier").agg(F.least(F.count("*"), F.lit(most)).alias("evidence_count"))
+    met = lines.select("path", "line_no", "line", F.explode(words).alias("lead")).join(keyed.where("lead <> ''"), "lead")
+    rest = lines.join(keyed.where("lead = ''").drop("lead"), line.contains(name))
+    hits = met.where(fits).select("identifier", "path", "line_no").unionAll(rest.where(fits).select("identifier", "path", "line_no"))
+    counted = hits.groupBy("identifier").agg(F.least(F.count("*"), F.lit(most)).alias("evidence_count"))
     status = F.when(F.col("evidence_count") == 0, "PHANTOM").when(F.col("evidence_count") < 3, "CANDIDATE").otherwise("IMPLEMENTED")
     return identifiers.select("identifier").distinct().join(counted, "identifier", "left").fillna(0, ["evidence_count"]).withColumn("status", status)
 

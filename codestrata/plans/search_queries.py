@@ -212,9 +212,11 @@ GROUP BY component HAVING count(c_custkey) > 0 AND count(c_custkey) < count(*)""
     "cochange_intersection": f"WITH {_PAIRS_SQL}, s AS (SELECT sha FROM b WHERE file IN (3, 7) GROUP BY sha HAVING count(*) = 2) SELECT file, count(*) AS commits FROM b JOIN s USING (sha) WHERE file NOT IN (3, 7) GROUP BY file",
     "crossref_status": f"""WITH {_LINES_SQL}, i AS (SELECT DISTINCT t AS identifier FROM (SELECT unnest({_tokens_sql('text')}) AS t FROM benchmark) WHERE length(t) >= 5),
 w AS (SELECT DISTINCT path, line_no, unnest(regexp_extract_all(line, '[A-Za-z0-9_]+')) AS word FROM l),
-h AS (SELECT word AS identifier, least(count(*), 20) AS n FROM w GROUP BY word)
+o AS (SELECT identifier, line FROM (SELECT * FROM i WHERE NOT regexp_full_match(identifier, '[A-Za-z0-9_]+')) JOIN l ON contains(line, identifier)),
+h AS (SELECT word AS identifier, least(count(*), 20) AS n FROM w GROUP BY word UNION ALL
+  SELECT identifier, least(count(*), 20) FROM o WHERE regexp_matches(line, '(^|[^A-Za-z0-9_])' || identifier || '([^A-Za-z0-9_]|$)') GROUP BY identifier)
 SELECT i.identifier, CASE WHEN n IS NULL THEN 'PHANTOM' WHEN n < 3 THEN 'CANDIDATE' ELSE 'IMPLEMENTED' END AS status, coalesce(n, 0) AS evidence_count
-FROM i LEFT JOIN h ON i.identifier = h.identifier AND regexp_full_match(i.identifier, '[A-Za-z0-9_]+')""",
+FROM i LEFT JOIN h ON i.identifier = h.identifier""",
     "grep_references": f"""WITH {_LINES_SQL}, c AS (SELECT path, line_no, line, unnest(range(1, length(line) + 1)) AS col FROM l WHERE contains(line, 'the'))
 SELECT path, line_no, col FROM c WHERE substr(line, col, 3) = 'the' AND (col = 1 OR NOT regexp_full_match(substr(line, col - 1, 1), '[A-Za-z0-9_]'))
  AND (col + 3 > length(line) OR NOT regexp_full_match(substr(line, col + 3, 1), '[A-Za-z0-9_]'))""",
