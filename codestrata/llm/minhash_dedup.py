@@ -33,6 +33,8 @@ BANDS, ROWS = 10, 3
 FREQUENT = 1 / 500
 #: Rows of one side of a cell, and compared rows of one leader in a task.
 CELL = 512
+#: Bits of the bitmap by which texts that are compared are found; at most 8 MB are broadcast.
+FILTER_BITS = 1 << 26
 #: Characters that are hashed at a time.
 BLOCK = 1 << 21
 
@@ -234,21 +236,40 @@ def word_table(docs: DataFrame, frequent: float = FREQUENT) -> tuple[np.ndarray,
     return h[order], np.clip(np.log(total / n[order]) / scale, 0, 1) * 4095
 
 
-def _set_mapper(table) -> Callable:
-    """(id columns..., text) to (id columns..., set): the element set of the text in the last column."""
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A bitmap of the 64-bit hashes in ids (column h), 16 bits for each of them, at most FILTER_BITS in all.
+
+    It passes every id, and with 16 bits for each 6 percent of the others. Beyond its bound it passes more, never less.
+    """
+    bits = 1 << 6
+    wanted = min(FILTER_BITS, 16 * ids.count())
+    while bits < wanted:
+        bits *= 2
+    bit = F.pmod(F.col("h"), F.lit(bits))
+    words = ids.groupBy(F.floor(bit / 64).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod(h, {bits}) % 64 AS INT))")).alias("b"))
+    found = words.toArrow()
+    out = np.zeros(bits // 64, _U)
+    out[found["w"].to_numpy()] = found["b"].to_numpy().view(_U)
+    return out
+
+
+def _set_mapper(table, bitmap) -> Callable:
+    """(rep, hash of rep, text) to (rep, set) for the rows that pass the bitmap."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bitmap.value
         for batch in batches:
+            at = batch.column(1).to_numpy().view(_U) & _U(64 * len(bits) - 1)
+            found = np.flatnonzero(bits[(at >> _U(6)).astype(np.intp)] >> (at & _U(63)) & _U(1))
+            batch = batch.take(pa.array(found))
             rows, size = 0, 0
             blobs: list[bytes] = []
-            for i, x in enumerate(batch.columns[-1]):
+            for i, x in enumerate(batch.column(2)):
                 blobs.append(elements(*shingles(word_hashes(x.as_py() or ""), table.value)).tobytes())
                 size += len(blobs[-1])
                 if size > 1 << 24 or i == batch.num_rows - 1:
                     own = batch.slice(rows, len(blobs))
-                    yield pa.RecordBatch.from_arrays(
-                        [*own.columns[:-1], pa.array(blobs, pa.binary())], names=[*batch.schema.names[:-1], "set"]
-                    )
+                    yield pa.RecordBatch.from_arrays([own.column(0), pa.array(blobs, pa.binary())], names=["rep", "set"])
                     rows, size, blobs = i + 1, 0, []
 
     return run
@@ -287,8 +308,12 @@ def find_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     per_lead = pairs.groupBy("lead").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
     leads = pairs.unionByName(per_lead.select(F.col("lead").alias("rep"), "lead"))
     needed = leads.groupBy("rep").agg(F.collect_set("lead").alias("leads"))  # a row is in ten buckets at most
-    texts = named.select("doc_id", "text").join(needed, F.col("doc_id") == F.col("rep")).select("rep", "leads", "text")
-    sets = shared.stash(texts.mapInArrow(_set_mapper(table), f"rep {kind}, leads array<{kind}>, set binary"), "sets")
+    needed = shared.stash(needed, "needed")
+    # only rows that pass a bitmap of the needed ids become sets and are shuffled; the join then drops the rest
+    bitmap = spark.sparkContext.broadcast(id_filter(needed.select(F.xxhash64("rep").alias("h"))))
+    texts = named.select(F.col("doc_id").alias("rep"), F.xxhash64("doc_id").alias("h"), "text")
+    sets = texts.mapInArrow(_set_mapper(table, bitmap), f"rep {kind}, set binary").join(needed, "rep")
+    sets = shared.stash(sets.select("rep", "leads", "set"), "sets")
     sent = (
         sets.select(F.explode("leads").alias("lead"), "rep", "set")
         .join(shared.stash(per_lead, "leads"), "lead")
