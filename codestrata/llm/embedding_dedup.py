@@ -135,8 +135,8 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, l
                 )
 
     kinds = {f.name: f.dataType.simpleString() for f in classes.schema}
-    routed = classes.select("v", "h", "n", "embedding", "label").mapInArrow(
-        route, f"v {kinds['v']}, h bigint, n bigint, label {kinds['label']}, dim int, vec binary, codes array<bigint>"
+    routed = shared.map_batches(
+        classes.select("v", "h", "n", "embedding", "label"), route, f"v {kinds['v']}, h bigint, n bigint, label {kinds['label']}, dim int, vec binary, codes array<bigint>"
     )
     placed = shared.stash(routed, "leaves").withColumn("code", F.explode("codes"))
     keys = ["label", "dim", "code"]

@@ -192,10 +192,12 @@ def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
 
 
 def groups_of(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[list[list]]:
-    """The rows of sorted batches, group by group; the first `keys` columns name the group."""
+    """The rows of sorted batches, group by group; the first `keys` columns name the group, the last is the largest."""
     name, rows = None, []
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        named = zip(*(c.to_pylist() for c in batch.columns[:-1]), strict=True)
+        for i, head in enumerate(named):
+            row = (*head, batch.columns[-1][i].as_py())
             if row[:keys] != name:
                 if rows:
                     yield rows
@@ -228,7 +230,7 @@ def word_table(docs: DataFrame, frequent: float = FREQUENT) -> tuple[np.ndarray,
 
     total = docs.count()
     least = max(2.0, frequent * total)
-    counted = docs.select("text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = shared.map_batches(docs.select("text"), run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     found = counted.where(F.col("n") >= least).toArrow()
     h, n = found["word"].to_numpy().view(_U), found["n"].to_numpy()
     order = np.argsort(h)
@@ -297,7 +299,7 @@ def find_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "h1", "h2", "bands"])
 
     hashed = named.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text", F.lit(2)).alias("h2"), "text")
-    signed = shared.stash(hashed.mapInArrow(sign, f"doc_id {kind}, h1 bigint, h2 bigint, bands array<bigint>"), "signatures")
+    signed = shared.stash(shared.map_batches(hashed, sign, f"doc_id {kind}, h1 bigint, h2 bigint, bands array<bigint>"), "signatures")
     classes = shared.stash(signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
 
     # stars: every class of a bucket with the least one
@@ -312,7 +314,7 @@ def find_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # only rows that pass a bitmap of the needed ids become sets and are shuffled; the join then drops the rest
     bitmap = spark.sparkContext.broadcast(id_filter(needed.select(F.xxhash64("rep").alias("h"))))
     texts = named.select(F.col("doc_id").alias("rep"), F.xxhash64("doc_id").alias("h"), "text")
-    sets = texts.mapInArrow(_set_mapper(table, bitmap), f"rep {kind}, set binary").join(needed, "rep")
+    sets = shared.map_batches(texts, _set_mapper(table, bitmap), f"rep {kind}, set binary").join(needed, "rep")
     sets = shared.stash(sets.select("rep", "leads", "set"), "sets")
     sent = (
         sets.select(F.explode("leads").alias("lead"), "rep", "set")
@@ -346,7 +348,7 @@ def find_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a, batch.schema.field(3).type), pa.array(b, batch.schema.field(0).type)], names=["a", "b"])
 
     dealt = sent.repartition("lead", "part").sortWithinPartitions("lead", "part", "later", "rep")
-    links = shared.stash(dealt.mapInArrow(stars, f"a {kind}, b {kind}"), "links")
+    links = shared.stash(shared.map_batches(dealt, stars, f"a {kind}, b {kind}"), "links")
 
     # buckets of three or more that the stars leave in several pieces: all their pairs
     joined = shared.components(links)
@@ -380,7 +382,7 @@ def find_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     id_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
     dealt = cells.repartition("key", "cell_i", "cell_j").sortWithinPartitions("key", "cell_i", "cell_j", "rep")
-    more = dealt.mapInArrow(compare, f"a {kind}, b {kind}")
+    more = shared.map_batches(dealt, compare, f"a {kind}, b {kind}")
     more = shared.stash(more, "more-links")
     joined = shared.components(links.unionByName(more)) if more.take(1) else joined
     solved = (

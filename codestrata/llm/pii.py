@@ -323,8 +323,8 @@ def find_spans(docs: DataFrame, weights: dict | None = None) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     counts = ", ".join(f"n_{k} bigint" for k in KINDS)
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
-        run, f"doc_id {kind}, {counts}, base string, spans string"
+    return shared.map_batches(
+        docs.select("doc_id", F.col("text").cast("string").alias("text")), run, f"doc_id {kind}, {counts}, base string, spans string"
     )
 
 

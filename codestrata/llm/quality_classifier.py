@@ -149,7 +149,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(got, pa.binary())], names=["doc_id", "y", "grams"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = training_rows(docs, labels, per_class).mapInArrow(run, f"doc_id {kind}, y int, grams binary").collect()
+    rows = shared.map_batches(training_rows(docs, labels, per_class), run, f"doc_id {kind}, y int, grams binary").collect()
     rows = list({r[0]: r for r in sorted(rows, key=lambda r: (r[0], bytes(r[2])))}.values())
     return fit([np.frombuffer(r[2], "<u4") for r in rows], np.array([r[1] for r in rows]))
 
@@ -171,7 +171,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float, float]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64())], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+    scored = shared.map_batches(docs.select("doc_id", F.col("text").cast("string").alias("text")), run, f"doc_id {kind}, score double")
     return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )

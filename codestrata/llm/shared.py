@@ -48,6 +48,38 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of rows that go to a Python worker at a time, unless the session sets a limit of its own.
+BATCH_BYTES = 8 << 20
+
+
+def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema) with batches bounded by bytes, as texts differ in length, and with the memory that a
+    task has freed given back to the system when it ends: workers idle between stages."""
+    conf = df.sparkSession._jsparkSession.sessionState().conf()
+    if not conf.contains("spark.sql.execution.arrow.maxBytesPerBatch"):
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+    def trimmed(batches):
+        yield from run(batches)
+        _give_back()
+
+    return df.mapInArrow(trimmed, schema)
+
+
+def _give_back() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def words(text: Column) -> Column:
     """The maximal runs of characters that are not white space; an empty array for a null or blank text."""
     trimmed = F.trim(text, F.lit(WS_CHARS))

@@ -227,8 +227,8 @@ def filter_urls(pages: DataFrame, rules: dict[str, str] = RULES, model: tuple |
             )
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url").mapInArrow(
-        run, f"page_id {kind}, host string, path string, rule string, verdict string, score double"
+    return shared.map_batches(
+        pages.select("page_id", "url"), run, f"page_id {kind}, host string, path string, rule string, verdict string, score double"
     )
 
 
