@@ -77,14 +77,14 @@ def leaf_budgets(
 ) -> DataFrame:
     """leaves (the levels and tokens) with budget, from the root down. The tree is as large as the list of sources."""
     capacity = F.col("tokens") * max_epochs
-    top = leaves.agg(F.floor(F.sum("tokens") * F.lit(share)).alias("amount"))
     dealt = None
     for depth in range(1, len(levels) + 1):
         path, above = list(levels[:depth]), list(levels[: depth - 1])
         nodes = leaves.groupBy(*path).agg(F.sum(capacity).alias("capacity"), F.sum("tokens").alias("tokens"))
         nodes = nodes.withColumn("weight", _weight(levels[depth - 1], weights))
         if dealt is None:
-            nodes = nodes.crossJoin(F.broadcast(top))  # one row
+            every = Window.partitionBy(F.lit(0))  # the few nodes of the first level
+            nodes = nodes.withColumn("amount", F.floor(F.sum("tokens").over(every) * F.lit(share)))
         else:
             nodes = nodes.join(dealt.select(*above, F.col("budget").alias("amount")), above)
         dealt = pour(nodes, above, path)

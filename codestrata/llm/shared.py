@@ -45,7 +45,18 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stashed_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of stash() tables that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "stashed_at", None):
+            jvm = df.sparkSession._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 #: Bytes of rows that go to a Python worker at a time, unless the session sets a limit of its own.
@@ -134,8 +145,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # settled when no node has two parents and no parent has a parent of its own
         many = small.groupBy("u").count().where("count > 1").limit(1)
         chained = small.join(small.select(F.col("u").alias("v")), "v", "left_semi").select("v").limit(1)
+        settled = not many.union(chained.select(F.col("v").alias("u"), F.lit(1).alias("count"))).take(1)
+        discard(edges, large)
         edges = small
-        if not many.union(chained.select(F.col("v").alias("u"), F.lit(1).alias("count"))).take(1):
+        if settled:
             break
     else:
         raise RuntimeError(f"components not settled after {max_rounds} rounds")
