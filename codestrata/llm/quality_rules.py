@@ -249,3 +249,32 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "kept",
         F.array_join("failed_rules", ",").alias("failed_rules"),
     )
+
+
+_WORD, _SPACE = "[^\\x20\\x09-\\x0D]+", "[\\x20\\x09-\\x0D]"
+_GRID_SQL = " UNION ALL ".join(f"SELECT '{rule}' AS rule, unnest({[repr(c) for c in cuts]})::DOUBLE AS cutoff" for rule, cuts in GRID.items())
+#: DuckDB: windows as strings, and the binomial tail term by term.
+OP4_SQL = f"""
+WITH d AS (SELECT doc_id, CASE WHEN lang IN {LANGUAGES} THEN lang ELSE 'other' END AS stratum, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '{_WORD}') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS ls FROM d),
+v AS (SELECT doc_id, unnest(range(1, len(ws) - {WINDOW - 2})) AS i,
+  unnest(list_transform(range(1, len(ws) - {WINDOW - 2}), lambda j: array_to_string(ws[j:j + {WINDOW - 1}], ' '))) AS x FROM w WHERE len(ws) >= {WINDOW}),
+s AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS n FROM v),
+r AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + {WINDOW})) AS k FROM s WHERE n > 1) GROUP BY 1),
+c AS (SELECT w.doc_id, stratum, len(ws) AS n_words, length(regexp_replace(t, '{_SPACE}', '', 'g')) AS word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+  length(regexp_replace(t, '[^!]', '', 'g')) AS bang, len(ls) AS n_lines FROM w LEFT JOIN r ON r.doc_id = w.doc_id),
+m AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, n_symbols / greatest(n_words, 1) AS symbols_per_word,
+  bang / greatest(n_words, 1) AS exclamations_per_word, n_dup_lines / greatest(n_lines, 1) AS duplicate_line_share,
+  n_repeat_words / greatest(n_words, 1) AS repeated_word_share, word_chars / greatest(n_words, 1) AS mean_word_length FROM c),
+g AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY 1 HAVING min(quality) = 1),
+u AS (SELECT stratum, rule, x FROM (SELECT * FROM m JOIN g USING (doc_id) WHERE NOT base_failed) UNPIVOT (x FOR rule IN ({", ".join(GRID)}))),
+grid AS ({_GRID_SQL}),
+k AS (SELECT stratum, u.rule, cutoff, count(*) AS n, count(*) FILTER (x > cutoff) AS k FROM u JOIN grid ON u.rule = grid.rule GROUP BY ALL),
+q AS (SELECT *, list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - CASE WHEN i < n THEN lgamma(n - i + 1) ELSE 0 END
+  + i * ln({ALPHA / len(GRID)}::DOUBLE) + (n - i) * ln(1 - {ALPHA / len(GRID)}::DOUBLE)))) AS p FROM k),
+h AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM q WHERE p <= {DELTA / (sum(map(len, GRID.values())) * (len(LANGUAGES) + 1))!r}::DOUBLE GROUP BY ALL),
+f AS (SELECT m.*, {", ".join(f"coalesce({rule} > (SELECT cutoff FROM h WHERE h.stratum = m.stratum AND rule = '{rule}'), false) AS f{i}" for i, rule in enumerate(GRID))} FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR {" OR ".join(f"f{i}" for i in range(len(GRID)))}) AS kept,
+  array_to_string(list_filter([{", ".join(f"CASE WHEN f{i} THEN '{rule}' END" for i, rule in enumerate(GRID))}], lambda x: x IS NOT NULL), ',') AS failed_rules FROM f
+"""

@@ -16,4 +16,9 @@ QUERIES = {
     "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
     "op10_chat_format": chat_format.op10_chat_format,
 }
-SQL = {"op1_mixing": mixing.OP1_SQL, "op10_chat_format": chat_format.OP10_SQL}
+SQL = {
+    "op1_mixing": mixing.OP1_SQL,
+    "op4_quality_rules": quality_rules.OP4_SQL,
+    "op9_embedding_dedup": embedding_dedup.OP9_SQL,
+    "op10_chat_format": chat_format.OP10_SQL,
+}
