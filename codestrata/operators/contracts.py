@@ -88,3 +88,20 @@ def evidence(hits: DataFrame, most: int = 20) -> DataFrame:
     """The first `most` lines of each identifier, by path and line."""
     order = Window.partitionBy("identifier").orderBy("path", "line_no")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+
+
+def with_status(endpoints: DataFrame, statuses: DataFrame) -> DataFrame:
+    """endpoints with the status of their operation id, else of their path, "?" where neither was looked for."""
+    by_id = statuses.select(F.col("identifier").alias("operation_id"), F.col("status").alias("_a"))
+    by_path = statuses.select(F.col("identifier").alias("path"), F.col("status").alias("_b"))
+    joined = endpoints.join(by_id, "operation_id", "left").join(by_path, "path", "left")
+    return joined.withColumn("status", F.coalesce("_a", "_b", F.lit("?"))).drop("_a", "_b")
+
+
+def entities(endpoints: DataFrame, rpcs: DataFrame, operations: DataFrame) -> DataFrame:
+    """(source_kind, file, identifier, path, method) of all three kinds of contracts."""
+    name = F.coalesce("operation_id", "path")
+    rest = endpoints.select(F.lit("openapi").alias("source_kind"), F.col("spec_file").alias("file"), name.alias("identifier"), "path", "method")
+    calls = rpcs.select(F.lit("protobuf").alias("source_kind"), "file", F.col("rpc").alias("identifier"))
+    graph = operations.select(F.lit("graphql").alias("source_kind"), F.col("schema_file").alias("file"), F.col("name").alias("identifier"))
+    return rest.unionByName(calls, allowMissingColumns=True).unionByName(graph, allowMissingColumns=True)

@@ -75,3 +75,11 @@ def debt(lines: DataFrame) -> DataFrame:
     counts = [F.sum(F.regexp_count("line", F.lit(p))).alias(k) for k, p in marks.items()]
     summed = lines.groupBy("path").agg(*counts)
     return summed.where(" + ".join(marks) + " > 0")
+
+
+def intents(lines: DataFrame, branches: DataFrame, commits: DataFrame) -> DataFrame:
+    """(source, text): what is meant to be built, from comments, branches (name) and commits (subject)."""
+    comments = lines.where(F.col("line").rlike(r"(?i)\b(TODO|FIXME):?\s+implement\b|\bPLANNED\b")).select(F.lit("comment").alias("source"), F.trim("line").alias("text"))
+    named = branches.where(F.col("name").rlike("(^|/)feat/")).select(F.lit("branch").alias("source"), F.col("name").alias("text"))
+    done = commits.where(F.col("subject").rlike(r"^feat(\([^)]*\))?!?:")).select(F.lit("commit").alias("source"), F.col("subject").alias("text"))
+    return comments.unionByName(named).unionByName(done)

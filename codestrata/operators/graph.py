@@ -58,15 +58,23 @@ def pairs(
     )
 
 
+def _checkpoint_dir(df: DataFrame) -> None:
+    """Set the folder of spark.checkpoint.dir; only a local session may do without one."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not base and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(base or tempfile.mkdtemp(prefix="codestrata-"))
+
+
 def components(edges: DataFrame, a: str = "file_a", b: str = "file_b", rounds: int = 50) -> DataFrame:
     """(node, component): the least node that each node reaches; nodes without an edge do not appear.
 
     Labels fall to the least of a node's neighbours' and then jump to their label's label, so long chains halve.
     Every round is checkpointed to the shared folder, which keeps plans short and survives lost executors.
     """
-    context = edges.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(edges.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="codestrata-"))
+    _checkpoint_dir(edges)
     both = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).unionAll(edges.select(F.col(b), F.col(a)))
     both = both.distinct().checkpoint()
     labels = both.groupBy("node").agg(F.min("other").alias("label")).select("node", F.least("node", "label").alias("label"))
@@ -84,6 +92,8 @@ def components(edges: DataFrame, a: str = "file_a", b: str = "file_b", rounds: i
 
 def clusters(found: DataFrame, ratio: float = CLUSTER_RATIO) -> DataFrame:
     """(component, files, size, cohesion) of pairs at or above ratio; cohesion is the mean ratio of all pairs inside."""
+    _checkpoint_dir(found)
+    found = found.select("file_a", "file_b", "ratio").checkpoint()  # read for the edges and for the cohesion
     members = components(found.where(F.col("ratio") >= ratio))
     inside = (
         found.join(members.select(F.col("node").alias("file_a"), F.col("component").alias("ca")), "file_a")

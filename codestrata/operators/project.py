@@ -67,3 +67,100 @@ def frontmatter_errors(files: DataFrame, required: dict[str, str]) -> DataFrame:
     ]
     rows = files.withColumn("head", head).select("path", F.explode(F.array(*checks)).alias("c"))
     return rows.select("path", "c.key", "c.error").where("error is not null")
+
+
+# Signs of frameworks as (stack, variant, file pattern, text in it or ""), extensions without a manifest,
+# language servers by manifest, and test frameworks.
+VARIANTS = (
+    ("Node", "Next.js", "next.config.*", ""), ("Node", "NestJS", "nest-cli.json", ""), ("Node", "NestJS", "package.json", "@nestjs/"),
+    ("Node", "Vite", "vite.config.*", ""), ("Node", "SvelteKit", "package.json", "@sveltejs/kit"), ("Node", "Astro", "astro.config.*", ""),
+    ("Node", "Remix", "remix.config.*", ""), ("Node", "Nuxt", "nuxt.config.*", ""), ("Node", "Expo", "package.json", '"expo"'),
+    ("Node", "React Native", "package.json", '"react-native"'), ("Node", "Electron", "package.json", '"electron"'),
+    ("Node", "Express", "package.json", '"express"'), ("Node", "Fastify", "package.json", '"fastify"'), ("Node", "pnpm workspace", "pnpm-workspace.yaml", ""),
+    ("Node", "Turborepo", "turbo.json", ""), ("Node", "Nx", "nx.json", ""), ("Python", "Django", "manage.py", ""),
+    ("Python", "FastAPI", "pyproject.toml", "fastapi"), ("Python", "FastAPI", "requirements.txt", "fastapi"), ("Python", "Flask", "pyproject.toml", "flask"),
+    ("Python", "Flask", "requirements.txt", "flask"), ("Python", "Litestar", "pyproject.toml", "litestar"), ("Python", "Celery", "pyproject.toml", "celery"),
+    ("Python", "Streamlit", "pyproject.toml", "streamlit"), ("Python", "Poetry", "pyproject.toml", "[tool.poetry]"), ("Python", "uv", "uv.lock", ""),
+    ("Python", "uv", "pyproject.toml", "[tool.uv]"), ("Python", "pipenv", "Pipfile", ""), ("PHP", "Laravel", "artisan", ""),
+    ("PHP", "Symfony", "composer.json", "symfony/framework-bundle"), ("PHP", "Slim", "composer.json", "slim/slim"), ("PHP", "WordPress", "wp-config.php", ""),
+    ("Rust", "binary", "src/main.rs", ""), ("Rust", "library", "src/lib.rs", ""), ("Rust", "axum", "Cargo.toml", "axum"),
+    ("Rust", "actix-web", "Cargo.toml", "actix-web"), ("Rust", "gRPC", "Cargo.toml", "tonic"), ("Rust", "tokio", "Cargo.toml", "tokio"),
+    ("Rust", "CLI", "Cargo.toml", "clap"), ("Rust", "Tauri", "Cargo.toml", "tauri"), ("Rust", "workspace", "Cargo.toml", "[workspace]"),
+    ("Flutter", "Flutter", "lib/main.dart", ""), ("Android", "Android", "AndroidManifest.xml", ""),
+)
+BARE_EXTENSIONS = {
+    "ex": "Elixir", "exs": "Elixir", "erl": "Erlang", "hrl": "Erlang", "hs": "Haskell", "ml": "OCaml", "mli": "OCaml", "zig": "Zig", "nim": "Nim",
+    "cr": "Crystal", "jl": "Julia", "lua": "Lua", "r": "R", "R": "R", "scala": "Scala", "sbt": "Scala", "clj": "Clojure", "cljs": "Clojure",
+    "fs": "F#", "fsi": "F#", "kt": "Kotlin script", "dart": "Dart",
+}
+SERVERS = {
+    "rust-analyzer": ("Cargo.toml",), "gopls": ("go.mod",), "pyright": ("pyproject.toml", "setup.py", "requirements.txt", "Pipfile"),
+    "typescript-language-server": ("package.json", "tsconfig.json", "jsconfig.json"), "intelephense": ("composer.json",),
+    "clangd": ("CMakeLists.txt", "compile_commands.json", "Makefile"), "ruby-lsp": ("Gemfile",),
+}
+SAMPLE_WORDS = "fn|func|def|class|struct|interface|type|enum|trait|const|function|impl|module"
+
+
+def variants(files: DataFrame) -> DataFrame:
+    """(repo, stack, variant) by files and what they hold; the rules are a fixed table inside the expression."""
+    name = paths.file_name(F.col("path"))
+    rules = [
+        F.struct(
+            F.when((F.col("path") if "/" in glob else name).rlike(paths.glob_regex(glob)) & (F.col("content").contains(text) if text else F.lit(True)), F.lit(stack)).alias("stack"),
+            F.lit(variant).alias("variant"),
+        )
+        for stack, variant, glob, text in VARIANTS
+    ]
+    return files.select("repo", F.explode(F.array(*rules)).alias("r")).where("r.stack is not null").select("repo", "r.stack", "r.variant").distinct()
+
+
+def stacks_by_extension(files: DataFrame, sure: float = 0.7) -> DataFrame:
+    """(repo, stack, confidence): languages without a manifest, by their share of files, `sure` at most."""
+    table = F.create_map(*[F.lit(x) for kv in BARE_EXTENSIONS.items() for x in kv])
+    rows = files.select("repo", table[paths.extension(F.col("path"))].alias("stack"))
+    counted = rows.groupBy("repo", "stack").agg(F.count("*").alias("n"))
+    totals = rows.groupBy("repo").agg(F.count("*").alias("all"))
+    found = counted.where("stack is not null").join(totals, "repo")
+    return found.select("repo", "stack", F.least(F.lit(sure), F.col("n") / F.col("all")).alias("confidence"))
+
+
+def servers(files: DataFrame) -> DataFrame:
+    """(repo, server): the language servers whose manifests a repository has."""
+    table = F.create_map(*[F.lit(x) for s, names in SERVERS.items() for n in names for x in (n, s)])
+    return files.select("repo", table[paths.file_name(F.col("path"))].alias("server")).where("server is not null").distinct()
+
+
+def test_framework(files: DataFrame) -> DataFrame:
+    """(repo, framework) of tests, from manifests and their contents."""
+    name, text = paths.file_name(F.col("path")), F.col("content")
+    hit = F.array_compact(
+        F.array(
+            F.when(name == "Cargo.toml", F.lit("cargo test")),
+            F.when(name == "go.mod", F.lit("go test")),
+            F.when(name.isin("pytest.ini", "conftest.py"), F.lit("pytest")),
+            *[F.when((name == "package.json") & text.contains(f'"{f}"'), F.lit(f)) for f in ("jest", "vitest", "mocha")],
+        )
+    )
+    return files.select("repo", F.explode(hit).alias("framework")).distinct()
+
+
+def sample_symbols(lines: DataFrame, most: int = 25, first_lines: int = 500) -> DataFrame:
+    """(path, line_no, name): the first defining keyword of each early line, for a glance; names that start with _ don't count."""
+    name = F.regexp_extract("line", rf"\b(?:{SAMPLE_WORDS})\s+([A-Za-z0-9_]+)", 1)
+    found = lines.where(F.col("line_no") <= first_lines).select("path", "line_no", name.alias("name"))
+    return found.where((F.col("name") != "") & ~F.col("name").startswith("_")).orderBy("path", "line_no").limit(most)
+
+
+def excerpt(text: Column, most: int = 400) -> Column:
+    """The start of a document without its front matter and comments."""
+    return F.substring(F.trim(F.regexp_replace(without_frontmatter(text), r"(?s)<!--.*?-->", "")), 1, most)
+
+
+def glance(files: DataFrame, touches: DataFrame) -> dict[str, DataFrame]:
+    """The parts of a first look at repositories: stacks, entry points, commands, hot files and active authors.
+
+    touches: (path, author, at) of the last 90 days.
+    """
+    found = stacks(files)
+    top = lambda c: touches.groupBy(c).agg(F.count("*").alias("commits")).orderBy(F.desc("commits"), c).limit(5)
+    return {"stacks": found, "entry_points": entry_points(files), "commands": commands(found), "hot_files": top("path"), "active_authors": top("author")}

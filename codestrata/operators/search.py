@@ -13,6 +13,15 @@ ALPHA = 0.3
 CANDIDATES = 200
 
 
+#: Rows of query tokens that are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def checked(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df to be broadcast if it has no more than `most` rows, else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def postings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, token, tf): one shuffle of counts combined on the map side."""
     return T.explode_tokens(docs, text, doc_id).groupBy(F.col(doc_id).alias("doc_id"), "token").agg(F.count("*").alias("tf"))
@@ -28,32 +37,33 @@ def bm25(docs: DataFrame, queries: DataFrame, text: str = "text", doc_id: str =
     """(query_id, doc_id, score, matched): the BM25 score of every document that shares a token with a query.
 
     queries: (query_id, text). A token that a query repeats counts as often, in matched too. Only the documents'
-    tokens that a query asks for are shuffled: the query tokens reach the scan as a small broadcast set, if small.
+    tokens that a query asks for are shuffled, and one length for each document.
     """
     wanted = T.explode_tokens(queries, "text", "query_id").groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    tokens = T.explode_tokens(docs, text, doc_id)
-    # lengths need all tokens, but only their number: a size of an array, no shuffle
-    sized = docs.select(F.col(doc_id).alias("doc_id"), F.size(T.tokenize(F.col(text))).alias("doc_length"))
-    stats = sized.agg(F.count("*").alias("n"), F.avg("doc_length").alias("average"))
-    hits = (
-        tokens.join(wanted.select("token").distinct(), "token", "left_semi")
-        .groupBy(F.col(doc_id).alias("doc_id"), "token")
-        .agg(F.count("*").alias("tf"))
-    )
+    tokens = T.explode_tokens(docs.withColumn("doc_id", F.col(doc_id)), text, "doc_id")
+    # a document's tokens lie together, so their counts are combined before the shuffle to a row each
+    lengths = tokens.groupBy("doc_id").agg(F.count("*").alias("doc_length"))
+    total = lengths.agg(F.sum("doc_length").alias("total"))
+    stats = docs.agg(F.count("*").alias("n")).crossJoin(total).select("n", (F.col("total") / F.col("n")).alias("average"))  # one row
+    asked = checked(wanted.select("token").distinct())
+    hits = tokens.join(asked, "token", "left_semi").groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
     df = hits.groupBy("token").agg(F.count("*").alias("df"))
-    idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weighted = wanted.join(df, "token").crossJoin(F.broadcast(stats)).withColumn("idf", idf)  # one row of statistics
-    tf, length = F.col("tf"), F.col("doc_length")
-    part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.col("average")))
+    weighted = wanted.join(df, "token").crossJoin(F.broadcast(stats))
     return (
-        hits.join(sized, "doc_id")
+        hits.join(lengths, "doc_id")
         .join(weighted, "token")
         .groupBy("query_id", "doc_id")
-        .agg(F.sum(part * F.col("times")).alias("score"), F.flatten(F.collect_list(F.array_repeat("token", F.col("times").cast("int")))).alias("matched"))
+        .agg(F.sum(_part() * F.col("times")).alias("score"), F.flatten(F.collect_list(F.array_repeat("token", F.col("times").cast("int")))).alias("matched"))
         .withColumn("matched", F.array_sort("matched"))
     )
 
 
+def _part() -> Column:
+    """A token's part of a document's score, from tf, df, n, doc_length and average."""
+    idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    return idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_length") / F.col("average")))
+
+
 def top(scored: DataFrame, k: int, *by: str, score: str = "score", tie: str = "doc_id") -> DataFrame:
     """The best k rows, for each value of `by` if given; ties by id."""
     if not by:
@@ -85,3 +95,28 @@ def hybrid(bm25_hits: DataFrame, cosine_hits: DataFrame, alpha: float = ALPHA) -
     both = best.join(cosine_hits.select("doc_id", F.col("score").alias("c")), "doc_id", "full_outer").crossJoin(F.broadcast(most))
     near = F.least(F.greatest((F.col("c") + 1) / 2, F.lit(0.0)), F.lit(1.0))
     return both.select("doc_id", (alpha * F.coalesce(F.col("b") / F.col("most"), F.lit(0.0)) + (1 - alpha) * F.coalesce(near, F.lit(0.0))).alias("score"))
+
+
+def write_index(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> None:
+    """Write postings, clustered by token so that a lookup reads few files, and the lengths of documents."""
+    index = postings(docs, text, doc_id)
+    index.repartition("token").sortWithinPartitions("token", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+    sizes = docs.select(F.col(doc_id).alias("doc_id"), F.size(T.tokenize(F.col(text))).alias("doc_length"))
+    sizes.write.mode("overwrite").parquet(f"{path}/lengths")
+
+
+def search_index(index: DataFrame, lengths: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score) from written postings and lengths, as bm25 gives it from texts."""
+    wanted = T.explode_tokens(queries, "text", "query_id").groupBy("query_id", "token").agg(F.count("*").alias("times"))
+    stats = lengths.agg(F.count("*").alias("n"), F.avg("doc_length").alias("average"))
+    hits = index.join(checked(wanted.select("token").distinct()), "token", "left_semi")
+    df = hits.groupBy("token").agg(F.count("*").alias("df"))
+    weighted = wanted.join(df, "token").crossJoin(F.broadcast(stats))  # one row of statistics
+    scored = hits.join(lengths, "doc_id").join(weighted, "token")
+    return scored.groupBy("query_id", "doc_id").agg(F.sum(_part() * F.col("times")).alias("score"))
+
+
+def reuse(items: DataFrame, hits: DataFrame, category: str) -> DataFrame:
+    """items (doc_id, category, uses, changed_at) found by a search, the category's own first, then by score, uses and age."""
+    found = items.join(hits, "doc_id").withColumn("same", F.col("category") == category)
+    return found.orderBy(F.desc("same"), F.desc("score"), F.desc("uses"), F.desc("changed_at"), "doc_id")

@@ -55,3 +55,27 @@ def test_output(lines: DataFrame, most: int = 20) -> DataFrame:
 
 def savings(raw_bytes: Column, compressed_bytes: Column) -> Column:
     return F.when(raw_bytes > 0, (1 - compressed_bytes / raw_bytes) * 100).otherwise(0.0)
+
+
+def branches(lines: DataFrame) -> DataFrame:
+    """(name, current) of a list of branches."""
+    rows = lines.where(F.trim("line") != "")
+    return rows.select(F.regexp_replace(F.trim("line"), r"^\*\s+", "").alias("name"), F.col("line").startswith("*").alias("current"))
+
+
+def diff_stat(lines: DataFrame) -> DataFrame:
+    """(file, changes) of a diff stat; its last line gives no row."""
+    rows = lines.select(F.regexp_extract("line", r"^\s*(\S.*?)\s+\|\s+([0-9]+)", 1).alias("file"), F.regexp_extract("line", r"\|\s+([0-9]+)", 1).alias("n"))
+    return rows.where("file <> ''").select("file", F.col("n").cast("long").alias("changes"))
+
+
+def packages(output: Column) -> Column:
+    """An array of (name, version) of package metadata in JSON."""
+    kind = "struct<packages:array<struct<name:string,version:string>>>"
+    return F.from_json(output, kind)["packages"]
+
+
+def listing(lines: DataFrame) -> DataFrame:
+    """(folders, files) of a long listing."""
+    rows = lines.where(F.col("line").rlike("^[d-][rwxst-]{9}"))
+    return rows.agg(F.count_if(F.col("line").startswith("d")).alias("folders"), F.count_if(F.col("line").startswith("-")).alias("files"))

@@ -10,9 +10,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The documents, only with these columns, for work on every text.
+
+    A table that is too small to give each core a split, as a file with a single row group is, is dealt to all cores. A
+    larger one stays as it is, and nothing is shuffled.
+    """
+    docs, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    docs = docs.select(*columns)
+    return docs.repartition(cores) if size < cores * split else docs
+
+
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, line_no, line): documents as files, their lines from 1."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
+    docs = texts(spark, sf_dir, "doc_id", "text").select(F.col("doc_id").alias("path"), "text")
     return docs.select("path", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).select(
         "path", (F.col("at") + 1).cast("long").alias("line_no"), "line"
     )

@@ -13,7 +13,7 @@ from codestrata.functions import text as T
 from codestrata.operators import activity, contracts, evolution, knowledge, quality, releases
 from codestrata.streaming import watch
 
-from .adapters import PATH_SQL, SUBJECT_SQL, TAGS_SQL, document_lines, order_commits, part_path, release_tags, table
+from .adapters import PATH_SQL, SUBJECT_SQL, TAGS_SQL, document_lines, order_commits, part_path, release_tags, table, texts
 
 # --- coverage ------------------------------------------------------------------------------------------------------
 
@@ -396,7 +396,7 @@ def _xxh3(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def file_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """XXH3 of whole texts, which no built-in function gives."""
-    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(_xxh3, "doc_id long, hash string, size_bytes long")
+    return texts(spark, sf_dir, "doc_id", "text").mapInPandas(_xxh3, "doc_id long, hash string, size_bytes long")
 
 
 def file_hash_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -432,7 +432,7 @@ def phantom_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     lead = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
     items = table(spark, sf_dir, "benchmark").select(lead.alias("lead")).distinct()
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    docs = table(spark, sf_dir, "documents").join(good, "doc_id", "left_semi")
+    docs = texts(spark, sf_dir, "doc_id", "text").join(good, "doc_id", "left_semi")
     words = F.split("text", " ")
     runs = F.when(F.size(words) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.array_join(F.slice(words, i, 3), " "))))
     return docs.select("doc_id", F.explode(runs).alias("lead")).join(items, "lead", "left_semi").select("doc_id").distinct()

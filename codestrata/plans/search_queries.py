@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codestrata.functions import text as T
 from codestrata.operators import contracts, graph, search
 
-from .adapters import daily_baskets, document_lines, table
+from .adapters import daily_baskets, document_lines, table, texts
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 
@@ -36,28 +36,28 @@ def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokenize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "doc_id", "text")
     return docs.select("doc_id", F.posexplode(T.tokenize(F.col("text"))).alias("pos", "token")).select("doc_id", F.col("pos").cast("long").alias("pos"), "token")
 
 
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = table(spark, sf_dir, "documents").select(F.size(T.tokenize(F.col("text"))).alias("n"))
+    sizes = texts(spark, sf_dir, "text").select(F.size(T.tokenize(F.col("text"))).alias("n"))
     return sizes.agg(F.count("*").alias("total_docs"), F.sum("n").alias("total_tokens"), F.round(F.avg("n"), 6).alias("avg_doc_length"))
 
 
 def postings_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = search.postings(table(spark, sf_dir, "documents"))
+    index = search.postings(texts(spark, sf_dir, "doc_id", "text"))
     return index.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.bm25(table(spark, sf_dir, "documents"), _queries(spark, sf_dir).where("query_id = 0"))
+    found = search.bm25(texts(spark, sf_dir, "doc_id", "text"), _queries(spark, sf_dir).where("query_id = 0"))
     best = search.top(found.withColumn("score", F.round("score", 6)), 10)
     return best.select("doc_id", "score", F.array_join("matched", " ").alias("matched"))
 
 
 def bm25_multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.bm25(table(spark, sf_dir, "documents"), _queries(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    found = search.bm25(texts(spark, sf_dir, "doc_id", "text"), _queries(spark, sf_dir)).withColumn("score", F.round("score", 6))
     return search.top(found, 5, "query_id").select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -72,7 +72,7 @@ def embed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by BM25 and, under the same ids, vectors by cosine."""
-    words = search.bm25(table(spark, sf_dir, "documents"), _queries(spark, sf_dir).where("query_id = 0")).withColumn("score", F.round("score", 6))
+    words = search.bm25(texts(spark, sf_dir, "doc_id", "text"), _queries(spark, sf_dir).where("query_id = 0")).withColumn("score", F.round("score", 6))
     near = search.embed(table(spark, sf_dir, "embeddings"), _vector_query(spark, sf_dir), "vec_id")
     mixed = search.hybrid(words, near).withColumn("score", F.round("score", 6))
     return search.top(mixed, 20).select("doc_id", "score")

@@ -258,3 +258,45 @@ def test_project(spark):
     docs = spark.createDataFrame([("x.md", "---\nid: 3\ndate: soon\n---\nbody")], "path string, content string")
     errors = {(r.key, r.error) for r in project.frontmatter_errors(docs, {"id": "int", "date": "date", "name": "string"}).collect()}
     assert errors == {("date", "not date"), ("name", "missing")}
+
+
+def test_project_signs(spark):
+    content = {"Cargo.toml": "[workspace]\naxum = 1", "src/main.rs": "", "web/package.json": '{"dependencies": {"jest": "1", "@nestjs/core": "1"}}', "x.zig": "", "conftest.py": ""}
+    files = spark.createDataFrame([("r", p, t) for p, t in content.items()], "repo string, path string, content string")
+    assert {(r.stack, r.variant) for r in project.variants(files).collect()} == {("Rust", "workspace"), ("Rust", "axum"), ("Rust", "binary"), ("Node", "NestJS")}
+    assert [(r.stack, r.confidence) for r in project.stacks_by_extension(files).collect()] == [("Zig", 0.2)]
+    assert {r.server for r in project.servers(files).collect()} == {"rust-analyzer", "typescript-language-server"}
+    assert {r.framework for r in project.test_framework(files).collect()} == {"cargo test", "jest", "pytest"}
+    assert one(spark, project.excerpt(F.lit("---\na: 1\n---\n<!-- c --> Hello"), 3)) == "Hel"
+    lines = spark.createDataFrame([("a.rs", 1, "pub fn go() {"), ("a.rs", 2, "fn _no() {"), ("a.rs", 3, "let x")], "path string, line_no int, line string")
+    assert [r.name for r in project.sample_symbols(lines).collect()] == ["go"]
+    touches = spark.createDataFrame([("a.rs", "ann"), ("a.rs", "bob")], "path string, author string")
+    assert project.glance(files, touches)["hot_files"].first()[:] == ("a.rs", 2)
+
+
+def test_more_summaries(spark):
+    lines = lambda rows: spark.createDataFrame([("s", i, t) for i, t in enumerate(rows)], "source string, line_no int, line string")
+    assert {(r.name, r.current) for r in summaries.branches(lines(["* main", "  feat/x"])).collect()} == {("main", True), ("feat/x", False)}
+    assert [tuple(r) for r in summaries.diff_stat(lines([" src/a.rs | 12 ++--", " 1 file changed"])).collect()] == [("src/a.rs", 12)]
+    assert summaries.listing(lines(["total 3", "drwxr-xr-x 2 a", "-rw-r--r-- 1 b", "-rw-r--r-- 1 c"])).first()[:] == (1, 2)
+    assert one(spark, summaries.packages(F.lit('{"packages": [{"name": "a", "version": "1"}]}')))[0].name == "a"
+
+
+def test_index_and_entities(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "validate email rfc"), (2, "format currency"), (3, "")], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "email email format")], "query_id long, text string")
+    search.write_index(docs, str(tmp_path))
+    written = search.search_index(spark.read.parquet(f"{tmp_path}/postings"), spark.read.parquet(f"{tmp_path}/lengths"), queries)
+    direct = {r.doc_id: r.score for r in search.bm25(docs, queries).collect()}
+    assert {r.doc_id: pytest.approx(r.score) for r in written.collect()} == direct
+    items = spark.createDataFrame([(1, "validation", 3, "2026-01-01"), (2, "format", 9, "2026-01-01")], "doc_id long, category string, uses int, changed_at string")
+    assert [r.doc_id for r in search.reuse(items, written.select("doc_id", "score"), "format").collect()] == [2, 1]
+    eps = spark.createDataFrame([endpoint("GET", "/u", "listU"), endpoint("GET", "/v", None)], SCHEMA)
+    rpcs = spark.createDataFrame([("a.proto", "Hello")], "file string, rpc string")
+    ops = spark.createDataFrame([("s.gql", "users")], "schema_file string, name string")
+    assert {(r.source_kind, r.identifier) for r in contracts.entities(eps, rpcs, ops).collect()} == {("openapi", "listU"), ("openapi", "/v"), ("protobuf", "Hello"), ("graphql", "users")}
+    status = spark.createDataFrame([("listU", "IMPLEMENTED")], "identifier string, status string")
+    assert {r.path: r.status for r in contracts.with_status(eps, status).collect()} == {"/u": "IMPLEMENTED", "/v": "?"}
+    lines = spark.createDataFrame([("// TODO implement x",), ("plain",)], "line string")
+    names, log = spark.createDataFrame([("feat/y",), ("main",)], "name string"), spark.createDataFrame([("feat(a): z",), ("fix: q",)], "subject string")
+    assert {(r.source, r.text) for r in evolution.intents(lines, names, log).collect()} == {("comment", "// TODO implement x"), ("branch", "feat/y"), ("commit", "feat(a): z")}

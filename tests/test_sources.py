@@ -3,7 +3,9 @@
 import json
 import os
 
-from codestrata.sources import coverage, repository, specs
+import pytest
+
+from codestrata.sources import coverage, registry, repository, specs
 
 
 def files(spark, content):
@@ -78,3 +80,20 @@ def test_ci(spark):
     assert next(r.steps for r in rows if r.job == "a") == ["uses: x@v1", "run: make all"]
     flags = specs.trigger_flags(jobs).first()
     assert flags.on_push and flags.on_pull_request and flags.on_manual and not flags.on_schedule
+
+
+def test_registry(spark, tmp_path):
+    os.makedirs(tmp_path / "code/one/.git")
+    for name in ("repos.yaml", "repos.json"):
+        known = registry.Registry(str(tmp_path / name))
+        assert known.scan(str(tmp_path / "code"), register=True)[0][0] == "one"
+        with pytest.raises(ValueError, match="one"):
+            known.register(str(tmp_path / "code/one"))
+        known.register("/nowhere", "two", tags=("x",))
+        known.save()
+        again = registry.Registry(str(tmp_path / name))
+        assert {(r.name, r.present) for r in again.table(spark).collect()} == {("one", True), ("two", False)}
+        assert again.scan(str(tmp_path / "code")) == []
+        again.remove("two")
+        with pytest.raises(KeyError):
+            again.remove("two")
