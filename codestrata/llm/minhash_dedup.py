@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codestrata.plans.adapters import texts
+
 from . import shared
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -398,4 +400,4 @@ def find_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_groups(shared.read_table(spark, sf_dir, "documents"))
+    return find_groups(texts(spark, sf_dir, "doc_id", "text"))

@@ -18,6 +18,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codestrata.plans.adapters import texts
+
 from . import shared
 
 LEVELS = ("domain", "lang", "source")
@@ -146,7 +148,7 @@ def mix(
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(shared.read_table(spark, sf_dir, "documents"))
+    return mix(texts(spark, sf_dir, "doc_id", "text", "lang", "source"))
 
 
 def _sql_weight(level: str) -> str:

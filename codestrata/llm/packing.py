@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codestrata.plans.adapters import texts
+
 from . import shared
 
 SEQUENCE, END_ID = 1024, 0
@@ -174,4 +176,4 @@ def sequences(pieces: DataFrame, sequence: int = SEQUENCE, pad_id: int = END_ID)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(shared.read_table(spark, sf_dir, "documents"))
+    return pack(texts(spark, sf_dir, "doc_id", "text"))

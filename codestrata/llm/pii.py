@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codestrata.plans.adapters import texts
+
 from . import shared
 
 KINDS = ("email", "ip", "card", "phone")
@@ -340,5 +342,5 @@ def redact(text: str, spans: str) -> str:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_spans(shared.read_table(spark, sf_dir, "documents"))
+    found = find_spans(texts(spark, sf_dir, "doc_id", "text"))
     return found.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2("base", 256).alias("base_sha256"), "spans")

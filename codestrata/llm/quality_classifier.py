@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codestrata.plans.adapters import texts
+
 from . import shared
 
 #: Labelled rows of each class that are learned from at most; buckets of the hashed n-grams.
@@ -178,5 +180,5 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float, float]) -> DataFrame:
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = shared.read_table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "doc_id", "text")
     return score(docs, learn(docs, shared.read_table(spark, sf_dir, "labels")))

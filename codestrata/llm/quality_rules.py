@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codestrata.plans.adapters import texts
+
 from . import shared
 
 #: Strata: these languages; all others, null too, together. The bound on the size of what is broadcast.
@@ -237,7 +239,7 @@ def apply_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = apply_rules(shared.read_table(spark, sf_dir, "documents"), shared.read_table(spark, sf_dir, "labels"))
+    judged = apply_rules(texts(spark, sf_dir, "doc_id", "text", "lang"), shared.read_table(spark, sf_dir, "labels"))
     return judged.select(
         "doc_id",
         "n_words",
