@@ -37,21 +37,21 @@ def bm25(docs: DataFrame, queries: DataFrame, text: str = "text", doc_id: str =
     """(query_id, doc_id, score, matched): the BM25 score of every document that shares a token with a query.
 
     queries: (query_id, text). A token that a query repeats counts as often, in matched too. Only the documents'
-    tokens that a query asks for are shuffled, and one length for each document.
+    tokens that a query asks for are shuffled, and one further count for each document; texts are read once.
     """
     wanted = T.explode_tokens(queries, "text", "query_id").groupBy("query_id", "token").agg(F.count("*").alias("times"))
     tokens = T.explode_tokens(docs.withColumn("doc_id", F.col(doc_id)), text, "doc_id")
-    # a document's tokens lie together, so their counts are combined before the shuffle to a row each
-    lengths = tokens.groupBy("doc_id").agg(F.count("*").alias("doc_length"))
-    total = lengths.agg(F.sum("doc_length").alias("total"))
+    asked = checked(wanted.select("token", F.col("token").alias("asked")).distinct())
+    # a row for each asked token of a document, and one for all its others: both uses share this one exchange
+    counts = tokens.join(asked, "token", "left").groupBy("doc_id", "asked").agg(F.count("*").alias("tf"))
+    by_token = counts.groupBy("asked").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    total = by_token.agg(F.sum("cf").alias("total"))
     stats = docs.agg(F.count("*").alias("n")).crossJoin(total).select("n", (F.col("total") / F.col("n")).alias("average"))  # one row
-    asked = checked(wanted.select("token").distinct())
-    hits = tokens.join(asked, "token", "left_semi").groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
-    df = hits.groupBy("token").agg(F.count("*").alias("df"))
-    weighted = wanted.join(df, "token").crossJoin(F.broadcast(stats))
+    weighted = wanted.join(by_token.select(F.col("asked").alias("token"), "df"), "token").crossJoin(F.broadcast(stats))
+    own = F.collect_list(F.when(F.col("asked").isNotNull(), F.struct(F.col("asked").alias("token"), "tf")))
+    hits = counts.groupBy("doc_id").agg(F.sum("tf").alias("doc_length"), own.alias("own")).select("doc_id", "doc_length", F.inline("own"))
     return (
-        hits.join(lengths, "doc_id")
-        .join(weighted, "token")
+        hits.join(weighted, "token")
         .groupBy("query_id", "doc_id")
         .agg(F.sum(_part() * F.col("times")).alias("score"), F.flatten(F.collect_list(F.array_repeat("token", F.col("times").cast("int")))).alias("matched"))
         .withColumn("matched", F.array_sort("matched"))
