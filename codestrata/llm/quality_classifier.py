@@ -1,6 +1,7 @@
 """Quality classifier: naive Bayes support vectors (NB-SVM).
 
-N-gram indicators of a text (byte trigrams, and words with the word after them, hashed) are scaled by the log of the
+N-gram indicators of a text (byte trigrams, words, pairs of words, and levels of how many there are and how often they
+repeat, all hashed) are scaled by the log of the
 ratio of their shares in the two classes. A linear model with hinge loss is fitted to the scaled indicators by dual
 coordinate descent, interpolated with the naive Bayes weights, and a logistic curve turns its margin into a score.
 
@@ -25,6 +26,8 @@ from . import shared
 PER_CLASS, BITS = 1500, 18
 #: Rounds of dual coordinate descent, its cost parameter, smoothing of counts, weight of the fitted model.
 ROUNDS, COST, SMOOTHING, BETA = 15, 1.0, 1.0, 0.75
+#: What is added to the squared length of a scaled row in its margin.
+SHRINK = 20.0
 
 _MASK = np.uint32((1 << BITS) - 1)
 _BLANK = np.zeros(256, bool)
@@ -55,8 +58,16 @@ def indicators(raw: bytes, scratch: np.ndarray) -> np.ndarray:
         word = total[end] - total[start] + (end - start).astype(np.uint32) * np.uint32(0x9E3779B1)
         word = word ^ (w[start] << np.uint32(24)) ^ (w[end - 1] << np.uint32(16))
         grams.append(_mix(word + np.uint32(0x51ED270B)))
+        levels = [np.arange(len(word).bit_length(), dtype=np.uint32)]
         if len(word) > 1:
-            grams.append(_mix(word[:-1] * np.uint32(31) + word[1:] * np.uint32(0x85EBCA6B)))
+            pairs = word[:-1] * np.uint32(31) + word[1:] * np.uint32(0x85EBCA6B)
+            grams.append(_mix(pairs))
+            # how often a word follows itself, and how many pairs are repeats, by powers of two and by tenths
+            doubled, again = int((word[1:] == word[:-1]).sum()), len(pairs) - len(np.unique(pairs))
+            levels.append(np.arange(32, 32 + doubled.bit_length(), dtype=np.uint32))
+            levels.append(np.arange(64, 64 + 10 * doubled // len(pairs), dtype=np.uint32))
+            levels.append(np.arange(96, 96 + 10 * again // len(pairs), dtype=np.uint32))
+        grams.append(_mix(np.concatenate(levels) + np.uint32(0x7F4A7C15)))
     h = np.concatenate(grams) if grams else np.zeros(0, np.uint32)
     # distinct without a sort: of equal buckets the last writer stays
     index = np.arange(len(h), dtype=np.uint32)
@@ -69,8 +80,11 @@ def _mix32(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint32(16))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 3) -> tuple[np.ndarray, float, float]:
-    """(weights by bucket, slope, intercept): score = 1 / (1 + exp(-(slope * sum of weights + intercept)))."""
+def fit(rows: list[np.ndarray], labels: np.ndarray, good_share: float | None = None, seed: int = 3) -> tuple[np.ndarray, float, float]:
+    """(weights by bucket, slope, intercept): score = 1 / (1 + exp(-(slope * margin + intercept))).
+
+    good_share: the share of label 1 among all labels, which the score is calibrated to; that of rows if not given.
+    """
     size = 1 << BITS
     y = np.where(labels == 1, 1.0, -1.0)
     if len(set(y)) < 2:  # one class or none: no weights, and the score of that class
@@ -97,17 +111,20 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 3) -> tuple[np.n
     final = (BETA * weights + (1 - BETA) * mean * np.where(weights != 0, 1.0, 0.0)) * ratio
     # margins are taken as in scoring, over the root of the number of n-grams, then a logistic curve is fitted
     margin = np.array([margin_of(r, final, ratio) for r in rows]) + bias
-    slope, intercept = _logistic(margin, y)
+    share = (y > 0).mean() if good_share is None else min(max(good_share, 0.02), 0.98)
+    slope, intercept = _logistic(margin, y, share)
     return np.stack([final, ratio]), slope, intercept + slope * bias
 
 
 def margin_of(r: np.ndarray, final: np.ndarray, ratio: np.ndarray) -> float:
-    return float(final[r].sum() / max(np.linalg.norm(ratio[r]), 1e-9)) if len(r) else 0.0
+    """The sum of weights over the length of the scaled row; short texts, which say little, are drawn to 0."""
+    return float(final[r].sum() / np.sqrt(np.square(ratio[r]).sum() + SHRINK)) if len(r) else 0.0
 
 
-def _logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def _logistic(margin: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
+    """Slope and intercept of the probability of label 1 by margin, where a share of all rows has label 1."""
     a, b, t = 1.0, 0.0, np.where(y > 0, 0.98, 0.02)
-    w = np.where(y > 0, len(y) / (2 * (y > 0).sum()), len(y) / (2 * (y < 0).sum()))
+    w = len(y) * np.where(y > 0, share / (y > 0).sum(), (1 - share) / (y < 0).sum())
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
         g, h = w * (p - t), w * p * (1 - p) + 1e-9
@@ -124,25 +141,26 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """(doc_id, text, y): at most per_class rows of each class, the first in order of a hash of the id.
+def usable_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, y) of the documents that may be learned from; those with conflicting labels are left out."""
+    rows = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
+    both = rows.groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("y2"))
+    return both.where("y = y2").select("doc_id", "y")
 
-    A document with conflicting labels is left out; one row is taken of a repeated one.
-    """
-    usable = (
-        labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
-        .groupBy("doc_id")
-        .agg(F.min("quality").alias("y"), F.max("quality").alias("y2"))
-        .where("y = y2")
-        .select("doc_id", "y")
-    )
+
+def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
+    """(doc_id, text, y): at most per_class rows of each class, the first in order of a hash of the id."""
+    usable = usable_labels(labels)
     first = lambda k: usable.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
     chosen = first(0).unionAll(first(1))  # at most 2 * per_class ids: safe to broadcast
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[np.ndarray, float, float]:
-    """The model; only the n-gram buckets of the bounded sample come to the driver, not its texts."""
+    """The model; only the n-gram buckets of the bounded sample come to the driver, not its texts.
+
+    One row is taken of a document that is repeated.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scratch = np.zeros(1 << BITS, np.uint32)
@@ -153,7 +171,8 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = shared.map_batches(training_rows(docs, labels, per_class), run, f"doc_id {kind}, y int, grams binary").collect()
     rows = list({r[0]: r for r in sorted(rows, key=lambda r: (r[0], bytes(r[2])))}.values())
-    return fit([np.frombuffer(r[2], "<u4") for r in rows], np.array([r[1] for r in rows]))
+    share = usable_labels(labels).agg(F.avg("y")).first()[0]
+    return fit([np.frombuffer(r[2], "<u4") for r in rows], np.array([r[1] for r in rows]), share)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float, float]) -> DataFrame:
