@@ -13,7 +13,7 @@ from codestrata.functions import text as T
 from codestrata.operators import activity, contracts, evolution, knowledge, quality, releases
 from codestrata.streaming import watch
 
-from .adapters import PATH_SQL, SUBJECT_SQL, TAGS_SQL, document_lines, order_commits, part_path, release_tags, table, texts
+from .adapters import PATH_SQL, SUBJECT_SQL, TAGS_SQL, order_commits, part_path, release_tags, table, texts
 
 # --- coverage ------------------------------------------------------------------------------------------------------
 
