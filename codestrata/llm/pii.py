@@ -13,6 +13,7 @@ the table, without a shuffle.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import math
 import random
@@ -284,8 +285,6 @@ def find(text: str, field: Field) -> tuple[list, list]:
     base = base_spans(text)
     every = list(base)
     taken = sorted((s, e) for s, e, _ in base)
-    import bisect
-
     tops, top = [], 0
     for _, e in taken:
         tops.append(top := max(top, e))

@@ -29,7 +29,6 @@ ROUNDS, COST, SMOOTHING, BETA = 15, 1.0, 1.0, 0.75
 #: What is added to the squared length of a scaled row in its margin.
 SHRINK = 20.0
 
-_MASK = np.uint32((1 << BITS) - 1)
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 

@@ -82,7 +82,6 @@ def metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         F.coalesce(F.col(text_col), F.lit("")).alias("t"),
     )
     ws = F.lit(shared.WS_CHARS)
-    # a window of 8 words of 1 letter each needs 15 characters: hashes of words are all that the windows need
     split = base.select(
         "doc_id",
         "stratum",
