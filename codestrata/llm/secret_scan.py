@@ -1,7 +1,7 @@
 r"""Secret scans: candidate strings judged by a random forest that removes false positives.
 
-A candidate is a run of at least 16 letters, digits and `_ + / -` with a digit among them, inside a word. Its
-features: length, shares of character classes, transitions between classes, distinct characters, coverage by a
+A candidate is a run of at least 16 letters, digits and `_ + / -` with a digit among them, inside a word; a word can
+hold many. Its features: length, shares of character classes, transitions between classes, distinct characters, coverage by a
 dictionary, marks of paths, and the neighbouring words. The forest is trained by Spark's own trees from labelled
 findings, and its trees become plain column expressions, so that a text is scanned, judged and redacted inside its
 row: DataFrame functions only, one pass, no shuffle.
@@ -45,11 +45,38 @@ FEATURES = (
 )
 
 
-def features(before2: Column, before: Column, word: Column, value: Column) -> Column:
-    """A struct of doubles by FEATURES, of a candidate value inside a word and the two words before it."""
+def candidates(word: Column) -> Column:
+    """All candidates of a word, in order: an array of (start, lead, value, tail), start from 0 in code points.
+
+    The lead is what stands before the value back to the start of the run before it, and the tail reaches up to the
+    next run: each part of a long word is looked at a bounded number of times.
+    """
+    length = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda acc, x: acc + F.length(x))
+
+    def of(runs: Column, gaps: Column) -> Column:
+        def one(value: Column, k: Column) -> Column:
+            return F.when(
+                value.rlike("[0-9]"),
+                F.struct(
+                    (length(gaps, k + 1) + length(runs, k)).alias("start"),
+                    F.concat(F.when(k > 0, F.get(runs, k - 1)).otherwise(""), F.get(gaps, k)).alias("lead"),
+                    value.alias("value"),
+                    F.get(gaps, k + 1).alias("tail"),
+                ),
+            )
+
+        return F.filter(F.transform(runs, one), lambda c: c.isNotNull())
+
+    runs = F.regexp_extract_all(word, F.lit(_RUN), F.lit(0))
+    return shared.let(runs, lambda r: shared.let(F.split(word, _RUN, -1), lambda g: of(r, g)))
+
+
+def features(before2: Column, before: Column, candidate: Column) -> Column:
+    """A struct of doubles by FEATURES, of a candidate and the two words before its word."""
+    value, lead = candidate["value"], candidate["lead"]
+    word = F.concat(lead, value, candidate["tail"])
     n = F.length(value)
     share = lambda pattern: F.regexp_count(value, F.lit(pattern)) / n
-    lead = F.substr(word, F.lit(1), F.instr(word, value) - 1)
     near = F.lower(F.concat_ws(" ", F.coalesce(before2, F.lit("")), F.coalesce(before, F.lit("")), lead))
     low = F.lower(value)
     of = {
@@ -141,14 +168,15 @@ def generated_findings(spark: SparkSession, count: int = FINDINGS, seed: int = S
 def fit(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> list:
     """A forest from labelled findings: nested tuples (feature index, cut, left, right) with votes at the leaves.
 
-    Rows without a candidate or a label don't count. All rows are learned from; they are as many as were labelled.
+    Rows without a candidate or a label don't count; a word with several counts by its first. All rows are learned from;
+    they are as many as were labelled.
     """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    value = F.regexp_extract("word", _VALUE, 1)
-    rows = findings.withColumn("value", value).where((F.col("value") != "") & F.col("label").isNotNull())
-    rows = rows.select(features(F.col("before2"), F.col("before"), F.col("word"), F.col("value")).alias("x"), F.col("label").cast("double").alias("label")).select("x.*", "label")
+    rows = findings.withColumn("found", F.get(candidates(F.col("word")), F.lit(0)))
+    rows = rows.where(F.col("found").isNotNull() & F.col("label").isNotNull())
+    rows = rows.select(features(F.col("before2"), F.col("before"), F.col("found")).alias("x"), F.col("label").cast("double").alias("label")).select("x.*", "label")
     ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows).select("features", "label")
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(ready)
     return [_parse(t.toDebugString) for t in model.trees]
@@ -204,31 +232,33 @@ def scan(docs: DataFrame, forest: list, text_col: str = "text") -> DataFrame:
     kept = docs.columns
     base = docs.withColumn("_words", shared.words(text))
 
-    def candidate(w: Column, i: Column) -> Column:
+    def inside(w: Column, i: Column) -> Column:
         return F.when(
             has(w),
             F.struct(
                 i.alias("i"),
-                w.alias("word"),
-                F.regexp_extract(w, _VALUE, 1).alias("value"),
+                candidates(w).alias("own"),
                 F.get("_words", i - 1).alias("before"),
                 F.get("_words", i - 2).alias("before2"),
             ),
         )
 
-    with_digit = lambda c: c["value"].rlike("[0-9]")
-    found = F.filter(F.transform("_words", candidate), lambda c: c.isNotNull() & with_digit(c))
+    found = F.filter(F.transform("_words", inside), lambda w: w.isNotNull() & (F.size(w["own"]) > 0))
     base = base.withColumn("_found", found)
     length = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda acc, x: acc + F.length(x))
 
-    def judged(gaps: Column, c: Column) -> Column:
-        start = length(gaps, c["i"] + 1) + length(F.col("_words"), c["i"]) + F.instr(c["word"], c["value"]) - 1
-        score = shared.let(features(c["before2"], c["before"], c["word"], c["value"]), lambda x: votes(x, forest))
-        return F.struct(start.cast("long").alias("start"), F.length(c["value"]).cast("long").alias("length"), c["value"].alias("value"), score.alias("score"))
+    def judged(w: Column, place: Column, c: Column) -> Column:
+        score = shared.let(features(w["before2"], w["before"], c), lambda x: votes(x, forest))
+        start = (place + c["start"]).cast("long")
+        return F.struct(start.alias("start"), F.length(c["value"]).cast("long").alias("length"), c["value"].alias("value"), score.alias("score"))
+
+    def judged_in(gaps: Column, w: Column) -> Column:
+        place = length(gaps, w["i"] + 1) + length(F.col("_words"), w["i"])
+        return shared.let(place, lambda p: F.transform(w["own"], lambda c: judged(w, p, c)))
 
     findings = F.when(
         F.size("_found") > 0,
-        shared.let(F.split(text, shared.WORD_CLASS + "+", -1), lambda gaps: F.transform("_found", lambda c: judged(gaps, c))),
+        shared.let(F.split(text, shared.WORD_CLASS + "+", -1), lambda gaps: F.flatten(F.transform("_found", lambda w: judged_in(gaps, w)))),
     ).otherwise(F.array().cast("array<struct<start:bigint,length:bigint,value:string,score:double>>"))
     return base.select(*kept, findings.alias("_findings"))
 

@@ -233,6 +233,30 @@ def test_secret_forest(spark):
             assert r.text[f.start : f.start + f.length] == f.value
 
 
+def test_every_run_of_a_word_is_judged(spark):
+    r = random.Random(5)
+    hexed = lambda n: f"{r.getrandbits(4 * n):0{n}x}"
+    mixed = lambda n: "".join(r.choice("ABCDEFGHJKMNabcdefghjkmn0123456789") for _ in range(n)) + "7"
+    github, aws, plain, sha = "ghp_" + mixed(35), "AKIA" + hexed(16).upper(), mixed(24), hexed(40)
+    jwt = "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"
+    cases = [
+        (f"set AWS_SECRET_ACCESS_KEY={plain} now", [plain]), (f'client_secret_key="{sha}"', [sha]), (f"DATABASE_PASSWORD={plain}", [plain]),
+        (f'é {{"a_token":"{github}","b_token":"{aws}"}}', [github, aws]), (f"Authorization: Bearer {jwt}", jwt.split(".")),
+        (f"see https://host.com/long-path-12345678?token={github} there", [github]),
+        (f"https://host.com/?access_token={github}&commit={sha}", [github]),  # each is judged by its own lead
+        (f"{{\"keys\":[{','.join([aws] * 50)}]}}", [aws] * 50),
+    ]
+    forest = secret_scan.default_forest(spark)
+    table = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "id long, text string")
+    for row in secret_scan.scan(table, forest).collect():
+        text, secrets = cases[row.id]
+        assert [f.value for f in row._findings if f.score >= secret_scan.VOTES] == secrets
+        runs = [m for m in re.finditer(r"[A-Za-z0-9_+/-]{16,}={0,2}", text) if re.search("[0-9]", m[0])]
+        assert [(f.start, f.length) for f in row._findings] == [(m.start(), len(m[0])) for m in runs]
+    for row in secret_scan.redact(table, forest).collect():
+        assert not any(v in row.text for v in cases[row.id][1])
+
+
 # --- 8 classifier
 
 
