@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import itertools
 import math
 import random
 import re
@@ -30,8 +31,8 @@ from . import shared
 
 KINDS = ("email", "ip", "card", "phone")
 OUTSIDE = "outside"
-#: Tokens in a segment, and in a stretch that is decoded as one.
-MAX_TOKENS, MAX_STRETCH = 12, 400
+#: Tokens in a segment, and tokens whose segments are listed at a time.
+MAX_TOKENS, BLOCK = 12, 400
 #: Labelled sentences that the field is trained from, rounds over them, and the generator's seed.
 SENTENCES, EPOCHS, SEED = 500, 5, 11
 
@@ -81,35 +82,53 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\s+|[^\s]")
 
 
+def each_token(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    return (m.span() for m in _TOKEN.finditer(text, start, end))
+
+
 def tokens_of(text: str, start: int = 0, end: int | None = None) -> list[tuple[int, int]]:
-    return [m.span() for m in _TOKEN.finditer(text, start, len(text) if end is None else end)]
+    return list(each_token(text, start, len(text) if end is None else end))
 
 
 def _shape(piece: str) -> str:
     return re.sub(r"9+", "9", re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]", "9", piece)))
 
 
-def span_features(text: str, start: int, end: int) -> list[str]:
-    """Features of a whole candidate span, apart from its label."""
-    piece = text[start:end]
+def _piece_features(piece: str) -> tuple[list[str], list[str]]:
+    """The features that a piece has wherever it stands: those before and after the ones of its surroundings."""
     groups = re.findall(r"[0-9]+", piece)
     digits = "".join(groups)
-    before, after = text[start - 1 : start], text[end : end + 1]
-    out = [
+    first = [
         "shape=" + _shape(piece)[:24],
         f"digits={min(len(digits), 20)}",
         f"groups={min(len(groups), 6)}:{','.join(str(min(len(g), 9)) for g in groups[:5])}",
+    ]
+    last = []
+    if 13 <= len(digits) <= 19:
+        last.append(f"luhn={luhn(digits)}:{14 <= len(digits)}")
+    if len(groups) == 4 and re.fullmatch(r"[0-9]+(\.[0-9]+){3}", piece):
+        last.append(f"octets={all(len(g) < 4 and int(g) < 256 for g in groups)}")
+    if "@" in piece:
+        last.append(f"address={bool(re.fullmatch(r'[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+([.][A-Za-z0-9-]+)+', piece))}:{piece.count('@')}")
+    return first, last
+
+
+_short_piece_features = functools.lru_cache(1 << 14)(_piece_features)
+
+
+def span_features(text: str, start: int, end: int) -> list[str]:
+    """Features of a whole candidate span, apart from its label."""
+    piece = text[start:end]
+    first, last = (_short_piece_features if len(piece) <= 64 else _piece_features)(piece)
+    before, after = text[start - 1 : start], text[end : end + 1]
+    out = [
+        *first,
         f"left={'word' if before.isalnum() else before if before in '+@.-_%(' else 'edge'}",
         f"right={'word' if after.isalnum() else after if after in '@-_%' else 'edge'}",
     ]
     if after == "." and text[end + 1 : end + 2].isalnum():
         out.append("right=goes on")
-    if 13 <= len(digits) <= 19:
-        out.append(f"luhn={luhn(digits)}:{14 <= len(digits)}")
-    if len(groups) == 4 and re.fullmatch(r"[0-9]+(\.[0-9]+){3}", piece):
-        out.append(f"octets={all(len(g) < 4 and int(g) < 256 for g in groups)}")
-    if "@" in piece:
-        out.append(f"address={bool(re.fullmatch(r'[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+([.][A-Za-z0-9-]+)+', piece))}:{piece.count('@')}")
+    out += last
     words = re.findall(r"[^\W\d_]+", text[max(0, start - 24) : start])
     if words:
         out.append("word=" + words[-1].lower()[:12])
@@ -156,18 +175,37 @@ class Field:
                 ends[j].append((i, kind, sum(w.get((kind, x), 0.0) for x in f) + w.get((kind, "bias"), 0.0), [*f, "bias"]))
         return ends
 
-    def decode(self, text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
-        best, back = [0.0] + [-math.inf] * len(spans), [None] * (len(spans) + 1)
-        for j, found in enumerate(self.lattice(text, spans)):
-            for i, label, score, _ in found:
-                if best[i] + score > best[j]:
-                    best[j], back[j] = best[i] + score, (i, label)
-        out, j = [], len(spans)
-        while j:
-            i, label = back[j]
-            if label != OUTSIDE:
-                out.append((spans[i][0], spans[j - 1][1], label))
-            j = i
+    def best_lattice(self, text: str, spans: list[tuple[int, int]]):
+        """lattice(), with the best kind only of each segment and without features; equal features are scored once."""
+        w, known, ends = self.weights, {}, [[] for _ in range(len(spans) + 1)]
+        for j, (a, b) in enumerate(spans):
+            f = _outside_features(text, a, b)
+            ends[j + 1].append((j, OUTSIDE, sum(w.get((OUTSIDE, x), 0.0) for x in f)))
+        for (i, j), f in candidates(text, spans).items():
+            if (key := tuple(f)) not in known:
+                scores = [sum(w.get((kind, x), 0.0) for x in f) + w.get((kind, "bias"), 0.0) for kind in KINDS]
+                known[key] = KINDS[scores.index(max(scores))], max(scores)
+            ends[j].append((i, *known[key]))
+        return ends
+
+    def decode(self, text: str, spans: Iterable[tuple[int, int]]) -> list[tuple[int, int, str]]:
+        """The best segmentation's entities. Segments are listed by blocks of tokens, and the last MAX_TOKENS states are
+        carried on to the next block, so that the result is that of one block and memory is bounded by the entities."""
+        rest, kept, best, paths = iter(spans), [], [0.0], [None]
+        while block := list(itertools.islice(rest, BLOCK)):
+            window = kept + block
+            for j, found in enumerate(self.best_lattice(text, window)[len(best) :], len(best)):
+                best.append(-math.inf)
+                for i, label, score in found:
+                    if best[i] + score > best[j]:
+                        best[j], last = best[i] + score, (i, label)
+                i, label = last
+                paths.append(paths[i] if label == OUTSIDE else (paths[i], (window[i][0], window[j - 1][1], label)))
+            kept, best, paths = window[1 - MAX_TOKENS :], best[-MAX_TOKENS:], paths[-MAX_TOKENS:]
+        out, path = [], paths[-1]
+        while path:
+            path, entity = path
+            out.append(entity)
         return out[::-1]
 
     def learn(self, text: str, gold: list[tuple[int, int, str]], rate: float) -> None:
@@ -257,8 +295,7 @@ _MARK = re.compile(r"[0-9@]")
 def stretches(text: str) -> Iterator[tuple[int, int]]:
     """The parts of text that can hold an entity: words with a digit or an at sign, with what one blank joins to them.
 
-    A stretch of over MAX_STRETCH characters is cut at its next token, so that a table of numbers is decoded in
-    linear time and bounded memory.
+    A stretch is as long as its text, a table of numbers in one line too: it is never cut, as an entity could be there.
     """
     at, n = 0, len(text)
     while m := _MARK.search(text, at):
@@ -267,15 +304,13 @@ def stretches(text: str) -> Iterator[tuple[int, int]]:
         while start > low and not text[start - 1].isspace():
             start -= 1
         end, seen = m.end(), m.end()
-        while end < n and end - start < MAX_STRETCH:
+        while end < n:
             c = text[end]
             if c.isspace() and (c != " " or end - seen > 1 and not _MARK.search(text, end + 1, min(n, end + 6))):
                 break
             end += 1
             if _MARK.match(c):
                 seen = end
-        while end < n and text[end].isdigit() and text[end - 1].isdigit() and end - start < 2 * MAX_STRETCH:
-            end += 1
         yield start, end
         at = end
 
@@ -289,8 +324,7 @@ def find(text: str, field: Field) -> tuple[list, list]:
     for _, e in taken:
         tops.append(top := max(top, e))
     for a, b in stretches(text):
-        spans = tokens_of(text, a, b)
-        for s, e, kind in field.decode(text, spans):
+        for s, e, kind in field.decode(text, each_token(text, a, b)):
             i = bisect.bisect_left(taken, (e, 0)) - 1  # the last base span that starts before e
             if i < 0 or tops[i] <= s:
                 every.append((s, e, kind))

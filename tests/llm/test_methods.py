@@ -209,6 +209,36 @@ def test_long_digits_are_linear():
     assert time.time() - began < 60
 
 
+def uncut(field, text):
+    """The spans of the best segmentation of the whole text, listed and decoded as one."""
+    spans = pii.tokens_of(text)
+    best, back = [0.0] + [-math.inf] * len(spans), [None] * (len(spans) + 1)
+    for j, found in enumerate(field.lattice(text, spans)):
+        for i, label, score, _ in found:
+            if best[i] + score > best[j]:
+                best[j], back[j] = best[i] + score, (i, label)
+    out, j = [], len(spans)
+    while j:
+        i, label = back[j]
+        out += [(spans[i][0], spans[j - 1][1], label)] * (label != pii.OUTSIDE)
+        j = i
+    return out[::-1]
+
+
+def test_long_lines_lose_no_span():
+    field, r = pii.Field(pii.trained()), random.Random(1)
+    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    phones = " ".join(f"({d(3)}) {d(3)}-{d(4)}" for _ in range(340))
+    dashed = " ".join(f"{d(3)}-{d(3)}-{d(4)}" for _ in range(400))
+    json = "{" + ",".join(f'"id":{d(4)},"tel":"({d(3)})555-{d(4)}","mail":"a{d(2)}@b.com"' for _ in range(100)) + "}"
+    for text in (phones, dashed, json):
+        assert len(text) > 4700 and list(pii.stretches(text))[0][1] == len(text)
+        start = next(pii.stretches(text))[0]
+        base, every = pii.find(text[start:], field)
+        clear = [x for x in uncut(field, text[start:]) if not any(s < x[1] and x[0] < e for s, e, _ in base)]
+        assert set(every) == set(base) | set(clear) and len(clear) > 60
+
+
 # --- 5 URLs
 
 
