@@ -93,8 +93,8 @@ def leaf_budgets(
     return dealt.select(*levels, "tokens", "budget")
 
 
-def measure(docs: DataFrame, domain: Column | None = None) -> DataFrame:
-    """(doc_id, domain, lang, source, tokens) of each row; tokens are words. Null names become "", null texts empty."""
+def measure(docs: DataFrame, domain: Column | None = None, keep: tuple = ()) -> DataFrame:
+    """(doc_id, domain, lang, source, tokens) and the columns keep of each row; tokens are words. Null names become "", null texts empty."""
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("")
     domain = F.coalesce(domain, F.lit("")) if domain is not None else domain_of(name("source"))
     return docs.select(
@@ -103,6 +103,7 @@ def measure(docs: DataFrame, domain: Column | None = None) -> DataFrame:
         name("lang").alias("lang"),
         name("source").alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(shared.WORD_CLASS + "+")), F.lit(0)).cast("long").alias("tokens"),
+        *keep,
     )
 
 
@@ -113,15 +114,16 @@ def mix(
     max_epochs: int = MAX_EPOCHS,
     seed: int = SEED,
     domain: Column | None = None,
+    keep: tuple = (),
 ) -> DataFrame:
-    """A row per row of docs: doc_id, domain, lang, source, tokens and copies (long, 0: left out).
+    """A row per row of docs: doc_id, domain, lang, source, tokens, copies (long, 0: left out) and the columns keep.
 
     Rows with the same doc_id are put in order together and taken or left together but for the last of them, as
     far as the budget reaches; a null doc_id counts as an empty name. Texts without a word are taken as often as
     their leaf has whole epochs. An empty table gives an empty result.
     """
     leaf = list(LEVELS)
-    measured = shared.stash(measure(docs, domain), "mixing")
+    measured = shared.stash(measure(docs, domain, keep), "mixing")
     budgets = leaf_budgets(measured.groupBy(*leaf).agg(F.sum("tokens").alias("tokens")), LEVELS, weights, share, max_epochs)
     plan = budgets.select(
         *leaf,
@@ -140,11 +142,11 @@ def mix(
         .agg(F.sum("tokens").alias("bin_tokens"))
         .withColumn("before", F.coalesce(F.sum("bin_tokens").over(by_bin), F.lit(0)))
     )
-    in_bin = Window.partitionBy(*leaf, "bin").orderBy("key", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, 0)
+    in_bin = Window.partitionBy(*leaf, "bin").orderBy("key", "doc_id", "tokens", *keep).rowsBetween(Window.unboundedPreceding, 0)
     upto = F.col("before") + F.sum("tokens").over(in_bin)
     placed = keyed.join(bins, [*leaf, "bin"]).withColumn("upto", upto)
     taken = F.col("epochs") + F.when((F.col("upto") <= F.col("rest")) & (F.col("rest") > 0), 1).otherwise(0)
-    return placed.select("doc_id", *leaf, "tokens", taken.alias("copies"))
+    return placed.select("doc_id", *leaf, "tokens", taken.alias("copies"), *keep)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,11 +15,20 @@ from codestrata.llm import minhash_dedup, mixing, packing, quality_rules, secret
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with _row, a number of each row's own, written once so that every reader sees the same numbers."""
+    return shared.stash(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. Rows that share a doc_id stay or go together (all must be kept)."""
-    judged = quality_rules.apply_rules(docs, shared.read_table(spark, sf_dir, "labels"))
-    gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """Rows that the quality rules keep, each by its own verdict whatever its doc_id."""
+    rows = _numbered(docs)
+    both = rows.withColumn("_both", F.struct("doc_id", "_row"))
+    measured = shared.stash(quality_rules.metrics(both, id_col="_both"), "quality")
+    of_docs = measured.withColumn("doc_id", F.col("doc_id.doc_id"))
+    judged = quality_rules.judge(measured, quality_rules.thresholds(of_docs, shared.read_table(spark, sf_dir, "labels")))
+    gone = judged.where(~F.col("kept")).select(F.col("doc_id._row").alias("_row"))
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,11 +43,10 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture takes it; rows that share a doc_id take the largest of their counts."""
-    taken = mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    taken = taken.where("_copies > 0").withColumnRenamed("doc_id", "_id")
-    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.select(
+    """Each row as often as the mixture takes it, whatever its doc_id."""
+    rows = _numbered(docs)
+    taken = mixing.mix(rows, keep=("_row",)).where("copies > 0").select("_row", F.col("copies").alias("_copies"))
+    return rows.join(taken, "_row").select(
         *docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")
     ).drop("_copy")
 

@@ -111,3 +111,17 @@ def test_stages(spark, tmp_path, stage, empty):
         assert out.columns == docs.columns
     if name == "quality" and not empty:
         assert {r.doc_id for r in out.collect()} <= {1, 4, 7}  # the rest is too short
+
+
+def test_stages_judge_rows_that_share_an_id(spark, tmp_path):
+    labels(spark).write.parquet(str(tmp_path / "labels.parquet"))
+    clean = lambda k: " ".join(f"word{k}x{i}" for i in range(30 + k))
+    good, bad = [clean(k) for k in range(20)], ["too short", "again " * 60]
+    rows = [(None if k % 2 else 7, t, "en", "s", len(t)) for t in good + bad for k in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.quality(spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted((i, t) for t in good for i in (0, 7))
+    copies = sorted((r.doc_id or 0, r.tokens, r.copies) for r in mixing.mix(docs).collect())
+    mixed = [(r.doc_id or 0, len(r.text.split())) for r in corpus_pipeline.mix(spark, docs, str(tmp_path)).collect()]
+    assert len({c for *_, c in copies}) > 1  # rows of one id are taken unequally often
+    assert sorted(mixed) == [(i, n) for i, n, c in copies for _ in range(c)]
