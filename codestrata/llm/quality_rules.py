@@ -1,14 +1,22 @@
 """Quality rules whose cutoffs are risk-controlled: exact binomial bounds on labelled holdouts limit false rejection.
 
-Each rule rejects a document whose metric lies above a cutoff. The cutoffs come from a grid that is fixed
-beforehand. For each stratum (language) and rule, the least cutoff is taken for which the hypothesis "the rule
-rejects more than the allowed share of good documents" is refuted by the exact binomial test, at a level divided
-by the number of all tests (Bonferroni over strata, rules and cutoffs). So with probability 1 - delta every
-stratum rejects at most alpha of its good documents. A stratum with too few labelled good documents gets no cutoff
-and the rule rejects nothing there.
+Each rule rejects a document whose metric lies above a cutoff. The cutoffs of all rules come from a ladder that is
+fixed beforehand: step by step every rule becomes stricter, so what one step rejects all later steps reject. For each
+stratum (language) the steps are tested in this order: the hypothesis "the rules of this step together reject more
+than the share alpha of good documents" is refuted if the exact binomial probability of so few rejected good labels
+is at most delta over the number of strata. The tests end at the first step that is not refuted. As the order is
+fixed, no correction for the number of steps or rules is needed (fixed-sequence testing); Bonferroni covers the strata.
+So with probability 1 - delta every stratum rejects at most alpha of its good documents, whichever refuted step is
+taken. Taken is the one that rejects the most bad labels less good ones, the most lenient of equals; where no step
+rejects more bad than good ones, no cutoff is set. At alpha = delta = 0.05 and five strata a stratum needs 90 good
+labels, none of them rejected, or 200 with three rejected; one with fewer gets no cutoff, and the rules reject nothing
+there.
 
 Built of DataFrame functions only. Words and repeated windows are found inside the row, so nothing of a text is
-shuffled; only (stratum, rule, cutoff) counts are, combined before the shuffle.
+shuffled; of labelled documents (id, step) is, then counts by stratum and step.
+
+Cases: null texts have no words; texts of any length are measured whole; other columns, whatever their names, are not
+looked at; repeated rows are judged each, but a document counts as one label; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,13 +32,14 @@ from . import shared
 LANGUAGES = ("en", "fr", "de", "es")
 #: Share of good documents that may be rejected in a stratum, and the probability that this fails anywhere.
 ALPHA, DELTA = 0.05, 0.05
-#: For each rule, the metric and its cutoffs, fixed before any data are seen.
+#: For each rule, the metric and its cutoffs from the strictest step to the most lenient, fixed before any data are seen.
+STEPS = 25
 GRID = {
-    "symbols_per_word": [0.02 * 1.25**i for i in range(25)],
-    "exclamations_per_word": [0.02 * 1.25**i for i in range(25)],
-    "duplicate_line_share": [0.04 * i for i in range(1, 25)],
-    "repeated_word_share": [0.02 * i for i in range(1, 16)],
-    "mean_word_length": [6.0 + 0.5 * i for i in range(25)],
+    "symbols_per_word": [0.02 * 1.25**i for i in range(STEPS)],
+    "exclamations_per_word": [0.02 * 1.25**i for i in range(STEPS)],
+    "duplicate_line_share": [0.04 * (i + 1) for i in range(STEPS)],
+    "repeated_word_share": [0.012 * (i + 1) for i in range(STEPS)],
+    "mean_word_length": [6.0 + 0.5 * i for i in range(STEPS)],
 }
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -162,51 +171,47 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
 def thresholds(
     measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, grid: dict | None = None
 ) -> DataFrame:
-    """Rows (stratum, rule, cutoff, n_good, n_rejected, p_value), one for each stratum and rule that got a cutoff.
+    """Rows (stratum, rule, cutoff, n_good, n_rejected, n_caught, p_value), one for each rule of a stratum with cutoffs.
 
-    labels: (doc_id, quality). A document with conflicting or repeated labels counts once, as good only if all its
-    labels say so. Null labels and labels of unknown documents do not count.
+    n_good: the good labels of the stratum; n_rejected and n_caught: the good and the bad labels that all its rules
+    together reject. grid: for each rule equally many cutoffs, from the strictest. labels: (doc_id, quality). A
+    document counts once, in the least of its strata and by its worst row, however often it or its label is repeated;
+    with conflicting labels it is bad. Null labels, labels of unknown documents and documents that fail the base rules
+    don't count.
     """
     grid = grid or GRID
-    good = (
-        labels.where("doc_id is not null and quality is not null")
-        .groupBy("doc_id")
-        .agg(F.min("quality").alias("q"))
-        .where("q = 1")
-        .select("doc_id")
-    )
-    # the number of cutoffs that a metric exceeds: all counts follow from its histogram
+    steps = len(next(iter(grid.values())))
+    marked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_q"))
+
+    # how many of its rule's cutoffs a metric exceeds, by the worst rule: the step i rejects a document with more than i
     def exceeded(rule: str, cuts: list) -> Column:
         return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.col(rule) > c))
 
-    above = [F.struct(F.lit(r).alias("rule"), exceeded(r, c).alias("steps")) for r, c in grid.items()]
-    histogram = (
-        measured.join(good, "doc_id", "left_semi")
-        .where(~F.col("base_failed"))
-        .select("stratum", F.explode(F.array(*above)).alias("x"))
-        .groupBy("stratum", "x.rule", "x.steps")
-        .agg(F.count("*").alias("n"))
-        .groupBy("stratum", "rule")
-        .agg(F.sum("n").alias("n_good"), F.map_from_entries(F.collect_list(F.struct("steps", "n"))).alias("at"))
+    worst = F.greatest(*[exceeded(r, c) for r, c in grid.items()]) if len(grid) > 1 else exceeded(*next(iter(grid.items())))
+    counted = (
+        measured.where(~F.col("base_failed"))
+        .select("doc_id", "stratum", worst.alias("worst"))
+        .join(marked, "doc_id")
+        .groupBy("doc_id")
+        .agg(F.min("stratum").alias("stratum"), F.max("worst").alias("worst"), F.min("_q").alias("q"))
+        .groupBy("stratum", "worst")
+        .agg(F.count_if(F.col("q") == 1).alias("good"), F.count_if(F.col("q") != 1).alias("bad"))
+        .groupBy("stratum")
+        .agg(F.sum("good").alias("n_good"), F.collect_list(F.struct("worst", "good", "bad")).alias("at"))  # steps + 1 rows at most
+        .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
     )
-    tests = sum(map(len, grid.values())) * (len(LANGUAGES) + 1)
-    cuts = F.create_map(*[x for r, c in grid.items() for x in (F.lit(r), F.array(*map(F.lit, c)))])
-    exploded = histogram.select("stratum", "rule", "n_good", "at", F.posexplode(cuts[F.col("rule")]).alias("i", "cutoff"))
-    counted = exploded.select(
-        "stratum",
-        "rule",
-        "cutoff",
-        "n_good",
-        F.aggregate(
-            F.map_entries("at"), F.lit(0).cast("long"), lambda acc, e: acc + F.when(e["key"] > F.col("i"), e["value"]).otherwise(0)
-        ).alias("n_rejected"),
+    above = lambda what: F.aggregate("at", F.lit(0).cast("long"), lambda acc, x: acc + F.when(x["worst"] > F.col("i"), x[what]).otherwise(0))
+    # what a step rejects the next ones reject, so that the steps before the first failure are just those below the level
+    tested = counted.select("stratum", "n_good", "i", above("good").alias("n_rejected"), above("bad").alias("n_caught"))
+    tested = tested.where("n_caught > n_rejected").withColumn("p_value", binomial_tail(F.col("n_good"), F.col("n_rejected"), alpha))
+    best = (
+        tested.where(F.col("p_value") <= delta / (len(LANGUAGES) + 1))
+        .groupBy("stratum")
+        .agg(F.max_by(F.struct("i", "n_good", "n_rejected", "n_caught", "p_value"), F.struct(F.col("n_caught") - F.col("n_rejected"), "i")).alias("x"))
     )
-    tested = counted.withColumn("p_value", binomial_tail(F.col("n_good"), F.col("n_rejected"), alpha / len(grid)))
-    return (
-        tested.where(F.col("p_value") <= delta / tests)
-        .groupBy("stratum", "rule")
-        .agg(F.min_by(F.struct("cutoff", "n_good", "n_rejected", "p_value"), "cutoff").alias("x"))
-        .select("stratum", "rule", "x.*")
+    rules = F.array(*[F.struct(F.lit(r).alias("rule"), F.array(*map(F.lit, c)).alias("cuts")) for r, c in grid.items()])
+    return best.withColumn("r", F.explode(rules)).select(
+        "stratum", "r.rule", F.element_at("r.cuts", F.col("x.i") + 1).alias("cutoff"), "x.n_good", "x.n_rejected", "x.n_caught", "x.p_value"
     )
 
 
@@ -253,8 +258,9 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WORD, _SPACE = "[^\\x20\\x09-\\x0D]+", "[\\x20\\x09-\\x0D]"
-_GRID_SQL = " UNION ALL ".join(f"SELECT '{rule}' AS rule, unnest({[repr(c) for c in cuts]})::DOUBLE AS cutoff" for rule, cuts in GRID.items())
-#: DuckDB: windows as strings, and the binomial tail term by term.
+_SEEN_SQL = ", ".join(f"len(list_filter({[repr(c) for c in cuts]}::DOUBLE[], lambda c: {rule} > c))" for rule, cuts in GRID.items())
+_CUTS_SQL = "{" + ", ".join(f"'{rule}': {[repr(c) for c in cuts]}::DOUBLE[]" for rule, cuts in GRID.items()) + "}"
+#: DuckDB: windows as strings, the binomial tail term by term, and the steps tested one after the other.
 OP4_SQL = f"""
 WITH d AS (SELECT doc_id, CASE WHEN lang IN {LANGUAGES} THEN lang ELSE 'other' END AS stratum, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '{_WORD}') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS ls FROM d),
@@ -268,14 +274,14 @@ c AS (SELECT w.doc_id, stratum, len(ws) AS n_words, length(regexp_replace(t, '{_
 m AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, n_symbols / greatest(n_words, 1) AS symbols_per_word,
   bang / greatest(n_words, 1) AS exclamations_per_word, n_dup_lines / greatest(n_lines, 1) AS duplicate_line_share,
   n_repeat_words / greatest(n_words, 1) AS repeated_word_share, word_chars / greatest(n_words, 1) AS mean_word_length FROM c),
-g AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY 1 HAVING min(quality) = 1),
-u AS (SELECT stratum, rule, x FROM (SELECT * FROM m JOIN g USING (doc_id) WHERE NOT base_failed) UNPIVOT (x FOR rule IN ({", ".join(GRID)}))),
-grid AS ({_GRID_SQL}),
-k AS (SELECT stratum, u.rule, cutoff, count(*) AS n, count(*) FILTER (x > cutoff) AS k FROM u JOIN grid ON u.rule = grid.rule GROUP BY ALL),
-q AS (SELECT *, list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - CASE WHEN i < n THEN lgamma(n - i + 1) ELSE 0 END
-  + i * ln({ALPHA / len(GRID)}::DOUBLE) + (n - i) * ln(1 - {ALPHA / len(GRID)}::DOUBLE)))) AS p FROM k),
-h AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM q WHERE p <= {DELTA / (sum(map(len, GRID.values())) * (len(LANGUAGES) + 1))!r}::DOUBLE GROUP BY ALL),
-f AS (SELECT m.*, {", ".join(f"coalesce({rule} > (SELECT cutoff FROM h WHERE h.stratum = m.stratum AND rule = '{rule}'), false) AS f{i}" for i, rule in enumerate(GRID))} FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR {" OR ".join(f"f{i}" for i in range(len(GRID)))}) AS kept,
-  array_to_string(list_filter([{", ".join(f"CASE WHEN f{i} THEN '{rule}' END" for i, rule in enumerate(GRID))}], lambda x: x IS NOT NULL), ',') AS failed_rules FROM f
+g AS (SELECT doc_id, min(quality) AS q FROM labels WHERE quality IS NOT NULL GROUP BY 1),
+u AS (SELECT doc_id, min(stratum) AS stratum, max(greatest({_SEEN_SQL})) AS e, min(q) AS q FROM m JOIN g USING (doc_id) WHERE NOT base_failed GROUP BY doc_id),
+k AS (SELECT stratum, i, count(*) FILTER (q = 1) AS n, count(*) FILTER (q = 1 AND e > i) AS k, count(*) FILTER (q <> 1 AND e > i) AS caught FROM u, range({STEPS}) t(i) GROUP BY ALL),
+p AS (SELECT *, list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - CASE WHEN j > 0 THEN lgamma(j + 1) ELSE 0 END - CASE WHEN j < n THEN lgamma(n - j + 1) ELSE 0 END
+  + j * ln({ALPHA}::DOUBLE) + (n - j) * ln({1 - ALPHA}::DOUBLE)))) AS p FROM k WHERE n > 0),
+f AS (SELECT *, bool_and(p <= {DELTA / (len(LANGUAGES) + 1)!r}::DOUBLE) OVER (PARTITION BY stratum ORDER BY i DESC) AS safe FROM p),
+h AS (SELECT stratum, max_by(i, (caught - k, i)) AS i FROM f WHERE safe AND caught > k GROUP BY stratum),
+o AS (SELECT m.*, {", ".join(f"coalesce({rule} > ({_CUTS_SQL})['{rule}'][h.i + 1], false) AS f{n}" for n, rule in enumerate(GRID))} FROM m LEFT JOIN h ON h.stratum = m.stratum)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR {" OR ".join(f"f{n}" for n in range(len(GRID)))}) AS kept,
+  array_to_string(list_filter([{", ".join(f"CASE WHEN f{n} THEN '{rule}' END" for n, rule in enumerate(GRID))}], lambda x: x IS NOT NULL), ',') AS failed_rules FROM o
 """
