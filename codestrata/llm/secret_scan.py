@@ -9,6 +9,10 @@ row: DataFrame functions only, one pass, no shuffle.
 Labelled findings are a table (before2, before, word, after, label); `generated_findings` writes one from a range of
 numbers, with real formats of keys and the usual look-alikes (commit ids, checksums, UUIDs, paths, numbers,
 placeholders).
+
+Cases: null, empty and blank texts have no findings; a text of any length is scanned whole, in time linear in it;
+repeated rows are scanned each, and so are equal values inside a text; columns of docs may have any names; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -155,14 +159,13 @@ def generated_findings(spark: SparkSession, count: int = FINDINGS, seed: int = S
         (0, word, word, F.concat(word, word, word, word, F.substring(numbers, 1, 2), tail)),
         (0, word, word, F.concat_ws("-", word, word, word, F.substring(numbers, 1, 4))),
     ]
-    made = shared.stash(spark.range(count).select("id", *[v.alias(k) for k, v in parts.items()]), "findings")
-    out = None
+    # one partition: a row is built of the template that its number picks, from pieces written once
+    made = shared.stash(spark.range(0, count, 1, 1).select("id", *[v.alias(k) for k, v in parts.items()]), "pieces")
+    picked = F
     for i, (y, before2, before, own) in enumerate(rows):
-        part = made.where(F.col("id") % len(rows) == i).select(
-            before2.alias("before2"), before.alias("before"), own.alias("own"), F.col("word").alias("after"), F.lit(y).alias("label")
-        )
-        out = part if out is None else out.unionByName(part)
-    return out.withColumnRenamed("own", "word")
+        one = F.struct(before2.alias("before2"), before.alias("before"), own.alias("word"), F.col("word").alias("after"), F.lit(y).alias("label"))
+        picked = picked.when(F.col("id") % len(rows) == i, one)
+    return made.select(picked.alias("row")).select("row.*")
 
 
 def fit(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> list:
@@ -177,6 +180,7 @@ def fit(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int =
     rows = findings.withColumn("found", F.get(candidates(F.col("word")), F.lit(0)))
     rows = rows.where(F.col("found").isNotNull() & F.col("label").isNotNull())
     rows = rows.select(features(F.col("before2"), F.col("before"), F.col("found")).alias("x"), F.col("label").cast("double").alias("label")).select("x.*", "label")
+    rows = shared.stash(rows, "findings")  # the trees read it several times
     ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows).select("features", "label")
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(ready)
     return [_parse(t.toDebugString) for t in model.trees]
@@ -221,16 +225,15 @@ def votes(x: Column, forest: list) -> Column:
     return total / len(forest)
 
 
-def scan(docs: DataFrame, forest: list, text_col: str = "text") -> DataFrame:
-    """docs with _findings: an array of (start, length, value, score), start from 0 in code points, in order.
-
-    Null and empty texts have none; repeated rows are scanned each. Added columns begin with an underscore: columns
-    of docs with the names _words and _found would be replaced.
-    """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def scan(docs: DataFrame, forest: list, text_col: str = "text", out_col: str = "_findings") -> DataFrame:
+    """docs with out_col, a name that docs must not have: an array of (start, length, value, score), start from 0 in code
+    points, in order."""
+    if out_col.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs has a column {out_col}")
+    words, found = shared.fresh(docs, "words", "found")
+    text = F.coalesce(shared.column(text_col).cast("string"), F.lit(""))
     has = lambda w: (F.length(w) >= 16) & w.rlike("[0-9]") & w.rlike(_VALUE)
-    kept = docs.columns
-    base = docs.withColumn("_words", shared.words(text))
+    base = docs.withColumn(words, shared.words(text))
 
     def inside(w: Column, i: Column) -> Column:
         return F.when(
@@ -238,13 +241,12 @@ def scan(docs: DataFrame, forest: list, text_col: str = "text") -> DataFrame:
             F.struct(
                 i.alias("i"),
                 candidates(w).alias("own"),
-                F.get("_words", i - 1).alias("before"),
-                F.get("_words", i - 2).alias("before2"),
+                F.get(words, i - 1).alias("before"),
+                F.get(words, i - 2).alias("before2"),
             ),
         )
 
-    found = F.filter(F.transform("_words", inside), lambda w: w.isNotNull() & (F.size(w["own"]) > 0))
-    base = base.withColumn("_found", found)
+    base = base.withColumn(found, F.filter(F.transform(words, inside), lambda w: w.isNotNull() & (F.size(w["own"]) > 0)))
     length = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda acc, x: acc + F.length(x))
 
     def judged(w: Column, place: Column, c: Column) -> Column:
@@ -253,38 +255,31 @@ def scan(docs: DataFrame, forest: list, text_col: str = "text") -> DataFrame:
         return F.struct(start.alias("start"), F.length(c["value"]).cast("long").alias("length"), c["value"].alias("value"), score.alias("score"))
 
     def judged_in(gaps: Column, w: Column) -> Column:
-        place = length(gaps, w["i"] + 1) + length(F.col("_words"), w["i"])
+        place = length(gaps, w["i"] + 1) + length(F.col(words), w["i"])
         return shared.let(place, lambda p: F.transform(w["own"], lambda c: judged(w, p, c)))
 
     findings = F.when(
-        F.size("_found") > 0,
-        shared.let(F.split(text, shared.WORD_CLASS + "+", -1), lambda gaps: F.flatten(F.transform("_found", lambda w: judged_in(gaps, w)))),
+        F.size(found) > 0,
+        shared.let(F.split(text, shared.WORD_CLASS + "+", -1), lambda gaps: F.flatten(F.transform(found, lambda w: judged_in(gaps, w)))),
     ).otherwise(F.array().cast("array<struct<start:bigint,length:bigint,value:string,score:double>>"))
-    return base.select(*kept, findings.alias("_findings"))
+    return base.select(*map(shared.column, docs.columns), findings.alias(out_col))
 
 
 def redact(docs: DataFrame, forest: list, votes_needed: float = VOTES) -> DataFrame:
     """docs with every secret in text replaced by a mark, wherever its value stands in the text; other texts stay.
 
-    n_chars, if there is such a column, is set anew for the texts that change.
+    n_chars, if there is such a column, is set anew for the texts that change. All other columns stay as they are.
     """
-    scanned = scan(docs, forest)
-    secret = F.filter("_findings", lambda f: f["score"] >= votes_needed)
-    values = F.sort_array(F.transform(secret, lambda f: F.struct(F.length(f["value"]).alias("n"), f["value"].alias("v"))), asc=False)
-    out = scanned.withColumn("_values", F.array_distinct(values))
-    clean = F.when(
-        F.size("_values") > 0, F.aggregate("_values", F.col("text"), lambda acc, v: F.replace(acc, v["v"], F.lit(MARK)))
-    ).otherwise(F.col("text"))
-    out = out.withColumn("_clean", clean)
-    columns = [
-        F.col("_clean").alias("text")
-        if c == "text"
-        else F.when(F.size("_values") > 0, F.length("_clean")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c)
-        if c == "n_chars"
-        else F.col(c)
-        for c in docs.columns
-    ]
-    return out.select(*columns)
+    findings, values, clean = shared.fresh(docs, "findings", "values", "clean")
+    scanned = scan(docs, forest, out_col=findings)
+    secret = F.filter(findings, lambda f: f["score"] >= votes_needed)
+    ordered = F.sort_array(F.transform(secret, lambda f: F.struct(F.length(f["value"]).alias("n"), f["value"].alias("v"))), asc=False)
+    out = scanned.withColumn(values, F.array_distinct(ordered))
+    marked = F.aggregate(values, F.col("text"), lambda acc, v: F.replace(acc, v["v"], F.lit(MARK)))
+    out = out.withColumn(clean, F.when(F.size(values) > 0, marked).otherwise(F.col("text")))
+    size = F.when(F.size(values) > 0, F.length(clean)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+    of = {"text": F.col(clean).alias("text")} | ({} if size is None else {"n_chars": size.alias("n_chars")})
+    return out.select(*[of[c] if c in of else shared.column(c) for c in docs.columns])
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

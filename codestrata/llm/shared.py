@@ -99,6 +99,23 @@ def words(text: Column) -> Column:
     )
 
 
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """Column names that start with stems and that df, however it names its columns, does not have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        name, n = stem, 0
+        while name.lower() in taken:
+            name, n = f"{stem}_{n}", n + 1
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def column(name: str) -> Column:
+    """The column of this very name, with dots or blanks in it too."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once: a higher-order function binds it to a variable."""
     return F.element_at(F.transform(F.array(value), body), 1)
