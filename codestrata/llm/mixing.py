@@ -7,12 +7,18 @@ every document once for each whole epoch in its budget, and of one more epoch a
 and the number of the epoch fix, as long as the budget holds whole documents.
 
 DataFrame functions only. Prefix sums over a leaf never bring the leaf together: tokens are first summed by bins,
-the leading digits of the documents' order keys; a document's place is its bin's prefix sum and that inside the bin,
-so a leaf with a third of all rows is spread over 4096 groups.
+the leading digits of the documents' order keys; a document's place is its bin's prefix sum and that inside the bin.
+The number of bins grows with the root of the number of rows, 4096 in a leaf at least. The key is a hash of the id and
+of the text, so rows that share an id, null ids too, are spread like any others; only equal rows have equal keys.
+
+Cases: null names are "", null texts empty; texts without a word are taken as often as their leaf has whole epochs;
+texts of any length count whole; repeated rows are documents of their own, and of equal rows any may be the last that
+is taken; other columns are not looked at (those in keep are passed on); an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -29,7 +35,7 @@ MAX_EPOCHS = 2
 WEIGHTS = {"domain": {"d0": 3, "d1": 2}, "lang": {"en": 4, "de": 2, "fr": 2}, "source": {"src0": 2}}
 #: The budget as a share of all tokens.
 BUDGET_SHARE = 0.8
-#: Hex digits of the order key that make a bin: 16**3 bins in a leaf.
+#: Hex digits of the order key that make a bin, at least: 16**3 bins in a leaf.
 BIN_DIGITS = 3
 
 
@@ -94,7 +100,7 @@ def leaf_budgets(
 
 
 def measure(docs: DataFrame, domain: Column | None = None, keep: tuple = ()) -> DataFrame:
-    """(doc_id, domain, lang, source, tokens) and the columns keep of each row; tokens are words. Null names become "", null texts empty."""
+    """(doc_id, domain, lang, source, tokens, digest) and the columns keep of each row; tokens are words."""
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("")
     domain = F.coalesce(domain, F.lit("")) if domain is not None else domain_of(name("source"))
     return docs.select(
@@ -103,6 +109,7 @@ def measure(docs: DataFrame, domain: Column | None = None, keep: tuple = ()) ->
         name("lang").alias("lang"),
         name("source").alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(shared.WORD_CLASS + "+")), F.lit(0)).cast("long").alias("tokens"),
+        F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("digest"),
         *keep,
     )
 
@@ -118,9 +125,7 @@ def mix(
 ) -> DataFrame:
     """A row per row of docs: doc_id, domain, lang, source, tokens, copies (long, 0: left out) and the columns keep.
 
-    Rows with the same doc_id are put in order together and taken or left together but for the last of them, as
-    far as the budget reaches; a null doc_id counts as an empty name. Texts without a word are taken as often as
-    their leaf has whole epochs. An empty table gives an empty result.
+    Each row is put in order by its doc_id, a null one as an empty name, and its text.
     """
     leaf = list(LEVELS)
     measured = shared.stash(measure(docs, domain, keep), "mixing")
@@ -131,11 +136,10 @@ def mix(
         F.when(F.col("tokens") > 0, F.col("budget") % F.col("tokens")).otherwise(0).cast("long").alias("rest"),
     )
     plan = shared.stash(plan, "mixing-plan")
-    key = F.md5(
-        F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")
-    )
-    keyed = measured.join(plan, leaf).withColumn("key", key).withColumn("bin", F.substring("key", 1, BIN_DIGITS))
-    # tokens by bin, then prefix sums over a leaf's bins: at most 16**BIN_DIGITS rows each
+    name = F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "digest")
+    digits = max(BIN_DIGITS, math.ceil(math.log(max(measured.count(), 1), 16) / 2))
+    keyed = measured.join(plan, leaf).withColumn("key", F.md5(name.cast("binary"))).withColumn("bin", F.substring("key", 1, digits))
+    # tokens by bin, then prefix sums over a leaf's bins
     by_bin = Window.partitionBy(*leaf).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = (
         keyed.groupBy(*leaf, "bin")
@@ -180,7 +184,7 @@ OP1_SQL = f"""
 WITH d AS (
   SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
     'd' || (instr('0123456789abcdef', substr(md5(coalesce(source, '')), 1, 1)) - 1) % 4 AS domain,
-    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS tokens FROM documents
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS tokens, md5(coalesce(text, '')) AS digest FROM documents
 ), leaf AS (SELECT domain, lang, source, sum(tokens) AS tokens FROM d GROUP BY ALL),
 total AS (SELECT floor(sum(tokens) * CAST({BUDGET_SHARE} AS DOUBLE)) AS t FROM leaf),
 {_sql_level(1, "(SELECT t FROM total)")},
@@ -190,7 +194,7 @@ p AS (SELECT domain, lang, source, CASE WHEN tokens > 0 THEN budget // tokens EL
   CASE WHEN tokens > 0 THEN budget % tokens ELSE 0 END AS rest FROM b3)
 SELECT doc_id, domain, lang, source, tokens, CAST(epochs + CASE WHEN rest > 0 AND
     sum(tokens) OVER (PARTITION BY domain, lang, source
-      ORDER BY md5('{SEED}:' || epochs || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id NULLS FIRST, tokens
+      ORDER BY md5('{SEED}:' || epochs || ':' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || digest), doc_id NULLS FIRST, tokens
       ROWS UNBOUNDED PRECEDING) <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies
 FROM d JOIN p USING (domain, lang, source)
 """
