@@ -1,17 +1,23 @@
 """Near-duplicate documents: improved consistent weighted sampling (ICWS) over TF-IDF shingles, banded and verified.
 
 1. A text's shingles are its runs of five words (lower case, without punctuation). A shingle weighs its count in the
-   text times its IDF, the mean over its words of 1 + ln(N / df) / 2 ln(N / least df), between 1 and 1.5. Document
-   frequencies are counted over all documents; words rarer than 1 in 500 documents share the IDF 1.5, so the table that
-   is broadcast has at most 500 times as many rows as a document has distinct words, at any number of documents.
-   (IDF of whole shingles would need a shuffle of every shingle, and would weigh least what large groups share.)
+   text times its IDF. Document frequencies are counted over all documents by the features that shingles are hashed
+   to, 2**19 of them, so the table of IDFs that is broadcast has one size at any number of documents. A feature that
+   is rarer than 1 in 500 documents has the largest IDF. IDFs are scaled to lie between 1 and 1.5: unscaled ones would
+   weigh an edited word, which is rare, many times what a large group of copies shares, and so part the group.
 2. ICWS draws 30 samples; two texts agree in one with the probability of their weighted Jaccard similarity. Ten bands
    of three samples: texts of similarity 0.8 meet in a band with probability 0.999.
 3. Texts that are equal are one class from here on. In each bucket every class is compared with the least one (a
-   star, linear in the bucket). Buckets that the verified links don't yet join are compared as a whole, in cells of
-   bounded size by matrix products of the shingle sets. All links are verified by exact weighted Jaccard similarity;
-   pairs are never listed.
+   star, linear in the bucket). In a bucket that the verified links don't yet join, the classes outside its largest
+   piece are compared with all of it, in cells of bounded size by matrix products of the shingle sets: as many
+   comparisons as pairs between pieces need, however large the largest piece is. All links are verified by exact
+   weighted Jaccard similarity; pairs are never listed.
 4. Components of the links are the groups; the least doc_id of a group is its document to keep.
+
+Cases: null texts are empty. Equal texts are always one group, empty ones too; other texts without a word link with
+nothing. Texts of any length are read whole, by blocks. Rows that repeat a doc_id are one document: what any of its
+texts links is linked. Rows with a null doc_id link with nothing, have a null class_id and are kept. Other columns,
+whatever their names, are not looked at. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from codestrata.plans.adapters import texts
 
@@ -31,8 +38,9 @@ from . import shared
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 10, 3
-#: Words of at least this share of the documents have an IDF of their own.
-FREQUENT = 1 / 500
+#: Features that shingles are hashed to for their IDF, as bits; those of at least this share of the documents have an IDF
+#: below the largest.
+FEATURE_BITS, FREQUENT = 19, 1 / 500
 #: Rows of one side of a cell, and compared rows of one leader in a task.
 CELL = 512
 #: Bits of the bitmap by which texts that are compared are found; at most 8 MB are broadcast.
@@ -89,24 +97,22 @@ def _block_hashes(text: str) -> np.ndarray:
     return mix((sums[end] - sums[start]) * inverse[start])
 
 
-def shingles(words: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct shingle hashes in order, their counts); the low bits of a hash hold its IDF. Texts of fewer than
-    five words have one shingle, of all words."""
+def shingles(words: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct shingle hashes in order, their counts); the low bits of a hash hold its IDF, which table has by feature.
+    Texts of fewer than five words have one shingle, of all words."""
     n = len(words)
     if n == 0:
         return np.zeros(0, _U), np.zeros(0, np.int64)
-    known, idf = table
-    rank = np.full(n, 4095.0)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, words), len(known) - 1)
-        rank = np.where(known[at] == words, idf[at], 4095.0)
     size = min(SHINGLE, n)
-    h, r = np.zeros(n - size + 1, _U), np.zeros(n - size + 1)
+    h = np.zeros(n - size + 1, _U)
     for k in range(size):
         h = (h + words[k : n - size + 1 + k]) * _PRIME
-        r = r + rank[k : n - size + 1 + k]
-    coded = (mix(h) & ~_LOW) | (r / size).astype(_U)
-    return np.unique(coded, return_counts=True)
+    h, counts = np.unique(mix(h) & ~_LOW, return_counts=True)
+    return h | table[features(h)], counts
+
+
+def features(h: np.ndarray) -> np.ndarray:
+    return (h >> _U(64 - FEATURE_BITS)).astype(np.intp)
 
 
 def elements(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -209,35 +215,30 @@ def groups_of(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[list[lis
         yield rows
 
 
-def word_table(docs: DataFrame, frequent: float = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes in order, IDF above 1 times 8190) of the words that at least a share `frequent` of all documents hold."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+def idf_table(docs: DataFrame, frequent: float = FREQUENT) -> np.ndarray:
+    """The IDF of each feature, as 0 (in every document) to 4095 (in at most a share `frequent` of them).
 
-        def out() -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["word", "n"])
+    A task counts the documents of each feature and gives a row per feature; only these rows are shuffled.
+    """
+    rare = np.full(1 << FEATURE_BITS, 4095, _U)
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(1 << FEATURE_BITS, np.int64)
         for batch in batches:
             for x in batch.column(0):
-                own = np.unique(word_hashes(x.as_py() or ""))
-                held.append(own)
-                size += len(own)
-                if size > 1 << 21:
-                    yield out()
-                    held, size = [], 0
-        if size:
-            yield out()
+                held[features(shingles(word_hashes(x.as_py() or ""), rare)[0])] += 1  # a document counts once
+        found = np.flatnonzero(held)
+        for s in range(0, len(found), 1 << 16):
+            part = found[s : s + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(held[part])], names=["feature", "n"])
 
     total = docs.count()
-    least = max(2.0, frequent * total)
-    counted = shared.map_batches(docs.select("text"), run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    found = counted.where(F.col("n") >= least).toArrow()
-    h, n = found["word"].to_numpy().view(_U), found["n"].to_numpy()
-    order = np.argsort(h)
-    scale = math.log(max(total / least, 1 + 1e-9))
-    return h[order], np.clip(np.log(total / n[order]) / scale, 0, 1) * 4095
+    counted = shared.map_batches(docs.select("text"), run, "feature int, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
+    found = counted.where(F.col("n") >= max(2.0, frequent * total)).toArrow()  # a row per feature at most
+    scale = math.log(max(1 / frequent, 1 + 1e-9))
+    table = rare.copy()
+    table[found["feature"].to_numpy()] = np.clip(np.log(total / found["n"].to_numpy()) / scale * 4095, 0, 4095).astype(_U)
+    return table
 
 
 def id_filter(ids: DataFrame) -> np.ndarray:
@@ -280,17 +281,12 @@ def _set_mapper(table, bitmap) -> Callable:
 
 
 def find_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, class_id, kept) for every row of docs (doc_id, text); class_id is the least doc_id of the group.
-
-    Null texts are empty. Equal texts are always one group, empty ones too; other texts without a word link with
-    nothing. Rows that repeat a doc_id are one document: what any of its texts links is linked. Rows with a null
-    doc_id link with nothing, have a null class_id and are kept. Other columns are not looked at.
-    """
+    """(doc_id, class_id, kept) for every row of docs (doc_id, text); class_id is the least doc_id of the group."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     named = rows.where(F.col("doc_id").isNotNull())
-    table = spark.sparkContext.broadcast(word_table(named))
+    table = spark.sparkContext.broadcast(idf_table(named))
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -309,8 +305,9 @@ def find_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     buckets = shared.stash(keyed.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).where("n > 1"), "buckets")
     pairs = keyed.join(buckets, "key").where("rep <> lead").select("rep", "lead").distinct()
     pairs = shared.stash(pairs, "pairs")
-    per_lead = pairs.groupBy("lead").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
-    leads = pairs.unionByName(per_lead.select(F.col("lead").alias("rep"), "lead"))
+    leads_of = pairs.groupBy("lead").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
+    leads_of = shared.stash(leads_of, "leads")
+    leads = pairs.unionByName(leads_of.select(F.col("lead").alias("rep"), "lead"))
     needed = leads.groupBy("rep").agg(F.collect_set("lead").alias("leads"))  # a row is in ten buckets at most
     needed = shared.stash(needed, "needed")
     # only rows that pass a bitmap of the needed ids become sets and are shuffled; the join then drops the rest
@@ -320,7 +317,7 @@ def find_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sets = shared.stash(sets.select("rep", "leads", "set"), "sets")
     sent = (
         sets.select(F.explode("leads").alias("lead"), "rep", "set")
-        .join(shared.stash(per_lead, "leads"), "lead")
+        .join(leads_of, "lead")
         .withColumn("first", F.col("rep") == F.col("lead"))
         .withColumn(
             "part",
@@ -360,33 +357,43 @@ def find_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         .select("key", "rep", F.coalesce("component", "rep").alias("piece"))
     )
     members = shared.stash(members, "members")
+    pieces = members.groupBy("key", "piece").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep") % (1 << 40)).alias("sum"))
     open_keys = (
-        members.groupBy("key")
-        .agg(F.min("piece").alias("lo"), F.max("piece").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("rep") % (1 << 40)).alias("sum"))
-        .where("lo <> hi")
-        .groupBy("lo", "hi", "n", "sum")  # bands with the same rows need one look
+        pieces.groupBy("key")
+        .agg(F.max_by("piece", F.struct("n", "piece")).alias("main"), F.max("n").alias("inner"), F.sum("n").alias("n"), F.sum("sum").alias("sum"), F.count("*").alias("pieces"))
+        .where("pieces > 1")
+        .groupBy("main", "inner", "n", "sum")  # bands with the same rows need one look
         .agg(F.min("key").alias("key"))
-        .select("key")
     )
-    rest = shared.stash(members.join(open_keys, "key", "left_semi").select("key", "rep"), "rest")
-    cells = shared.in_cells(rest, ["key"], F.xxhash64("rep"), CELL)
-    cells = cells.join(sets.select("rep", "set"), "rep").select("key", "cell_i", "cell_j", "chunk", "rep", "set")
+    chunks = lambda n: F.ceil(F.col(n) / CELL).cast("int")
+    open_keys = shared.stash(open_keys.select("key", "main", chunks("inner").alias("c0"), F.ceil((F.col("n") - F.col("inner")) / CELL).cast("int").alias("c1")), "open")
+    # cell (i, j): chunk i of the largest piece, or from c0 on of the others, against chunk j of the others
+    chunk = F.pmod(F.xxhash64("rep"), F.when(F.col("inside"), F.col("c0")).otherwise(F.col("c1"))).cast("int")
+    cell = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    across = F.transform(upto("c0"), lambda i: cell(i, F.col("chunk")))
+    outside = F.transform(upto("c1"), lambda j: cell(F.col("c0") + F.least("chunk", j), F.greatest("chunk", j)))
+    to = F.when(F.col("inside"), F.transform(upto("c1"), lambda j: cell(F.col("chunk"), j))).otherwise(F.concat(across, outside))
+    cells = members.join(open_keys, "key").withColumn("inside", F.col("piece") == F.col("main")).withColumn("chunk", chunk)
+    cells = cells.select("key", "rep", F.explode(to).alias("cell")).select("key", "cell.i", "cell.j", "rep")
+    cells = cells.join(sets.select("rep", "set"), "rep").select("key", "i", "j", "rep", "set")
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups_of(batches, 3):
-            linked = similar([np.frombuffer(r[5], _U) for r in group], threshold)
+            linked = similar([np.frombuffer(r[4], _U) for r in group], threshold)
             root = shared.least_reachable(linked)
             own = np.flatnonzero(root != np.arange(len(group)))
             if len(own):
-                a = [group[i][4] for i in own]
-                b = [group[i][4] for i in root[own]]
+                a = [group[i][3] for i in own]
+                b = [group[i][3] for i in root[own]]
                 yield pa.RecordBatch.from_arrays([pa.array(a, id_type), pa.array(b, id_type)], names=["a", "b"])
 
-    id_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-    dealt = cells.repartition("key", "cell_i", "cell_j").sortWithinPartitions("key", "cell_i", "cell_j", "rep")
+    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
+    dealt = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
     more = shared.map_batches(dealt, compare, f"a {kind}, b {kind}")
     more = shared.stash(more, "more-links")
     joined = shared.components(links.unionByName(more)) if more.take(1) else joined
+    shared.discard(buckets, pairs, needed, leads_of, sets, links, members, open_keys, more)
     solved = (
         classes.select("h1", "h2", "rep")
         .join(joined.withColumnRenamed("node", "rep"), "rep", "left")

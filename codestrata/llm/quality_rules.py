@@ -79,20 +79,20 @@ def repeated_words(hashes: Column, window: int = WINDOW) -> Column:
     return F.when(n <= window, F.lit(0)).otherwise(repeats).cast("long")
 
 
-def metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per row of docs: doc_id, stratum, the counts of the base rules and the metrics of the learned ones.
-
-    A null text has no words. Texts may be of any length. Other columns of docs are not looked at.
-    """
+def metrics(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", keep: tuple = ()) -> DataFrame:
+    """One row per row of docs: doc_id, stratum, the counts of the base rules, the metrics of the learned ones, and the
+    columns keep, named otherwise than these."""
     lang = F.col(lang_col) if lang_col in docs.columns else F.lit(None).cast("string")
     base = docs.select(
-        F.col(id_col).alias("doc_id"),
+        "doc_id",
+        *keep,
         F.when(lang.isin(*LANGUAGES), lang).otherwise("other").alias("stratum"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("t"),
+        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"),
     )
     ws = F.lit(shared.WS_CHARS)
     split = base.select(
         "doc_id",
+        *keep,
         "stratum",
         "t",
         F.transform(shared.words(F.col("t")), lambda w: F.xxhash64(w)).alias("wh"),
@@ -102,6 +102,7 @@ def metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     )
     counted = split.select(
         "doc_id",
+        *keep,
         "stratum",
         F.size("wh").cast("long").alias("n_words"),
         F.length(shared.without_chars(F.col("t"), shared.WS_CHARS)).cast("long").alias("word_chars"),
@@ -114,6 +115,7 @@ def metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     per_word = lambda c: F.col(c) / F.greatest(F.col("n_words"), F.lit(1))
     return counted.select(
         "doc_id",
+        *keep,
         "stratum",
         "n_words",
         "word_chars",
@@ -233,10 +235,9 @@ def judge(measured: DataFrame, cutoffs: DataFrame, grid: dict | None = None) ->
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """A row per row of docs with its counts, base_failed, failed_rules and kept.
+    """A row per row of docs, a null doc_id or not, with its counts, base_failed, failed_rules and kept.
 
     The measures are written once to the shared folder, then read for the cutoffs and for the verdicts.
-    Rows with a null doc_id are judged too; an empty table gives an empty result.
     """
     measured = shared.stash(metrics(docs), "quality")
     return judge(measured, thresholds(measured, labels, **options))

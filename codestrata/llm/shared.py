@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -47,9 +48,25 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stashed_at = path
+    for kept in _watched:
+        kept.append(out)
     return out
 
 
+_watched: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def watched():
+    """The list of the stash() tables that are written inside, to be discarded when nothing reads them any more."""
+    made: list[DataFrame] = []
+    _watched.append(made)
+    try:
+        yield made
+    finally:
+        _watched[:] = [x for x in _watched if x is not made]
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the files of stash() tables that nothing reads any more."""
     for df in tables:

@@ -83,10 +83,10 @@ def fill(children, amount):
 
 def mixed(docs):
     """Copies by doc_id, from (doc_id, text, lang, source)."""
-    leaf, tokens = {}, {}
+    leaf, tokens, digest = {}, {}, {}
     for i, text, lang, source in docs:
         domain = "d" + str(int(hashlib.md5(source.encode()).hexdigest()[0], 16) % 4)
-        tokens[i] = len((text or "").split())
+        tokens[i], digest[i] = len((text or "").split()), hashlib.md5((text or "").encode()).hexdigest()
         leaf.setdefault((domain, lang, source), []).append(i)
     size = {k: sum(tokens[i] for i in v) for k, v in leaf.items()}
     given = {(): math.floor(sum(size.values()) * mixing.BUDGET_SHARE)}
@@ -102,7 +102,7 @@ def mixed(docs):
     for k, ids in leaf.items():
         epochs, rest = divmod(given[k], size[k]) if size[k] else (0, 0)
         total = 0
-        for i in sorted(ids, key=lambda i: (hashlib.md5(f"{mixing.SEED}:{epochs}:{i}".encode()).hexdigest(), i)):
+        for i in sorted(ids, key=lambda i: (hashlib.md5(f"{mixing.SEED}:{epochs}:{i}:{digest[i]}".encode()).hexdigest(), i)):
             total += tokens[i]
             copies[i] = epochs + (rest > 0 and total <= rest)
     return copies
@@ -118,7 +118,7 @@ def test_pipeline(spark, tables):
     """Stage after stage in plain Python: base rules (too few labels for cutoffs), all pairs, a pattern, budgets, ids."""
     folder, docs, _ = tables
     kept = [d for d in docs if len((d[1] or "").split()) >= 20]  # no text here repeats eight words
-    words = minhash_dedup.word_table(spark.createDataFrame([(d[1],) for d in kept], "text string"))
+    words = minhash_dedup.idf_table(spark.createDataFrame([(d[1],) for d in kept], "text string"))
     sets = [minhash_dedup.elements(*minhash_dedup.shingles(minhash_dedup.word_hashes(d[1]), words)) for d in kept]
     linked = np.array([[a is not b and (x[1] == y[1] or minhash_dedup.similarity(a, b) >= 0.8) for b, y in zip(sets, kept, strict=True)] for a, x in zip(sets, kept, strict=True)])
     root = shared.least_reachable(linked)
