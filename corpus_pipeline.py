@@ -15,44 +15,66 @@ from codestrata.llm import minhash_dedup, mixing, packing, quality_rules, secret
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with _row, a number of each row's own, written once so that every reader sees the same numbers."""
-    return shared.stash(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number of each row's own, written once so that every reader sees the same numbers, and its name."""
+    (row,) = shared.fresh(docs, "_row")
+    return shared.stash(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the quality rules keep, each by its own verdict whatever its doc_id."""
-    rows = _numbered(docs)
-    both = rows.withColumn("_both", F.struct("doc_id", "_row"))
-    measured = shared.stash(quality_rules.metrics(both, id_col="_both"), "quality")
-    of_docs = measured.withColumn("doc_id", F.col("doc_id.doc_id"))
-    judged = quality_rules.judge(measured, quality_rules.thresholds(of_docs, shared.read_table(spark, sf_dir, "labels")))
-    gone = judged.where(~F.col("kept")).select(F.col("doc_id._row").alias("_row"))
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+    """Rows that the quality rules keep, each by its own verdict whatever its doc_id.
+
+    Null and empty texts fail the base rules; equal rows share their verdict; a text of any length is judged whole; an
+    empty table stays empty. All columns of docs are returned, whatever their names.
+    """
+    rows, row = _numbered(docs)
+    measured = shared.stash(quality_rules.metrics(rows, keep=(row,)), "quality")
+    judged = quality_rules.judge(measured, quality_rules.thresholds(measured, shared.read_table(spark, sf_dir, "labels")))
+    gone = judged.where(~F.col("kept")).select(row)
+    return rows.join(gone, row, "left_anti").select(*map(shared.column, docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the least doc_id; rows that share it all stay."""
-    gone = minhash_dedup.find_groups(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """One document of each group of near-duplicates, that with the least doc_id; rows that share it all stay.
+
+    Rows with a null doc_id stay. Null and empty texts are one group; a text without a word or with few, equal to no
+    other, is a group of its own; a text of any length is compared whole; an empty table stays empty. All columns of
+    docs are returned, whatever their names.
+    """
+    (gone_id,) = shared.fresh(docs, "_gone")
+    gone = minhash_dedup.find_groups(docs).where(~F.col("kept")).select(F.col("doc_id").alias(gone_id)).distinct()
+    return docs.join(gone, docs["doc_id"] == gone[gone_id], "left_anti")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, the secrets in them replaced by a mark (n_chars follows)."""
+    """All rows, the secrets in their texts replaced by a mark (n_chars follows).
+
+    Null, empty and secret-free texts stay as they are; a text of any length is scanned whole; equal rows are redacted
+    alike; an empty table stays empty. All columns of docs are returned, whatever their names.
+    """
     return secret_scan.redact(docs, secret_scan.default_forest(spark))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mixture takes it, whatever its doc_id."""
-    rows = _numbered(docs)
-    taken = mixing.mix(rows, keep=("_row",)).where("copies > 0").select("_row", F.col("copies").alias("_copies"))
-    return rows.join(taken, "_row").select(
-        *docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")
-    ).drop("_copy")
+    """Each row as often as the mixture takes it, whatever its doc_id.
+
+    Null names are a source of their own; null, empty and blank texts have no tokens and are taken as often as their
+    leaf has whole epochs; of equal rows any may be the last that is taken; an empty table stays empty. All columns of
+    docs are returned, whatever their names.
+    """
+    rows, row = _numbered(docs)
+    copies, copy = shared.fresh(rows, "_copies", "_copy")
+    taken = mixing.mix(rows, keep=(row,)).where("copies > 0").select(row, F.col("copies").cast("int").alias(copies))
+    again = F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copy)
+    return rows.join(taken, row).select(*map(shared.column, docs.columns), again).drop(copy)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 1024 ids."""
+    """The pieces of all documents in sequences of 1024 ids.
+
+    Null and empty texts have the one piece of their end id; a text of any length is cut into as many pieces as it
+    needs; equal rows are packed each; an empty table has no pieces. Other columns are not looked at.
+    """
     return packing.pack(docs)
 
 
@@ -69,7 +91,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, one after the other. What a stage has written is deleted when the next one's docs are written; what
+    the result reads stays in the shared folder."""
     docs = shared.read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = shared.stash(stage(spark, docs, sf_dir), name)
+        with shared.watched() as made:
+            out = shared.stash(stage(spark, docs, sf_dir), name)
+        shared.discard(docs, *[x for x in made if x is not out])
+        docs = out
     return STAGES[-1][1](spark, docs, sf_dir)
