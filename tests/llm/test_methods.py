@@ -79,6 +79,47 @@ def test_thresholds_limit_rejection(spark):
     assert all(rows[9000 + i] for i in range(20))  # too few labels for a cutoff
 
 
+def test_risk_of_the_cutoffs(spark):
+    """1,000 draws of 200 good labels: hardly any gets cutoffs that reject more than alpha of all good documents."""
+    steps, r = 40, np.random.default_rng(4)
+    good = steps * (1 - r.random((1000, 200)) ** (1 / 6))  # lies above a cutoff with the probability (1 - cutoff / steps) ** 6
+    rows = [(f"s{d}", 1000 * d + k, float(x)) for d in range(1000) for k, x in enumerate(good[d])]
+    rows += [(f"s{d}", 1000 * d + 500 + k, k * steps / 300) for d in range(1000) for k in range(300)]  # bad ones at every step
+    measured = spark.createDataFrame(rows, "stratum string, doc_id long, x double").withColumn("base_failed", F.lit(False))
+    labels = measured.select("doc_id", (F.col("doc_id") % 1000 < 500).cast("int").alias("quality"))
+    again = measured.where("doc_id % 1000 < 30"), labels.where("doc_id % 1000 < 40")  # repeated rows and labels count once
+    found = quality_rules.thresholds(measured.union(again[0]), labels.union(again[1]), grid={"x": [float(i) for i in range(steps)]}).collect()
+    assert len(found) > 900 and all(f.n_good == 200 for f in found)
+    over = sum((1 - f.cutoff / steps) ** 6 > quality_rules.ALPHA for f in found)
+    assert over <= 2 * quality_rules.DELTA / 5 * 1000  # 10 are expected at most
+
+
+def test_cutoffs_of_a_plain_count(spark):
+    """Steps tested one by one in plain Python, with exact fractions."""
+    from fractions import Fraction
+
+    r = random.Random(12)
+    grid = {"x": [0.1 * i for i in range(1, 9)], "y": [0.05 * i for i in range(1, 9)]}
+    rows = [(s, 1000 * k + i, r.random() ** 4 if i % 3 else r.random(), r.random() ** 6 / 2 if i % 3 else r.random()) for k, s in enumerate(("en", "fr", "de")) for i in range(450)]
+    measured = spark.createDataFrame(rows, "stratum string, doc_id long, x double, y double").withColumn("base_failed", F.col("doc_id") % 50 == 0)
+    labels = spark.createDataFrame([(i, int(i % 1000 % 3 > 0)) for _, i, *_ in rows], "doc_id long, quality int")
+    got = {(f.stratum, f.rule): (f.cutoff, f.n_good, f.n_rejected, f.n_caught) for f in quality_rules.thresholds(measured, labels, alpha=0.2, grid=grid).collect()}
+    want = {}
+    for stratum in ("en", "fr", "de"):
+        own = [x for x in rows if x[0] == stratum and x[1] % 50]
+        good, best = [x for x in own if x[1] % 1000 % 3], None
+        for i in range(7, -1, -1):
+            hit = lambda x, i=i: x[2] > grid["x"][i] or x[3] > grid["y"][i]
+            k, caught, n, a = sum(map(hit, good)), sum(hit(x) for x in own if x[1] % 1000 % 3 == 0), len(good), Fraction(1, 5)
+            if float(sum(math.comb(n, j) * a**j * (1 - a) ** (n - j) for j in range(k + 1))) > 0.05 / 5:
+                break
+            if caught > k and (best is None or caught - k > best[0]):
+                best = caught - k, i, k, caught
+        if best:
+            want |= {(stratum, rule): (cuts[best[1]], len(good), best[2], best[3]) for rule, cuts in grid.items()}
+    assert got == want and want
+
+
 # --- 1 mixing
 
 
@@ -164,6 +205,37 @@ def test_escape_round_trip(spark, texts):
         assert row.u == row.t and "#" not in row.e and "<" not in row.e and ":" not in row.e
 
 
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow])
+@given(st.lists(st.tuples(st.sampled_from([None, 1, 2]), st.integers(0, 3000), st.sampled_from(["system", "user", "assistant"]), st.integers(0, 60)), min_size=1, max_size=60))
+def test_windows_keep_the_budget(spark, turns):
+    """Windows built turn by turn in plain Python; those of two or more new turns hold at most the budget."""
+    budget, past = 50, 20
+    table = [(c, t, role, " ".join(f"{i}<{k}" for k in range(n))) for i, (c, t, role, n) in enumerate(turns)]
+    df = spark.createDataFrame(table, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.window_id): r for r in chat_format.format_windows(df, budget, past).collect()}
+    want, escaped = {}, lambda t: t.replace("<", "\\l")
+    for conv in {x[0] for x in table}:
+        own, at, windows = sorted((t, role, text) for c, t, role, text in table if c == conv), 0, []
+        for t, role, text in own:
+            n = 1 if role == "system" else len(text.split()) + 1
+            crosses = at // budget != (at + n - 1) // budget
+            if crosses or not windows or windows[-1][0] or windows[-1][1] != at // budget:
+                windows.append((crosses, at // budget, []))
+            windows[-1][2].append((at, n, role, text))
+            at += n
+        for k, (_, _, new) in enumerate(windows):
+            before = [x for w in windows[:k] for x in w[2]]
+            rule = [x for x in before if x[2] == "system"][-1:]
+            again = rule + [x for x in before if x[2] != "system" and x[0] >= new[0][0] - past]
+            want[conv, k] = again, new
+            assert len(new) == 1 or sum(x[1] for x in new) <= budget
+    assert set(got) == set(want)
+    for key, (again, new) in want.items():
+        r = got[key]
+        assert r.formatted == "".join(f"### {role}: {escaped(text)}</turn>\n" for _, _, role, text in again + new) and r.n_repeated == len(again)
+        assert [r.formatted[s.start : s.start + s.length] for s in r.loss_spans] == [escaped(text) for _, _, role, text in new if role == "assistant"]
+
+
 # --- 3 personal data
 
 
@@ -225,6 +297,43 @@ def uncut(field, text):
     return out[::-1]
 
 
+def segmentations(spans, text, i=0):
+    """All ways to cut tokens into outside tokens and labelled segments, by enumeration."""
+    if i == len(spans):
+        yield []
+        return
+    for rest in segmentations(spans, text, i + 1):
+        yield [(i, i + 1, pii.OUTSIDE), *rest]
+    for j in range(i + 1, min(len(spans), i + pii.MAX_TOKENS) + 1):
+        piece = text[spans[i][0] : spans[j - 1][1]]
+        if not (piece[0].isalnum() or piece[0] in "+(") or not piece[-1].isalnum() or not re.search("[0-9@]", piece) or re.search(r"\s\s|[\n\r]", piece):
+            continue
+        for rest in segmentations(spans, text, j):
+            for kind in pii.KINDS:
+                yield [(i, j, kind), *rest]
+
+
+@pytest.mark.parametrize("text", ["(499) 55", "x@y.z 1", "+1 2-3", "4111 888", "7@b.c,d"])
+def test_decoding_is_the_best_of_all_segmentations(text):
+    field = pii.Field(pii.trained())
+    spans, w = pii.tokens_of(text), field.weights
+
+    def score(cut):
+        total = 0.0
+        for i, j, label in cut:
+            a, b = spans[i][0], spans[j - 1][1]
+            feats = pii._outside_features(text, a, b) if label == pii.OUTSIDE else [*pii.span_features(text, a, b), "bias"]
+            total += sum(w.get((label, f), 0.0) for f in feats)
+        return total
+
+    best = max(segmentations(spans, text), key=score)
+    got = field.decode(text, spans)
+    found = {(spans[i][0], spans[j - 1][1], k) for i, j, k in best if k != pii.OUTSIDE}
+    mine = [(k, k + 1, pii.OUTSIDE) for k, (a, b) in enumerate(spans) if not any(s <= a and b <= e for s, e, _ in got)]
+    mine += [([a for a, _ in spans].index(s), [b for _, b in spans].index(e) + 1, k) for s, e, k in got]
+    assert score(mine) == pytest.approx(score(best)) and found == set(got)
+
+
 def test_long_lines_lose_no_span():
     field, r = pii.Field(pii.trained()), random.Random(1)
     d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
@@ -249,9 +358,78 @@ def test_url_trees():
     assert ((score >= 0.5) == np.array(bad)).mean() > 0.95
 
 
+def test_trees_against_a_plain_walk():
+    """The score of each URL by walking tree after tree, and each tree's first cut by trying all of them."""
+    urls, bad = url_filter.generated(600, seed=3)
+    trees, suffixes = url_filter.fit(urls, bad)
+    x = np.array([url_filter.lexical(u, suffixes) for u in urls], float)
+    for row, got in zip(x[:80], trees.score(x)[:80], strict=True):
+        total = trees.base
+        for feature, cut, value in trees.trees:
+            k = 0
+            while k < 2**url_filter.DEPTH - 1:
+                k = 2 * k + 1 + (row[feature[k]] > cut[k])
+            total += value[k - (2**url_filter.DEPTH - 1)]
+        assert got == pytest.approx(1 / (1 + math.exp(-total)))
+    y = np.array(bad, float)
+    p = min(max(y.mean(), 1e-3), 1 - 1e-3)
+    gain = lambda m: (y[m] - p).sum() ** 2 / (m.sum() * p * (1 - p) + 1)
+    best = max(
+        gain(x[:, f] <= c) + gain(x[:, f] > c)
+        for f in range(x.shape[1])
+        for c in np.unique(np.quantile(x[:, f], np.linspace(0, 1, url_filter.CUTS + 1)[1:-1]))
+        if url_filter.LEAF <= (x[:, f] <= c).sum() <= len(y) - url_filter.LEAF
+    )
+    feature, cut = trees.trees[0][0][0], trees.trees[0][1][0]
+    assert gain(x[:, feature] <= cut) + gain(x[:, feature] > cut) == pytest.approx(best)
+
+
 # --- 7 secrets
 
 
+def walk(tree, x):
+    while isinstance(tree, tuple):
+        feature, cut, left, right = tree
+        tree = left if x[feature] <= cut else right
+    return tree
+
+
+def plain_features(before2, before, lead, value, tail):
+    """The features of a candidate in plain Python."""
+    word, n, low = lead + value + tail, len(value), value.lower()
+    near = " ".join([before2, before, lead]).lower()
+    has = lambda pattern, text: float(bool(re.search(pattern, text)))
+    share = lambda pattern: len(re.findall(pattern, value)) / n
+    return [
+        n, share("[0-9]"), share("[A-Z]"), share("[a-z]"), share("[_+/=-]"), share("[a-z](?=[^a-z])|[A-Z](?=[^A-Z])|[0-9](?=[^0-9])"),
+        len(set(value)) / min(n, 40), has("^[0-9a-f]+$", low), 1 - len(re.sub(secret_scan._DICTIONARY, "", low)) / n, max(map(len, re.split("[^A-Za-z]+", value))),
+        has(r"://|^[./~]|\.[a-z]{2,4}\b|/[a-z]+/", word), share("/"), share("-"), has(secret_scan._NAMES, near), has(secret_scan._OTHER, near),
+        has(r"[=:]\s*[\"'`(]*\s*$", near), has("[\"'`]$", lead), has("^(AKIA|ASIA|ghp_|gho_|sk_|pk_|rk_|xox[abp]-|glpat-|AIza|eyJ)", value),
+    ]
+
+
+def test_scan_against_a_plain_finder(spark):
+    """Candidates by one loop over words and runs, features in Python, and the forest walked tree by tree."""
+    r, forest = random.Random(13), secret_scan.default_forest(spark)
+    bits = ["token", "=", "sha1:", "0123456789abcdef" * 2, "ghp_" + "aB3" * 9, "x-1", "plainwordwithoutdigits", "/a/b-c/some-long-path-2024.html", "é", "1" * 20, "==", '"']
+    texts = ["".join(r.choice(bits) + r.choice(["", " ", "\n", '"', ",", "=", "  "]) for _ in range(r.randint(0, 30))) for _ in range(120)]
+    rows = secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), forest).collect()
+    for row in rows:
+        words, want = list(re.finditer(r"[^\x20\x09-\x0D]+", row.text)), []
+        for k, w in enumerate(words):
+            runs = list(re.finditer(r"[A-Za-z0-9_+/-]{16,}={0,2}", w[0]))
+            ends = [0, *[m.end() for m in runs]]
+            for i, m in enumerate(runs):
+                lead = w[0][(runs[i - 1].start() if i else 0) : m.start()]
+                tail = w[0][m.end() : runs[i + 1].start() if i + 1 < len(runs) else len(w[0])]
+                if re.search("[0-9]", m[0]):
+                    x = plain_features(words[k - 2][0] if k > 1 else "", words[k - 1][0] if k else "", lead, m[0], tail)
+                    want.append((w.start() + m.start(), len(m[0]), m[0], sum(walk(t, x) for t in forest) / len(forest)))
+            assert ends == sorted(ends)
+        assert [(f.start, f.length, f.value) for f in row._findings] == [x[:3] for x in want]
+        assert [f.score for f in row._findings] == pytest.approx([x[3] for x in want])
+
+
 def test_secret_forest(spark):
     forest = secret_scan.default_forest(spark)
     held = secret_scan.generated_findings(spark, 900, seed=123).withColumn("text", F.concat_ws(" ", "before2", "before", "word", "after"))
@@ -305,6 +483,37 @@ def test_classifier_held_out(spark):
     assert not any(zlib.crc32(str(x.doc_id).encode()) % 3 == 1 for x in quality_classifier.training_rows(table, labels).collect())
 
 
+def test_hinge_loss_by_plain_coordinate_descent():
+    """fit() against the same dual problem solved with dense rows: equal scores, and no better weights nearby."""
+    r = np.random.default_rng(14)
+    labels = r.integers(0, 2, 60)
+    rows = [np.unique(np.concatenate([r.integers(0, 40, 8), 100 + r.integers(0, 6, 2) if k else 200 + r.integers(0, 6, 2)])).astype(np.uint32) for k in labels]
+    (final, ratio), slope, intercept = quality_classifier.fit(rows, labels)
+    y, size = np.where(labels == 1, 1.0, -1.0), 1 << quality_classifier.BITS
+    dense = np.zeros((60, 256))
+    for i, row in enumerate(rows):
+        dense[i, row] = 1
+    count = lambda k: quality_classifier.SMOOTHING + dense[y == k].sum(0)
+    total = lambda k: count(k).sum() + (size - 256) * quality_classifier.SMOOTHING
+    plain = np.log(count(1) / total(1)) - np.log(count(-1) / total(-1))
+    assert ratio[:256] == pytest.approx(plain)
+    x = dense * plain
+    x = np.hstack([x / np.linalg.norm(x, axis=1, keepdims=True), np.ones((60, 1))])
+    cost = np.where(y > 0, 30 / (y > 0).sum(), 30 / (y < 0).sum()) * quality_classifier.COST
+    primal = lambda w: w @ w / 2 + cost @ np.maximum(0, 1 - y * (x @ w))
+    alpha, w, order = np.zeros(60), np.zeros(257), np.random.default_rng(3)
+    for _ in range(quality_classifier.ROUNDS):
+        for i in order.permutation(60):
+            old, alpha[i] = alpha[i], min(max(alpha[i] - (y[i] * (x[i] @ w) - 1) / (x[i] @ x[i]), 0), cost[i])
+            w = w + (alpha[i] - old) * y[i] * x[i]
+    used = np.flatnonzero(w[:256])
+    mixed = quality_classifier.BETA * w[:256] + (1 - quality_classifier.BETA) * np.abs(w[:256]).sum() / len(used) * (w[:256] != 0)
+    assert final[:256] == pytest.approx(mixed * plain) and slope > 0
+    assert primal(w) - (alpha.sum() - w @ w / 2) < 0.1 * primal(w)  # the duality gap has closed
+    score = [1 / (1 + math.exp(-(slope * quality_classifier.margin_of(q, final, ratio) + intercept))) for q in rows]
+    assert np.mean((np.array(score) >= 0.5) == labels) > 0.95
+
+
 # --- 9 embeddings
 
 
