@@ -10,17 +10,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Set to "true", texts are dealt to all cores by a shuffle: for files of one row group, which one core would read.
+DEAL = "spark.codestrata.dealTexts"
+
+
 def texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """The documents, only with these columns, for work on every text.
-
-    A table that is too small to give each core a split, as a file with a single row group is, is dealt to all cores. A
-    larger one stays as it is, and nothing is shuffled.
-    """
-    docs, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    docs = docs.select(*columns)
-    return docs.repartition(cores) if size < cores * split else docs
+    """The documents, only with these columns, for work on every text; read where they lie unless DEAL is set."""
+    docs = table(spark, sf_dir, "documents").select(*columns)
+    return docs.repartition(spark.sparkContext.defaultParallelism) if spark.conf.get(DEAL, "false") == "true" else docs
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
