@@ -49,6 +49,11 @@ def excluded(path: Column, patterns: Iterable[str] = DEFAULT_EXCLUDES) -> Column
     return any_of(one(p) for p in patterns)
 
 
+def excludes(more: Iterable[str] = ()) -> tuple[str, ...]:
+    """The default patterns and a user's, each once, in order."""
+    return tuple(dict.fromkeys((*DEFAULT_EXCLUDES, *more)))
+
+
 def skipped_anywhere(path: Column, parts: Iterable[str] = SKIPPED_PARTS) -> Column:
     """The watcher's rule: a part occurs anywhere in the path, even inside a name."""
     return any_of(path.contains(p) for p in parts)

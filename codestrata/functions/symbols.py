@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import paths
+from . import paths, text
 
 # For each language its patterns in order of precedence; group 1 is the name. The kind "indented" is a
 # method where the line is indented and a function elsewhere; "receiver" is a method where a receiver precedes.
@@ -102,6 +102,15 @@ def workspace_symbols(lines: DataFrame, query: str) -> DataFrame:
     return rows.select("path", "line_no", "s.kind", "s.name").where((F.col("name") != "") & F.lower("name").contains(query.lower()))
 
 
+def references(lines: DataFrame, word: str) -> DataFrame:
+    """(path, line_no, col, line) of every place where word stands by itself in lines; col counts from 1."""
+    alone = text.bounded(word)
+    found = lines.where(F.col("line").contains(word) & F.col("line").rlike(alone)).withColumn("_pieces", F.split("line", alone, -1))
+    before = lambda i: F.aggregate(F.slice("_pieces", F.lit(1), i), F.lit(0), lambda s, p: s + F.length(p))
+    columns = F.transform(F.sequence(F.lit(1), F.size("_pieces") - 1), lambda i: before(i) + (i - 1) * len(word) + 1)
+    return found.select("path", "line_no", F.explode(columns).alias("col"), "line").withColumn("col", F.col("col").cast("long"))
+
+
 def definitions(references: DataFrame) -> DataFrame:
     """The references (with line) that a defining word precedes."""
     return references.where(paths.any_of(F.col("line").contains(w) for w in DEFINITION_WORDS))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codestrata.functions import paths
 from codestrata.functions import text as T
 
 
@@ -58,6 +59,24 @@ def naming_votes(stems: DataFrame) -> DataFrame:
     return votes.withColumn("winner", winner)
 
 
+def samples(files: DataFrame, reference: Column, most: int = 50) -> DataFrame:
+    """(category, path): of each category's files (category, path, lines, changed_at, is_test) the ten longest, the five
+    last changed within 30 days, and three tests of each folder, at most `most` in all; long ones first."""
+    recent = F.col("changed_at") >= reference - F.make_interval(days=F.lit(30))
+    rank = lambda first: F.row_number().over(Window.partitionBy("category").orderBy(F.desc(first), "path"))
+    tests = Window.partitionBy("category", "is_test", paths.folder(F.col("path"))).orderBy("path")
+    marked = files.select(
+        "category",
+        "path",
+        (rank("lines") <= 10).alias("long"),
+        (recent & (rank("changed_at") <= 5)).alias("new"),
+        (F.col("is_test") & (F.row_number().over(tests) <= 3)).alias("test"),
+    )
+    order = Window.partitionBy("category").orderBy(F.desc("long"), F.desc("new"), "path")
+    chosen = marked.where("long or new or test").withColumn("n", F.row_number().over(order))
+    return chosen.where(F.col("n") <= most).select("category", "path")
+
+
 def top_per(rows: DataFrame, by: str, k: int, *order: Column) -> DataFrame:
     """The first k rows of each value of `by`, with rank."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= k)

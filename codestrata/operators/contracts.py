@@ -63,27 +63,47 @@ def crossref(identifiers: DataFrame, lines: DataFrame, most: int = 20, all_occur
     in a line.
 
     Lines and identifiers meet by ASCII words, an equi-join: a word inside a match is always a whole word of the line.
-    Only identifiers that have no such word are compared with every line.
+    Identifiers that have no such word meet lines by their first two characters, or by the one that they have.
     """
     wanted = identifiers.select("identifier").where(F.octet_length("identifier") >= 3).where(~F.col("identifier").isin(*GENERIC_PATHS)).distinct()
     line, name = F.col("line"), F.col("identifier")
     inner = F.regexp_extract("identifier", r"(?<=[^A-Za-z0-9_])([A-Za-z0-9_]+)(?=[^A-Za-z0-9_])", 1)
     lead = F.when(name.contains("/"), inner).otherwise(F.regexp_extract("identifier", "([A-Za-z0-9_]+)", 1))
-    keyed = wanted.withColumn("lead", lead)
+    keyed = wanted.withColumn("lead", F.when(lead != "", lead).otherwise(F.substring("identifier", 1, 2)))
     if all_occurrences:
         alone = F.expr(r"line rlike concat('(?<![A-Za-z0-9_])\\Q', identifier, '\\E(?![A-Za-z0-9_])')")
     else:
         alone = T.first_is_bounded(line, name)
     fits = line.contains(name) & (name.contains("/") | alone)
-    words = F.array_distinct(F.regexp_extract_all("line", F.lit("([A-Za-z0-9_]+)"), F.lit(1)))
-    met = lines.select("path", "line_no", "line", F.explode(words).alias("lead")).join(keyed.where("lead <> ''"), "lead")
-    rest = lines.join(keyed.where("lead = ''").drop("lead"), line.contains(name))
-    hits = met.where(fits).select("identifier", "path", "line_no").unionAll(rest.where(fits).select("identifier", "path", "line_no"))
+    # words, then the pairs and single characters that begin with none of a word's
+    some = [r"([A-Za-z0-9_]+)", r"(?=([^A-Za-z0-9_].))", r"([^A-Za-z0-9_\s])"]
+    leads = F.array_distinct(F.concat(*[F.regexp_extract_all("line", F.lit(p), F.lit(1)) for p in some]))
+    met = lines.select("path", "line_no", "line", F.explode(leads).alias("lead")).join(keyed, "lead")
+    hits = met.where(fits).select("identifier", "path", "line_no")
     counted = hits.groupBy("identifier").agg(F.least(F.count("*"), F.lit(most)).alias("evidence_count"))
     status = F.when(F.col("evidence_count") == 0, "PHANTOM").when(F.col("evidence_count") < 3, "CANDIDATE").otherwise("IMPLEMENTED")
     return identifiers.select("identifier").distinct().join(counted, "identifier", "left").fillna(0, ["evidence_count"]).withColumn("status", status)
 
 
+def status_counts(crossref: DataFrame) -> DataFrame:
+    """(status, identifiers) of crossref()."""
+    return crossref.groupBy("status").agg(F.count("*").alias("identifiers"))
+
+
+def counts(endpoints: DataFrame, rpcs: DataFrame, messages: DataFrame, graph: DataFrame) -> DataFrame:
+    """(repo, endpoints, services, rpcs, messages, operations, types): how much of each kind of contract there is."""
+    parts = [
+        endpoints.groupBy("repo").agg(F.count("*").alias("endpoints")),
+        rpcs.groupBy("repo").agg(F.countDistinct("file", "service").alias("services"), F.count("*").alias("rpcs")),
+        messages.groupBy("repo").agg(F.count("*").alias("messages")),
+        graph.groupBy("repo").agg(F.count_if(F.col("kind") == "operation").alias("operations"), F.count_if(F.col("kind") != "operation").alias("types")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(part, "repo", "full_outer")
+    return out.fillna(0)
+
+
 def evidence(hits: DataFrame, most: int = 20) -> DataFrame:
     """The first `most` lines of each identifier, by path and line."""
     order = Window.partitionBy("identifier").orderBy("path", "line_no")

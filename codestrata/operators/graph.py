@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.functions import paths
@@ -31,8 +31,10 @@ def pairs(
 ) -> DataFrame:
     """(file_a, file_b, shared, total_a, total_b, ratio, strength, confidence_ab, confidence_ba), file_a < file_b.
 
-    ratio is shared commits over the larger total; the confidences are over either total. Items with too few
-    commits are dropped before the self-join, so the pairs of a commit stay few.
+    ratio is shared commits over the larger total; the confidences are over either total. Items with too few commits
+    are dropped first. Of an item's commits, the smallest first, only so many are joined that every partner of a ratio
+    of at least min_ratio must share one of them (prefix filtering): a commit of very many items is among them only for
+    items that have hardly another. The candidates' commits are then compared whole, so nothing is lost or estimated.
     """
     files = commit_files.select(F.col(commit).alias("sha"), F.col(item).alias("file"))
     if excludes:
@@ -40,14 +42,17 @@ def pairs(
     files = files.distinct()
     totals = files.groupBy("file").agg(F.count("*").alias("total")).where(F.col("total") >= min_commits)
     known = files.join(totals, "file")
-    a = known.select("sha", F.col("file").alias("file_a"), F.col("total").alias("total_a"))
-    b = known.select("sha", F.col("file").alias("file_b"), F.col("total").alias("total_b"))
-    counted = (
-        a.join(b, "sha")
-        .where("file_a < file_b")
-        .groupBy("file_a", "file_b")
-        .agg(F.count("*").alias("shared"), F.first("total_a").alias("total_a"), F.first("total_b").alias("total_b"))
-    )
+    sized = known.join(known.groupBy("sha").agg(F.count("*").alias("items")), "sha")
+    listed = sized.groupBy("file", "total").agg(F.array_sort(F.collect_list(F.struct("items", "sha"))).alias("in"))
+    listed = checkpoint(listed.select("file", "total", F.transform("in", lambda x: x["sha"]).alias("in")))
+    lead = F.greatest(F.lit(1), F.col("total") - F.ceil(F.col("total") * min_ratio - 1e-9) + 1).cast("int")
+    first = listed.select("file", "total", F.explode(F.slice("in", F.lit(1), lead)).alias("sha"))
+    a, b = (first.select("sha", F.col("file").alias(f"file_{s}"), F.col("total").alias(f"total_{s}")) for s in "ab")
+    near = F.least("total_a", "total_b") >= min_ratio * F.greatest("total_a", "total_b") - 1e-9  # no more can be shared
+    candidates = a.join(b, "sha").where((F.col("file_a") < F.col("file_b")) & near).select("file_a", "file_b").distinct()
+    sides = [listed.select(F.col("file").alias(f"file_{s}"), F.col("total").alias(f"total_{s}"), F.col("in").alias(f"in_{s}")) for s in "ab"]
+    counted = candidates.join(sides[0], "file_a").join(sides[1], "file_b")
+    counted = counted.select("file_a", "file_b", F.size(F.array_intersect("in_a", "in_b")).cast("long").alias("shared"), "total_a", "total_b").where("shared > 0")
     ratio = F.col("shared") / F.greatest("total_a", "total_b")
     return (
         counted.withColumn("ratio", ratio)
@@ -58,23 +63,29 @@ def pairs(
     )
 
 
-def _checkpoint_dir(df: DataFrame) -> None:
+def set_checkpoint_dir(spark: SparkSession) -> None:
     """Set the folder of spark.checkpoint.dir; only a local session may do without one."""
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        base = spark.conf.get("spark.checkpoint.dir", None)
         if not base and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(base or tempfile.mkdtemp(prefix="codestrata-"))
 
 
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder."""
+    set_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def components(edges: DataFrame, a: str = "file_a", b: str = "file_b", rounds: int = 50) -> DataFrame:
     """(node, component): the least node that each node reaches; nodes without an edge do not appear.
 
     Labels fall to the least of a node's neighbours' and then jump to their label's label, so long chains halve.
     Every round is checkpointed to the shared folder, which keeps plans short and survives lost executors.
     """
-    _checkpoint_dir(edges)
+    set_checkpoint_dir(edges.sparkSession)
     both = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).unionAll(edges.select(F.col(b), F.col(a)))
     both = both.distinct().checkpoint()
     labels = both.groupBy("node").agg(F.min("other").alias("label")).select("node", F.least("node", "label").alias("label"))
@@ -92,7 +103,7 @@ def components(edges: DataFrame, a: str = "file_a", b: str = "file_b", rounds: i
 
 def clusters(found: DataFrame, ratio: float = CLUSTER_RATIO) -> DataFrame:
     """(component, files, size, cohesion) of pairs at or above ratio; cohesion is the mean ratio of all pairs inside."""
-    _checkpoint_dir(found)
+    set_checkpoint_dir(found.sparkSession)
     found = found.select("file_a", "file_b", "ratio").checkpoint()  # read for the edges and for the cohesion
     members = components(found.where(F.col("ratio") >= ratio))
     inside = (

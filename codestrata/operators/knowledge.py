@@ -78,6 +78,66 @@ def verdict(presence: Column, has_tests: Column, branch: Column, pr_open: Column
     )
 
 
+def breakdown(verdicts: DataFrame, verdict: str = "verdict") -> DataFrame:
+    """(verdict, features): how many features are in each state."""
+    return verdicts.groupBy(F.col(verdict).alias("verdict")).agg(F.count("*").alias("features"))
+
+
+def section_metrics(findings: DataFrame, *by: str) -> DataFrame:
+    """(by..., findings, active, superseded, expired, avg_initial, avg_current) of aged() findings with superseded (boolean).
+
+    Active findings are neither superseded nor expired; a superseded one doesn't count as expired.
+    """
+    gone = F.coalesce(F.col("superseded"), F.lit(False))
+    return findings.groupBy(*by).agg(
+        F.count("*").alias("findings"),
+        F.count_if(~gone & ~F.col("expired")).alias("active"),
+        F.count_if(gone).alias("superseded"),
+        F.count_if(~gone & F.col("expired")).alias("expired"),
+        F.avg("initial").alias("avg_initial"),
+        F.avg("current").alias("avg_current"),
+    )
+
+
+def phantom_features(implemented: DataFrame, open_items: DataFrame, *key: str) -> DataFrame:
+    """The open items of a tracker whose feature (the columns key) the code has: done, but still listed as open."""
+    return open_items.join(implemented.select(*key).distinct(), list(key), "left_semi")
+
+
+def duplicate_specs(specs: DataFrame, least: float = 0.7, key: str = "item_id", terms: str = "terms") -> DataFrame:
+    """(item_a, item_b, shared, overlap), item_a < item_b: specs (key, terms, an array) of which more than `least` of the
+    smaller one's distinct terms are the other's. Specs meet by the terms that they share."""
+    each = specs.select(F.col(key).alias("item"), F.array_distinct(terms).alias("t")).select("item", F.size("t").alias("n"), F.explode("t").alias("term"))
+    a, b = (each.select(F.col("item").alias(f"item_{s}"), F.col("n").alias(f"n_{s}"), "term") for s in "ab")
+    both = a.join(b, "term").where("item_a < item_b").groupBy("item_a", "item_b", "n_a", "n_b").agg(F.count("*").alias("shared"))
+    overlap = F.col("shared") / F.least("n_a", "n_b")
+    return both.where(overlap > least).select("item_a", "item_b", "shared", overlap.alias("overlap"))
+
+
+def risk(files: DataFrame, fragile: DataFrame, untested: DataFrame, debt: DataFrame, zones: DataFrame, owners: DataFrame, drifted: DataFrame) -> DataFrame:
+    """(path, fragile, untested, debt, zone, owner, clear_owner, drifted, signals) for every path of files.
+
+    fragile: (path, score); untested: (path); debt: (path, todo, fixme, hack, xxx, disabled); zones: (path, zone);
+    owners: as activity.ownership gives them; drifted: (path), a row per drifted feature. Each has a path once but
+    owners and drifted. signals: how many of the six speak of a risk.
+    """
+    marks = sum((F.coalesce(F.col(c), F.lit(0)) for c in ("todo", "fixme", "hack", "xxx", "disabled")), F.lit(0))
+    parts = [
+        fragile.select("path", F.col("score").alias("fragile")),
+        untested.select("path").distinct().withColumn("untested", F.lit(True)),
+        debt.select("path", marks.cast("long").alias("debt")),
+        zones.select("path", "zone"),
+        owners.where("rank = 1").select("path", F.col("author").alias("owner"), "clear_owner"),
+        drifted.groupBy("path").agg(F.count("*").alias("drifted")),
+    ]
+    out = files.select("path").distinct()
+    for part in parts:
+        out = out.join(part, "path", "left")
+    out = out.fillna(0.0, ["fragile"]).fillna(False, ["untested"]).fillna(0, ["debt", "drifted"])
+    signs = [F.col("fragile") > 0, F.col("untested"), F.col("debt") > 0, F.coalesce(F.col("zone") == "hot", F.lit(False)), ~F.coalesce("clear_owner", F.lit(False)), F.col("drifted") > 0]
+    return out.withColumn("signals", sum((s.cast("int") for s in signs), F.lit(0)))
+
+
 def sections(path: Column) -> Column:
     """The distinct sections that a changed path makes stale, as an array; the rules are a fixed table."""
     hit = [F.when(path.rlike(paths.glob_regex(glob)), F.array(*map(F.lit, names))) for glob, names in SECTION_RULES]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +30,40 @@ def first_release(commits: DataFrame, tags: DataFrame) -> DataFrame:
     return commits.crossJoin(F.broadcast(listed)).withColumn("tag", F.get(late, F.lit(0))["tag"]).drop("_tags")
 
 
+def reachable_release(parents: DataFrame, tags: DataFrame) -> DataFrame:
+    """(repo, sha, tag): the first tag, in version order, whose commit reaches sha by parents; null if none does.
+
+    parents: (repo, sha, parent), parent null for a first commit; tags: (repo, tag, sha). Branches and merges are
+    followed. A repository's graph of ids is walked in one task, each edge once; texts and files don't take part.
+    """
+
+    def walk(key: tuple, edges: pd.DataFrame, named: pd.DataFrame) -> pd.DataFrame:
+        above: dict = {}
+        for sha, parent in zip(edges["sha"], edges["parent"], strict=True):
+            above.setdefault(sha, [])
+            if parent is not None:
+                above[sha].append(parent)
+        first: dict = {}
+        for tag, sha in zip(*(named.sort_values("place")[c] for c in ("tag", "sha")), strict=True):
+            todo = [sha]
+            while todo:
+                x = todo.pop()
+                if x in above and x not in first:
+                    first[x] = tag
+                    todo += above[x]
+        return pd.DataFrame({"repo": [key[0]] * len(above), "sha": list(above), "tag": [first.get(x) for x in above]}, dtype=object)
+
+    order = Window.partitionBy("repo").orderBy(T.version_numbers(F.col("tag")), "tag")
+    placed = tags.select("repo", "tag", "sha", F.row_number().over(order).alias("place"))
+    return parents.groupBy("repo").cogroup(placed.groupBy("repo")).applyInPandas(walk, "repo string, sha string, tag string")
+
+
+def touched_files(commit_files: DataFrame) -> DataFrame:
+    """(file, touches) of the commits (sha, file, tag) without a release; a file counts once in a commit."""
+    rows = commit_files.where(F.col("tag").isNull()).select("sha", "file").distinct()
+    return rows.groupBy("file").agg(F.count("*").alias("touches"))
+
+
 def unreleased(commit_release: DataFrame) -> DataFrame:
     """(author, commits) without a release, and whether any of them breaks."""
     return (

@@ -116,7 +116,23 @@ def search_index(index: DataFrame, lengths: DataFrame, queries: DataFrame) -> Da
     return scored.groupBy("query_id", "doc_id").agg(F.sum(_part() * F.col("times")).alias("score"))
 
 
-def reuse(items: DataFrame, hits: DataFrame, category: str) -> DataFrame:
-    """items (doc_id, category, uses, changed_at) found by a search, the category's own first, then by score, uses and age."""
-    found = items.join(hits, "doc_id").withColumn("same", F.col("category") == category)
+def symbol_documents(symbols: DataFrame, *key: str) -> DataFrame:
+    """(key..., text, embedding_text) of symbols (name, path, doc, signature): what the index holds, name, path and doc but
+    not the signature, and what a model embeds, name, signature and doc by lines."""
+    part = lambda c: F.coalesce(c, F.lit(""))
+    return symbols.select(
+        *key,
+        F.concat_ws(" ", part("name"), part("path"), part("doc")).alias("text"),
+        F.concat_ws("\n", part("name"), part("signature"), part("doc")).alias("embedding_text"),
+    )
+
+
+#: The least score of a hit that is offered for reuse, and of one that a plan takes up.
+REUSE_SCORE, PLAN_SCORE = 3.0, 5.0
+
+
+def reuse(items: DataFrame, hits: DataFrame, category: str, least: float = REUSE_SCORE) -> DataFrame:
+    """items (doc_id, category, uses, changed_at) found by a search with a score of at least `least`, the category's own
+    first, then by score, uses and age."""
+    found = items.join(hits.where(F.col("score") >= least), "doc_id").withColumn("same", F.col("category") == category)
     return found.orderBy(F.desc("same"), F.desc("score"), F.desc("uses"), F.desc("changed_at"), "doc_id")

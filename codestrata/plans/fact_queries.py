@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codestrata.functions import paths
 from codestrata.functions import text as T
-from codestrata.operators import activity, contracts, evolution, knowledge, quality, releases
+from codestrata.operators import activity, contracts, evolution, files, knowledge, quality, releases
 from codestrata.streaming import watch
 
 from .adapters import PATH_SQL, SUBJECT_SQL, TAGS_SQL, order_commits, part_path, release_tags, table, texts
@@ -71,12 +68,12 @@ def lang_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 def path_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("path")
     return _paths(spark, sf_dir).select(
-        "p_partkey", paths.excluded(p).alias("excluded"), paths.skipped_anywhere(p).alias("skipped"), paths.in_folder(p).alias("pruned"), paths.skipped_by_search(p).alias("unsearched")
+        "p_partkey", paths.excluded(p, paths.excludes(("docs/", "*.lock"))).alias("excluded"), paths.skipped_anywhere(p).alias("skipped"), paths.in_folder(p).alias("pruned"), paths.skipped_by_search(p).alias("unsearched")
     )
 
 
 _EXCLUDE_SQL = " OR ".join(
-    f"contains(path, '{p[:-1]}')" if p.endswith("/") else f"ends_with(path, '{p[1:]}')" if p.startswith("*") else f"contains(path, '{p}')" for p in paths.DEFAULT_EXCLUDES
+    f"contains(path, '{p[:-1]}')" if p.endswith("/") else f"ends_with(path, '{p[1:]}')" if p.startswith("*") else f"contains(path, '{p}')" for p in (*paths.DEFAULT_EXCLUDES, "docs/")
 )
 _SKIP_SQL = " OR ".join(f"contains(path, '{p}')" for p in paths.SKIPPED_PARTS)
 _PRUNE_SQL = "list_has_any(string_split(path, '/'), [" + ", ".join(f"'{p}'" for p in paths.SKIPPED_PARTS) + "])"
@@ -108,20 +105,6 @@ def untested_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.untested(every.where("not test").select("path"), every.where("test").select("path"))
 
 
-def risk_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each part: sales, whether it is hot, its main supplier and share, whether its path is a test."""
-    items = table(spark, sf_dir, "lineitem")
-    owners = activity.ownership(items.select(F.col("l_partkey").alias("path"), F.col("l_suppkey").alias("author")))
-    owner = owners.where("rank = 1").select(F.col("path").alias("p_partkey"), F.col("author").alias("owner"), F.round("share", 6).alias("share"))
-    sold = items.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("touches"))
-    return (
-        _paths(spark, sf_dir)
-        .join(sold, "p_partkey", "left")
-        .join(owner, "p_partkey", "left")
-        .select("p_partkey", F.coalesce("touches", F.lit(0)).alias("touches"), (F.coalesce("touches", F.lit(0)) >= 10).alias("hot"), "owner", "share", paths.is_test(F.col("path")).alias("is_test"))
-    )
-
-
 _FLAKY_WORDS = "|".join(T.FLAKY_WORDS)
 _STEM = r"lower(regexp_replace(regexp_extract(path, '([^/]*)$', 1), '^(.+)\.[^.]*$', '\1'))"
 
@@ -199,9 +182,10 @@ def ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts not ordered for a year whose first supplier has been silent for half a year, seen from the data's end."""
-    touches = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("path"), F.col("l_suppkey").alias("author"), F.col("l_shipdate").alias("at"))
-    return activity.orphans(touches, F.lit("2000-01-01").cast("timestamp_ntz")).select("path", "creator", "last_at", "creator_last_at")
+    """Parts of single orders as files, seen from half a year before the data's end: long untouched, their supplier, by line, long silent."""
+    path, author = F.concat_ws("-", "l_partkey", F.col("l_orderkey") % 5), F.concat_ws("-", "l_suppkey", F.col("l_orderkey") % 40)
+    touches = table(spark, sf_dir, "lineitem").select(path.alias("path"), author.alias("author"), F.col("l_shipdate").alias("at"))
+    return activity.orphans(touches, F.lit("2002-01-01").cast("timestamp_ntz")).select("path", "creator", "last_at", "creator_last_at")
 
 
 def branch_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,14 +214,6 @@ def sample_per_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return largest.unionByName(some)
 
 
-def trigger_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event types as triggers, users as workflows."""
-    kinds = ("click", "error", "purchase")
-    flags = [F.bool_or(F.col("event_type") == k).alias(f"on_{k}") for k in kinds]
-    other = F.array_join(F.array_sort(F.collect_set(F.when(~F.col("event_type").isin(*kinds), F.col("event_type")))), ",")
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(*flags, other.alias("on_other"), F.count("*").alias("jobs"))
-
-
 # --- contracts -----------------------------------------------------------------------------------------------------
 
 
@@ -283,19 +259,22 @@ ch AS (SELECT repo, method, path, change, fields, change = 'removed' OR contains
 # --- evolution -----------------------------------------------------------------------------------------------------
 
 _MARKS = (
-    "// @deprecated since: 1.2, use newThing instead", '#[deprecated(since = "0.5.0", note = "use bar")]', "# TODO(remove-after: 2026-12-01) drop",
-    "Deprecated: prefer other.", "warnings.warn('x', DeprecationWarning)", "// TODO: remove this", "plain line", "DEPRECATED: replaced by \"q\"",
+    "// @deprecated since: 1.2, use NAME instead", '#[deprecated(since = "0.5.0", note = "use NAME")]', "# TODO(remove-after: 2026-12-01) drop NAME TODO",
+    "Deprecated: prefer NAME.", "warnings.warn('NAME', DeprecationWarning) # HACK", "// TODO: remove NAME FIXME XXX", "plain NAME TODOS it.skip(", "DEPRECATED: replaced by \"NAME\" @pytest.mark.skip",
 )
 
 
 def _marked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document with a line that its id picks from fixed ones."""
-    docs = table(spark, sf_dir, "documents")
-    return docs.select(F.col("doc_id").alias("path"), F.lit(1).cast("long").alias("line_no"), F.element_at(F.array(*map(F.lit, _MARKS)), (F.col("doc_id") % len(_MARKS) + 1).cast("int")).alias("line"))
+    """(path, line_no, line): all lines of all documents, and one more of each, which names the text's first word."""
+    word = F.regexp_extract("text", "^([A-Za-z]+)", 1)
+    mark = F.replace(_pick(_MARKS, F.col("doc_id")), F.lit("NAME"), word)
+    docs = texts(spark, sf_dir, "doc_id", "text").where("text is not null")
+    lines = docs.select(F.col("doc_id").alias("path"), F.posexplode(F.split(F.concat("text", F.lit("\n"), mark), "\n", -1)).alias("at", "line"))
+    return lines.select("path", (F.col("at") + 1).cast("long").alias("line_no"), "line")
 
 
 def deprecation_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evolution.deprecations(_marked_lines(spark, sf_dir)).select("path", "marker", "replacement", "since", "remove_after", "severity")
+    return evolution.deprecations(_marked_lines(spark, sf_dir)).select("path", "line_no", "marker", "replacement", "since", "remove_after", "severity")
 
 
 def breaking_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,14 +302,8 @@ def changelog_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evolution.changelog(lines.select("item_id", (F.col("n") + 1).cast("long").alias("line_no"), line.alias("line")), "item_id")
 
 
-_DEBT = ("TODO: a TODO b", "FIXME now", "x HACK y WORKAROUND", "XXX", "it.skip(", "@pytest.mark.skip", "TODOS are none", "plain")
-
-
 def debt_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(
-        F.concat_ws("-", "lang", "source").alias("path"), F.lit(1).alias("line_no"), F.element_at(F.array(*map(F.lit, _DEBT)), (F.col("doc_id") % len(_DEBT) + 1).cast("int")).alias("line")
-    )
-    return evolution.debt(docs)
+    return evolution.debt(_marked_lines(spark, sf_dir))
 
 
 # --- derived facts -------------------------------------------------------------------------------------------------
@@ -357,10 +330,8 @@ def ttl_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def findings_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = _findings(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
-    return joined.groupBy("lang", "kind").agg(
-        F.count("*").alias("findings"), F.count_if(~F.col("expired")).alias("active"), F.count_if("expired").alias("expired"),
-        F.round(F.avg("initial"), 6).alias("avg_initial"), F.round(F.avg("current"), 6).alias("avg_current"),
-    )
+    found = knowledge.section_metrics(joined.withColumn("superseded", F.col("doc_id") % 6 == 0), "lang", "kind")
+    return found.withColumns({c: F.round(c, 6) for c in ("avg_initial", "avg_current")})
 
 
 def _pick(names: tuple, key: Column) -> Column:
@@ -386,21 +357,13 @@ def stale_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knowledge.stale_sections(_paths(spark, sf_dir)).distinct()
 
 
-def _xxh3(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import xxhash
-
-    for f in frames:
-        raw = [(t or "").encode() for t in f["text"]]
-        yield pd.DataFrame({"doc_id": f["doc_id"], "hash": [xxhash.xxh3_64_hexdigest(x) for x in raw], "size_bytes": [len(x) for x in raw]})
-
-
 def file_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """XXH3 of whole texts, which no built-in function gives."""
-    return texts(spark, sf_dir, "doc_id", "text").mapInPandas(_xxh3, "doc_id long, hash string, size_bytes long")
+    """XXH3 of whole texts, which no SQL gives."""
+    return files.hashes(texts(spark, sf_dir, "doc_id", "text"), "text", "doc_id")
 
 
 def file_hash_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size_bytes"))
+    return files.hashes(texts(spark, sf_dir, "doc_id", "text"), "text", "doc_id", "sha256")
 
 
 def hash_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -428,21 +391,14 @@ def reuse_category_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def phantom_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Good documents that hold the first three words of a benchmark text in a row: done, but still listed as open."""
+    """Good documents as code, features being runs of three words; benchmark texts as a tracker's items, named by their first three."""
     lead = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
-    items = table(spark, sf_dir, "benchmark").select(lead.alias("lead")).distinct()
+    items = table(spark, sf_dir, "benchmark").select("item_id", lead.alias("feature"))
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     docs = texts(spark, sf_dir, "doc_id", "text").join(good, "doc_id", "left_semi")
     words = F.split("text", " ")
     runs = F.when(F.size(words) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.array_join(F.slice(words, i, 3), " "))))
-    return docs.select("doc_id", F.explode(runs).alias("lead")).join(items, "lead", "left_semi").select("doc_id").distinct()
-
-
-def compress_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of a text against those of its first line."""
-    raw, short = F.octet_length("text").cast("long"), F.octet_length(F.substring_index("text", "\n", 1)).cast("long")
-    docs = table(spark, sf_dir, "documents").where("text is not null")
-    return docs.select("doc_id", raw.alias("raw_bytes"), short.alias("compressed_bytes"), F.round(F.when(raw > 0, (1 - short / raw) * 100).otherwise(0.0), 6).alias("savings_pct"))
+    return knowledge.phantom_features(docs.select(F.explode(runs).alias("feature")), items, "feature")
 
 
 def watch_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -455,11 +411,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         coverage_files, coverage_best_report, coverage_overall, uncovered_ranges, is_test_file, lang_detect, path_exclude, flaky_candidates,
-        untested_files, risk_rollup, unreleased, file_releases, introduced_by_release, version_sort, hot_zones, frozen_zones, ownership,
-        orphans, branch_status, naming_votes, hotfile_topk_per_author, sample_per_category, trigger_summary, contract_diff,
+        untested_files, unreleased, file_releases, introduced_by_release, version_sort, hot_zones, frozen_zones, ownership,
+        orphans, branch_status, naming_votes, hotfile_topk_per_author, sample_per_category, contract_diff,
         contract_diff_summary, contracts_check, deprecation_markers, breaking_kind, replacement_pairs, changelog_sections, debt_markers,
         confidence_decay, ttl_expiry, findings_metrics, feature_verdict, confidence_score, stale_sections, file_hash, file_hash_sha256,
-        hash_stale, plan_vs_actual, reuse_category_topk, phantom_features, compress_savings, watch_sessions,
+        hash_stale, plan_vs_actual, reuse_category_topk, phantom_features, watch_sessions,
     )
 } | {"releases": release_list}
 
@@ -475,15 +431,22 @@ _SECTION_SQL = " UNION ALL ".join(
     f"SELECT path, unnest({list(s)}) AS section FROM p WHERE " + " OR ".join("regexp_matches(path, '^" + g.replace(".", "[.]").replace("*", ".*") + "$')" for g in globs.split("|"))
     for globs, s in knowledge.SECTION_RULES
 )
-_MARK_FACTS = {  # by hand: marker, replacement, since, remove_after, severity of each fixed line
-    0: "'annotation', 'newThing instead', '1.2', NULL, 'warning'",
-    1: "'annotation', 'bar', '0.5.0', NULL, 'warning'",
-    2: "'todo', NULL, NULL, '2026-12-01', 'critical'",
-    3: "'comment', 'other', NULL, NULL, 'warning'",
-    4: "'runtime-warn', NULL, NULL, NULL, 'info'",
-    5: "'todo', NULL, NULL, NULL, 'info'",
-    7: "'comment', NULL, NULL, NULL, 'info'",
-}
+
+
+def _phrase_sql(line: str, phrases: tuple, ends: str, most: int, any_case: bool, strip: str = "") -> str:
+    """What follows the first phrase that gives something, as SQL."""
+    found = []
+    for p in phrases:
+        rest = f"regexp_extract({line}, '{'(?i)' if any_case else ''}{p}(.*)$', 1)"
+        value = f"trim(CASE WHEN regexp_matches({rest}, '[{ends}]') THEN regexp_extract({rest}, '^([^{ends}]*)', 1) ELSE substr({rest}, 1, {most}) END)"
+        value = f"regexp_replace({value}, '{strip}', '')" if strip else value
+        found.append(f"CASE WHEN strlen({value}) BETWEEN 1 AND 99 THEN {value} END")
+    return f"coalesce({', '.join(found)})"
+
+
+_MARKED_SQL = f"""d AS (SELECT doc_id, string_split(text || chr(10) || replace({_case(_MARKS, 'doc_id')}, 'NAME', regexp_extract(text, '^([A-Za-z]+)', 1)), chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id AS path, unnest(range(1, len(parts) + 1)) AS line_no, unnest(parts) AS line FROM d)"""
+_REMOVE_SQL = _phrase_sql("regexp_replace(t, '(?i)(remove[- _]after:)[ ]+', '\\1')", T.REMOVE_PHRASES, '),"', 30, True)
 SQL = {
     "coverage_files": f"WITH {_COV} SELECT path, count(*) AS lines_total, count(*) FILTER (hits > 0) AS lines_covered, round(100.0 * count(*) FILTER (hits > 0) / count(*), 6) AS percent FROM one GROUP BY path",
     "coverage_best_report": f"WITH {_COV} SELECT path, report, lines_total, lines_covered, round(percent, 6) AS percent FROM best",
@@ -501,9 +464,6 @@ z AS (SELECT *, round(least(suspicious * 0.5 + reverts * 0.7 + CASE WHEN isolate
 SELECT * FROM z WHERE score >= 0.2 ORDER BY score DESC, total DESC, file LIMIT 50""",
     "untested_files": f"""WITH {_P}, d AS (SELECT DISTINCT path, {_STEM} AS stem, {_TEST_SQL} AS test FROM p)
 SELECT path FROM d WHERE NOT test AND stem NOT IN (SELECT regexp_replace(regexp_replace(stem, '^test_', ''), '(_test|_spec|[.]test|[.]spec)$', '') FROM d WHERE test)""",
-    "risk_rollup": f"""WITH {_P}, s AS (SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL),
-o AS (SELECT l_partkey, arg_min(l_suppkey, (-n, l_suppkey)) AS owner, max(n) / sum(n) AS share, sum(n) AS touches FROM s GROUP BY 1)
-SELECT p_partkey, CAST(coalesce(touches, 0) AS BIGINT) AS touches, coalesce(touches, 0) >= 10 AS hot, owner, round(share, 6) AS share, {_TEST_SQL} AS is_test FROM p LEFT JOIN o ON p_partkey = l_partkey""",
     "releases": f"""WITH {_RELEASED}, n AS (SELECT tag, count(*) AS commits, count(DISTINCT author) AS authors FROM c GROUP BY tag)
 SELECT tag, lag(tag) OVER (ORDER BY tagged_at) AS previous_tag, true AS is_semver, coalesce(commits, 0) AS commits, coalesce(authors, 0) AS authors FROM tags LEFT JOIN n USING (tag)""",
     "unreleased": f"WITH {_RELEASED} SELECT author, count(*) AS commits, bool_or(regexp_matches(subject, '^(feat|fix|refactor|perf)!| (feat|fix)!|BREAKING CHANGE')) AS has_breaking FROM c WHERE tag IS NULL GROUP BY author",
@@ -520,9 +480,9 @@ HAVING max(o_orderdate) < TIMESTAMP '2000-01-01' - INTERVAL 180 DAYS AND count(*
 r AS (SELECT *, commits / sum(commits) OVER w AS share, row_number() OVER (PARTITION BY path ORDER BY commits DESC, author) AS rank, count(*) OVER w AS authors, max(commits) OVER w / sum(commits) OVER w AS best
   FROM c WINDOW w AS (PARTITION BY path))
 SELECT path, author, commits, round(share, 6) AS share, rank, authors, NOT (authors > 10 AND best < 0.3) AS clear_owner FROM r WHERE rank <= 3""",
-    "orphans": """WITH s AS (SELECT l_suppkey AS creator, max(l_shipdate) AS creator_last_at FROM lineitem GROUP BY 1),
-p AS (SELECT l_partkey AS path, arg_min(l_suppkey, (l_shipdate, l_suppkey)) AS creator, max(l_shipdate) AS last_at FROM lineitem GROUP BY 1)
-SELECT path, creator, last_at, creator_last_at FROM p JOIN s USING (creator) WHERE last_at < TIMESTAMP '2000-01-01' - INTERVAL 365 DAYS AND creator_last_at < TIMESTAMP '2000-01-01' - INTERVAL 180 DAYS""",
+    "orphans": """WITH t AS (SELECT l_partkey || '-' || l_orderkey % 5 AS path, l_suppkey || '-' || l_orderkey % 40 AS author, l_shipdate AS shipped FROM lineitem),
+s AS (SELECT author AS creator, max(shipped) AS creator_last_at FROM t GROUP BY 1), p AS (SELECT path, arg_min(author, (shipped, author)) AS creator, max(shipped) AS last_at FROM t GROUP BY 1)
+SELECT path, creator, last_at, creator_last_at FROM p JOIN s USING (creator) WHERE last_at < TIMESTAMP '2002-01-01' - INTERVAL 365 DAYS AND creator_last_at < TIMESTAMP '2002-01-01' - INTERVAL 180 DAYS""",
     "branch_status": """WITH a AS (SELECT user_id, date_diff('day', CAST(max(ts) AS DATE), DATE '2024-01-31') AS age_days FROM events GROUP BY 1)
 SELECT user_id, age_days, CASE WHEN age_days < 7 THEN 'active' WHEN age_days <= 30 THEN 'stale' ELSE 'abandoned' END AS status, user_id % 4 = 0 AS wip FROM a""",
     "naming_votes": """WITH s AS (SELECT regexp_extract(url, '://(?:www[.]|blog[.]|m[.])?([^./]+)', 1) AS s FROM pages UNION ALL SELECT replace(p_name, ' ', '_') FROM part),
@@ -532,13 +492,15 @@ SELECT *, CASE WHEN kebab + snake + camel = 0 THEN NULL WHEN snake >= camel AND
     "hotfile_topk_per_author": "WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS rank FROM c QUALIFY rank <= 2",
     "sample_per_category": """SELECT doc_id, lang AS category FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) <= 10
 UNION ALL SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) <= 3""",
-    "trigger_summary": """SELECT user_id, bool_or(event_type = 'click') AS on_click, bool_or(event_type = 'error') AS on_error, bool_or(event_type = 'purchase') AS on_purchase,
-coalesce(string_agg(DISTINCT event_type, ',' ORDER BY event_type) FILTER (event_type NOT IN ('click', 'error', 'purchase')), '') AS on_other, count(*) AS jobs FROM events GROUP BY 1""",
     "contract_diff": f"WITH {_DIFF} SELECT * FROM ch",
     "contract_diff_summary": f"WITH {_DIFF} SELECT count(*) AS total, count(*) FILTER (breaking) AS breaking, count(*) FILTER (NOT breaking) AS non_breaking FROM ch",
     "contracts_check": f"""WITH {_DIFF}, r AS (SELECT 'r' || i AS repo, i % 5 <> 4 AS base FROM range(30) t(i)), n AS (SELECT repo, count(*) AS total, count(*) FILTER (breaking) AS breaking FROM ch GROUP BY repo)
 SELECT repo, CASE WHEN NOT base THEN 'skipped' WHEN coalesce(breaking, 0) > 0 THEN 'breaking' WHEN coalesce(total, 0) > 0 THEN 'changed' ELSE 'clean' END AS status, coalesce(total, 0) AS total, coalesce(breaking, 0) AS breaking FROM r LEFT JOIN n USING (repo)""",
-    "deprecation_markers": "WITH k(i, marker, replacement, since, remove_after, severity) AS (VALUES " + ", ".join(f"({i}, {v})" for i, v in _MARK_FACTS.items()) + f") SELECT doc_id AS path, marker, replacement, since, remove_after, severity FROM documents JOIN k ON doc_id % {len(_MARKS)} = i",
+    "deprecation_markers": f"""WITH {_MARKED_SQL}, t AS (SELECT path, line_no, trim(line) AS t, lower(trim(line)) AS low FROM l WHERE regexp_matches(lower(line), 'deprecat|todo')),
+m AS (SELECT *, CASE WHEN contains(low, '@deprecated') OR contains(low, '#[deprecated') THEN 'annotation' WHEN regexp_matches(low, 'todo(\\(|: )(deprecate|remove)') THEN 'todo'
+  WHEN regexp_matches(low, '^(// deprecated|# deprecated|/[*] deprecated|deprecated:)') OR contains(t, 'DEPRECATED:') THEN 'comment' WHEN contains(low, 'deprecationwarning') THEN 'runtime-warn' END AS marker FROM t),
+f AS (SELECT path, line_no, marker, {_phrase_sql('t', T.REPLACEMENT_PHRASES, ')"' + "''", 80, True, '[.,;]+$')} AS replacement, {_phrase_sql('t', T.SINCE_PHRASES, '"), ', 30, False)} AS since, {_REMOVE_SQL} AS remove_after FROM m WHERE marker IS NOT NULL)
+SELECT *, CASE WHEN remove_after IS NOT NULL THEN 'critical' WHEN since IS NOT NULL OR replacement IS NOT NULL THEN 'warning' ELSE 'info' END AS severity FROM f""",
     "breaking_kind": """SELECT sha, kind FROM (SELECT o_orderkey AS sha, CASE WHEN o_orderkey % 29 = 0 THEN 'breaking_change_footer' WHEN o_orderkey % 8 = 0 THEN 'conventional_breaking'
 WHEN o_orderkey % 8 = 4 THEN 'migrate_keyword' WHEN o_orderkey % 8 = 6 THEN 'refactor_keyword' END AS kind FROM orders) WHERE kind IS NOT NULL""",
     "replacement_pairs": """WITH x AS (SELECT DISTINCT l_orderkey AS sha, replace(lower(p_name), ' ', '_') AS s, l_linenumber % 2 AS odd FROM lineitem JOIN part ON l_partkey = p_partkey),
@@ -549,12 +511,13 @@ SELECT sha, removed, added, round(confidence, 6) AS confidence FROM c WHERE conf
 m AS (SELECT *, nullif(regexp_extract(line, '^## \\[?([^\\] ]+)', 1), '') AS v, CASE WHEN line LIKE '## %' THEN 'none' WHEN line = '### Removed' THEN 'removed' WHEN line = '### Breaking' THEN 'changed' WHEN line LIKE '### %' THEN 'none' END AS s FROM l),
 c AS (SELECT item_id, line_no, line, last_value(v IGNORE NULLS) OVER w AS version, last_value(s IGNORE NULLS) OVER w AS section FROM m WINDOW w AS (PARTITION BY item_id ORDER BY line_no ROWS UNBOUNDED PRECEDING))
 SELECT item_id, line_no, version, section, substr(line, 3) AS text FROM c WHERE line LIKE '- %' AND length(line) > 7 AND version IS NOT NULL AND section <> 'none'""",
-    "debt_markers": f"""WITH x AS (SELECT lang || '-' || source AS path, doc_id % {len(_DEBT)} AS i FROM documents),
-y AS (SELECT path, CAST(2 * count(*) FILTER (i = 0) AS BIGINT) AS todo, count(*) FILTER (i = 1) AS fixme, CAST(2 * count(*) FILTER (i = 2) AS BIGINT) AS hack, count(*) FILTER (i = 3) AS xxx, count(*) FILTER (i IN (4, 5)) AS disabled FROM x GROUP BY path)
+    "debt_markers": f"""WITH {_MARKED_SQL}, n AS (SELECT path, len(regexp_extract_all(line, '\\bTODO\\b')) AS todo, len(regexp_extract_all(line, '\\bFIXME\\b')) AS fixme, len(regexp_extract_all(line, '\\b(HACK|WORKAROUND)\\b')) AS hack,
+  len(regexp_extract_all(line, '\\b(XXX|WTF)\\b')) AS xxx, len(regexp_extract_all(line, '\\b(xit|t[.]Skip|it[.]skip|describe[.]skip)\\b|@pytest[.]mark[.]skip|#\\[ignore\\]')) AS disabled FROM l),
+y AS (SELECT path, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in ('todo', 'fixme', 'hack', 'xxx', 'disabled'))} FROM n GROUP BY path)
 SELECT * FROM y WHERE todo + fixme + hack + xxx + disabled > 0""",
     "confidence_decay": f"WITH {_F} SELECT doc_id, age_days, initial, round(current, 6) AS current, current < 0.5 AS expired FROM g",
     "ttl_expiry": f"WITH {_F}, t AS (SELECT *, CASE kind WHEN 'pattern' THEN 30 WHEN 'fact' THEN 14 WHEN 'rule' THEN 60 WHEN 'risk' THEN 30 WHEN 'feature' THEN 7 ELSE 30 END AS d FROM f) SELECT doc_id, kind, CAST(d AS BIGINT) AS ttl_days, age_days > d AS past_ttl FROM t",
-    "findings_metrics": f"""WITH {_F} SELECT lang, kind, count(*) AS findings, count(*) FILTER (current >= 0.5) AS active, count(*) FILTER (current < 0.5) AS expired,
+    "findings_metrics": f"""WITH {_F} SELECT lang, kind, count(*) AS findings, count(*) FILTER (current >= 0.5 AND doc_id % 6 <> 0) AS active, count(*) FILTER (doc_id % 6 = 0) AS superseded, count(*) FILTER (current < 0.5 AND doc_id % 6 <> 0) AS expired,
 round(avg(initial), 6) AS avg_initial, round(avg(current), 6) AS avg_current FROM g JOIN documents USING (doc_id) GROUP BY lang, kind""",
     "feature_verdict": """WITH x AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'partial' ELSE 'complete' END AS p, quality = 1 AS t, doc_id % 3 AS b, doc_id % 7 = 0 AS pr, doc_id % 5 >= 0.3 * (10 - 5 * toxic) AS dr FROM labels)
 SELECT doc_id, CASE WHEN p = 'complete' AND t AND dr THEN 'DRIFTED' WHEN p = 'complete' AND t THEN 'IMPLEMENTED' WHEN p = 'partial' AND b = 2 AND NOT pr THEN 'ABANDONED'
@@ -562,7 +525,7 @@ WHEN p <> 'none' OR b = 1 OR pr THEN 'IN_PROGRESS' WHEN doc_id % 2 = 0 THEN 'SPE
     "confidence_score": """WITH x AS (SELECT doc_id, round(least(greatest(0.5 * (doc_id % 2 = 0)::INT + 0.2 * (doc_id % 3 = 0)::INT + 0.2 * (quality = 1)::INT + 0.1 * (doc_id % 5 = 0)::INT
 - 0.3 * (doc_id % 7 = 0)::INT - 0.3 * (toxic = 1)::INT, 0), 1)::DOUBLE, 6) AS confidence FROM labels) SELECT doc_id, confidence, confidence >= 0.7 AS confident FROM x""",
     "stale_sections": f"WITH {_P} SELECT DISTINCT path, section FROM ({_SECTION_SQL})",
-    "file_hash_sha256": "SELECT doc_id, sha256(coalesce(text, '')) AS hash, strlen(coalesce(text, '')) AS size_bytes FROM documents",
+    "file_hash_sha256": "SELECT doc_id, sha256(text) AS hash, strlen(text) AS size_bytes FROM documents WHERE text IS NOT NULL",
     "hash_stale": """SELECT path, change FROM (SELECT doc_id AS path, CASE WHEN doc_id % 31 = 0 AND doc_id % 37 = 0 THEN NULL WHEN doc_id % 31 = 0 THEN 'added' WHEN doc_id % 37 = 0 THEN 'removed'
 WHEN doc_id % 41 = 0 THEN 'changed' END AS change FROM documents) WHERE change IS NOT NULL""",
     "plan_vs_actual": """WITH p AS (SELECT DISTINCT l_partkey AS x FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE year(o_orderdate) = 1995), a AS (SELECT DISTINCT l_partkey AS y FROM lineitem WHERE year(l_shipdate) = 1995),
@@ -572,10 +535,8 @@ SELECT *, CASE WHEN unplanned > 3 THEN 'DIVERGED' WHEN missed > 0 THEN 'INCOMPLE
 u AS (SELECT l_partkey, count(*) AS uses FROM lineitem GROUP BY 1),
 c AS (SELECT p_partkey, name, CASE """ + " ".join(f"WHEN regexp_matches(name, '{w}') THEN '{c}'" for c, w in knowledge.CATEGORIES) + """ ELSE 'other' END AS category, coalesce(uses, 0) AS uses FROM n LEFT JOIN u ON p_partkey = l_partkey)
 SELECT *, row_number() OVER (PARTITION BY category ORDER BY uses DESC, p_partkey) AS rank FROM c QUALIFY rank <= 30""",
-    "phantom_features": """WITH i AS (SELECT DISTINCT array_to_string(string_split(text, ' ')[1:3], ' ') AS lead FROM benchmark), g AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents JOIN labels USING (doc_id) WHERE quality = 1),
-r AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda k: array_to_string(w[k:k + 2], ' '))) AS lead FROM g) SELECT DISTINCT doc_id FROM r JOIN i USING (lead)""",
-    "compress_savings": """SELECT doc_id, strlen(text) AS raw_bytes, strlen(string_split(text, chr(10))[1]) AS compressed_bytes,
-round(CASE WHEN strlen(text) > 0 THEN (1 - strlen(string_split(text, chr(10))[1]) / strlen(text)) * 100 ELSE 0 END, 6) AS savings_pct FROM documents WHERE text IS NOT NULL""",
+    "phantom_features": """WITH i AS (SELECT item_id, array_to_string(string_split(text, ' ')[1:3], ' ') AS feature FROM benchmark), g AS (SELECT string_split(text, ' ') AS w FROM documents JOIN labels USING (doc_id) WHERE quality = 1),
+r AS (SELECT DISTINCT unnest(list_transform(range(1, len(w) - 1), lambda k: array_to_string(w[k:k + 2], ' '))) AS feature FROM g) SELECT item_id, i.feature FROM i JOIN r USING (feature)""",
     "watch_sessions": """WITH g AS (SELECT user_id, event_type, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS s FROM events),
 n AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT CAST(user_id AS VARCHAR) AS repo, min(ts) AS started, count(*) AS event_count, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS paths FROM n GROUP BY user_id, k""",

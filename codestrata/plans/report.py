@@ -27,6 +27,46 @@ def markdown(df: DataFrame, most: int = 20) -> str:
     return "\n".join("| " + " | ".join(r) + " |" for r in rows)
 
 
+#: Reports by name: a title, and parts as (table, heading, order, rows shown at most). A leading "-" orders downwards.
+REPORTS = {
+    "coverage": ("Test coverage", (("overall", "Overall", (), 1), ("files", "Worst files", ("percent", "path"), 20), ("ranges", "Uncovered", ("path", "start"), 60))),
+    "flaky": ("Flaky tests", (("flaky", "Candidates", ("-score", "file"), 50),)),
+    "ci": ("Pipelines", (("triggers", "Triggers", ("repo",), 50), ("jobs", "Jobs", ("file", "job"), 100))),
+    "openapi": ("Endpoints", (("endpoints", "Endpoints", ("path", "method"), 200),)),
+    "protobuf": ("Remote calls", (("rpcs", "Calls", ("file", "service", "rpc"), 200), ("messages", "Messages", ("file", "message"), 200))),
+    "graphql": ("Operations", (("graphql", "Operations and types", ("kind", "type_name", "name"), 200),)),
+    "crossref": ("Evidence", (("statuses", "By status", ("status",), 3), ("crossref", "Identifiers", ("status", "identifier"), 100))),
+    "deprecations": ("Deprecations", (("markers", "Markers", ("severity", "path", "line_no"), 100),)),
+    "changelog": ("Changelog", (("changelog", "Entries", ("version", "line_no"), 100),)),
+    "breaking": ("Breaking commits", (("breaking", "Commits", ("-authored_at", "sha"), 50),)),
+    "replacements": ("Replacements", (("replacements", "Pairs", ("-confidence", "removed", "added"), 50),)),
+    "releases": ("Releases", (("releases", "Releases", ("tag",), 100),)),
+    "unreleased": ("Unreleased work", (("authors", "Authors", ("-commits", "author"), 50), ("touched", "Files", ("-touches", "file"), 50), ("commits", "Commits", ("-authored_at", "sha"), 50))),
+    "file_releases": ("Files by release", (("introduced", "Releases", ("-file_count", "release"), 50), ("files", "Files", ("file",), 200))),
+    "contract_diff": ("Changes of contracts", (("summary", "Summary", (), 1), ("changes", "Changes", ("method", "path"), 500))),
+    "cochange": ("Files that change together", (("pairs", "Pairs", ("-ratio", "-shared", "file_a", "file_b"), 100), ("clusters", "Clusters", ("-size", "component"), 50))),
+    "glance": ("At a glance", (("stacks", "Stacks", ("stack",), 20), ("entry_points", "Entry points", ("path",), 10), ("hot_files", "Hot files", ("-commits", "path"), 5), ("active_authors", "Active authors", ("-commits", "author"), 5))),
+    "overview": ("Overview", (("stacks", "Stacks", ("stack",), 20), ("tree", "Tree", ("path",), 200), ("commands", "Commands", ("command",), 20))),
+}
+
+
+def ordered(df: DataFrame, *order: str, most: int | None = None) -> DataFrame:
+    """df by the given columns, downwards where a "-" leads, and its first rows if so many are asked for."""
+    keys = [F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in order]
+    out = df.orderBy(*keys) if keys else df
+    return out if most is None else out.limit(most)
+
+
+def render(name: str, tables: dict[str, DataFrame]) -> str:
+    """The report of this name as Markdown, of the tables that are given; the others' parts are left out."""
+    title, parts = REPORTS[name]
+    out = [f"# {title}"]
+    for key, heading, order, most in parts:
+        if key in tables:
+            out += [f"## {heading}", markdown(ordered(tables[key], *order), most)]
+    return "\n\n".join(out) + "\n"
+
+
 def write(df: DataFrame, path: str, *partition: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).partitionBy(*partition).parquet(path)
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codestrata.functions import symbols
 from codestrata.functions import text as T
-from codestrata.operators import contracts, graph, search
+from codestrata.operators import contracts, graph, knowledge, search, summaries
 
 from .adapters import daily_baskets, document_lines, table, texts
 
@@ -125,50 +126,33 @@ m AS (SELECT a AS node, least(a, min(b)) AS component FROM reach GROUP BY a)"""
 
 def crossref_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = T.explode_tokens(_queries(spark, sf_dir), "text").select(F.col("token").alias("identifier")).distinct()
-    found = contracts.crossref(items.where("length(identifier) >= 5"), document_lines(spark, sf_dir))
+    found = contracts.crossref(items, document_lines(spark, sf_dir))
     return found.select("identifier", "status", F.col("evidence_count").cast("long").alias("evidence_count"))
 
 
 def grep_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every occurrence of a word by itself: file, line and column from 1."""
-    lines = document_lines(spark, sf_dir).where(F.col("line").contains("the"))
-    word = T.bounded("the")
-    found = lines.where(F.col("line").rlike(word)).withColumn("_pieces", F.split("line", word, -1))
-    place = lambda i: F.aggregate(F.slice("_pieces", F.lit(1), i), F.lit(0), lambda s, p: s + F.length(p)) + (i - 1) * 3 + 1
-    columns = F.transform(F.sequence(F.lit(1), F.size("_pieces") - 1), place)
-    return found.select("path", "line_no", F.explode(columns).alias("col")).withColumn("col", F.col("col").cast("long"))
+    """Every occurrence of two words by themselves: file, line and column from 1."""
+    lines = document_lines(spark, sf_dir)
+    found = symbols.references(lines, "the").unionByName(symbols.references(lines, "est"))
+    return found.select("path", "line_no", "col")
 
 
 def grep_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = document_lines(spark, sf_dir).where(F.col("line").rlike(T.bounded("the")))
-    return lines.groupBy("path").agg(F.count("*").alias("matches")).orderBy(F.desc("matches"), "path").limit(15)
-
-
-def conversation_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two turns before and after each turn, as a hover shows the lines around one."""
-    order = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-2, 2)
-    roles = F.array_join(F.collect_list("role").over(order), ",")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", roles.alias("context"), F.sum(F.length("text")).over(order).cast("long").alias("chars"))
+    """The output of a search, as file:line:text, by file."""
+    found = symbols.references(document_lines(spark, sf_dir), "the").dropDuplicates(["path", "line_no"])
+    return summaries.grep_by_file(found.select(F.concat_ws(":", "path", "line_no", "line").alias("line")))
 
 
 def duplicate_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items whose distinct terms overlap by more than 70 percent of the smaller; joined by shared terms."""
-    terms = _queries(spark, sf_dir).select("query_id", F.array_distinct(T.tokenize(F.col("text"))).alias("terms"))
-    each = terms.select("query_id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
-    a, b = (each.select(F.col("query_id").alias(f"item_{s}"), F.col("n").alias(f"n_{s}"), "term") for s in "ab")
-    both = a.join(b, "term").where("item_a < item_b").groupBy("item_a", "item_b", "n_a", "n_b").agg(F.count("*").alias("shared"))
-    overlap = F.col("shared") / F.least("n_a", "n_b")
-    return both.where(overlap > 0.7).select("item_a", "item_b", "shared", F.round(overlap, 6).alias("overlap"))
+    """Benchmark items and the first half of each as specs."""
+    items = _queries(spark, sf_dir).select(F.col("query_id").alias("item_id"), T.tokenize(F.col("text")).alias("terms"))
+    halves = items.select((F.col("item_id") + 1_000_000).alias("item_id"), F.slice("terms", F.lit(1), F.ceil(F.size("terms") / 2).cast("int")).alias("terms"))
+    return knowledge.duplicate_specs(items.unionByName(halves)).withColumn("overlap", F.round("overlap", 6))
 
 
-def dedup_entities_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three sources of names as one list of entities, the first source of each."""
-    sources = [("region", "r_name"), ("nation", "n_name"), ("customer", "c_mktsegment")]
-    every = None
-    for rank, (name, column) in enumerate(sources):
-        part = table(spark, sf_dir, name).select(F.lower(column).alias("name"), F.lit(rank).alias("rank"), F.lit(name).alias("source"))
-        every = part if every is None else every.unionByName(part)
-    return every.groupBy("name").agg(F.min_by("source", "rank").alias("source"), F.count("*").alias("mentions"))
+def crossref_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = T.explode_tokens(_queries(spark, sf_dir), "text").select(F.col("token").alias("identifier")).distinct()
+    return contracts.status_counts(contracts.crossref(items, document_lines(spark, sf_dir)))
 
 
 def link_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,12 +163,20 @@ def link_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LINES_SQL = """l AS (SELECT doc_id AS path, unnest(range(1, len(parts) + 1)) AS line_no, unnest(parts) AS line
   FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL))"""
 
+_CROSSREF_SQL = f"""{_LINES_SQL}, i AS (SELECT DISTINCT t AS identifier FROM (SELECT unnest({_tokens_sql('text')}) AS t FROM benchmark)),
+w AS (SELECT DISTINCT path, line_no, unnest(regexp_extract_all(line, '[A-Za-z0-9_]+')) AS word FROM l),
+o AS (SELECT identifier, line FROM (SELECT * FROM i WHERE NOT regexp_full_match(identifier, '[A-Za-z0-9_]+')) JOIN l ON contains(line, identifier)),
+h AS (SELECT word AS identifier, least(count(*), 20) AS n FROM w GROUP BY word UNION ALL
+  SELECT identifier, least(count(*), 20) FROM o WHERE regexp_matches(line, '(^|[^A-Za-z0-9_])' || identifier || '([^A-Za-z0-9_]|$)') GROUP BY identifier),
+cr AS (SELECT i.identifier, CASE WHEN n IS NULL THEN 'PHANTOM' WHEN n < 3 THEN 'CANDIDATE' ELSE 'IMPLEMENTED' END AS status, coalesce(n, 0) AS evidence_count
+  FROM i LEFT JOIN h ON i.identifier = h.identifier AND strlen(i.identifier) >= 3)"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         tokenize_documents, corpus_stats, postings_df, bm25_search, bm25_multi_query, embed_search, hybrid_search, cochange_pairs,
         cochange_asymmetric, cochange_clusters, cluster_partial_touch, missing_cochange, cochange_intersection, crossref_status,
-        grep_references, grep_by_file, conversation_context, duplicate_specs, dedup_entities_union, link_extract,
+        grep_references, grep_by_file, duplicate_specs, crossref_counts, link_extract,
     )
 }
 _COS = "SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)) AS c FROM embeddings"
@@ -210,23 +202,15 @@ SELECT component, count(c_custkey) AS touched, count(*) AS size FROM m LEFT JOIN
 GROUP BY component HAVING count(c_custkey) > 0 AND count(c_custkey) < count(*)""",
     "missing_cochange": f"WITH {_PAIRS_SQL} SELECT partner, round(max(confidence), 6) AS confidence, count(*) AS because FROM d WHERE confidence >= 0.9 AND file IN {_PLAN} AND partner NOT IN {_PLAN} GROUP BY partner",
     "cochange_intersection": f"WITH {_PAIRS_SQL}, s AS (SELECT sha FROM b WHERE file IN (3, 7) GROUP BY sha HAVING count(*) = 2) SELECT file, count(*) AS commits FROM b JOIN s USING (sha) WHERE file NOT IN (3, 7) GROUP BY file",
-    "crossref_status": f"""WITH {_LINES_SQL}, i AS (SELECT DISTINCT t AS identifier FROM (SELECT unnest({_tokens_sql('text')}) AS t FROM benchmark) WHERE length(t) >= 5),
-w AS (SELECT DISTINCT path, line_no, unnest(regexp_extract_all(line, '[A-Za-z0-9_]+')) AS word FROM l),
-o AS (SELECT identifier, line FROM (SELECT * FROM i WHERE NOT regexp_full_match(identifier, '[A-Za-z0-9_]+')) JOIN l ON contains(line, identifier)),
-h AS (SELECT word AS identifier, least(count(*), 20) AS n FROM w GROUP BY word UNION ALL
-  SELECT identifier, least(count(*), 20) FROM o WHERE regexp_matches(line, '(^|[^A-Za-z0-9_])' || identifier || '([^A-Za-z0-9_]|$)') GROUP BY identifier)
-SELECT i.identifier, CASE WHEN n IS NULL THEN 'PHANTOM' WHEN n < 3 THEN 'CANDIDATE' ELSE 'IMPLEMENTED' END AS status, coalesce(n, 0) AS evidence_count
-FROM i LEFT JOIN h ON i.identifier = h.identifier""",
-    "grep_references": f"""WITH {_LINES_SQL}, c AS (SELECT path, line_no, line, unnest(range(1, length(line) + 1)) AS col FROM l WHERE contains(line, 'the'))
-SELECT path, line_no, col FROM c WHERE substr(line, col, 3) = 'the' AND (col = 1 OR NOT regexp_full_match(substr(line, col - 1, 1), '[A-Za-z0-9_]'))
+    "crossref_status": f"WITH {_CROSSREF_SQL} SELECT identifier, status, evidence_count FROM cr",
+    "crossref_counts": f"WITH {_CROSSREF_SQL} SELECT status, count(*) AS identifiers FROM cr GROUP BY status",
+    "grep_references": f"""WITH {_LINES_SQL}, k(word) AS (VALUES ('the'), ('est')), c AS (SELECT path, line_no, line, word, unnest(range(1, length(line) + 1)) AS col FROM l JOIN k ON contains(line, word))
+SELECT path, line_no, col FROM c WHERE substr(line, col, 3) = word AND (col = 1 OR NOT regexp_full_match(substr(line, col - 1, 1), '[A-Za-z0-9_]'))
  AND (col + 3 > length(line) OR NOT regexp_full_match(substr(line, col + 3, 1), '[A-Za-z0-9_]'))""",
-    "grep_by_file": f"WITH {_LINES_SQL} SELECT path, count(*) AS matches FROM l WHERE regexp_matches(line, '(^|[^A-Za-z0-9_])the([^A-Za-z0-9_]|$)') GROUP BY path ORDER BY 2 DESC, 1 LIMIT 15",
-    "conversation_context": """SELECT conv_id, turn, array_to_string(list(role) OVER w, ',') AS context, CAST(sum(length(text)) OVER w AS BIGINT) AS chars FROM conversations
-WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)""",
-    "duplicate_specs": f"""WITH t AS (SELECT item_id, list_distinct({_tokens_sql('text')}) AS ts FROM benchmark)
+    "grep_by_file": f"WITH {_LINES_SQL} SELECT CAST(path AS VARCHAR) AS file, count(*) AS matches FROM l WHERE regexp_matches(line, '(^|[^A-Za-z0-9_])the([^A-Za-z0-9_]|$)') GROUP BY path ORDER BY 2 DESC, 1 LIMIT 15",
+    "duplicate_specs": f"""WITH i AS (SELECT item_id, {_tokens_sql('text')} AS ts FROM benchmark), t AS (SELECT item_id, list_distinct(ts) AS ts FROM i
+  UNION ALL SELECT item_id + 1000000, list_distinct(ts[1:CAST(ceil(len(ts) / 2) AS BIGINT)]) FROM i)
 SELECT a.item_id AS item_a, b.item_id AS item_b, len(list_intersect(a.ts, b.ts)) AS shared, round(len(list_intersect(a.ts, b.ts)) / least(len(a.ts), len(b.ts)), 6) AS overlap
 FROM t a JOIN t b ON a.item_id < b.item_id WHERE len(list_intersect(a.ts, b.ts)) > 0.7 * least(len(a.ts), len(b.ts)) AND len(list_intersect(a.ts, b.ts)) > 0""",
-    "dedup_entities_union": """SELECT name, min_by(source, rank) AS source, count(*) AS mentions FROM (SELECT lower(r_name) AS name, 0 AS rank, 'region' AS source FROM region
-UNION ALL SELECT lower(n_name), 1, 'nation' FROM nation UNION ALL SELECT lower(c_mktsegment), 2, 'customer' FROM customer) GROUP BY name""",
     "link_extract": """WITH t AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS h FROM pages) SELECT page_id, unnest(range(len(h))) AS pos, unnest(h) AS href FROM t""",
 }

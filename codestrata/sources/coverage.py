@@ -30,6 +30,17 @@ def cobertura(files: DataFrame) -> DataFrame:
     return lines.select("report", "path", number("number").cast("int").alias("line"), number("hits").alias("hits")).where("line is not null")
 
 
+def jacoco(files: DataFrame) -> DataFrame:
+    """Lines of source files, their path that of the package; hits are the covered instructions."""
+    package = F.explode(F.regexp_extract_all("content", F.lit(r"(?s)<package\b.*?</package>"), F.lit(0)))
+    rows = files.select(F.col("path").alias("report"), package.alias("p"))
+    rows = rows.select("report", F.regexp_extract("p", r'^<package\b[^>]*?\bname="([^"]*)"', 1).alias("folder"), F.explode(F.regexp_extract_all("p", F.lit(r"(?s)<sourcefile\b.*?</sourcefile>"), F.lit(0))).alias("s"))
+    name = F.regexp_extract("s", r'^<sourcefile\b[^>]*?\bname="([^"]*)"', 1)
+    rows = rows.select("report", F.when(F.col("folder") == "", name).otherwise(F.concat_ws("/", "folder", name)).alias("path"), F.explode(F.regexp_extract_all("s", F.lit(r"<line\b[^>]*>"), F.lit(0))).alias("l"))
+    number = lambda k: F.regexp_extract("l", rf'\b{k}="([0-9]+)"', 1).try_cast("long")
+    return rows.select("report", "path", number("nr").cast("int").alias("line"), number("ci").alias("hits")).where("line is not null")
+
+
 def go_profile(files: DataFrame) -> DataFrame:
     """A row for each block of a coverprofile, at its first line."""
     rows = files.select(F.col("path").alias("report"), F.explode(F.regexp_extract_all("content", F.lit(r"(?m)^(\S+:[0-9]+\.[0-9]+,[0-9]+\.[0-9]+ [0-9]+ [0-9]+)"), F.lit(1))).alias("b"))

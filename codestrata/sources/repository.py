@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import subprocess
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,44 @@ def lines(found: DataFrame) -> DataFrame:
     return lines_of(found, "content", "repo", "path")
 
 
+def path_list(spark: SparkSession, place: str) -> DataFrame:
+    """(path): the lines of a text file that aren't blank."""
+    return spark.read.text(place).select(F.trim("value").alias("path")).where("path <> ''")
+
+
+def _git(root: str, *args: str) -> str:
+    if not os.path.exists(os.path.join(root, ".git")):
+        raise FileNotFoundError(f"{root} is no repository")
+    # %x1f and the like are git's own; names come unquoted
+    return subprocess.run(["git", "-C", root, "-c", "core.quotePath=false", *args], check=True, capture_output=True, text=True, errors="replace").stdout
+
+
+def git_log(spark: SparkSession, root: str, repo: str = "", since_days: int | None = None, merges: bool = True, revisions: str = "HEAD") -> tuple[DataFrame, DataFrame]:
+    """(commits, commit_files) of a repository's history, as parse_name_status gives them, read once on the driver.
+
+    revisions: what git takes, as "v1.0..HEAD" for all after a tag. since_days: only the last so many days.
+    """
+    args = ["log", "--name-status", "-M", "--date=iso-strict", "--pretty=format:COMMIT:%H%x1f%an%x1f%ad%x1f%s%x1f%b%x1e"]
+    args += [] if merges else ["--no-merges"]
+    args += [f"--since={since_days} days ago"] if since_days else []
+    records = ["COMMIT:" + r for r in re.split("(?m)^COMMIT:", _git(root, *args, revisions, "--"))[1:]]
+    return parse_name_status(spark.createDataFrame([(repo, r) for r in records], "repo string, content string"))
+
+
+def git_tags(spark: SparkSession, root: str, repo: str = "") -> DataFrame:
+    """(repo, tag, sha, tagged_at): tags with the commits that they name."""
+    form = "%(refname:short)%1f%(objectname)%1f%(*objectname)%1f%(creatordate:iso-strict)"
+    rows = [x.split("\x1f") for x in _git(root, "for-each-ref", f"--format={form}", "refs/tags").splitlines()]
+    table = spark.createDataFrame([(repo, tag, peeled or sha, at) for tag, sha, peeled, at in rows], "repo string, tag string, sha string, at string")
+    return table.select("repo", "tag", "sha", F.to_timestamp("at").alias("tagged_at"))
+
+
+def git_parents(spark: SparkSession, root: str, repo: str = "") -> DataFrame:
+    """(repo, sha, parent): the commit graph, a null parent for a first commit."""
+    rows = [x.split() for x in _git(root, "rev-list", "--all", "--parents").splitlines()]
+    return spark.createDataFrame([(repo, r[0], p) for r in rows for p in r[1:] or [None]], "repo string, sha string, parent string")
+
+
 def parse_log(logs: DataFrame, marker: str = "COMMIT:") -> DataFrame:
     """(repo, sha, file) of logs (repo, content): a marker line begins a commit, every other line that isn't blank is a file.
 
@@ -39,7 +78,7 @@ def parse_log(logs: DataFrame, marker: str = "COMMIT:") -> DataFrame:
     """
     records = logs.select("repo", F.posexplode(F.split("content", f"(?m)^{marker}", -1)).alias("n", "record")).where("n > 0")
     rows = F.split("record", r"\r?\n")
-    names = F.filter(F.transform(F.slice(rows, 2, 1 << 30), F.trim), lambda x: x != "")
+    names = F.filter(F.transform(F.slice(rows, 2, 1 << 30), lambda x: F.trim(x)), lambda x: x != "")
     return records.select("repo", F.trim(F.get(rows, F.lit(0))).alias("sha"), F.explode_outer(names).alias("file"))
 
 

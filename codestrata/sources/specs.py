@@ -83,6 +83,12 @@ def _proto(path: str, content: str) -> Iterator[tuple]:
             yield package and package[1], m[1], r[1], r[3], r[5], _MODES[bool(r[2]), bool(r[4])]
 
 
+def messages(files: DataFrame) -> DataFrame:
+    """(repo, file, message): lines of .proto files that begin with "message"."""
+    rows = files.where(F.col("path").endswith(".proto")).select("repo", F.col("path").alias("file"), F.explode(F.split("content", r"\r?\n")).alias("line"))
+    return rows.where(F.trim("line").startswith("message ")).select("repo", "file", F.regexp_extract("line", r"^\s*message\s+(\w*)", 1).alias("message"))
+
+
 def protobuf(files: DataFrame) -> DataFrame:
     """Remote calls of .proto files."""
     found = files.where(F.col("path").endswith(".proto")).select("repo", "path", "content")

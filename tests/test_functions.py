@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from codestrata.functions import paths, symbols
 from codestrata.functions import text as T
-from codestrata.operators import activity, contracts, evolution, graph, knowledge, project, quality, releases, search, summaries
+from codestrata.operators import activity, contracts, evolution, files, graph, knowledge, project, quality, releases, search, summaries
+from codestrata.plans import report
 
 
 def one(spark, column, **values):
@@ -290,7 +291,7 @@ def test_index_and_entities(spark, tmp_path):
     direct = {r.doc_id: r.score for r in search.bm25(docs, queries).collect()}
     assert {r.doc_id: pytest.approx(r.score) for r in written.collect()} == direct
     items = spark.createDataFrame([(1, "validation", 3, "2026-01-01"), (2, "format", 9, "2026-01-01")], "doc_id long, category string, uses int, changed_at string")
-    assert [r.doc_id for r in search.reuse(items, written.select("doc_id", "score"), "format").collect()] == [2, 1]
+    assert [r.doc_id for r in search.reuse(items, written.select("doc_id", "score"), "format", least=0.0).collect()] == [2, 1]
     eps = spark.createDataFrame([endpoint("GET", "/u", "listU"), endpoint("GET", "/v", None)], SCHEMA)
     rpcs = spark.createDataFrame([("a.proto", "Hello")], "file string, rpc string")
     ops = spark.createDataFrame([("s.gql", "users")], "schema_file string, name string")
@@ -300,3 +301,67 @@ def test_index_and_entities(spark, tmp_path):
     lines = spark.createDataFrame([("// TODO implement x",), ("plain",)], "line string")
     names, log = spark.createDataFrame([("feat/y",), ("main",)], "name string"), spark.createDataFrame([("feat(a): z",), ("fix: q",)], "subject string")
     assert {(r.source, r.text) for r in evolution.intents(lines, names, log).collect()} == {("comment", "// TODO implement x"), ("branch", "feat/y"), ("commit", "feat(a): z")}
+
+
+def test_hashes(spark):
+    table = spark.createDataFrame([("a", "hello world"), ("b", ""), ("c", None), ("d", "é" * 1000)], "path string, content string")
+    got = {r.path: (r.hash, r.size_bytes) for r in files.hashes(table).collect()}
+    assert got["a"] == ("d447b1ea40e6988b", 11) and got["b"] == ("2d06800538d394c2", 0) and got["d"][1] == 2000 and "c" not in got
+    assert files.totals(files.hashes(table)).first() == (3, 2011) and files.totals(files.hashes(table.limit(0))).first() == (0, 0)
+    assert {r.path for r in files.hashes(table, method="sha256").collect()} == {"a", "b", "d"}
+
+
+def test_references(spark):
+    lines = spark.createDataFrame([("f", 1, "get get_x get"), ("f", 2, "forget"), ("f", 3, "x.get(get)"), ("f", 4, "éget")], "path string, line_no int, line string")
+    assert sorted((r.line_no, r.col) for r in symbols.references(lines, "get").collect()) == [(1, 1), (1, 11), (3, 3), (3, 7), (4, 2)]
+
+
+def test_crossref_without_ascii_words(spark):
+    """Identifiers without a word of ASCII meet lines by their first characters; all against a plain search."""
+    import re
+
+    words = ["日本語", "日", "é£é", "->-", "a->-", "éé", "()()", "x y", "語日"]
+    text = ["日本語 x", "é£éa", "é£é a->-b", "->- ()()", "日", "語日本語", "x y", "ax y", "éé é£é 語日 日本語é"]
+    lines = spark.createDataFrame([("f", i, t) for i, t in enumerate(text)], "path string, line_no int, line string")
+    got = {r.identifier: r.evidence_count for r in contracts.crossref(spark.createDataFrame([(w,) for w in words], "identifier string"), lines).collect()}
+    alone = lambda w, t: re.search(r"(?<![A-Za-z0-9_])" + re.escape(w) + r"(?![A-Za-z0-9_])", t)
+    assert got == {w: sum(bool(alone(w, t)) for t in text) if len(w.encode()) >= 3 else 0 for w in words}
+
+
+def test_pairs_lose_nothing(spark):
+    """Prefix filtering against counting all pairs, for ratios that keep few or many."""
+    import collections
+    import itertools
+    import random
+
+    r = random.Random(3)
+    commits = {c: set(r.sample(range(30), r.choice((1, 2, 3, 30)))) for c in range(60)}
+    rows = [(c, f) for c, fs in commits.items() for f in fs]
+    table = spark.createDataFrame(rows + rows[:40], "sha long, file long")
+    totals = collections.Counter(f for _, f in rows)
+    for least in (0.0, 0.34, 0.5, 0.75, 1.0):
+        shared = collections.Counter(p for fs in commits.values() for p in itertools.combinations(sorted(fs), 2))
+        want = {(a, b): n for (a, b), n in shared.items() if min(totals[a], totals[b]) >= 5 and n / max(totals[a], totals[b]) >= least}
+        got = {(x.file_a, x.file_b): x.shared for x in graph.pairs(table, min_ratio=least, excludes=()).collect()}
+        assert got == want
+
+
+def test_reuse_needs_a_score(spark):
+    items = spark.createDataFrame([(1, "auth", 5, 1), (2, "auth", 1, 1), (3, "log", 9, 1), (4, "auth", 1, 2)], "doc_id long, category string, uses int, changed_at int")
+    hits = spark.createDataFrame([(1, 2.9), (2, 3.0), (3, 9.0), (4, 3.0)], "doc_id long, score double")
+    assert [r.doc_id for r in search.reuse(items, hits, "auth").collect()] == [4, 2, 3]
+    assert [r.doc_id for r in search.reuse(items, hits, "auth", search.PLAN_SCORE).collect()] == [3]
+
+
+def test_reports(spark):
+    pairs = spark.createDataFrame([("a", "b", 0.5, 3), ("a", "c", 0.9, 2), ("b", "c", 0.9, 4)], "file_a string, file_b string, ratio double, shared int")
+    text = report.render("cochange", {"pairs": pairs})
+    assert text.startswith("# Files that change together\n\n## Pairs\n\n| file_a |") and "Clusters" not in text
+    assert [x.split(" | ")[1:3] for x in text.splitlines()[6:9]] == [["c", "0.9"], ["c", "0.9"], ["b", "0.5"]] and text.index("| b | c") < text.index("| a | c")
+    assert len(report.REPORTS) == 18 and report.ordered(pairs, "-shared", most=1).first().shared == 4
+
+
+def test_user_excludes(spark):
+    patterns = paths.excludes(("docs/", "*.lock", "gen"))
+    assert patterns[: len(paths.DEFAULT_EXCLUDES)] == paths.DEFAULT_EXCLUDES and patterns[len(paths.DEFAULT_EXCLUDES) :] == ("docs/", "gen")
+    assert one(spark, paths.excluded(F.lit("a/docs/x"), patterns)) and not one(spark, paths.excluded(F.lit("src/x.rs"), patterns))

@@ -5,6 +5,7 @@ import os
 
 import pytest
 
+from codestrata.operators import releases
 from codestrata.sources import coverage, registry, repository, specs
 
 
@@ -97,3 +98,56 @@ def test_registry(spark, tmp_path):
         again.remove("two")
         with pytest.raises(KeyError):
             again.remove("two")
+
+
+def test_git_reader(spark, tmp_path):
+    """A small history with a branch, a merge, a rename and two tags, read by git itself."""
+    import subprocess
+
+    def git(*args):
+        identity = ["-c", "user.name=ann", "-c", "user.email=ann@example.org", "-c", "commit.gpgsign=false", "-c", "init.defaultBranch=main"]
+        return subprocess.run(["git", "-C", str(tmp_path), *identity, *args], check=True, capture_output=True, text=True).stdout.strip()
+
+    def commit(name, text, message):
+        (tmp_path / name).write_text(text)
+        git("add", "-A")
+        git("commit", "-q", "-m", message)
+        return git("rev-parse", "HEAD")
+
+    with pytest.raises(FileNotFoundError):
+        repository.git_tags(spark, str(tmp_path))
+    git("init", "-q")
+    first = commit("a.rs", "one\ntwo\nthree\n", "feat!: start\n\nCOMMIT is a word here")
+    git("tag", "v1.0.0")
+    git("checkout", "-q", "-b", "side")
+    side = commit("s p.rs", "x", "fix: side")
+    git("checkout", "-q", "main")
+    git("mv", "a.rs", "b.rs")
+    moved = commit("c.rs", "y", "refactor: move")
+    git("merge", "-q", "--no-ff", "side", "-m", "merge side")
+    merge = git("rev-parse", "HEAD")
+    git("tag", "-a", "v1.1.0", "-m", "annotated")
+    last = commit("d.rs", "z", "chore: more")
+    git("checkout", "-q", "--orphan", "lost")
+    lost = commit("e.rs", "z", "lost")
+    git("checkout", "-q", "main")
+    commits, touched = repository.git_log(spark, str(tmp_path), "r")
+    assert {(r.sha, r.subject) for r in commits.collect()} == {(first, "feat!: start"), (side, "fix: side"), (moved, "refactor: move"), (merge, "merge side"), (last, "chore: more")}
+    got = {(r.sha, r.file, r.status, r.renamed_from) for r in touched.collect()}
+    assert got == {(first, "a.rs", "A", None), (side, "s p.rs", "A", None), (moved, "b.rs", "R", "a.rs"), (moved, "c.rs", "A", None), (last, "d.rs", "A", None)}
+    assert [r.sha for r in repository.git_log(spark, str(tmp_path), "r", revisions="v1.1.0..HEAD")[0].collect()] == [last]
+    assert merge not in {r.sha for r in repository.git_log(spark, str(tmp_path), merges=False)[0].collect()}
+    tags = repository.git_tags(spark, str(tmp_path), "r")
+    assert {(r.tag, r.sha) for r in tags.collect()} == {("v1.0.0", first), ("v1.1.0", merge)}
+    found = releases.reachable_release(repository.git_parents(spark, str(tmp_path), "r"), tags)
+    assert {r.sha: r.tag for r in found.collect()} == {first: "v1.0.0", side: "v1.1.0", moved: "v1.1.0", merge: "v1.1.0", last: None, lost: None}
+
+
+def test_messages(spark):
+    text = "message A {\n  message B { string message = 1; }\n}\n// message C\nmessages x\n"
+    assert sorted(r.message for r in specs.messages(files(spark, {"a.proto": text, "b.txt": text})).collect()) == ["A", "B"]
+
+
+def test_jacoco_without_a_package(spark):
+    xml = '<report><package name=""><sourcefile name="A.java"><line nr="3" mi="1" ci="0"/><line nr="x"/></sourcefile></package><package name="p/q"><sourcefile name="B.java"/></package></report>'
+    assert [(r.path, r.line, r.hits) for r in coverage.jacoco(files(spark, {"jacoco.xml": xml})).collect()] == [("A.java", 3, 0)]
