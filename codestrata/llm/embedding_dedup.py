@@ -6,6 +6,12 @@ projections; vectors close to a cut go to both sides. Every class is sent to its
 compared by blocks, and a leaf of many rows is dealt to cells of bounded size in which each pair meets once. A cell
 gives one row per vector (its number of links, and the least vector that it reaches there), never pairs. A pair that
 shares several leaves is counted in the first only. Components are joined by label propagation.
+
+Cases: only vectors with equal labels and equally many components are compared. Null labels, null, empty or zero
+vectors, and vectors with null or non-finite components link with nothing and are components of their own. Rows that
+repeat a vec_id are vectors of their own, counted as links of each other if equal; equal vectors are always linked. A
+null vec_id links with nothing and is not kept. Other columns, whatever their names, are not looked at. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -94,12 +100,7 @@ def compare(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
 
 
 def link(vectors: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for every row of vectors (vec_id, embedding, label).
-
-    Only vectors with equal labels and equally many components are compared. Null labels, null, empty or zero vectors,
-    and vectors with null or non-finite components link with nothing and are components of their own. Rows that repeat
-    a vec_id are vectors of their own, counted as links of each other if equal. Other columns are not looked at.
-    """
+    """(vec_id, n_links, component_id, kept) for every row of vectors (vec_id, embedding, label)."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     rows = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
     usable = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite, F.lit(False))

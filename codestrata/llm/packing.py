@@ -5,6 +5,10 @@ the partitions' token totals give each its global offset by a prefix sum. The se
 multiples of the window: a document's pieces follow from its global start alone, and a piece that a window's edge
 makes is a boundary record. Nothing is sorted and no text is shuffled; the only gathered rows are one total per
 partition. Every sequence but the last is full, so padding is at most one window in the whole corpus.
+
+Cases: a null or empty text has one id, the end id; a text of any length is tokenised whole, by seams where the
+tokenizer splits anyway, and cut into as many pieces as it needs; repeated rows are packed each; other columns,
+whatever their names, are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -121,8 +125,7 @@ def tokenise(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", ranks: str
 def pack(docs: DataFrame, sequence: int = SEQUENCE, with_ids: bool = False, **vocabulary) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, last (and ids, if asked).
 
-    Every document, repeated rows and null texts too, appears whole, in one piece or more. sequence_id * sequence +
-    offset is a piece's place in the corpus. An empty table gives no rows.
+    Every document appears whole, in one piece or more. sequence_id * sequence + offset is a piece's place in the corpus.
     """
     ids = shared.stash(tokenise(docs, **vocabulary), "packing")
     # one row for each partition that was tokenised, however many documents there are

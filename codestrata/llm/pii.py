@@ -9,6 +9,10 @@ outside label is the only one. Its spans are added where they touch no base span
 The weights are trained here, on the driver, from labelled sentences that a seeded generator writes (their number is
 a parameter): forward-backward over segments, stochastic gradient steps. Every whole text is scanned in one pass over
 the table, without a shuffle.
+
+Cases: a null text is empty and has no spans; a text of any length is scanned whole, in time linear in it; repeated
+rows are scanned each; of segmentations of equal score that of the shortest last segment wins; other columns, whatever
+their names, are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -335,8 +339,8 @@ def find(text: str, field: Field) -> tuple[list, list]:
 def find_spans(docs: DataFrame, weights: dict | None = None) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base, spans) for every row of docs, in one pass.
 
-    base and spans are strings kind:start:end, comma-joined; positions count code points, ends are exclusive. A null
-    text is empty. Rows stay apart, with the same doc_id too; other columns are not looked at.
+    base and spans are strings kind:start:end, comma-joined; positions count code points, ends are exclusive. Rows stay
+    apart, with the same doc_id too.
     """
     weights = trained() if weights is None else weights
     write = lambda spans: ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
