@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions import paths
 from codestrata.functions.text import lines_of
+from codestrata.operators.graph import checkpoint
 
 #: Larger files are not read as source.
 MAX_BYTES = 500_000
@@ -103,10 +104,10 @@ def parse_name_status(logs: DataFrame, marker: str = "COMMIT:", fields: str = "\
 
 def current_names(renames: DataFrame, rounds: int = 32) -> DataFrame:
     """(old, new): every earlier name of a file with its last one; renames: (renamed_from, file), without cycles."""
-    out = renames.select(F.col("renamed_from").alias("old"), F.col("file").alias("new")).distinct()
+    out = checkpoint(renames.select(F.col("renamed_from").alias("old"), F.col("file").alias("new")).distinct())
     for _ in range(rounds):
         step = out.select(F.col("old").alias("new"), F.col("new").alias("_next"))
-        joined = out.join(step, "new", "left")
+        joined = checkpoint(out.join(step, "new", "left"))  # names jump to their last known one, so lines halve
         if not joined.where("_next is not null").take(1):
             return out
         out = joined.select("old", F.coalesce("_next", "new").alias("new")).distinct()
