@@ -46,14 +46,15 @@ class Forest:
         self.directions /= np.linalg.norm(self.directions, axis=2, keepdims=True)
         self.cuts = np.zeros((self.trees, 2**self.depth))
         for t in range(self.trees):
-            node = np.ones(len(sample), np.int64)
+            own = {1: np.arange(len(sample))}  # the sample of each node; of one that it hardly reaches, that of the node above
             for level in range(self.depth):
-                p = sample @ self.directions[t, level]
-                for k in range(2**level, 2 ** (level + 1)):
-                    here = p[node == k]
-                    # nodes that hardly any of the sample reaches are cut like all vectors
-                    self.cuts[t, k] = np.quantile(here if len(here) >= 8 else p, r.uniform(0.4, 0.6))
-                node = 2 * node + (p > self.cuts[t, node])
+                p, below = sample @ self.directions[t, level], {}
+                for k, rows in own.items():
+                    self.cuts[t, k] = cut = np.quantile(p[rows], r.uniform(0.4, 0.6))
+                    right = p[rows] > cut
+                    for child, part in ((2 * k, rows[~right]), (2 * k + 1, rows[right])):
+                        below[child] = part if len(part) >= 8 else rows
+                own = below
 
     def leaves(self, x: np.ndarray, spill: float = SPILL) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each tree (rows, leaf codes) of the unit vectors x; a row is in all leaves that its spill reaches."""

@@ -6,14 +6,16 @@ siblings by their weights, until they are full too; only then is it left to the
 every document once for each whole epoch in its budget, and of one more epoch a prefix, in an order that the seed
 and the number of the epoch fix, as long as the budget holds whole documents.
 
-DataFrame functions only. Prefix sums over a leaf never bring the leaf together: tokens are first summed by bins,
-the leading digits of the documents' order keys; a document's place is its bin's prefix sum and that inside the bin.
-The number of bins grows with the root of the number of rows, 4096 in a leaf at least. The key is a hash of the id and
-of the text, so rows that share an id, null ids too, are spread like any others; only equal rows have equal keys.
-
-Cases: null names are "", null texts empty; texts without a word are taken as often as their leaf has whole epochs;
-texts of any length count whole; repeated rows are documents of their own, and of equal rows any may be the last that
-is taken; other columns are not looked at (those in keep are passed on); an empty table gives an empty result.
+DataFrame functions only. A leaf's prefix is found as one key, the largest that is taken, without bringing the leaf
+together: tokens are summed by bins, the leading digits of the keys; the rows of the one bin into which the budget's
+end falls are put in order. Each row is then taken or left by its own key. The number of bins grows with the root of
+the number of rows, 4096 in a leaf at least. The key is a hash of the id and of the text, so rows that share an id,
+null ids too, are spread like any others; rows equal in both have equal keys and are taken or left together.
+
+Cases: null names are "", null texts empty; texts without a word are taken as often as their leaf has whole epochs, and
+once more inside a prefix; texts of any length count whole; repeated rows are documents of their own with one key;
+other columns are not looked at, whatever their names (those in keep are passed on); an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -99,21 +101,59 @@ def leaf_budgets(
     return dealt.select(*levels, "tokens", "budget")
 
 
+def _named(docs: DataFrame, domain: Column | None) -> dict[str, Column]:
+    """The names of a row's leaf by level."""
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("")
+    return {"domain": F.coalesce(domain, F.lit("")) if domain is not None else domain_of(name("source")), "lang": name("lang"), "source": name("source")}
+
+
 def measure(docs: DataFrame, domain: Column | None = None, keep: tuple = ()) -> DataFrame:
     """(doc_id, domain, lang, source, tokens, digest) and the columns keep of each row; tokens are words."""
-    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("")
-    domain = F.coalesce(domain, F.lit("")) if domain is not None else domain_of(name("source"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(
         "doc_id",
-        domain.alias("domain"),
-        name("lang").alias("lang"),
-        name("source").alias("source"),
-        F.coalesce(F.regexp_count("text", F.lit(shared.WORD_CLASS + "+")), F.lit(0)).cast("long").alias("tokens"),
-        F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("digest"),
+        *[c.alias(k) for k, c in _named(docs, domain).items()],
+        F.regexp_count(text, F.lit(shared.WORD_CLASS + "+")).cast("long").alias("tokens"),
+        F.md5(text.cast("binary")).alias("digest"),
         *keep,
     )
 
 
+def order_key(seed: int) -> Column:
+    """A row's place in its leaf's last epoch, from doc_id, digest and the number of that epoch."""
+    name = F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "digest")
+    return F.md5(name.cast("binary"))
+
+
+def prefixes(measured: DataFrame, weights: Mapping, share: float, max_epochs: int, seed: int) -> DataFrame:
+    """(domain, lang, source, epochs, last): how often a leaf takes each row, and the last key that it takes once more."""
+    leaf = list(LEVELS)
+    sums = measured.groupBy(*leaf).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
+    budgets = leaf_budgets(shared.stash(sums, "mixing-leaves"), LEVELS, weights, share, max_epochs)
+    some = F.col("tokens") > 0
+    plan = budgets.select(
+        *leaf,
+        F.when(some, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("long").alias("epochs"),
+        F.when(some, F.col("budget") % F.col("tokens")).otherwise(0).cast("long").alias("rest"),
+    )
+    plan = shared.stash(plan, "mixing-plan")
+    digits = max(BIN_DIGITS, math.ceil(math.log(max(measured.count(), 1), 16) / 2))
+    keyed = measured.join(plan.where("rest > 0"), leaf).select(*leaf, "rest", "tokens", order_key(seed).alias("key"))
+    keyed = keyed.withColumn("bin", F.substring("key", 1, digits))
+    # the first bin that the budget doesn't hold whole, by prefix sums over a leaf's bins
+    by_bin = Window.partitionBy(*leaf).orderBy("bin")
+    bins = keyed.groupBy(*leaf, "rest", "bin").agg(F.sum("tokens").alias("in_bin"))
+    bins = bins.withColumn("upto", F.sum("in_bin").over(by_bin.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = bins.where("upto > rest").groupBy(*leaf).agg(F.min(F.struct("bin", (F.col("upto") - F.col("in_bin")).alias("before"))).alias("e"))
+    ends = shared.stash(ends.select(*leaf, F.col("e.bin").alias("bin"), "e.before"), "mixing-ends")
+    # the rows of that bin by key, equal keys together; the bin's own digits sort before all its keys
+    by_key = Window.partitionBy(*leaf, "bin").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
+    last = keyed.join(ends, [*leaf, "bin"]).groupBy(*leaf, "bin", "before", "rest", "key").agg(F.sum("tokens").alias("tokens"))
+    last = last.withColumn("upto", F.col("before") + F.sum("tokens").over(by_key)).where("upto <= rest").groupBy(*leaf).agg(F.max("key").alias("key"))
+    found = plan.join(ends, leaf, "left").join(last, leaf, "left")
+    return shared.stash(found.select(*leaf, "epochs", F.coalesce("key", "bin", F.lit("")).alias("last")), "mixing-prefixes")
+
+
 def mix(
     docs: DataFrame,
     weights: Mapping = WEIGHTS,
@@ -123,34 +163,12 @@ def mix(
     domain: Column | None = None,
     keep: tuple = (),
 ) -> DataFrame:
-    """A row per row of docs: doc_id, domain, lang, source, tokens, copies (long, 0: left out) and the columns keep.
-
-    Each row is put in order by its doc_id, a null one as an empty name, and its text.
-    """
-    leaf = list(LEVELS)
-    measured = shared.stash(measure(docs, domain, keep), "mixing")
-    budgets = leaf_budgets(measured.groupBy(*leaf).agg(F.sum("tokens").alias("tokens")), LEVELS, weights, share, max_epochs)
-    plan = budgets.select(
-        *leaf,
-        F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("long").alias("epochs"),
-        F.when(F.col("tokens") > 0, F.col("budget") % F.col("tokens")).otherwise(0).cast("long").alias("rest"),
-    )
-    plan = shared.stash(plan, "mixing-plan")
-    name = F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "digest")
-    digits = max(BIN_DIGITS, math.ceil(math.log(max(measured.count(), 1), 16) / 2))
-    keyed = measured.join(plan, leaf).withColumn("key", F.md5(name.cast("binary"))).withColumn("bin", F.substring("key", 1, digits))
-    # tokens by bin, then prefix sums over a leaf's bins
-    by_bin = Window.partitionBy(*leaf).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = (
-        keyed.groupBy(*leaf, "bin")
-        .agg(F.sum("tokens").alias("bin_tokens"))
-        .withColumn("before", F.coalesce(F.sum("bin_tokens").over(by_bin), F.lit(0)))
-    )
-    in_bin = Window.partitionBy(*leaf, "bin").orderBy("key", "doc_id", "tokens", *keep).rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.col("before") + F.sum("tokens").over(in_bin)
-    placed = keyed.join(bins, [*leaf, "bin"]).withColumn("upto", upto)
-    taken = F.col("epochs") + F.when((F.col("upto") <= F.col("rest")) & (F.col("rest") > 0), 1).otherwise(0)
-    return placed.select("doc_id", *leaf, "tokens", taken.alias("copies"), *keep)
+    """A row per row of docs: doc_id, domain, lang, source, tokens, copies (long, 0: left out) and the columns keep."""
+    measured = shared.stash(measure(docs, domain), "mixing")
+    found = prefixes(measured, weights, share, max_epochs, seed)
+    rows = measure(docs, domain, keep) if keep else measured  # kept columns are read again, not written
+    copies = F.col("epochs") + F.when(order_key(seed) <= F.col("last"), 1).otherwise(0)
+    return rows.join(found, list(LEVELS)).select("doc_id", *LEVELS, "tokens", copies.alias("copies"), *keep)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,7 +212,6 @@ p AS (SELECT domain, lang, source, CASE WHEN tokens > 0 THEN budget // tokens EL
   CASE WHEN tokens > 0 THEN budget % tokens ELSE 0 END AS rest FROM b3)
 SELECT doc_id, domain, lang, source, tokens, CAST(epochs + CASE WHEN rest > 0 AND
     sum(tokens) OVER (PARTITION BY domain, lang, source
-      ORDER BY md5('{SEED}:' || epochs || ':' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || digest), doc_id NULLS FIRST, tokens
-      ROWS UNBOUNDED PRECEDING) <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies
+      ORDER BY md5('{SEED}:' || epochs || ':' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || digest) RANGE UNBOUNDED PRECEDING) <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies
 FROM d JOIN p USING (domain, lang, source)
 """

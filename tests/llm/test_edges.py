@@ -142,7 +142,7 @@ def test_stages(spark, tmp_path, stage, empty):
         assert all(r.n_chars == len(r.text) for r in got if r.text and secret_scan.MARK in r.text)
     if name == "mixing":
         copies = {}
-        for r in mixing.mix(docs.drop("a.b")).collect():
+        for r in mixing.mix(docs).collect():
             copies[r.doc_id] = copies.get(r.doc_id, 0) + r.copies
         assert len(texts) == sum(copies.values()) and set(texts) <= set(every)
         assert all(sum(t[0] == (-1 if i is None else i) for t in texts) == n for i, n in copies.items())
