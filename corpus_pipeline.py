@@ -1,10 +1,12 @@
 """From raw documents to packed sequences: the operators of codestrata.llm as stages.
 
-Each stage takes (spark, docs, sf_dir) and returns a table, which is written and read again as the next one's docs.
+Each stage takes (spark, docs, sf_dir) and returns a table, which is written and read again as the next one's docs. What
+a stage keeps for itself in the shared folder is deleted when the next one begins, so its rows are to be written first.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,25 +17,46 @@ from codestrata.llm import minhash_dedup, mixing, packing, quality_rules, secret
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with a number of each row's own, written once so that every reader sees the same numbers, and its name."""
+#: What a stage has written besides its rows, until the next stage begins.
+_left: list[DataFrame] = []
+
+
+def _stage(function: Stage) -> Stage:
+    """function, which first deletes what the stage before wrote: its rows are written by then. The last stage's stays,
+    as its rows are read from it."""
+
+    @functools.wraps(function)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        shared.discard(*_left)
+        _left.clear()
+        with shared.watched() as made:
+            out = function(spark, docs, sf_dir)
+        _left.extend(made if function.__name__ != "pack" else ())
+        return out
+
+    return run
+
+
+def _whole(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with one more column that holds all of a row, and its name."""
     (row,) = shared.fresh(docs, "_row")
-    return shared.stash(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+    return docs.withColumn(row, F.struct(*map(shared.column, docs.columns))), row
 
 
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the quality rules keep, each by its own verdict whatever its doc_id.
 
     Null and empty texts fail the base rules; equal rows share their verdict; a text of any length is judged whole; an
     empty table stays empty. All columns of docs are returned, whatever their names.
     """
-    rows, row = _numbered(docs)
+    rows, row = _whole(docs)
     measured = shared.stash(quality_rules.metrics(rows, keep=(row,)), "quality")
     judged = quality_rules.judge(measured, quality_rules.thresholds(measured, shared.read_table(spark, sf_dir, "labels")))
-    gone = judged.where(~F.col("kept")).select(row)
-    return rows.join(gone, row, "left_anti").select(*map(shared.column, docs.columns))
+    return judged.where("kept").select(f"{row}.*")
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that with the least doc_id; rows that share it all stay.
 
@@ -46,6 +69,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(gone, docs["doc_id"] == gone[gone_id], "left_anti")
 
 
+@_stage
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, the secrets in their texts replaced by a mark (n_chars follows).
 
@@ -55,20 +79,20 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return secret_scan.redact(docs, secret_scan.default_forest(spark))
 
 
+@_stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mixture takes it, whatever its doc_id.
 
     Null names are a source of their own; null, empty and blank texts have no tokens and are taken as often as their
-    leaf has whole epochs; of equal rows any may be the last that is taken; an empty table stays empty. All columns of
+    leaf has whole epochs, or once more; equal rows are taken equally often; an empty table stays empty. All columns of
     docs are returned, whatever their names.
     """
-    rows, row = _numbered(docs)
-    copies, copy = shared.fresh(rows, "_copies", "_copy")
-    taken = mixing.mix(rows, keep=(row,)).where("copies > 0").select(row, F.col("copies").cast("int").alias(copies))
-    again = F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copy)
-    return rows.join(taken, row).select(*map(shared.column, docs.columns), again).drop(copy)
+    rows, row = _whole(docs)
+    taken = mixing.mix(rows, keep=(row,)).where("copies > 0")
+    return taken.select(row, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select(f"{row}.*")
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 1024 ids.
 
@@ -91,12 +115,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after the other. What a stage has written is deleted when the next one's docs are written; what
-    the result reads stays in the shared folder."""
+    """All stages, one after the other. A stage's docs are deleted when the next one's are written; what the result reads
+    stays in the shared folder."""
     docs = shared.read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        with shared.watched() as made:
-            out = shared.stash(stage(spark, docs, sf_dir), name)
-        shared.discard(docs, *[x for x in made if x is not out])
+        out = shared.stash(stage(spark, docs, sf_dir), name)
+        shared.discard(docs)
         docs = out
-    return STAGES[-1][1](spark, docs, sf_dir)
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    shared.discard(docs)
+    return out
