@@ -29,7 +29,9 @@ from . import shared
 
 THRESHOLD = 0.98
 #: Trees, classes that the trees are fitted on at most, classes wanted in a leaf, half width of the spill.
-TREES, SAMPLE, LEAF, SPILL, SEED = 6, 4096, 512, 0.008, 9
+TREES, SAMPLE, LEAF, SPILL, SEED = 6, 16_384, 512, 0.008, 9
+#: Further trees for each level beyond so many: each cut parts some pairs of a large loose group, more trees make up for it.
+MORE_TREES, BEYOND = 3, 6
 #: Rows of one side of a cell.
 CELL = 1024
 
@@ -40,7 +42,7 @@ class Forest:
     def __init__(self, sample: np.ndarray, classes: int, trees: int = TREES, leaf: int = LEAF, seed: int = SEED) -> None:
         r = np.random.default_rng(seed)
         self.depth = min(16, max(0, math.ceil(math.log2(max(1, classes) / leaf))))
-        self.trees = trees if self.depth else 1
+        self.trees = trees + MORE_TREES * max(0, self.depth - BEYOND) if self.depth else 1
         d = sample.shape[1]
         self.directions = r.normal(size=(self.trees, max(1, self.depth), d))
         self.directions /= np.linalg.norm(self.directions, axis=2, keepdims=True)
@@ -115,9 +117,9 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, l
     dims = classes.groupBy(F.size("embedding")).count().collect()
     forests = {}
     for d, n in dims:
-        some = classes.where(F.size("embedding") == d).orderBy("h").limit(SAMPLE).select("embedding").collect()
-        sample = _unit([np.asarray(r[0], "<f8").tobytes() for r in some])
-        forests[d] = Forest(sample, n, trees, leaf)
+        some = classes.where(F.size("embedding") == d).orderBy("h").limit(SAMPLE).select("embedding").toArrow()
+        sample = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in some["embedding"].chunks])
+        forests[d] = Forest(_unit([sample.astype("<f8").reshape(-1, d)[i].tobytes() for i in range(some.num_rows)]), n, trees, leaf)
 
     def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
