@@ -10,10 +10,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codestrata.functions import paths, symbols
+from codestrata.functions import display, paths, symbols
 from codestrata.functions import text as T
 from codestrata.operators import activity, contracts, evolution, files, graph, knowledge, project, quality, releases, search, summaries
-from codestrata.sources import coverage, repository, specs
+from codestrata.sources import coverage, repository, specs, vectors
 from codestrata.streaming import watch
 
 from . import search_queries
@@ -549,6 +549,23 @@ def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top(found, 5, "query_id").select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+def humanized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices as times and sizes, order dates as ages, for readers."""
+    price = F.col("o_totalprice")
+    ms, size = F.floor(price * price / 1000).cast("long"), F.floor(price * price / 3).cast("long")
+    age = display.humanize_age(F.col("o_orderdate"), F.lit("2001-01-01 00:00:00").cast("timestamp_ntz"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", display.humanize_ms(ms).alias("took"), display.humanize_bytes(size).alias("size"), age.alias("age"))
+
+
+def vector_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors written as bytes and read back: how many numbers, how many bytes, the first and the last number."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    sizes = vectors.to_bytes(rows, "v").select("vec_id", "v", F.octet_length("v").cast("long").alias("bytes"))
+    back = vectors.from_bytes(sizes, "v")
+    one = lambda i: F.round(F.element_at("v", i).cast("double"), 5)
+    return back.select("vec_id", "bytes", F.size("v").cast("long").alias("n"), one(1).alias("first"), one(-1).alias("last"))
+
+
 def hash_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.totals(files.hashes(texts(spark, sf_dir, "doc_id", "text"), "text", "doc_id"))
 
@@ -562,6 +579,7 @@ QUERIES = {
         identifier_under_cursor, conversation_context, intent_list, diff_by_file, tool_counts, find_by_folder, compress_savings, test_triage,
         log_head, project_facts, language_shares, entry_points, tree_paths, glance_lists, text_excerpts, frontmatter_errors, numbered_sections,
         path_list, path_matches, watch_batches, reuse_ranking, file_samples, risk_rollup, feature_breakdown, index_search, hash_totals,
+        humanized, vector_bytes,
     )
 }
 
@@ -670,5 +688,10 @@ j AS (SELECT e.path, round(coalesce(fragile, 0), 6) AS fragile, un.path IS NOT N
 SELECT *, (fragile > 0)::INT + untested::INT + (debt > 0)::INT + coalesce(zone = 'hot', false)::INT + (NOT coalesce(clear_owner, false))::INT + (drifted > 0)::INT AS signals FROM j""",
     "index_search": search_queries.SQL["bm25_multi_query"],
     "feature_breakdown": f"SELECT {_case(('IMPLEMENTED', 'DRIFTED', 'SPEC_ONLY'), '(doc_id + quality)')} AS verdict, count(*) AS features FROM labels GROUP BY 1",
+    "humanized": """WITH o AS (SELECT o_orderkey, CAST(floor(o_totalprice * o_totalprice / 1000) AS BIGINT) AS ms, CAST(floor(o_totalprice * o_totalprice / 3) AS BIGINT) AS b, date_diff('second', o_orderdate, TIMESTAMP '2001-01-01') AS s FROM orders)
+SELECT o_orderkey, CASE WHEN ms < 1000 THEN ms || 'ms' WHEN ms < 60000 THEN printf('%.1fs', ms / 1000) ELSE (ms // 60000) || 'm' || (ms // 1000 % 60) || 's' END AS took,
+CASE WHEN b < 1024 THEN b || 'B' WHEN b < 1048576 THEN printf('%.1fKB', b / 1024) WHEN b < 1073741824 THEN printf('%.1fMB', b / 1048576) ELSE printf('%.1fGB', b / 1073741824) END AS size,
+CASE WHEN s < 0 THEN NULL WHEN s < 60 THEN s || 's ago' WHEN s < 3600 THEN (s // 60) || 'm ago' WHEN s < 86400 THEN (s // 3600) || 'h ago' ELSE (s // 86400) || 'd ago' END AS age FROM o""",
+    "vector_bytes": "SELECT vec_id, CAST(4 * len(embedding) AS BIGINT) AS bytes, len(embedding) AS n, round(CAST(embedding[1] AS DOUBLE), 5) AS first, round(CAST(embedding[-1] AS DOUBLE), 5) AS last FROM embeddings WHERE embedding IS NOT NULL",
     "hash_totals": "SELECT count(*) AS files, CAST(coalesce(sum(strlen(text)), 0) AS BIGINT) AS total_bytes FROM documents WHERE text IS NOT NULL",
 }

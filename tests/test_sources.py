@@ -5,8 +5,10 @@ import os
 
 import pytest
 
+from codestrata.functions import display
 from codestrata.operators import releases
-from codestrata.sources import coverage, registry, repository, specs
+from codestrata.plans import instructions
+from codestrata.sources import coverage, layers, registry, repository, specs, vectors
 
 
 def files(spark, content):
@@ -151,3 +153,50 @@ def test_messages(spark):
 def test_jacoco_without_a_package(spark):
     xml = '<report><package name=""><sourcefile name="A.java"><line nr="3" mi="1" ci="0"/><line nr="x"/></sourcefile></package><package name="p/q"><sourcefile name="B.java"/></package></report>'
     assert [(r.path, r.line, r.hits) for r in coverage.jacoco(files(spark, {"jacoco.xml": xml})).collect()] == [("A.java", 3, 0)]
+
+
+def test_layers(tmp_path):
+    layer = tmp_path / "layer"
+    (layer / "01-topology").mkdir(parents=True)
+    (layer / "01-topology/INDEX.md").write_text("old")
+    (layer / "gone.md").write_text("g")
+    with pytest.raises(FileNotFoundError):
+        layers.rollback(str(layer))
+    name = layers.snapshot(str(layer), "pre-execute-x", at=0)
+    (layer / "01-topology/INDEX.md").write_text("new")
+    (layer / "gone.md").unlink()
+    (layer / "more.md").write_text("m")
+    assert layers.changes(str(layer)) == {"01-topology/INDEX.md": "revert", "gone.md": "restore", "more.md": "remove"}
+    assert layers.rollback(str(layer), name, at=60) == name and layers.changes(str(layer), name) == {}
+    assert (layer / "01-topology/INDEX.md").read_text() == "old" and not (layer / "more.md").exists()
+    assert layers.snapshots(str(layer)) == ["1970-01-01T00-01-00-before-rollback", "1970-01-01T00-00-00-pre-execute-x"]
+    layers.rollback(str(layer), at=120)  # back to the state before
+    assert (layer / "more.md").read_text() == "m"
+    phase = "uninitialized"
+    for to in ("discovered", "planning", "awaiting_approval", "executing", "paused", "executing", "done", "planning"):
+        phase = layers.advance(phase, to)
+    with pytest.raises(ValueError, match="done"):
+        layers.advance("planning", "done")
+    assert set(layers.NEXT) == set(layers.PHASES)
+
+
+def test_vectors(spark):
+    rows = spark.createDataFrame([(1, [1.0, -2.5]), (2, []), (3, None)], "id int, v array<float>")
+    raw = vectors.to_bytes(rows, "v")
+    assert [bytes(r.v) if r.v is not None else None for r in raw.orderBy("id").collect()] == [b"\x00\x00\x80?\x00\x00 \xc0", b"", None]
+    assert [r.v for r in vectors.from_bytes(raw, "v").orderBy("id").collect()] == [[1.0, -2.5], [], None]
+    assert vectors.from_bytes(spark.createDataFrame([(bytearray(b"abc"),)], "v binary"), "v").first().v is None
+
+
+def test_instructions(spark, tmp_path):
+    facts = {"Stacks": spark.createDataFrame([("r", "Rust")], "repo string, stack string")}
+    for tool, names in instructions.TOOLS.items():
+        assert instructions.write(tool, "demo", facts, str(tmp_path)) == [str(tmp_path / n) for n in names]
+    assert "| r | Rust |" in (tmp_path / "AGENTS.md").read_text() and (tmp_path / ".cursor/rules/project-context.mdc").read_text().startswith("---\n")
+
+
+def test_display(spark):
+    df = spark.createDataFrame([("a", 5, 10), ("bb", 20, 10), ("c", -1, 0)], "name string, v int, most int")
+    assert [r[0] for r in df.select(display.bar(df.v, df.most, 4)).collect()] == ["██░░", "████", "░░░░"]
+    assert display.terminal_table(df).splitlines() == ["name   v  most", "----  --  ----", "a      5    10", "bb    20    10", "c     -1     0"]
+    assert display.badge("x", "ok", colour=False) == "[x]" and "31m" in display.badge("x", "critical")
