@@ -63,6 +63,12 @@ def pairs(
     )
 
 
+def stats(commit_files: DataFrame, excludes: tuple = paths.DEFAULT_EXCLUDES, commit: str = "sha", item: str = "file") -> DataFrame:
+    """(commits, files_analyzed): commits, and distinct files after exclusion."""
+    kept = ~paths.excluded(F.col(item).cast("string"), excludes) if excludes else F.lit(True)
+    return commit_files.agg(F.countDistinct(commit).alias("commits"), F.countDistinct(F.when(kept, F.col(item))).alias("files_analyzed"))
+
+
 def set_checkpoint_dir(spark: SparkSession) -> None:
     """Set the folder of spark.checkpoint.dir; only a local session may do without one."""
     context = spark.sparkContext

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,6 +130,20 @@ def symbol_documents(symbols: DataFrame, *key: str) -> DataFrame:
     )
 
 
+def embed_texts(docs: DataFrame, encode: Callable[[list[str]], Iterable], text: str = "embedding_text", doc_id: str = "doc_id", at_once: int = 64) -> DataFrame:
+    """(doc_id, embedding) of texts by any model: encode turns a list of at most `at_once` texts into as many vectors."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, out = [t or "" for t in batch.column(1).to_pylist()], []
+            for s in range(0, len(texts), at_once):
+                out += [[float(x) for x in v] for v in encode(texts[s : s + at_once])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float32()))], names=["doc_id", "embedding"])
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    return docs.select(F.col(doc_id).alias("doc_id"), text).mapInArrow(run, f"doc_id {kind}, embedding array<float>")
+
+
 #: The least score of a hit that is offered for reuse, and of one that a plan takes up.
 REUSE_SCORE, PLAN_SCORE = 3.0, 5.0
 

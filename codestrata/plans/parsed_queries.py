@@ -10,13 +10,13 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codestrata.functions import display, paths, symbols
+from codestrata.functions import display, paths, symbols, syntax
 from codestrata.functions import text as T
 from codestrata.operators import activity, contracts, evolution, files, graph, knowledge, project, quality, releases, search, summaries
 from codestrata.sources import coverage, repository, specs, vectors
 from codestrata.streaming import watch
 
-from . import search_queries
+from . import fact_queries, report, search_queries
 from .adapters import PATH_SQL, SUBJECT_SQL, TAGS_SQL, order_commits, part_path, release_tags, table, texts
 
 _NOW, _NOW_SQL = "2000-01-01", "TIMESTAMP '2000-01-01'"
@@ -311,6 +311,15 @@ def workspace_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return symbols.workspace_symbols(_code(spark, sf_dir), "YM_1").unionByName(symbols.workspace_symbols(_code(spark, sf_dir), "sym2"))
 
 
+def syntax_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands as classes and parts as methods of Python sources."""
+    method = F.concat(F.lit("    def m_"), F.col("k").cast("string"), F.lit('(self):\n        "makes '), "p_name", F.lit('"'))
+    found = _text(_parts(spark, sf_dir), ("p_brand",), "k", method)
+    name = F.regexp_replace("p_brand", "#", "")
+    sources = found.select(F.lit("r").alias("repo"), F.concat("p_brand", F.lit(".py")).alias("path"), F.concat(F.lit("class "), name, F.lit(":\n"), "content").alias("content"))
+    return syntax.python_symbols(sources).select("path", "line_no", "end_line", "name", "kind", "doc", "inside")
+
+
 def sample_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project.sample_symbols(_code(spark, sf_dir))
 
@@ -549,6 +558,26 @@ def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top(found, 5, "query_id").select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+def cochange_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.stats(_touched(spark, sf_dir))
+
+
+def _ranked(name: str, key: str, query) -> object:
+    """A query: the rows of another as a part of a report shows them."""
+    return lambda spark, sf_dir: report.part(name, key, query(spark, sf_dir))
+
+
+#: Parts of reports: the report, the part, and the query and the order in SQL.
+_RANKED = {
+    "coverage_worst": ("coverage", "files", fact_queries, "coverage_files", "percent, path LIMIT 20"),
+    "replacements_top": ("replacements", "replacements", fact_queries, "replacement_pairs", "confidence DESC, removed, added, sha LIMIT 50"),
+    "unreleased_top": ("unreleased", "authors", fact_queries, "unreleased", "commits DESC, author LIMIT 50"),
+    "contract_changes": ("contract_diff", "changes", fact_queries, "contract_diff", "method, path LIMIT 500"),
+    "cochange_top": ("cochange", "pairs", search_queries, "cochange_pairs", "ratio DESC, shared DESC, file_a, file_b LIMIT 100"),
+    "clusters_top": ("cochange", "clusters", search_queries, "cochange_clusters", "size DESC, component LIMIT 50"),
+}
+
+
 def humanized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices as times and sizes, order dates as ages, for readers."""
     price = F.col("o_totalprice")
@@ -579,15 +608,18 @@ QUERIES = {
         identifier_under_cursor, conversation_context, intent_list, diff_by_file, tool_counts, find_by_folder, compress_savings, test_triage,
         log_head, project_facts, language_shares, entry_points, tree_paths, glance_lists, text_excerpts, frontmatter_errors, numbered_sections,
         path_list, path_matches, watch_batches, reuse_ranking, file_samples, risk_rollup, feature_breakdown, index_search, hash_totals,
-        humanized, vector_bytes,
+        humanized, vector_bytes, syntax_symbols, cochange_stats,
     )
-}
+} | {k: _ranked(name, key, module.QUERIES[q]) for k, (name, key, module, q, _) in _RANKED.items()}
 
 _STEM = r"lower(regexp_replace(regexp_extract(path, '([^/]*)$', 1), '^(.+)\.[^.]*$', '\1'))"
 _TEST_SQL = (
     "(regexp_matches(lower(path), '/(test|tests|__tests__|spec)/') OR regexp_matches(lower(path), '^(test|tests|spec)/') OR "
     "regexp_matches(lower(path), '(_test[.](go|py|rs)|[.](test|spec)[.](ts|tsx|js|jsx)|_spec[.]rb)$') OR regexp_matches(lower(path), '(^|/)test_[^/]*$'))"
 )
+_EXCLUDE_SQL = " OR ".join(
+    f"contains(file, '{p[:-1]}')" if p.endswith("/") else f"ends_with(file, '{p[1:]}')" if p.startswith("*") else f"contains(file, '{p}')" for p in paths.DEFAULT_EXCLUDES
+)
 _FACTS = ", ".join(f"({i}, '{f.split(':', 1)[0]}', '{f.split(':', 1)[1]}')" for i, (_, _, facts) in enumerate(_FILES) for f in facts)
 _FLAKY_WORDS = "|".join(T.FLAKY_WORDS)
 SQL = {
@@ -693,5 +725,10 @@ SELECT o_orderkey, CASE WHEN ms < 1000 THEN ms || 'ms' WHEN ms < 60000 THEN prin
 CASE WHEN b < 1024 THEN b || 'B' WHEN b < 1048576 THEN printf('%.1fKB', b / 1024) WHEN b < 1073741824 THEN printf('%.1fMB', b / 1048576) ELSE printf('%.1fGB', b / 1073741824) END AS size,
 CASE WHEN s < 0 THEN NULL WHEN s < 60 THEN s || 's ago' WHEN s < 3600 THEN (s // 60) || 'm ago' WHEN s < 86400 THEN (s // 3600) || 'h ago' ELSE (s // 86400) || 'd ago' END AS age FROM o""",
     "vector_bytes": "SELECT vec_id, CAST(4 * len(embedding) AS BIGINT) AS bytes, len(embedding) AS n, round(CAST(embedding[1] AS DOUBLE), 5) AS first, round(CAST(embedding[-1] AS DOUBLE), 5) AS last FROM embeddings WHERE embedding IS NOT NULL",
+    "syntax_symbols": f"""WITH {_P}, c AS (SELECT *, CAST(2 * row_number() OVER (PARTITION BY p_brand ORDER BY k) AS INTEGER) AS line_no FROM p)
+SELECT p_brand || '.py' AS path, line_no, line_no + 1 AS end_line, 'm_' || k AS name, 'method' AS kind, 'makes ' || p_name AS doc, replace(p_brand, '#', '') AS inside FROM c
+UNION ALL SELECT p_brand || '.py', 1, CAST(1 + 2 * count(*) AS INTEGER), replace(p_brand, '#', ''), 'class', NULL, '' FROM p GROUP BY p_brand""",
+    "cochange_stats": f"""WITH {_TOUCHED} SELECT count(DISTINCT sha) AS commits, count(DISTINCT CASE WHEN NOT ({_EXCLUDE_SQL}) THEN file END) AS files_analyzed FROM f""",
     "hash_totals": "SELECT count(*) AS files, CAST(coalesce(sum(strlen(text)), 0) AS BIGINT) AS total_bytes FROM documents WHERE text IS NOT NULL",
 }
+SQL |= {k: f"SELECT * FROM ({module.SQL[q]}) ORDER BY {order}" for k, (_, _, module, q, order) in _RANKED.items()}

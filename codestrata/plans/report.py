@@ -39,7 +39,7 @@ REPORTS = {
     "deprecations": ("Deprecations", (("markers", "Markers", ("severity", "path", "line_no"), 100),)),
     "changelog": ("Changelog", (("changelog", "Entries", ("version", "line_no"), 100),)),
     "breaking": ("Breaking commits", (("breaking", "Commits", ("-authored_at", "sha"), 50),)),
-    "replacements": ("Replacements", (("replacements", "Pairs", ("-confidence", "removed", "added"), 50),)),
+    "replacements": ("Replacements", (("replacements", "Pairs", ("-confidence", "removed", "added", "sha"), 50),)),
     "releases": ("Releases", (("releases", "Releases", ("tag",), 100),)),
     "unreleased": ("Unreleased work", (("authors", "Authors", ("-commits", "author"), 50), ("touched", "Files", ("-touches", "file"), 50), ("commits", "Commits", ("-authored_at", "sha"), 50))),
     "file_releases": ("Files by release", (("introduced", "Releases", ("-file_count", "release"), 50), ("files", "Files", ("file",), 200))),
@@ -57,6 +57,12 @@ def ordered(df: DataFrame, *order: str, most: int | None = None) -> DataFrame:
     return out if most is None else out.limit(most)
 
 
+def part(name: str, key: str, df: DataFrame) -> DataFrame:
+    """The rows of a report's part in its order."""
+    order, most = next((o, m) for k, _, o, m in REPORTS[name][1] if k == key)
+    return ordered(df, *order, most=most)
+
+
 def render(name: str, tables: dict[str, DataFrame]) -> str:
     """The report of this name as Markdown, of the tables that are given; the others' parts are left out."""
     title, parts = REPORTS[name]

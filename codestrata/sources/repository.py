@@ -17,9 +17,13 @@ from codestrata.operators.graph import checkpoint
 MAX_BYTES = 500_000
 
 
-def files(spark: SparkSession, root: str, repo: str = "", max_bytes: int | None = None, prune: tuple = paths.SKIPPED_PARTS) -> DataFrame:
-    """(repo, path, content, size_bytes, mtime) of all files below root; sizes and folders are tested before reading."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+def files(spark: SparkSession, root: str, repo: str = "", max_bytes: int | None = None, prune: tuple = paths.SKIPPED_PARTS, extensions: tuple = ()) -> DataFrame:
+    """(repo, path, content, size_bytes, mtime) of all files below root, or of those with the extensions. Names are tested
+    when files are listed, sizes before contents are read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if extensions:
+        found = found.option("pathGlobFilter", "*.{" + ",".join(extensions) + "}")
+    found = found.load(root)
     base = found.select(F.lit(repo).alias("repo"), F.col("path").alias("_full"), "content", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime"))
     if max_bytes:
         base = base.where(F.col("size_bytes") < max_bytes)

@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from codestrata.functions import paths, symbols
+from codestrata.functions import paths, symbols, syntax
 from codestrata.functions import text as T
 from codestrata.operators import activity, contracts, evolution, files, graph, knowledge, project, quality, releases, search, summaries
 from codestrata.plans import report
@@ -365,3 +365,23 @@ def test_user_excludes(spark):
     patterns = paths.excludes(("docs/", "*.lock", "gen"))
     assert patterns[: len(paths.DEFAULT_EXCLUDES)] == paths.DEFAULT_EXCLUDES and patterns[len(paths.DEFAULT_EXCLUDES) :] == ("docs/", "gen")
     assert one(spark, paths.excluded(F.lit("a/docs/x"), patterns)) and not one(spark, paths.excluded(F.lit("src/x.rs"), patterns))
+
+
+def test_python_symbols(spark):
+    text = 'class A:\n    """doc of A"""\n    def m(self):\n        def inner(): pass\n    if True:\n        async def n(self): pass\n\n@dec\ndef f():\n    "doc of f"\n'
+    table = spark.createDataFrame([("r", "a.py", text), ("r", "b.py", "def ("), ("r", "c.go", "x"), ("r", "d.py", None), ("r", "e.py", "")], "repo string, path string, content string")
+    got = [(r.path, r.line_no, r.name, r.kind, r.doc, r.inside) for r in syntax.python_symbols(table).orderBy("path", "line_no").collect()]
+    assert got == [
+        ("a.py", 1, "A", "class", "doc of A", ""), ("a.py", 3, "m", "method", None, "A"), ("a.py", 4, "inner", "function", None, "A.m"),
+        ("a.py", 6, "n", "function", None, "A"), ("a.py", 9, "f", "function", "doc of f", ""),
+    ]
+
+
+def test_embed_texts(spark):
+    docs = spark.createDataFrame([(1, "abc"), (2, None), (3, "zz")], "doc_id long, embedding_text string")
+    def encode(texts):
+        assert len(texts) <= 2
+        return [[len(t), sum(map(ord, t))] for t in texts]
+
+    got = {r.doc_id: r.embedding for r in search.embed_texts(docs.coalesce(1), encode, at_once=2).collect()}
+    assert got == {1: [3.0, 294.0], 2: [0.0, 0.0], 3: [2.0, 244.0]}

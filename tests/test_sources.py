@@ -21,6 +21,7 @@ def test_source_tree(spark, tmp_path):
         (tmp_path / path).write_text(text)
     found = repository.files(spark, str(tmp_path), "r", max_bytes=50)
     assert {r.path: r.content for r in found.collect()} == {"a.go": "x\ny\n", "sub/b.py": "z"}
+    assert [r.path for r in repository.files(spark, str(tmp_path), extensions=("py", "js")).collect()] == ["sub/b.py"]
     assert [(r.path, r.line_no, r.line) for r in repository.lines(found).orderBy("path", "line_no").collect()] == [("a.go", 1, "x"), ("a.go", 2, "y"), ("sub/b.py", 1, "z")]
 
 
