@@ -23,11 +23,20 @@ def contents(commit_release: DataFrame) -> DataFrame:
 def first_release(commits: DataFrame, tags: DataFrame) -> DataFrame:
     """commits with tag: the earliest tag (tag, tagged_at) not before authored_at; null if none. For a linear history.
 
-    Tags are few: their dates as one sorted array stand for a range join.
+    A tag holds the time since the one before it. Times and commits meet by month, an equi-join; commits from before the
+    first tag's month meet in that.
     """
-    listed = tags.agg(F.array_sort(F.collect_list(F.struct("tagged_at", "tag"))).alias("_tags"))
-    late = F.filter("_tags", lambda t: t["tagged_at"] >= F.col("authored_at"))
-    return commits.crossJoin(F.broadcast(listed)).withColumn("tag", F.get(late, F.lit(0))["tag"]).drop("_tags")
+    each = tags.groupBy("tagged_at").agg(F.min("tag").alias("tag"))
+    month = lambda c: F.trunc(F.to_date(c), "month")
+    before = F.lag("tagged_at").over(Window.orderBy("tagged_at"))  # as many rows as there are tags
+    held = each.withColumn("_after", before).withColumn(
+        "_month", F.explode(F.sequence(month(F.coalesce("_after", "tagged_at")), month(F.col("tagged_at")), F.expr("interval 1 month")))
+    )
+    first = each.agg(month(F.min("tagged_at")).alias("_first"))  # one row
+    rows = commits.drop("tag").crossJoin(F.broadcast(first)).withColumn("_at", F.greatest(month(F.col("authored_at")), "_first"))
+    inside = (F.col("authored_at") <= F.col("_until")) & (F.col("_after").isNull() | (F.col("authored_at") > F.col("_after")))
+    held = held.select("_month", "_after", F.col("tagged_at").alias("_until"), "tag")
+    return rows.join(held, (F.col("_at") == F.col("_month")) & inside, "left").drop("_first", "_at", "_month", "_after", "_until")
 
 
 def reachable_release(parents: DataFrame, tags: DataFrame) -> DataFrame:
