@@ -71,9 +71,14 @@ def discard(*tables: DataFrame) -> None:
     """Delete the files of stash() tables that nothing reads any more."""
     for df in tables:
         if path := getattr(df, "stashed_at", None):
-            jvm = df.sparkSession._jvm
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+            delete(df.sparkSession, path)
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Delete folders, those that are gone already aside."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 #: Bytes of rows that go to a Python worker at a time, unless the session sets a limit of its own.
