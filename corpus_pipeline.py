@@ -17,8 +17,8 @@ from codestrata.llm import minhash_dedup, mixing, packing, quality_rules, secret
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-#: What a stage has written besides its rows, until the next stage begins.
-_left: list[DataFrame] = []
+#: The folders of what a stage has written besides its rows, until the next stage begins.
+_left: list[str] = []
 
 
 def _stage(function: Stage) -> Stage:
@@ -27,11 +27,11 @@ def _stage(function: Stage) -> Stage:
 
     @functools.wraps(function)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        shared.discard(*_left)
+        shared.delete(spark, *_left)
         _left.clear()
         with shared.watched() as made:
             out = function(spark, docs, sf_dir)
-        _left.extend(made if function.__name__ != "pack" else ())
+        _left.extend(x.stashed_at for x in made if function.__name__ != "pack")
         return out
 
     return run
