@@ -70,14 +70,15 @@ def place_turns(turns: DataFrame, span_tokens: int = SPAN_TOKENS) -> DataFrame:
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     tokens = F.when(F.col("role") == "system", 1).otherwise(F.size(shared.words(F.col("text"))) + 1)
     bin_ = F.floor(F.col("turn") / BIN_TURNS) if numeric else F.lit(0)
-    rows = rows.select("*", bin_.cast("long").alias("bin"), tokens.cast("long").alias("tokens"))
+    # a key of both is equal where both are null, too, so that the join and the windows after it need one shuffle
+    rows = rows.select("*", F.struct("conv_id", bin_.cast("long").alias("bin")).alias("key"), tokens.cast("long").alias("tokens"))
     # what the bins before hold, then the turns before inside the bin
-    bins = Window.partitionBy("conv_id").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    own = rows.groupBy("conv_id", "bin").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("turns"))
-    sums = own.select("conv_id", "bin", *[F.coalesce(F.sum(c).over(bins), F.lit(0)).alias(c) for c in ("tokens", "turns")])
-    inside = Window.partitionBy("conv_id", "bin").orderBy("turn", "role", "text")
+    bins = Window.partitionBy("key.conv_id").orderBy("key.bin").rowsBetween(Window.unboundedPreceding, -1)
+    own = rows.groupBy("key").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("turns"))
+    sums = own.select(F.col("key").alias("_key"), *[F.coalesce(F.sum(c).over(bins), F.lit(0)).alias("_" + c) for c in ("tokens", "turns")])
+    inside = Window.partitionBy("key").orderBy("turn", "role", "text")
     start = F.col("_tokens") + F.sum("tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens")
-    placed = _meet(rows, sums, {"conv_id": "conv_id", "bin": "bin"}).select(
+    placed = rows.join(sums, rows["key"] == sums["_key"]).select(
         "conv_id", (F.col("_turns") + F.row_number().over(inside)).alias("place"), "tokens", start.alias("start"), "role", "text"
     )
     block = lambda at: F.floor(at / span_tokens).cast("long")
