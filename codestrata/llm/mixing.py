@@ -125,6 +125,14 @@ def order_key(seed: int) -> Column:
     return F.md5(name.cast("binary"))
 
 
+def _end(parts: DataFrame, leaf: list[str], by: str) -> DataFrame:
+    """(leaf..., by, before): the part of each leaf (by, tokens) into which the end of its rest falls, and the tokens before it."""
+    upto = F.col("before") + F.sum("tokens").over(Window.partitionBy(*leaf).orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
+    over = parts.withColumn("upto", upto).where("upto > rest")
+    ends = over.groupBy(*leaf).agg(F.min(F.struct(by, (F.col("upto") - F.col("tokens")).alias("before"))).alias("e"))
+    return ends.select(*leaf, "e.*")
+
+
 def prefixes(measured: DataFrame, weights: Mapping, share: float, max_epochs: int, seed: int) -> DataFrame:
     """(domain, lang, source, epochs, last): how often a leaf takes each row, and the last key that it takes once more."""
     leaf = list(LEVELS)
@@ -140,12 +148,12 @@ def prefixes(measured: DataFrame, weights: Mapping, share: float, max_epochs: in
     digits = max(BIN_DIGITS, math.ceil(math.log(max(measured.count(), 1), 16) / 2))
     keyed = measured.join(plan.where("rest > 0"), leaf).select(*leaf, "rest", "tokens", order_key(seed).alias("key"))
     keyed = keyed.withColumn("bin", F.substring("key", 1, digits))
-    # the first bin that the budget doesn't hold whole, by prefix sums over a leaf's bins
-    by_bin = Window.partitionBy(*leaf).orderBy("bin")
-    bins = keyed.groupBy(*leaf, "rest", "bin").agg(F.sum("tokens").alias("in_bin"))
-    bins = bins.withColumn("upto", F.sum("in_bin").over(by_bin.rowsBetween(Window.unboundedPreceding, 0)))
-    ends = bins.where("upto > rest").groupBy(*leaf).agg(F.min(F.struct("bin", (F.col("upto") - F.col("in_bin")).alias("before"))).alias("e"))
-    ends = shared.stash(ends.select(*leaf, F.col("e.bin").alias("bin"), "e.before"), "mixing-ends")
+    # the first bin that the budget doesn't hold whole: found among the bins' leading digits, then among those with these
+    bins = keyed.groupBy(*leaf, "rest", "bin").agg(F.sum("tokens").alias("tokens"))
+    bins = shared.stash(bins.withColumn("lead", F.substring("bin", 1, digits // 2)), "mixing-bins")
+    leads = bins.groupBy(*leaf, "rest", "lead").agg(F.sum("tokens").alias("tokens")).withColumn("before", F.lit(0).cast("long"))
+    inner = _end(leads, leaf, "lead").select(*leaf, "lead", "before")
+    ends = shared.stash(_end(bins.join(inner, [*leaf, "lead"]), leaf, "bin"), "mixing-ends")
     # the rows of that bin by key, equal keys together; the bin's own digits sort before all its keys
     by_key = Window.partitionBy(*leaf, "bin").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
     last = keyed.join(ends, [*leaf, "bin"]).groupBy(*leaf, "bin", "before", "rest", "key").agg(F.sum("tokens").alias("tokens"))
