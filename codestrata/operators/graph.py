@@ -34,7 +34,8 @@ def pairs(
     ratio is shared commits over the larger total; the confidences are over either total. Items with too few commits
     are dropped first. Of an item's commits, the smallest first, only so many are joined that every partner of a ratio
     of at least min_ratio must share one of them (prefix filtering): a commit of very many items is among them only for
-    items that have hardly another. The candidates' commits are then compared whole, so nothing is lost or estimated.
+    items that have hardly another. The candidates' commits are then compared whole, so nothing is lost or estimated;
+    an item's commits travel as one array of ids.
     """
     files = commit_files.select(F.col(commit).alias("sha"), F.col(item).alias("file"))
     if excludes:
