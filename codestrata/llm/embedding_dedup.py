@@ -70,7 +70,10 @@ class Forest:
 
 
 def _unit(blobs: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(blobs), "<f8").reshape(len(blobs), -1)
+    return _unit_rows(np.frombuffer(b"".join(blobs), "<f8").reshape(len(blobs), -1))
+
+
+def _unit_rows(x: np.ndarray) -> np.ndarray:
     scale = np.abs(x).max(1, keepdims=True)  # keeps squares of huge and tiny numbers in range
     x = x / scale
     return x / np.sqrt((x * x).sum(1, keepdims=True))
@@ -119,7 +122,7 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, l
     for d, n in dims:
         some = classes.where(F.size("embedding") == d).orderBy("h").limit(SAMPLE).select("embedding").toArrow()
         sample = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in some["embedding"].chunks])
-        forests[d] = Forest(_unit([sample.astype("<f8").reshape(-1, d)[i].tobytes() for i in range(some.num_rows)]), n, trees, leaf)
+        forests[d] = Forest(_unit_rows(sample.astype("<f8").reshape(-1, d)), n, trees, leaf)
 
     def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
