@@ -205,7 +205,9 @@ def thresholds(
     above = lambda what: F.aggregate("at", F.lit(0).cast("long"), lambda acc, x: acc + F.when(x["worst"] > F.col("i"), x[what]).otherwise(0))
     # what a step rejects the next ones reject, so that the steps before the first failure are just those below the level
     tested = counted.select("stratum", "n_good", "i", above("good").alias("n_rejected"), above("bad").alias("n_caught"))
-    tested = tested.where("n_caught > n_rejected").withColumn("p_value", binomial_tail(F.col("n_good"), F.col("n_rejected"), alpha))
+    tested = shared.stash(tested.where("n_caught > n_rejected"), "steps")  # a row per stratum and step at most
+    tails = tested.select("n_good", "n_rejected").distinct().withColumn("p_value", binomial_tail(F.col("n_good"), F.col("n_rejected"), alpha))
+    tested = tested.join(tails, ["n_good", "n_rejected"])  # equal counts have one tail
     best = (
         tested.where(F.col("p_value") <= delta / (len(LANGUAGES) + 1))
         .groupBy("stratum")
