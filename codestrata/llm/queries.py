@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from . import chat_format, embedding_dedup, minhash_dedup, mixing, packing, pii, quality_classifier, quality_rules, secret_scan, url_filter
+from . import (
+    chat_format,
+    embedding_dedup,
+    infill,
+    minhash_dedup,
+    mixing,
+    packing,
+    piece_encoding,
+    pii,
+    quality_classifier,
+    quality_rules,
+    secret_scan,
+    url_filter,
+    vector_codes,
+)
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,10 +29,15 @@ QUERIES = {
     "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
     "op10_chat_format": chat_format.op10_chat_format,
+    "op11_infill": infill.op11_infill,
+    "op12_piece_encoding": piece_encoding.op12_piece_encoding,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 SQL = {
     "op1_mixing": mixing.OP1_SQL,
     "op4_quality_rules": quality_rules.OP4_SQL,
     "op9_embedding_dedup": embedding_dedup.OP9_SQL,
     "op10_chat_format": chat_format.OP10_SQL,
+    "op11_infill": infill.OP11_SQL,
+    "op13_vector_codes": vector_codes.OP13_SQL,
 }
