@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codestrata.functions import text as T
+from codestrata.operators import matching
 
 #: Paths that every service has and that prove nothing.
 GENERIC_PATHS = ("/", "/*", "/health", "/ping", "/status", "/version")
@@ -62,28 +62,12 @@ def crossref(identifiers: DataFrame, lines: DataFrame, most: int = 20, all_occur
     lines count: 0 PHANTOM, 1 or 2 CANDIDATE, more IMPLEMENTED. all_occurrences=False tests only the first occurrence
     in a line.
 
-    Lines and identifiers meet by ASCII words, an equi-join: a word inside a match is always a whole word of the line.
-    Identifiers that have no such word meet lines by their first character that isn't blank and the next,
-    if there is one; blank ones have no evidence.
+    All identifiers are looked for in one pass over the lines, by an automaton (see matching); blank ones have no
+    evidence.
     """
-    wanted = identifiers.select("identifier").where(F.octet_length("identifier") >= 3).where(~F.col("identifier").isin(*GENERIC_PATHS)).distinct()
-    line, name = F.col("line"), F.col("identifier")
-    inner = F.regexp_extract("identifier", r"(?<=[^A-Za-z0-9_])([A-Za-z0-9_]+)(?=[^A-Za-z0-9_])", 1)
-    lead = F.when(name.contains("/"), inner).otherwise(F.regexp_extract("identifier", "([A-Za-z0-9_]+)", 1))
-    keyed = wanted.withColumn("lead", F.when(lead != "", lead).otherwise(F.regexp_extract("identifier", r"([^A-Za-z0-9_\s].?)", 1)))
-    if all_occurrences:
-        alone = F.expr(r"line rlike concat('(?<![A-Za-z0-9_])\\Q', identifier, '\\E(?![A-Za-z0-9_])')")
-    else:
-        alone = T.first_is_bounded(line, name)
-    fits = line.contains(name) & (name.contains("/") | alone)
-    # words, then the pairs and single characters that begin with none of a word's and no blank
-    some = [r"([A-Za-z0-9_]+)", r"(?=([^A-Za-z0-9_\s].))", r"([^A-Za-z0-9_\s])"]
-    leads = F.array_distinct(F.concat(*[F.regexp_extract_all("line", F.lit(p), F.lit(1)) for p in some]))
-    met = lines.select("path", "line_no", "line", F.explode(leads).alias("lead")).join(keyed, "lead")
-    if all_occurrences:  # an identifier that is a word is proven by the join
-        fits = F.when((name == F.col("lead")) & name.rlike("^[A-Za-z0-9_]+$"), True).otherwise(fits)
-    hits = met.where(fits).select("identifier", "path", "line_no")
-    counted = hits.groupBy("identifier").agg(F.least(F.count("*"), F.lit(most)).alias("evidence_count"))
+    wanted = identifiers.select("identifier").where(F.octet_length("identifier") >= 3).where(~F.col("identifier").isin(*GENERIC_PATHS))
+    found = matching.line_counts(lines, wanted.where(~matching.is_blank(F.col("identifier"))), all_occurrences)
+    counted = found.select(F.col("word").alias("identifier"), F.least("lines", F.lit(most)).alias("evidence_count"))
     status = F.when(F.col("evidence_count") == 0, "PHANTOM").when(F.col("evidence_count") < 3, "CANDIDATE").otherwise("IMPLEMENTED")
     return identifiers.select("identifier").distinct().join(counted, "identifier", "left").fillna(0, ["evidence_count"]).withColumn("status", status)
 
@@ -108,7 +92,7 @@ def counts(endpoints: DataFrame, rpcs: DataFrame, messages: DataFrame, graph: Da
 
 
 def evidence(hits: DataFrame, most: int = 20) -> DataFrame:
-    """The first `most` lines of each identifier, by path and line."""
+    """The first `most` lines of each identifier, by path and line; hits may come from matching.occurrences()."""
     order = Window.partitionBy("identifier").orderBy("path", "line_no")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 

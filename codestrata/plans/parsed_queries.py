@@ -5,6 +5,8 @@ The SQL gives the facts from the tables themselves, without any text between.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -235,7 +237,7 @@ def endpoint_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def snapshot_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Endpoints written by one run and read by the next."""
-    place = f"{_folder(spark)}/snapshot-{uuid.uuid4().hex}"
+    place = new_folder(spark, "snapshot")
     specs.openapi(_api_files(spark, sf_dir)).write.json(place)
     return repository.snapshot(spark, place).select("repo", "spec_file", "path", "method", "operation_id", "summary", F.array_join("tags", ",").alias("tags"))
 
@@ -246,6 +248,24 @@ def _folder(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A new folder there, which is deleted when the session's process ends: the rows of a query may be read until then."""
+    place = f"{_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.append((spark, place))
+    return place
+
+
+_written: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _delete_written() -> None:
+    for spark, place in _written:
+        with contextlib.suppress(Exception):  # the session may be gone
+            path = spark._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _ci_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as jobs: nations as repositories, market segments as workflows (JSON is YAML, too)."""
     k = F.col("c_custkey")
@@ -493,7 +513,7 @@ def numbered_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def path_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = f"{_folder(spark)}/paths-{uuid.uuid4().hex}"
+    place = new_folder(spark, "paths")
     _parts(spark, sf_dir).select(F.concat(F.when(F.col("k") % 7 == 0, F.lit("\n  ")).otherwise(""), "path").alias("value")).write.text(place)
     return repository.path_list(spark, place)
 
@@ -551,7 +571,7 @@ def feature_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best documents of each benchmark text, from a written index."""
-    place = f"{_folder(spark)}/index-{uuid.uuid4().hex}"
+    place = new_folder(spark, "index")
     search.write_index(texts(spark, sf_dir, "doc_id", "text"), place)
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     found = search.search_index(spark.read.parquet(f"{place}/postings"), spark.read.parquet(f"{place}/lengths"), asked).withColumn("score", F.round("score", 6))
