@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.operators import grams
+from codestrata.operators import grams, ranked, search, vector_lists
 
-from .adapters import document_lines, table
+from .adapters import document_lines, table, texts
 from .parsed_queries import _CODE, _code, new_folder
-from .search_queries import _LINES_SQL
+from .search_queries import _LINES_SQL, _bm25_sql, _queries
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +31,24 @@ def indexed_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grams.workspace_symbols(spark, place, "YM_1").select("path", "line_no", "kind", "name")
 
 
-QUERIES = {f.__name__: f for f in (indexed_references, indexed_symbols)}
+def block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each benchmark text, from blocks that know their best score."""
+    place = new_folder(spark, "blocks")
+    ranked.write(texts(spark, sf_dir, "doc_id", "text"), place)
+    found = ranked.search_blocks(spark, place, _queries(spark, sf_dir), 10).withColumn("score", F.round("score", 6))
+    return search.top(found, 10, "query_id").select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every vector whose id is divisible by 100, by inverted lists and codes."""
+    vectors, place = table(spark, sf_dir, "embeddings"), new_folder(spark, "vectors")
+    codes = vector_lists.write(vectors, place)
+    found = vector_lists.nearest(spark, place, codes, vectors.where("vec_id % 100 = 0"), 10).withColumn("score", F.round("score", 6))
+    best = search.top(found, 10, "query_id", tie="id")
+    return best.select("query_id", F.col("id").alias("vec_id"), "score", F.col("rank").cast("long").alias("rank"))
+
+
+QUERIES = {f.__name__: f for f in (indexed_references, indexed_symbols, block_max_search, vector_search)}
 SQL = {
     "indexed_references": f"""WITH {_LINES_SQL}, k AS (SELECT DISTINCT regexp_extract(text, '([A-Za-z]{{6,}})', 1) AS word FROM benchmark),
 c AS (SELECT path, line_no, line, word FROM l JOIN k ON word <> '' AND contains(line, word)),
@@ -40,4 +57,9 @@ SELECT word, path, line_no, col FROM p WHERE (col = 1 OR NOT regexp_full_match(s
  AND (col + length(word) > length(line) OR NOT regexp_full_match(substr(line, col + length(word), 1), '[A-Za-z0-9_]'))""",
     "indexed_symbols": f"""WITH {_CODE} SELECT path, line_no, CASE split_part(trim(lead), ' ', -1) WHEN 'func' THEN 'function' WHEN 'struct' THEN 'struct' WHEN 'def' THEN 'function'
  WHEN 'class' THEN 'class' WHEN 'interface' THEN 'interface' ELSE 'function' END AS kind, name FROM c WHERE contains(lower(name), 'ym_1') ORDER BY path, line_no LIMIT 200""",
+    "block_max_search": f"""WITH {_bm25_sql('benchmark')}, r AS (SELECT query_id, doc_id, round(score, 6) AS score,
+ row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM scored) SELECT * FROM r WHERE rank <= 10""",
+    "vector_search": """WITH c AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score
+ FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM c) SELECT * FROM r WHERE rank <= 10""",
 }
