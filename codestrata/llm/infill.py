@@ -8,14 +8,15 @@ the same again. restore() reads a text back from the output, by DataFrame functi
 
 Cases: a null or empty text is empty, plain, n = 0; a text that holds a marker is plain, as its output could not be
 read back; a null doc_id draws like an empty one; repeated rows give repeated rows; a text of any length is cut whole,
-its words in blocks; other columns, whatever their names, are not looked at; an empty table gives no rows.
+blocks of words at a time; other columns, whatever their names, are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import functools
+import gc
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ from . import shared
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 #: Of 100 documents with a text so many are cut, and of 100 that are cut so many begin with the suffix.
 CUT_RATE, SPM_RATE, SEED = 90, 20, 1
-#: Code points of a word that are matched at a time.
-BLOCK = 1 << 12
+#: Code points that are matched at a time.
+BLOCK = 1 << 9
 _WORD = re.compile(r"[^ ]+| +")
 
 
@@ -42,30 +43,42 @@ def _splitter():
 
 
 class Offsets:
-    """Arrays of code-point offsets of texts; each distinct word is matched once until forget()."""
-
-    def __init__(self) -> None:
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[str, np.ndarray] = {}
-
-    def of_word(self, word: str) -> np.ndarray:
-        found = self.known.get(word)
-        if found is None:
-            split, parts = _splitter().pre_tokenize_str, []
-            for at in range(0, len(word), BLOCK):
-                parts.append(np.array([span[0] for _, span in split(word[at : at + BLOCK])], np.int64) + at)
-            found = self.known[word] = np.concatenate(parts)
-        return found
-
-    def of(self, text: str) -> np.ndarray:
-        """The offset of every match in text, and its end."""
-        parts = [self.of_word(word) for word in _WORD.findall(text)]
-        sizes = np.array([len(p) for p in parts], np.int64)
-        starts = np.cumsum(sizes) - sizes
-        flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        return np.append(flat + np.repeat(starts, sizes), int(sizes.sum()))
+    """The offsets of the texts of a batch: each distinct word is matched once, the words of a block together."""
+
+    def __init__(self, texts: list[str]) -> None:
+        seen: dict[str, int] = {}
+        self.codes = [np.array([seen.setdefault(w, len(seen)) for w in _WORD.findall(t)], np.int64) for t in texts]
+        split, starts = _splitter().pre_tokenize_str, []
+        joined = "".join(seen)
+        collects = gc.isenabled()
+        gc.disable()  # millions of short-lived tuples, no cycle among them
+        try:
+            for base in range(0, len(joined), BLOCK):
+                starts.append(np.array([span[0] for _, span in split(joined[base : base + BLOCK])], np.int64) + base)
+        finally:
+            if collects:
+                gc.enable()
+        self.flat = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+        self.base = np.cumsum([0, *map(len, seen)])  # where each word begins
+        self.first = np.searchsorted(self.flat, self.base)  # and which match is its first
+        self.sizes = np.diff(self.first)
+
+    def of(self, i: int) -> tuple[int, Callable[[int], int]]:
+        """How many offsets text i has, and the offset of a rank; that of rank n is the text's end."""
+        codes = self.codes[i]
+        ends, widths = np.cumsum(self.sizes[codes]), np.cumsum((self.base[1:] - self.base[:-1])[codes])
+        n = int(ends[-1]) if len(ends) else 0
+
+        def at(rank: int) -> int:
+            if rank == n:
+                return int(widths[-1]) if n else 0
+            unit = int(np.searchsorted(ends, rank, "right"))
+            word = codes[unit]
+            before = int(widths[unit - 1]) if unit else 0
+            local = self.first[word] + rank - (int(ends[unit - 1]) if unit else 0)
+            return before + int(self.flat[local] - self.base[word])
+
+        return n, at
 
 
 def infill(docs: DataFrame, cut_rate: int = CUT_RATE, spm_rate: int = SPM_RATE, seed: int = SEED) -> DataFrame:
@@ -74,20 +87,19 @@ def infill(docs: DataFrame, cut_rate: int = CUT_RATE, spm_rate: int = SPM_RATE,
     draws = [F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long").alias(f"h{k + 1}") for k in range(4)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        offsets = Offsets()
         for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            offsets = Offsets(texts)
             h1, h2, h3, h4 = (batch.column(2 + k).to_numpy() for k in range(4))
             rows: list[tuple] = []
             size = at = 0
             for i in range(batch.num_rows):
-                text = batch.column(1)[i].as_py() or ""
-                cuts = offsets.of(text)
-                n = len(cuts) - 1
+                text, (n, offset) = texts[i], offsets.of(i)
                 if n == 0 or h3[i] % 100 >= cut_rate or PREFIX in text or SUFFIX in text or MIDDLE in text:
                     rows.append((n, "plain", None, None, text))
                 else:
                     low, high = sorted((int(h1[i]) % (n + 1), int(h2[i]) % (n + 1)))
-                    a, b = int(cuts[low]), int(cuts[high])
+                    a, b = offset(low), offset(high)
                     head, middle, tail = PREFIX + text[:a], MIDDLE + text[a:b], SUFFIX + text[b:]
                     form, parts = ("spm", (tail, head, middle)) if h4[i] % 100 < spm_rate else ("psm", (head, tail, middle))
                     rows.append((n, form, low, high - low, "".join(parts)))
@@ -106,7 +118,6 @@ def infill(docs: DataFrame, cut_rate: int = CUT_RATE, spm_rate: int = SPM_RATE,
                         names=["doc_id", "n", "form", "prefix_chars", "middle_chars", "output"],
                     )
                     at, rows, size = i + 1, [], 0
-            offsets.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     source = docs.select("doc_id", F.col("text").cast("string").alias("text"), *draws)
