@@ -12,8 +12,11 @@ nothing; a word that is asked for twice is looked for once; null paths come befo
 
 from __future__ import annotations
 
+import operator
 import re
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,10 +28,12 @@ from codestrata.operators.search import checked
 
 #: Characters of a gram, lines of a block (a power of two, as a shift), grams of a word that are looked up.
 GRAM, SHIFT, RAREST = 3, 12, 4
-#: Blocks that a scan is told to read by a filter; of more, those to read are found by a join.
-NAMED_BLOCKS = 128
+#: Blocks or grams that a scan is told to read by a filter; of more, those to read are found by a join.
+NAMED = 128
 #: Bounds of a search of the workspace: hits and files.
 MOST_HITS, MOST_FILES = 200, 20_000
+#: Row groups and pages of few rows: a lookup reads those whose bounds fit.
+_FINE = {"parquet.block.row.count.limit": 1 << SHIFT, "parquet.page.row.count.limit": 256, "parquet.block.size": 1 << 22}
 
 
 def grams(text: Column) -> Column:
@@ -42,46 +47,57 @@ def write(lines: DataFrame, place: str) -> None:
     ordered = lines.select("path", "line_no", "line").repartitionByRange("path", "line_no").sortWithinPartitions("path", "line_no")
     numbered = ordered.withColumn("at", F.monotonically_increasing_id())
     numbered = numbered.withColumn("block", F.shiftright("at", SHIFT)).withColumn("at", F.col("at").bitwiseAND((1 << SHIFT) - 1).cast("int"))
-    numbered.write.option("parquet.block.size", 1 << 20).parquet(f"{place}/lines")
+    numbered.write.options(**_FINE).parquet(f"{place}/lines")
     written = spark.read.parquet(f"{place}/lines")  # numbers are those written, whatever a lost task would give
     rows = written.select("block", "at", F.explode(grams(F.col("line"))).alias("gram"))
     index = rows.groupBy("gram", "block").agg(F.array_sort(F.collect_list("at")).alias("places"))
-    index.repartitionByRange("gram", "block").sortWithinPartitions("gram", "block").write.option("parquet.block.size", 1 << 20).parquet(f"{place}/grams")
+    index.repartitionByRange("gram", "block").sortWithinPartitions("gram", "block").write.options(**_FINE).parquet(f"{place}/grams")
     counts = spark.read.parquet(f"{place}/grams").groupBy("gram").agg(F.sum(F.size("places")).alias("lines"))
-    counts.repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{place}/counts")
+    counts.repartitionByRange("gram").sortWithinPartitions("gram").write.options(**_FINE).parquet(f"{place}/counts")
 
 
 def candidates(spark: SparkSession, place: str, words: DataFrame, rarest: int = RAREST) -> DataFrame:
     """(word, block, at) of the lines that hold the rarest grams of a word; words of fewer characters than a gram lack."""
     asked = words.select("word").where(F.length("word") >= GRAM).distinct()
     own = asked.select("word", F.explode(grams(F.col("word"))).alias("gram"))
-    counted = own.join(spark.read.parquet(f"{place}/counts"), "gram", "left").fillna(0, ["lines"])
+    counted = own.join(_named(spark.read.parquet(f"{place}/counts"), "gram", own), "gram", "left").fillna(0, ["lines"])
     chosen = counted.groupBy("word").agg(F.slice(F.array_sort(F.collect_list(F.struct("lines", "gram"))), 1, rarest).alias("g"))  # of one word's grams
     needed = chosen.select("word", F.size("g").alias("needed"), F.explode("g.gram").alias("gram"))
-    found = spark.read.parquet(f"{place}/grams").join(checked(needed), "gram").groupBy("word", "block", "needed").agg(F.collect_list("places").alias("lists"))
+    index = _named(spark.read.parquet(f"{place}/grams"), "gram", needed)
+    found = index.join(checked(needed), "gram").groupBy("word", "block", "needed").agg(F.collect_list("places").alias("lists"))
     # a block is a candidate if it has all of them; each list has at most the lines of a block
     both = F.aggregate(F.slice("lists", 2, rarest), F.element_at("lists", 1), lambda s, x: F.array_intersect(s, x))
-    return found.where(F.size("lists") == F.col("needed")).select("word", "block", F.explode(both).alias("at"))
+    met = found.where(F.size("lists") == F.col("needed")).select("word", "block", F.explode(both).alias("at"))
+    aside = f"{place}/found-{uuid.uuid4().hex}"  # looked up once, used for bounds and for the join
+    met.write.parquet(aside)
+    return spark.read.schema(met.schema).parquet(aside)
 
 
-def _lines(spark: SparkSession, place: str, blocks: list[int] | None = None) -> DataFrame:
+def _lines(spark: SparkSession, place: str, found: DataFrame) -> DataFrame:
+    """The lines, restricted to about those of found (block, at) where these are in few blocks."""
     lines = spark.read.parquet(f"{place}/lines")
-    if blocks is None:
+    spans = found.groupBy("block").agg(F.min("at").alias("low"), F.max("at").alias("high")).limit(NAMED + 1).collect()
+    if len(spans) > NAMED:
         return lines
-    if not blocks:
-        return lines.where("false")
-    named = F.lit(False)
-    for b in blocks:  # single comparisons reach the statistics of row groups, a long list of values only its bounds
-        named = named | (F.col("block") == b)
-    return lines.where(named)
+    inside = [(F.col("block") == s["block"]) & (F.col("at") >= s["low"]) & (F.col("at") <= s["high"]) for s in spans]
+    return lines.where(reduce(operator.or_, inside, F.lit(False)))
+
+
+def _named(table: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """table, restricted to the values of wanted where these are few; the join that follows does so in any case."""
+    some = [r[0] for r in wanted.select(column).distinct().limit(NAMED + 1).collect()]
+    return table.where(_is_one_of(column, some)) if len(some) <= NAMED else table
+
+
+def _is_one_of(column: str, values: list) -> Column:
+    """Single comparisons: they reach the statistics of row groups, of a long list of values only its bounds do."""
+    return reduce(operator.or_, [F.col(column) == v for v in values], F.lit(False))
 
 
 def find(spark: SparkSession, place: str, words: DataFrame) -> DataFrame:
     """(word, path, line_no, col) of every place where a word of words (word) stands by itself; col counts from 1."""
     found = candidates(spark, place, words)
-    some = [r[0] for r in found.select("block").distinct().limit(NAMED_BLOCKS + 1).collect()]
-    lines = _lines(spark, place, some if len(some) <= NAMED_BLOCKS else None)
-    met = lines.join(found, ["block", "at"])
+    met = _lines(spark, place, found).join(found, ["block", "at"])
     short = checked(words.select("word").where((F.length("word") < GRAM) & (F.col("word") != "")).distinct())
     every = spark.read.parquet(f"{place}/lines").join(short, F.col("line").contains(F.col("word")))
     columns = ["word", "path", "line_no", "line"]
@@ -111,16 +127,17 @@ def first(spark: SparkSession, place: str, word: str, verify: Callable[[DataFram
     last = spark.read.parquet(f"{place}/lines").select("path").distinct().orderBy("path").limit(most_files).agg(F.max("path")).first()[0]
     inside = (F.col("path") <= F.lit(last)) | F.col("path").isNull()
     if len(word) < GRAM:
-        return verify(_lines(spark, place).where(inside)).orderBy("path", "line_no").limit(most)
+        return verify(spark.read.parquet(f"{place}/lines").where(inside)).orderBy("path", "line_no").limit(most)
     found = candidates(spark, place, asked).select("block", "at")
     blocks, step, seen = [], 1, -1
     while True:
         new = [r[0] for r in found.where(F.col("block") > seen).select("block").distinct().orderBy("block").limit(step).collect()]
         blocks += new
-        hits = verify(_lines(spark, place, blocks).join(found, ["block", "at"], "left_semi").where(inside))
+        met = found.where(_is_one_of("block", blocks))
+        hits = verify(_lines(spark, place, met).join(met, ["block", "at"], "left_semi").where(inside))
         if len(new) < step or hits.limit(most).count() >= most:
             return hits.orderBy("path", "line_no").limit(most)
-        step, seen = min(2 * step, NAMED_BLOCKS), new[-1]
+        step, seen = min(2 * step, NAMED), new[-1]
 
 
 def workspace_symbols(spark: SparkSession, place: str, query: str, most: int = MOST_HITS, most_files: int = MOST_FILES) -> DataFrame:

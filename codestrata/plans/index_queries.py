@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.operators import grams, ranked, search, vector_lists
+from codestrata.operators import grams, ranked, search, segments, vector_lists
 
 from .adapters import document_lines, table, texts
 from .parsed_queries import _CODE, _code, new_folder
@@ -48,7 +48,25 @@ def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("query_id", F.col("id").alias("vec_id"), "score", F.col("rank").cast("long").alias("rank"))
 
 
-QUERIES = {f.__name__: f for f in (indexed_references, indexed_symbols, block_max_search, vector_search)}
+def refreshed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best documents of each benchmark text, from an index that was filled, refreshed twice and merged.
+
+    Files are sources. The first filling lacks each third document and has changed texts; a source that is gone later
+    is among it, too.
+    """
+    place = new_folder(spark, "segments")
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("path"), "doc_id", "text")
+    old = docs.where("doc_id % 3 <> 0").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.upper("text")).otherwise(F.col("text")))
+    gone = docs.select(F.lit("gone").alias("path"), (F.col("doc_id") + 1_000_000_000).alias("doc_id"), "text")
+    segments.refresh(spark, place, old.unionByName(gone))
+    segments.refresh(spark, place, docs.where("doc_id % 2 = 0"))
+    segments.refresh(spark, place, docs)
+    segments.merge(spark, place)
+    found = segments.find(spark, place, _queries(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return search.top(found, 5, "query_id").select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+QUERIES = {f.__name__: f for f in (indexed_references, indexed_symbols, block_max_search, vector_search, refreshed_index)}
 SQL = {
     "indexed_references": f"""WITH {_LINES_SQL}, k AS (SELECT DISTINCT regexp_extract(text, '([A-Za-z]{{6,}})', 1) AS word FROM benchmark),
 c AS (SELECT path, line_no, line, word FROM l JOIN k ON word <> '' AND contains(line, word)),
@@ -62,4 +80,6 @@ SELECT word, path, line_no, col FROM p WHERE (col = 1 OR NOT regexp_full_match(s
     "vector_search": """WITH c AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score
  FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM c) SELECT * FROM r WHERE rank <= 10""",
+    "refreshed_index": f"""WITH {_bm25_sql('benchmark')}, r AS (SELECT query_id, doc_id, round(score, 6) AS score,
+ row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM scored) SELECT * FROM r WHERE rank <= 5""",
 }
