@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codestrata.functions import paths
 
 MIN_COMMITS, MIN_RATIO, CLUSTER_RATIO = 5, 0.5, 0.7
+#: Commits of an item in one row, about; classes of commits by hash where an item's first ones are told apart.
+BUCKET, BINS = 2048, 1024
 
 
 def strength(ratio: Column) -> Column:
@@ -34,8 +36,9 @@ def pairs(
     ratio is shared commits over the larger total; the confidences are over either total. Items with too few commits
     are dropped first. Of an item's commits, the smallest first, only so many are joined that every partner of a ratio
     of at least min_ratio must share one of them (prefix filtering): a commit of very many items is among them only for
-    items that have hardly another. The candidates' commits are then compared whole, so nothing is lost or estimated;
-    an item's commits travel as one array of ids.
+    items that have hardly another. Where that prefix ends is found from counts of commits by size and hash, so not even
+    an item of all commits is sorted or gathered. The candidates' commits are then compared whole, bucket by bucket: a
+    row holds an item's commits of one bucket, about BUCKET at most, and nothing is lost or estimated.
     """
     files = commit_files.select(F.col(commit).alias("sha"), F.col(item).alias("file"))
     if excludes:
@@ -43,17 +46,23 @@ def pairs(
     files = files.distinct()
     totals = files.groupBy("file").agg(F.count("*").alias("total")).where(F.col("total") >= min_commits)
     known = files.join(totals, "file")
-    sized = known.join(known.groupBy("sha").agg(F.count("*").alias("items")), "sha")
-    listed = sized.groupBy("file", "total").agg(F.array_sort(F.collect_list(F.struct("items", "sha"))).alias("in"))
-    listed = checkpoint(listed.select("file", "total", F.transform("in", lambda x: x["sha"]).alias("in")))
-    lead = F.greatest(F.lit(1), F.col("total") - F.ceil(F.col("total") * min_ratio - 1e-9) + 1).cast("int")
-    first = listed.select("file", "total", F.explode(F.slice("in", F.lit(1), lead)).alias("sha"))
+    sized = known.join(known.groupBy("sha").agg(F.count("*").alias("items")), "sha").withColumn("bin", F.pmod(F.xxhash64("sha"), F.lit(BINS)))
+    sized = checkpoint(sized)
+    # the prefix of an item: whole (items, bin) in that order, which is one for all items, until it is long enough
+    need = F.greatest(F.lit(1), F.col("total") - F.ceil(F.col("total") * min_ratio - 1e-9) + 1)
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("items", "bin").rowsBetween(Window.unboundedPreceding, -1))
+    steps = sized.groupBy("file", "total", "items", "bin").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(before, F.lit(0)))
+    first = sized.join(steps.where(F.col("before") < need).select("file", "items", "bin"), ["file", "items", "bin"]).select("file", "total", "sha")
     a, b = (first.select("sha", F.col("file").alias(f"file_{s}"), F.col("total").alias(f"total_{s}")) for s in "ab")
     near = F.least("total_a", "total_b") >= min_ratio * F.greatest("total_a", "total_b") - 1e-9  # no more can be shared
-    candidates = a.join(b, "sha").where((F.col("file_a") < F.col("file_b")) & near).select("file_a", "file_b").distinct()
-    sides = [listed.select(F.col("file").alias(f"file_{s}"), F.col("total").alias(f"total_{s}"), F.col("in").alias(f"in_{s}")) for s in "ab"]
-    counted = candidates.join(sides[0], "file_a").join(sides[1], "file_b")
-    counted = counted.select("file_a", "file_b", F.size(F.array_intersect("in_a", "in_b")).cast("long").alias("shared"), "total_a", "total_b").where("shared > 0")
+    candidates = a.join(b, "sha").where((F.col("file_a") < F.col("file_b")) & near).select("file_a", "file_b", "total_a", "total_b").distinct()
+    most = totals.agg(F.max("total")).first()[0] or 0
+    bucket = F.pmod(F.xxhash64("sha", F.lit(1)), F.lit(max(1, -(-most // BUCKET))))
+    listed = checkpoint(sized.groupBy("file", bucket.alias("bucket")).agg(F.collect_list("sha").alias("in")))
+    sides = [listed.select(F.col("file").alias(f"file_{s}"), "bucket", F.col("in").alias(f"in_{s}")) for s in "ab"]
+    met = candidates.join(sides[0], "file_a").join(sides[1], ["file_b", "bucket"])
+    met = met.select("file_a", "file_b", "total_a", "total_b", F.size(F.array_intersect("in_a", "in_b")).cast("long").alias("n"))
+    counted = met.groupBy("file_a", "file_b", "total_a", "total_b").agg(F.sum("n").alias("shared")).where("shared > 0")
     ratio = F.col("shared") / F.greatest("total_a", "total_b")
     return (
         counted.withColumn("ratio", ratio)

@@ -67,20 +67,33 @@ def openapi(files: DataFrame) -> DataFrame:
     return found.mapInPandas(_each(_openapi, ["repo", "spec_file", "path", "method", "operation_id", "summary", "tags"]), ENDPOINTS)
 
 
-_RPC = re.compile(r"\brpc\s+(\w+)\s*\(\s*(stream\s+)?([\w.]+)\s*\)\s*returns\s*\(\s*(stream\s+)?([\w.]+)\s*\)")
+#: Strings and comments are taken whole, so that what they hold is no brace; then brackets, words and other signs.
+_PROTO_TOKEN = re.compile(r"""/\*.*?(?:\*/|\Z)|//[^\n]*|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[\w.]+|[^\s\w]""", re.S)
+_GRAPHQL_TOKEN = re.compile(r'''"""(?:\\"""|.)*?(?:"""|\Z)|#[^\n]*|"(?:[^"\\\n]|\\.)*"|\w+|[^\s\w]''', re.S)
 _MODES = {(False, False): "Unary", (True, False): "ClientStream", (False, True): "ServerStream", (True, True): "Bidi"}
 
 
 def _proto(path: str, content: str) -> Iterator[tuple]:
-    text = re.sub(r"//[^\n]*|/\*.*?\*/", "", content, flags=re.S)
-    package = re.search(r"(?m)^\s*package\s+([\w.]+)\s*;", text)
-    for m in re.finditer(r"\bservice\s+(\w+)\s*\{", text):
-        depth, end = 1, m.end()
-        while end < len(text) and depth:
-            depth += {"{": 1, "}": -1}.get(text[end], 0)
-            end += 1
-        for r in _RPC.finditer(text, m.end(), end):
-            yield package and package[1], m[1], r[1], r[3], r[5], _MODES[bool(r[2]), bool(r[4])]
+    """One pass over the tokens with the blocks that are open: calls are those right inside a service."""
+    tokens = [t for t in _PROTO_TOKEN.findall(content) if not t.startswith(("//", "/*"))]
+    package, open_, at = None, [], 0
+    while at < len(tokens):
+        t, rest = tokens[at], tokens[at + 1 : at + 12]
+        if t == "{":
+            opened = at > 1 and tokens[at - 2] == "service" and not open_
+            open_.append(tokens[at - 1] if opened else None)
+        elif t == "}":
+            open_ = open_[:-1]
+        elif t == "package" and not open_ and rest[1:2] == [";"]:
+            package = package or rest[0]
+        elif t == "rpc" and len(open_) == 1 and open_[0] and rest[1:2] == ["("]:
+            asked, found = rest[2:].index(")") + 2 if ")" in rest[2:] else None, None
+            if asked and rest[asked + 1 : asked + 3] == ["returns", "("] and ")" in rest[asked + 3 :]:
+                found = rest[asked + 3 : rest.index(")", asked + 3)]
+            if found:
+                given = rest[2:asked]
+                yield package, open_[0], rest[0], given[-1], found[-1], _MODES[given[0] == "stream" and len(given) > 1, found[0] == "stream" and len(found) > 1]
+        at += 1
 
 
 def messages(files: DataFrame) -> DataFrame:
@@ -95,14 +108,27 @@ def protobuf(files: DataFrame) -> DataFrame:
     return found.mapInPandas(_each(_proto, ["repo", "file", "package", "service", "rpc", "request_type", "response_type", "streaming"]), RPCS)
 
 
+_GRAPHQL_KINDS = ("type", "input", "enum", "interface", "union", "scalar")
+
+
 def _graphql(path: str, content: str) -> Iterator[tuple]:
-    text = re.sub(r'"""(?:.|\n)*?"""|"(?:[^"\\\n]|\\.)*"|#[^\n]*', "", content)
-    for m in re.finditer(r"\b(extend\s+)?(type|input|enum|interface|union|scalar)\s+(\w+)[^{=\n]*(\{[^}]*\})?", text):
-        if m[2] == "type" and m[3] in ("Query", "Mutation", "Subscription"):
-            for f in re.finditer(r"(?m)^\s*(\w+)\s*(?:\([^)]*\))?\s*:", m[4] or ""):
-                yield "operation", m[3], f[1]
-        elif not m[1]:
-            yield m[2], m[3], m[3]
+    """One pass over the tokens with the brackets that are open: definitions are at the top, operations right inside a root type; arguments,
+    defaults and directives lie in further brackets."""
+    tokens = [t for t in _GRAPHQL_TOKEN.findall(content) if t[0] not in '#"']
+    open_, root = [], None
+    for at, t in enumerate(tokens):
+        before, after = tokens[at - 1] if at else "", tokens[at + 1] if at + 1 < len(tokens) else ""
+        if not open_ and t in _GRAPHQL_KINDS and after.isidentifier() and before not in ("=", "|", "&", "@", "on", "implements", *_GRAPHQL_KINDS):
+            root = after if t == "type" and after in ("Query", "Mutation", "Subscription") else None
+            if not root and before != "extend":
+                yield t, after, after
+        elif t in ("{", "(", "["):
+            open_.append(t)
+        elif t in ("}", ")", "]"):
+            root = None if t == "}" and len(open_) == 1 else root
+            open_ = open_[:-1]
+        elif open_ == ["{"] and root and after in (":", "(") and t.isidentifier() and before != "@":
+            yield "operation", root, t
 
 
 def graphql(files: DataFrame) -> DataFrame:
