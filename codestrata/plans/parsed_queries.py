@@ -177,7 +177,7 @@ def _api_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def openapi_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = specs.openapi(_api_files(spark, sf_dir))
+    found = specs.openapi_json(_api_files(spark, sf_dir))
     return found.select("repo", "path", "method", "operation_id", "summary", F.array_join("tags", ",").alias("tags"))
 
 

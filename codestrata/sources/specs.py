@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Methods, places of specs, keys that are no jobs.
@@ -49,22 +49,69 @@ def _text(value) -> str | None:
     return value if isinstance(value, str) else None
 
 
-def _openapi(path: str, content: str) -> Iterator[tuple]:
-    spec = _load(path, content)
-    places = spec.get("paths") if isinstance(spec, dict) else None
-    for place, item in (places or {}).items() if isinstance(places, dict) else ():
-        for method in METHODS:
-            if isinstance(item, dict) and method in item:
-                op = item[method] if isinstance(item[method], dict) else {}
-                tags = [t for t in op.get("tags") or () if isinstance(t, str)]
-                yield str(place), method.upper(), _text(op.get("operationId")), _text(op.get("summary")), tags
+def _spec_files(files: DataFrame) -> DataFrame:
+    name = F.regexp_extract("path", r"([^/]+)\.(?:json|ya?ml)$", 1)
+    return files.where(F.lower(name).isin(*SPEC_NAMES)).select("repo", "path", "content")
+
+
+def _text_at(value: Column, path: str) -> Column:
+    """The string at path of a variant; null for anything else."""
+    return F.when(F.schema_of_variant(F.try_variant_get(value, path, "variant")) == "STRING", F.try_variant_get(value, path, "string"))
+
+
+def _entries(rows: DataFrame, spec: str, path: str, *keep: str) -> DataFrame:
+    """(keep..., key, value) of the object at path of the variant spec."""
+    held = rows.select(*keep, F.try_variant_get(spec, path, "variant").alias("_o"))
+    entries = held.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("_o").outer()))
+    return entries.where("key is not null").select(*keep, "key", "value")
+
+
+def _endpoints(specs: DataFrame) -> DataFrame:
+    """Endpoints of specs (repo, path, spec), spec being a variant; items that refer to others of their file are followed."""
+    places = _entries(specs, "spec", "$.paths", "repo", "path")
+    shared = _entries(specs, "spec", "$.components.pathItems", "repo", "path")
+    pointer = lambda folder: F.concat(F.lit(f"#/{folder}/"), F.replace(F.replace("key", F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")))
+    targets = places.select("repo", "path", pointer("paths").alias("ref"), F.col("value").alias("target")).unionByName(
+        shared.select("repo", "path", pointer("components/pathItems").alias("ref"), F.col("value").alias("target"))
+    )
+    items = places.withColumn("ref", _text_at(F.col("value"), "$['$ref']"))
+    direct = items.where("ref is null").select("repo", "path", "key", F.col("value").alias("item"))
+    referred = items.where("ref is not null").join(targets, ["repo", "path", "ref"]).select("repo", "path", "key", F.col("target").alias("item"))
+    each = direct.unionByName(referred).select("repo", "path", "key", "item", F.explode(F.array(*map(F.lit, METHODS))).alias("method"))
+    op = None
+    for m in METHODS:  # paths into a variant are literals
+        here = F.struct(
+            F.try_variant_get("item", f"$.{m}", "variant").isNotNull().alias("there"),
+            _text_at(F.col("item"), f"$.{m}.operationId").alias("operation_id"),
+            _text_at(F.col("item"), f"$.{m}.summary").alias("summary"),
+            F.try_variant_get("item", f"$.{m}.tags", "array<variant>").alias("tags"),
+        )
+        op = F.when(F.col("method") == m, here) if op is None else op.when(F.col("method") == m, here)
+    texts = F.transform(F.filter("op.tags", lambda t: F.schema_of_variant(t) == "STRING"), lambda t: F.try_variant_get(t, "$", "string"))
+    found = each.withColumn("op", op).where("op.there")
+    return found.select(
+        "repo", F.col("path").alias("spec_file"), F.col("key").alias("path"), F.upper("method").alias("method"), "op.operation_id", "op.summary",
+        F.coalesce(texts, F.array().cast("array<string>")).alias("tags"),
+    )
+
+
+def openapi_json(files: DataFrame) -> DataFrame:
+    """Endpoints of the OpenAPI and Swagger files in JSON: variants, no Python. Files that are no JSON give no rows."""
+    found = _spec_files(files).where(F.lower("path").endswith(".json"))
+    return _endpoints(found.select("repo", "path", F.try_parse_json("content").alias("spec")).where("spec is not null"))
 
 
 def openapi(files: DataFrame) -> DataFrame:
-    """Endpoints of OpenAPI and Swagger files, JSON or YAML."""
-    name = F.regexp_extract("path", r"([^/]+)\.(?:json|ya?ml)$", 1)
-    found = files.where(F.lower(name).isin(*SPEC_NAMES)).select("repo", "path", "content")
-    return found.mapInPandas(_each(_openapi, ["repo", "spec_file", "path", "method", "operation_id", "summary", "tags"]), ENDPOINTS)
+    """Endpoints of OpenAPI and Swagger files, JSON or YAML. YAML, which Spark doesn't read, is turned into JSON first."""
+    found = _spec_files(files).where(~F.lower("path").endswith(".json"))
+    turned = found.mapInPandas(_as_json, "repo string, path string, content string")
+    return openapi_json(files).unionByName(_endpoints(turned.select("repo", "path", F.try_parse_json("content").alias("spec")).where("spec is not null")))
+
+
+def _as_json(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        content = [json.dumps(_load(p, c or ""), default=str) for p, c in zip(frame["path"], frame["content"], strict=True)]
+        yield pd.DataFrame({"repo": frame["repo"], "path": frame["path"], "content": content})
 
 
 #: Strings and comments are taken whole, so that what they hold is no brace; then brackets, words and other signs.

@@ -84,3 +84,34 @@ def test_pairs_in_small_buckets(spark, monkeypatch, ratio):
             if a < b and n / max(len(known[a]), len(known[b])) >= ratio:
                 expected[a, b] = n, len(known[a]), len(known[b])
     assert got == expected and ("all", "most") in got
+
+
+SPEC = {
+    "paths": {
+        "/users": {"get": {"operationId": "list", "summary": "all", "tags": ["b", 1, None, "a"]}, "post": {}, "x-note": {"get": 1}, "parameters": []},
+        "/again": {"$ref": "#/paths/~1users"},
+        "/shared": {"$ref": "#/components/pathItems/One"},
+        "/lost": {"$ref": "#/nowhere"},
+        "/odd": {"get": None, "put": 3, "delete": {"operationId": 5, "tags": "x", "summary": ["no"]}, "trace": {"tags": []}},
+        "/none": None,
+        "/list": [{"get": {}}],
+    },
+    "components": {"pathItems": {"One": {"head": {"operationId": "one"}}}},
+}
+
+
+def test_openapi_as_variants(spark):
+    import json
+
+    import yaml
+
+    files = [("r", "docs/openapi.json", json.dumps(SPEC)), ("r", "swagger.YAML".lower(), yaml.safe_dump(SPEC)), ("r", "api.json", "{broken"), ("r", "openapi.yml", "a: [b"), ("q", "api.json", "[1]"), ("q", "openapi.json", None)]
+    df = spark.createDataFrame([*files, ("r", "other.json", json.dumps(SPEC))], "repo string, path string, content string")
+    users = [("GET", "list", "all", ("b", "a")), ("POST", None, None, ())]
+    expected = {"/users": users, "/again": users, "/shared": [("HEAD", "one", None, ())], "/odd": [("GET", None, None, ()), ("PUT", None, None, ()), ("DELETE", None, None, ()), ("TRACE", None, None, ())]}
+    whole = sorted((p, *e) for p, es in expected.items() for e in es)
+    for spec_file in ("docs/openapi.json", "swagger.yaml"):
+        got = sorted((r.path, r.method, r.operation_id, r.summary, tuple(r.tags)) for r in specs.openapi(df).where(f"spec_file = '{spec_file}'").collect())
+        assert sorted(got, key=str) == sorted(whole, key=str)
+    assert {r.spec_file for r in specs.openapi(df).collect()} == {"docs/openapi.json", "swagger.yaml"}
+    assert "Python" not in specs.openapi_json(df)._jdf.queryExecution().toString() and "MapInPandas" not in specs.openapi_json(df)._jdf.queryExecution().toString()
