@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codestrata.functions import paths
@@ -164,3 +164,59 @@ def glance(files: DataFrame, touches: DataFrame) -> dict[str, DataFrame]:
     found = stacks(files)
     top = lambda c: touches.groupBy(c).agg(F.count("*").alias("commits")).orderBy(F.desc("commits"), c).limit(5)
     return {"stacks": found, "entry_points": entry_points(files), "commands": commands(found), "hot_files": top("path"), "active_authors": top("author")}
+
+
+#: Files that describe a project, and the bounds of what is shown of it.
+README_NAMES = ("README.md", "README.rst", "README.txt", "README")
+SIGNAL_MANIFESTS = (
+    "Cargo.toml", "package.json", "go.mod", "pyproject.toml", "requirements.txt", "Gemfile", "composer.json", "pom.xml", "build.gradle",
+    "build.gradle.kts", "mix.exs",
+)
+README_BYTES, MANIFEST_BYTES, SUBJECTS, LAST_COMMITS, TOP_FILES, HOT, DAYS = 8000, 4000, 30, 10, 15, 5, 90
+
+
+def _best(rows: DataFrame, most: int, *order) -> DataFrame:
+    """The first `most` rows of each repository, with their rank; the limit is applied before the shuffle, too."""
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("repo").orderBy(*order)))
+    return ranked.where(F.col("rank") <= most)
+
+
+def history_signals(commits: DataFrame, touches: DataFrame, reference: Column, days: int = DAYS) -> DataFrame:
+    """(repo, part, rank, value, count): what histories say of projects at the moment reference, for all repositories.
+
+    commits (repo, sha, author, at, subject, parents), touches (repo, sha, path). Parts: last_commits (short hash and
+    subject of the last ten, merges too), subjects (of the last thirty in the window, no merges), commits (how many these
+    are, the value null), top_files (fifteen by commits in the window), active_authors (five).
+    """
+    since = reference - F.make_interval(days=F.lit(days))
+    recent = commits.where((F.col("at") >= since) & (F.col("at") <= reference))
+    own = recent.where(F.col("parents") <= 1)
+    one, none = F.lit(None).cast("long"), F.lit(None).cast("string")
+    newest = (F.desc("at"), F.desc("sha"))
+    short = F.concat_ws(" ", F.substring(F.col("sha").cast("string"), 1, 7), "subject")
+    changed = touches.join(recent.select("repo", "sha"), ["repo", "sha"], "left_semi").groupBy("repo", "path").agg(F.count_distinct("sha").alias("count"))
+    people = recent.groupBy("repo", "author").agg(F.count("*").alias("count"))
+    part = lambda df, name, value, count: df.select("repo", F.lit(name).alias("part"), "rank", value.cast("string").alias("value"), count.alias("count"))
+    before = commits.where(F.col("at") <= reference)
+    parts = [
+        part(_best(before, LAST_COMMITS, *newest), "last_commits", short, one),
+        part(_best(own, SUBJECTS, *newest), "subjects", F.col("subject"), one),
+        part(own.groupBy("repo").agg(F.count("*").alias("count")).withColumn("rank", F.lit(1)), "commits", none, F.col("count")),
+        part(_best(changed, TOP_FILES, F.desc("count"), "path"), "top_files", F.col("path"), F.col("count")),
+        part(_best(people, HOT, F.desc("count"), "author"), "active_authors", F.col("author"), F.col("count")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def file_signals(files: DataFrame) -> DataFrame:
+    """(repo, part, rank, path, excerpt) of files (repo, path, content) at the top of a repository: its readme, by the first
+    name there is, and its manifests, cut where a character ends."""
+    at = lambda names: F.array_position(F.array(*map(F.lit, names)), F.col("path"))
+    known = files.where(F.col("content").isNotNull() & F.col("path").isin(*README_NAMES, *SIGNAL_MANIFESTS))
+    readme = _best(known.where(F.col("path").isin(*README_NAMES)), 1, at(README_NAMES))
+    manifests = known.where(F.col("path").isin(*SIGNAL_MANIFESTS)).withColumn("rank", at(SIGNAL_MANIFESTS).cast("int"))
+    show = lambda df, part, most: df.select("repo", F.lit(part).alias("part"), "rank", "path", cut_bytes(F.col("content"), most).alias("excerpt"))
+    return show(readme, "readme", README_BYTES).unionByName(show(manifests, "manifest", MANIFEST_BYTES))

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 def find_by_folder(lines: DataFrame, folders: int = 20, samples: int = 3) -> DataFrame:
     """(folder, files, sample) of a list of paths, the fullest folders first."""
     rows = lines.where(F.trim("line") != "").select(F.regexp_extract("line", "^(.*)/[^/]*$", 1).alias("folder"), "line")
-    grouped = rows.groupBy("folder").agg(F.count("*").alias("files"), F.slice(F.array_sort(F.collect_list("line")), 1, samples).alias("sample"))
-    return grouped.orderBy(F.desc("files"), "folder").limit(folders)
+    counted = rows.groupBy("folder").agg(F.count("*").alias("files")).orderBy(F.desc("files"), "folder").limit(folders)
+    # the limit of a window is applied before the shuffle too, so no folder's paths are gathered
+    first = F.row_number().over(Window.partitionBy("folder").orderBy("line"))
+    some = rows.withColumn("n", first).where(F.col("n") <= samples).groupBy("folder").agg(F.array_sort(F.collect_list("line")).alias("sample"))
+    return counted.join(some, "folder").select("folder", "files", "sample").orderBy(F.desc("files"), "folder")
 
 
 def grep_by_file(lines: DataFrame, most: int = 15) -> DataFrame:
@@ -79,3 +82,13 @@ def listing(lines: DataFrame) -> DataFrame:
     """(folders, files) of a long listing."""
     rows = lines.where(F.col("line").rlike("^[d-][rwxst-]{9}"))
     return rows.agg(F.count_if(F.col("line").startswith("d")).alias("folders"), F.count_if(F.col("line").startswith("-")).alias("files"))
+
+
+def listing_head(lines: DataFrame, most: int = 15, short: int = 20) -> DataFrame:
+    """(line_no, line, folders, files, more) of a long listing (line_no, line): its first entries, how many folders and
+    files it has, and how many entries are left out; a listing of at most `short` entries is given whole."""
+    rows = lines.where("line <> ''")
+    total = rows.agg(F.count("*").alias("n"), F.count_if(F.col("line").startswith("d")).alias("folders"), F.count_if(F.col("line").startswith("-")).alias("files"))
+    head = rows.orderBy("line_no").limit(short).crossJoin(F.broadcast(total))  # one row of totals
+    shown = head.withColumn("place", F.row_number().over(Window.orderBy("line_no"))).where((F.col("n") <= short) | (F.col("place") <= most))
+    return shown.select("line_no", "line", "folders", "files", F.when(F.col("n") <= short, 0).otherwise(F.col("n") - most).alias("more"))

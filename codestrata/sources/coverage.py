@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Where reports are looked for.
@@ -58,3 +58,52 @@ def jest_summary(files: DataFrame) -> DataFrame:
 def find(files: DataFrame) -> DataFrame:
     """The files that are reports by their place."""
     return files.where(F.col("path").isin(*CANDIDATES))
+
+
+#: Which parser reads which of the places, by the form of its report.
+FORMS = {
+    "lcov": ("lcov.info", "coverage/lcov.info"),
+    "cobertura": ("coverage.xml", "cobertura.xml", "coverage/cobertura-coverage.xml"),
+    "jacoco": ("target/site/jacoco/jacoco.xml", "build/reports/jacoco/test/jacocoTestReport.xml"),
+    "go": ("coverage.out", "cover.out", "c.out"),
+}
+
+
+def discover(files: DataFrame) -> DataFrame:
+    """(report, path, line, hits) of all reports with lines that files (path, content) holds at the usual places."""
+    found = find(files)
+    parsers = {"lcov": lcov, "cobertura": cobertura, "jacoco": jacoco, "go": go_profile}
+    out = None
+    for form, places in FORMS.items():
+        own = parsers[form](found.where(F.col("path").isin(*places))).select("report", "path", "line", "hits")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+_LINES = "array<struct<_number:string,_hits:string>>"
+
+
+def read_cobertura(spark: SparkSession, *places: str) -> DataFrame:
+    """(report, path, line, hits) of Cobertura files, of any size: read as a stream of class elements by Spark's XML source.
+
+    Attributes stand in any order; comments, CDATA and entities are XML's own affair. A file is one task's, which holds
+    one class at a time; files are read side by side. A file that isn't well-formed gives the classes before its fault.
+    """
+    schema = f"_filename string, lines struct<line:{_LINES}>, methods struct<method:array<struct<lines:struct<line:{_LINES}>>>>"
+    rows = spark.read.format("xml").option("rowTag", "class").schema(schema).load(list(places))
+    none = F.array().cast(_LINES)
+    inner = F.flatten(F.transform(F.coalesce("methods.method", F.array().cast(f"array<struct<lines:struct<line:{_LINES}>>>")), lambda m: F.coalesce(m["lines"]["line"], none)))
+    each = rows.where("_filename <> ''").select(
+        F.col("_metadata.file_path").alias("report"), F.col("_filename").alias("path"), F.explode(F.concat(inner, F.coalesce("lines.line", none))).alias("l")
+    )
+    return each.select("report", "path", F.col("l._number").try_cast("int").alias("line"), F.col("l._hits").try_cast("long").alias("hits")).where("line is not null")
+
+
+def read_jacoco(spark: SparkSession, *places: str) -> DataFrame:
+    """(report, path, line, hits) of JaCoCo files, read as a stream of package elements like read_cobertura()."""
+    schema = "_name string, sourcefile array<struct<_name:string,line:array<struct<_nr:string,_ci:string>>>>"
+    rows = spark.read.format("xml").option("rowTag", "package").schema(schema).load(list(places))
+    each = rows.select(F.col("_metadata.file_path").alias("report"), F.coalesce("_name", F.lit("")).alias("folder"), F.explode("sourcefile").alias("s"))
+    each = each.select("report", "folder", F.col("s._name").alias("name"), F.explode("s.line").alias("l"))
+    path = F.when(F.col("folder") == "", F.col("name")).otherwise(F.concat_ws("/", "folder", "name"))
+    return each.select("report", path.alias("path"), F.col("l._nr").try_cast("int").alias("line"), F.col("l._ci").try_cast("long").alias("hits")).where("line is not null")
