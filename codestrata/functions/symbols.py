@@ -104,11 +104,8 @@ def workspace_symbols(lines: DataFrame, query: str) -> DataFrame:
 
 def references(lines: DataFrame, word: str) -> DataFrame:
     """(path, line_no, col, line) of every place where word stands by itself in lines; col counts from 1."""
-    alone = text.bounded(word)
-    found = lines.where(F.col("line").contains(word) & F.col("line").rlike(alone)).withColumn("_pieces", F.split("line", alone, -1))
-    before = lambda i: F.aggregate(F.slice("_pieces", F.lit(1), i), F.lit(0), lambda s, p: s + F.length(p))
-    columns = F.transform(F.sequence(F.lit(1), F.size("_pieces") - 1), lambda i: before(i) + (i - 1) * len(word) + 1)
-    return found.select("path", "line_no", F.explode(columns).alias("col"), "line").withColumn("col", F.col("col").cast("long"))
+    found = lines.where(F.col("line").contains(word) & F.col("line").rlike(text.bounded(word)))
+    return found.select("path", "line_no", F.explode(text.standing("line", F.lit(word))).alias("col"), "line")
 
 
 def definitions(references: DataFrame) -> DataFrame:

@@ -13,17 +13,15 @@ nothing; a word that is asked for twice is looked for once; null paths come befo
 from __future__ import annotations
 
 import operator
-import re
 import uuid
 from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
 
 from codestrata.functions import paths, symbols
+from codestrata.functions.text import standing
 from codestrata.operators.search import checked
 
 #: Characters of a gram, lines of a block (a power of two, as a shift), grams of a word that are looked up.
@@ -111,13 +109,6 @@ def find_with_scan(lines: DataFrame, words: DataFrame) -> DataFrame:
     return lines.join(asked, F.col("line").contains(F.col("word"))).select("word", "path", "line_no", F.explode(standing("line", "word")).alias("col"))
 
 
-@F.pandas_udf(ArrayType(LongType()))
-def standing(line: pd.Series, word: pd.Series) -> pd.Series:
-    """The columns, from 1, where word stands by itself in line: one pass, however many there are."""
-    known = {w: re.compile(rf"(?<![A-Za-z0-9_]){re.escape(w)}(?![A-Za-z0-9_])") for w in word.unique()}
-    return pd.Series([[m.start() + 1 for m in known[w].finditer(t)] for t, w in zip(line, word, strict=True)])
-
-
 def first(spark: SparkSession, place: str, word: str, verify: Callable[[DataFrame], DataFrame], most: int = MOST_HITS, most_files: int = MOST_FILES) -> DataFrame:
     """The first `most` rows of verify(lines that may hold word), by path and line, in the first `most_files` files.
 

@@ -12,12 +12,24 @@ from pyspark.sql import functions as F
 def envelope(schema: str, parts: dict[str, DataFrame], most: int = 1000, began: float | None = None) -> str:
     """A JSON document of the first rows of each part, with the schema's name and the time it took.
 
-    Only `most` rows of a part come to the driver; full tables are for write().
+    Only `most` rows of a part come to the driver. A part with more of them is named in "omitted" with how many are left
+    out; write_parts() writes all.
     """
     began = time.time() if began is None else began
-    body = {name: [json.loads(r[0]) for r in df.select(F.to_json(F.struct("*"))).limit(most).collect()] for name, df in parts.items()}
+    body, omitted = {}, {}
+    for name, df in parts.items():
+        rows = df.select(F.to_json(F.struct("*"))).limit(most + 1).collect()
+        body[name] = [json.loads(r[0]) for r in rows[:most]]
+        if len(rows) > most:
+            omitted[name] = df.count() - most
     head = {"$schema": schema, "generated_at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "elapsed_ms": int((time.time() - began) * 1000)}
-    return json.dumps(head | body, ensure_ascii=False, indent=2)
+    return json.dumps(head | ({"omitted": omitted} if omitted else {}) | body, ensure_ascii=False, indent=2)
+
+
+def write_parts(parts: dict[str, DataFrame], place: str, mode: str = "errorifexists") -> None:
+    """All rows of each part as lines of JSON in a folder of its name, by the executors."""
+    for name, df in parts.items():
+        df.write.mode(mode).json(f"{place}/{name}")
 
 
 def markdown(df: DataFrame, most: int = 20) -> str:

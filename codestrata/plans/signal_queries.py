@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.operators import project
-from codestrata.sources import coverage
+from codestrata.sources import coverage, specs
+from codestrata.streaming import watch
 
-from .adapters import SUBJECT_SQL, order_commits
+from .adapters import SUBJECT_SQL, order_commits, table
 from .parsed_queries import _COV, _TOUCHED, _covered, _report, _text, _touched, new_folder
 
 _REFERENCE = "1997-06-01"
@@ -53,7 +54,31 @@ def coverage_from_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("path", "line", "hits").agg(F.count("*").alias("times"))
 
 
-QUERIES = {f.__name__: f for f in (history_signals, coverage_discovered, coverage_from_xml)}
+def ci_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as jobs of three further kinds of CI definitions, with entries that are no jobs; a file for each nation."""
+    k = F.col("c_custkey")
+    name, n = F.concat(F.lit("j"), k.cast("string")), (k % 4).cast("int")
+    steps = lambda one: F.array_join(F.array_repeat(F.lit(one), n), ",")
+    kind = F.col("c_nationkey") % 3
+    gitlab = F.concat(F.lit('"'), name, F.lit('":{"stage":"'), F.lower("c_mktsegment"), F.lit('","script":['), steps('"make"'), F.lit("]}"))
+    circle = F.concat(F.lit('"'), name, F.lit('":{"docker":[{"image":"img'), n.cast("string"), F.lit('"}],"steps":['), steps('"checkout"'), F.lit("]}"))
+    jenkins = F.concat(F.lit("    stage('"), name, F.lit("') { steps { sh 'stage(1)' } }"))
+    rows = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", F.when(kind == 0, gitlab).when(kind == 1, circle).otherwise(jenkins).alias("job"))
+    jobs = _text(rows, ("c_nationkey",), "c_custkey", F.concat("job", F.when(kind < 2, F.lit(",")).otherwise(F.lit(""))))
+    head = F.when(kind == 0, F.lit('{"stages":["a"],"variables":{"x":{}},".hidden":{"script":[1]},"note":"text",')).when(kind == 1, F.lit('{"version":2,"jobs":{')).otherwise(F.lit("pipeline {\n  triggers { pollSCM('') }\n  stages {\n"))
+    tail = F.when(kind == 0, F.lit('"default":{}}')).when(kind == 1, F.lit('"m":{"machine":"m"}}}')).otherwise(F.lit("\n  }\n}"))
+    path = F.when(kind == 0, F.lit(".gitlab-ci.yml")).when(kind == 1, F.lit(".circleci/config.yml")).otherwise(F.lit("Jenkinsfile"))
+    files = jobs.select(F.concat(F.lit("r"), F.col("c_nationkey").cast("string")).alias("repo"), path.alias("path"), F.concat(head, "content", tail).alias("content"))
+    return specs.ci_jobs(files).select("repo", "provider", F.array_join("triggers", ",").alias("triggers"), "job", "runs_on", "steps_count")
+
+
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in windows of an hour that begin every half hour; users as repositories."""
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("repo"), F.col("event_type").alias("path"), "ts")
+    return watch.windows(events, "1 hour", "30 minutes").select("repo", "started", "event_count")
+
+
+QUERIES = {f.__name__: f for f in (history_signals, coverage_discovered, coverage_from_xml, ci_forms, event_windows)}
 _RANK = "row_number() OVER (PARTITION BY repo ORDER BY {}) AS rank"
 SQL = {
     "history_signals": f"""WITH {_TOUCHED}, c AS (SELECT 'r' || o_custkey % 20 AS repo, o_orderkey AS sha, CAST(o_custkey AS VARCHAR) AS author, CAST(o_orderdate AS TIMESTAMP) AS ts, {SUBJECT_SQL} AS subject,
@@ -69,4 +94,10 @@ SELECT repo, part, rank, value, count FROM parts WHERE rank <= most""",
 UNION ALL SELECT *, 'cobertura.xml' FROM cov WHERE report = 'F' UNION ALL SELECT *, 'cover.out' FROM cov WHERE report = 'O')
 SELECT place AS report, path, count(*) AS lines, count(*) FILTER (hits > 0) AS covered FROM r GROUP BY ALL""",
     "coverage_from_xml": f"WITH {_COV} SELECT path || '&co' AS path, CAST(line AS INTEGER) AS line, hits, count(*) AS times FROM cov GROUP BY ALL",
+    "ci_forms": """SELECT 'r' || c_nationkey AS repo, CASE c_nationkey % 3 WHEN 0 THEN 'gitlab' WHEN 1 THEN 'circleci' ELSE 'jenkins' END AS provider,
+  CASE c_nationkey % 3 WHEN 0 THEN 'push,merge_request' WHEN 1 THEN 'push' ELSE 'scm-poll' END AS triggers, 'j' || c_custkey AS job,
+  CASE c_nationkey % 3 WHEN 0 THEN 'stage:' || lower(c_mktsegment) WHEN 1 THEN 'img' || c_custkey % 4 END AS runs_on, CASE WHEN c_nationkey % 3 = 2 THEN 0 ELSE CAST(c_custkey % 4 AS INTEGER) END AS steps_count FROM customer
+UNION ALL SELECT DISTINCT 'r' || c_nationkey, 'circleci', 'push', 'm', 'm', 0 FROM customer WHERE c_nationkey % 3 = 1""",
+    "event_windows": """WITH w AS (SELECT user_id AS repo, time_bucket(INTERVAL 30 MINUTE, CAST(ts AS TIMESTAMP)) - to_minutes(CAST(30 * unnest([0, 1]) AS BIGINT)) AS started FROM events WHERE ts IS NOT NULL)
+SELECT repo, started, count(*) AS event_count FROM w GROUP BY ALL""",
 }
