@@ -43,8 +43,7 @@ def fit(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = SEED) -> np.nda
     for _ in range(rounds):
         code = _nearest(x, centres)
         n = np.bincount(code, minlength=len(centres))
-        sums = np.zeros_like(centres)
-        np.add.at(sums, code, x)
+        sums = np.stack([np.bincount(code, x[:, j], len(centres)) for j in range(x.shape[1])], 1)
         centres[n > 0] = sums[n > 0] / n[n > 0, None]
     return centres
 
@@ -123,7 +122,8 @@ def _compare(spark: SparkSession, place: str, codes: Codes, asked: DataFrame, k:
     bound (k given), or all whose lower bound is within reach."""
     sent = spark.sparkContext.broadcast(codes)
     kind = asked.schema["query_id"].dataType.simpleString()
-    dealt = asked.withColumn("part", F.pmod(F.xxhash64("query_id", "list"), F.ceil(F.count("*").over(_by_list()) / ASKED)))
+    sizes = asked.groupBy("list").agg(F.ceil(F.count("*") / ASKED).alias("parts"))  # at most a row for each list
+    dealt = asked.join(F.broadcast(sizes), "list").withColumn("part", F.pmod(F.xxhash64("query_id", "list"), F.col("parts")))
     queries = dealt.groupBy("list", "part").agg(F.collect_list(F.struct("query_id", "unit", "reach")).alias("q")).select("list", "q.query_id", "q.unit", "q.reach")
     met = spark.read.parquet(f"{place}/blocks").join(queries, "list").select("list", "row", "codes", "missed", "query_id", "unit", "reach")
 
@@ -147,12 +147,6 @@ def _compare(spark: SparkSession, place: str, codes: Codes, asked: DataFrame, k:
     return met.mapInArrow(run, f"query_id {kind}, row bigint, low double, high double")
 
 
-def _by_list():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("list")
-
-
 def _probe(spark: SparkSession, place: str, codes: Codes, queries: DataFrame, probes: int | None) -> DataFrame:
     """(query_id, unit, list, reach) of queries (query_id, unit, reach): the nearest lists, or all within reach."""
     radius = np.full(len(codes.centres), -np.inf)

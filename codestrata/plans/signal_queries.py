@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.operators import project
-from codestrata.sources import coverage, specs
+from codestrata.sources import coverage, repository, specs
 from codestrata.streaming import watch
 
 from .adapters import SUBJECT_SQL, order_commits, table
@@ -54,6 +54,24 @@ def coverage_from_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("path", "line", "hits").agg(F.count("*").alias("times"))
 
 
+def coverage_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LCOV files and coverprofiles written record by record, and read by splits."""
+    place, covered = new_folder(spark, "reports"), _covered(spark, sf_dir)
+    records = _text(covered, ("report", "path"), "line", F.concat(F.lit("DA:"), "line", F.lit(","), "hits"))
+    records.select("report", F.concat(F.lit("TN:\nSF:"), "path", F.lit("\n"), "content", F.lit("\nLF:1\nend_of_record"))).write.partitionBy("report").text(f"{place}/lcov")
+    covered.select("report", F.concat(F.lit("go/"), "path", F.lit(":"), "line", F.lit(".2,"), F.col("line") + 3, F.lit(".9 1 "), "hits")).write.partitionBy("report").text(f"{place}/go")
+    found = coverage.read_lcov(spark, f"{place}/lcov").unionByName(coverage.read_go_profile(spark, f"{place}/go"))
+    return found.groupBy("path", "line", "hits").agg(F.count("*").alias("times"))
+
+
+def log_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commits written to a log file of each repository, and read commit by commit; files of each repository by commits."""
+    place = new_folder(spark, "logs")
+    commits = _text(_touched(spark, sf_dir), ("repo", "sha"), "line", F.col("file"))
+    commits.select("repo", F.concat(F.lit("COMMIT:"), "sha", F.lit("\n\n"), "content", F.lit("\n"))).write.partitionBy("repo").text(place)
+    return repository.parse_log(repository.read_logs(spark, place)).groupBy("repo", "file").agg(F.count_distinct("sha").alias("commits"))
+
+
 def ci_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as jobs of three further kinds of CI definitions, with entries that are no jobs; a file for each nation."""
     k = F.col("c_custkey")
@@ -78,7 +96,7 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return watch.windows(events, "1 hour", "30 minutes").select("repo", "started", "event_count")
 
 
-QUERIES = {f.__name__: f for f in (history_signals, coverage_discovered, coverage_from_xml, ci_forms, event_windows)}
+QUERIES = {f.__name__: f for f in (history_signals, coverage_discovered, coverage_from_xml, coverage_from_files, log_from_files, ci_forms, event_windows)}
 _RANK = "row_number() OVER (PARTITION BY repo ORDER BY {}) AS rank"
 SQL = {
     "history_signals": f"""WITH {_TOUCHED}, c AS (SELECT 'r' || o_custkey % 20 AS repo, o_orderkey AS sha, CAST(o_custkey AS VARCHAR) AS author, CAST(o_orderdate AS TIMESTAMP) AS ts, {SUBJECT_SQL} AS subject,
@@ -100,4 +118,7 @@ SELECT place AS report, path, count(*) AS lines, count(*) FILTER (hits > 0) AS c
 UNION ALL SELECT DISTINCT 'r' || c_nationkey, 'circleci', 'push', 'm', 'm', 0 FROM customer WHERE c_nationkey % 3 = 1""",
     "event_windows": """WITH w AS (SELECT user_id AS repo, time_bucket(INTERVAL 30 MINUTE, CAST(ts AS TIMESTAMP)) - to_minutes(CAST(30 * unnest([0, 1]) AS BIGINT)) AS started FROM events WHERE ts IS NOT NULL)
 SELECT repo, started, count(*) AS event_count FROM w GROUP BY ALL""",
+    "coverage_from_files": f"""WITH {_COV} SELECT p AS path, CAST(line AS INTEGER) AS line, hits, count(*) AS times
+FROM (SELECT path AS p, line, hits FROM cov UNION ALL SELECT 'go/' || path, line, hits FROM cov) GROUP BY ALL""",
+    "log_from_files": f"WITH {_TOUCHED} SELECT repo, file, count(DISTINCT sha) AS commits FROM f GROUP BY ALL",
 }

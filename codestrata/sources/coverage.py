@@ -80,6 +80,17 @@ def discover(files: DataFrame) -> DataFrame:
     return out
 
 
+def read_lcov(spark: SparkSession, *places: str) -> DataFrame:
+    """(report, path, line, hits) of LCOV files, read record by record: a large file is split over tasks."""
+    records = spark.read.option("lineSep", "end_of_record").text(list(places))
+    return lcov(records.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")))
+
+
+def read_go_profile(spark: SparkSession, *places: str) -> DataFrame:
+    """(report, path, line, hits) of coverprofiles, read line by line."""
+    return go_profile(spark.read.text(list(places)).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")))
+
+
 _LINES = "array<struct<_number:string,_hits:string>>"
 
 

@@ -76,6 +76,18 @@ def git_parents(spark: SparkSession, root: str, repo: str = "") -> DataFrame:
     return spark.createDataFrame([(repo, r[0], p) for r in rows for p in r[1:] or [None]], "repo string, sha string, parent string")
 
 
+def read_logs(spark: SparkSession, *places: str, marker: str = "COMMIT:") -> DataFrame:
+    """(repo, content) of log files that begin with a marker line, a row for each commit: for parse_log() and
+    parse_name_status(). A file is read by as many tasks as it has splits, and no row holds more than a commit.
+
+    repo is that of folders named repo=..., or the file's name without its ending.
+    """
+    rows = spark.read.option("lineSep", f"\n{marker}").text(list(places))
+    repo = F.col("repo").cast("string") if "repo" in rows.columns else F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
+    whole = F.when(F.col("value").startswith(marker), F.col("value")).otherwise(F.concat(F.lit(marker), "value"))
+    return rows.select(repo.alias("repo"), whole.alias("content"))
+
+
 def parse_log(logs: DataFrame, marker: str = "COMMIT:") -> DataFrame:
     """(repo, sha, file) of logs (repo, content): a marker line begins a commit, every other line that isn't blank is a file.
 

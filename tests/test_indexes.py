@@ -132,7 +132,7 @@ def test_block_max_equals_bm25(spark, tmp_path):
     docs = [(i, prose(r, int(r.paretovariate(1.2) * 8) % 400, vocabulary[: r.choice((30, 400))])) for i in range(1500)] + [(9000, None), (9001, "")]
     table = spark.createDataFrame(docs, "doc_id long, text string")
     queries = spark.createDataFrame([(q, prose(r, 4, vocabulary)) for q in range(12)] + [(90, "absent"), (91, None), (92, "w1 w1 w2")], "query_id long, text string")
-    ranked.write(table, str(tmp_path))
+    ranked.write(table, str(tmp_path), block=8)
     best = lambda df: {(x.query_id, x["rank"]): (x.doc_id, x.score) for x in search.top(df.withColumn("score", F.round("score", 6)), 5, "query_id").collect()}
     got, expected = best(ranked.search_blocks(spark, str(tmp_path), queries, 5)), best(search.bm25(table, queries))
     assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in expected.items()}

@@ -64,3 +64,21 @@ def test_project_signals(spark):
     plain = [i for i in range(9, 100) if i % 5]
     assert part("subjects") == [(f"s{i}", None) for i in plain[::-1][:30]] and part("commits") == [(None, len(plain))]
     assert len(part("top_files")) == 15 and part("top_files")[0] == ("f10", 5) and len(part("active_authors")) == 5
+
+
+def test_files_are_split_into_records(spark, tmp_path):
+    """A report and a history that many tasks read, each record whole; none lost where a file is cut."""
+    from codestrata.sources import repository
+
+    (tmp_path / "lcov.info").write_text("".join(f"SF:f{i}.c\nDA:{i},{i % 3}\nDA:1,1\nend_of_record\n" for i in range(3000)))
+    (tmp_path / "app.log").write_text("".join(f"COMMIT:{i}\n\nsrc/{i}.c\nsrc/all.c\n\n" if i % 10 else f"COMMIT:{i}\n" for i in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 4096)
+    try:
+        report, logs = coverage.read_lcov(spark, str(tmp_path / "lcov.info")), repository.read_logs(spark, str(tmp_path / "app.log"))
+        assert logs.rdd.getNumPartitions() > 5
+        assert {(r.path, r.line): r.hits for r in report.collect()} == {(f"f{i}.c", n): h for i in range(3000) for n, h in ((1, 1), (i, i % 3))} | {("f1.c", 1): 1}
+        got = repository.parse_log(logs).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    expected = sorted([("app", str(i), f) for i in range(3000) if i % 10 for f in (f"src/{i}.c", "src/all.c")] + [("app", str(i), None) for i in range(0, 3000, 10)], key=str)
+    assert sorted(map(tuple, got), key=str) == expected
