@@ -56,7 +56,7 @@ def pairs(
     a, b = (first.select("sha", F.col("file").alias(f"file_{s}"), F.col("total").alias(f"total_{s}")) for s in "ab")
     near = F.least("total_a", "total_b") >= min_ratio * F.greatest("total_a", "total_b") - 1e-9  # no more can be shared
     candidates = a.join(b, "sha").where((F.col("file_a") < F.col("file_b")) & near).select("file_a", "file_b", "total_a", "total_b").distinct()
-    most = totals.agg(F.max("total")).first()[0] or 0
+    most = sized.agg(F.max("total")).first()[0] or 0
     bucket = F.pmod(F.xxhash64("sha", F.lit(1)), F.lit(max(1, -(-most // BUCKET))))
     listed = checkpoint(sized.groupBy("file", bucket.alias("bucket")).agg(F.collect_list("sha").alias("in")))
     sides = [listed.select(F.col("file").alias(f"file_{s}"), "bucket", F.col("in").alias(f"in_{s}")) for s in "ab"]

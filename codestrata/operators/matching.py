@@ -64,11 +64,10 @@ def _shards(words: DataFrame, most: int) -> Iterator[_Words]:
     """The distinct words in broadcast lists of about `most` words."""
     spark = words.sparkSession
     distinct = words.select(F.col(words.columns[0]).cast("string").alias("word")).where("word <> ''").distinct()
-    n = distinct.count()
-    shards = max(1, -(-n // most)) if n else 0
+    few = [r[0] for r in distinct.limit(most + 1).collect()]  # bounded by an automaton's size
+    shards = 0 if not few else 1 if len(few) <= most else -(-distinct.count() // most)
     for k in range(shards):
-        own = distinct.where(F.pmod(F.xxhash64("word"), F.lit(shards)) == k) if shards > 1 else distinct
-        held = sorted(r[0] for r in own.toLocalIterator())
+        held = sorted(few if shards == 1 else (r[0] for r in distinct.where(F.pmod(F.xxhash64("word"), F.lit(shards)) == k).toLocalIterator()))
         sent = spark.sparkContext.broadcast(held)
         yield _Words(f"{spark.sparkContext.applicationId}-{sent._jbroadcast.id()}", sent)
 
