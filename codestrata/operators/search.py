@@ -100,6 +100,23 @@ def hybrid(bm25_hits: DataFrame, cosine_hits: DataFrame, alpha: float = ALPHA) -
     return both.select("doc_id", (alpha * F.coalesce(F.col("b") / F.col("most"), F.lit(0.0)) + (1 - alpha) * F.coalesce(near, F.lit(0.0))).alias("score"))
 
 
+def hybrid_many(words: DataFrame, near: DataFrame, vectors: DataFrame, queries: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """(query_id, doc_id, score): hybrid() for many queries in one plan, of the documents that can be among the k best.
+
+    words (query_id, doc_id, score) by BM25, at least the CANDIDATES best; near (query_id, id): at least the k + CANDIDATES
+    nearest vectors, as a document without words is ranked by its vector alone and at most CANDIDATES before it have
+    words; vectors (doc_id, embedding), queries (query_id, embedding). The k best rows of each query are those of hybrid().
+    """
+    best = top(words, CANDIDATES, "query_id").select("query_id", "doc_id", F.col("score").alias("b"))
+    most = best.groupBy("query_id").agg(F.greatest(F.max("b"), F.lit(1e-9)).alias("most"))
+    pairs = best.select("query_id", "doc_id").unionByName(near.select("query_id", F.col("id").alias("doc_id"))).distinct()
+    known = pairs.join(vectors.select("doc_id", F.col("embedding").alias("v")), "doc_id").join(queries.select("query_id", F.col("embedding").alias("q")), "query_id")
+    cosines = known.select("query_id", "doc_id", F.least(F.greatest((cosine(F.col("v"), F.col("q")) + 1) / 2, F.lit(0.0)), F.lit(1.0)).alias("c"))
+    both = best.join(cosines, ["query_id", "doc_id"], "full_outer").join(most, "query_id", "left")
+    score = alpha * F.coalesce(F.col("b") / F.col("most"), F.lit(0.0)) + (1 - alpha) * F.coalesce("c", F.lit(0.0))
+    return both.select("query_id", "doc_id", score.alias("score"))
+
+
 def write_index(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> None:
     """Write postings, clustered by token so that a lookup reads few files, and the lengths of documents."""
     index = postings(docs, text, doc_id)

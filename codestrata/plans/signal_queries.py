@@ -22,7 +22,8 @@ def history_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("authored_at").cast("timestamp").alias("at"), "subject", F.when(F.col("sha") % 7 == 0, 2).otherwise(1).alias("parents"),
     )
     touches = _touched(spark, sf_dir).select("repo", "sha", F.col("file").alias("path"))
-    return project.history_signals(commits, touches, F.lit(_REFERENCE).cast("timestamp"))
+    found = project.history_signals(commits, touches, F.lit(_REFERENCE).cast("timestamp"))
+    return found.withColumn("rank", F.col("rank").cast("long"))
 
 
 def coverage_discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
