@@ -14,9 +14,11 @@ from __future__ import annotations
 
 import operator
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ _FINE = {"parquet.block.row.count.limit": 1 << SHIFT, "parquet.page.row.count.li
 
 
 def grams(text: Column) -> Column:
-    """The distinct grams of text in lower case: one pass over it."""
+    """The distinct grams of a word in lower case."""
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
 
 
@@ -47,13 +49,39 @@ def write(lines: DataFrame, place: str) -> None:
     numbered = numbered.withColumn("block", F.shiftright("at", SHIFT)).withColumn("at", F.col("at").bitwiseAND((1 << SHIFT) - 1).cast("int"))
     numbered.write.options(**_FINE).parquet(f"{place}/lines")
     written = spark.read.parquet(f"{place}/lines")  # numbers are those written, whatever a lost task would give
-    rows = written.select("block", "at", F.explode(grams(F.col("line"))).alias("gram"))
-    index = rows.groupBy("gram", "block").agg(F.array_sort(F.collect_list("at")).alias("places"))
-    index.repartitionByRange("gram", "block").sortWithinPartitions("gram", "block").write.options(**_FINE).parquet(f"{place}/grams")
+    lists = _lists(written).groupBy("gram", "block").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
+    lists.sortWithinPartitions("gram", "block").write.options(**_FINE).parquet(f"{place}/grams")  # bounds are those of sorted row groups
     counts = spark.read.parquet(f"{place}/grams").groupBy("gram").agg(F.sum(F.size("places")).alias("lines"))
     counts.repartitionByRange("gram").sortWithinPartitions("gram").write.options(**_FINE).parquet(f"{place}/counts")
 
 
+def _lists(lines: DataFrame) -> DataFrame:
+    """(gram, block, places) of lines (block, at, line), a row for each batch: grams are numbers of three code points,
+    told apart from those of other lines by sorting."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            chars = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.int64)
+            if len(chars) < GRAM:
+                continue
+            row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+            whole = row[2:] == row[:-2]
+            key, row = (chars[:-2] << 42 | chars[1:-1] << 21 | chars[2:])[whole], row[2:][whole]
+            known, which = np.unique(key, return_inverse=True)
+            pairs = np.unique(which * len(texts) + row)  # each gram of a line once, by gram and line
+            which, row = np.divmod(pairs, len(texts))
+            block, at = batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row]
+            starts = np.flatnonzero((np.diff(which, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
+            names = np.array([chr(k >> 42) + chr(k >> 21 & 0x1FFFFF) + chr(k & 0x1FFFFF) for k in known.tolist()], object)
+            ends = pa.array(np.append(starts, len(pairs)), pa.int32())
+            places = pa.ListArray.from_arrays(ends, pa.array(at, pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(names[which[starts]], pa.string()), pa.array(block[starts], pa.int64()), places], names=["gram", "block", "places"])
+
+    source = lines.select("block", "at", F.lower("line").alias("line")).where(F.length("line") >= GRAM)
+    return source.mapInArrow(run, "gram string, block bigint, places array<int>")
+
+
 def candidates(spark: SparkSession, place: str, words: DataFrame, rarest: int = RAREST) -> DataFrame:
     """(word, block, at) of the lines that hold the rarest grams of a word; words of fewer characters than a gram lack."""
     asked = words.select("word").where(F.length("word") >= GRAM).distinct()

@@ -102,9 +102,8 @@ def write_segment(docs: DataFrame, dead: DataFrame, hashes: DataFrame, place: st
     name = uuid.uuid4().hex
     folder = f"{place}/segments/{name}"
     hashes.select("path", "hash").write.parquet(f"{folder}/files")
-    rows = T.explode_tokens(docs.select("path", F.struct("path", "doc_id").alias("_key"), "text"), "text", "_key").groupBy("_key", "token").agg(F.count("*").alias("tf"))
-    flat = rows.select("_key.path", "_key.doc_id", "token", "tf")
-    flat.repartitionByRange("token", "doc_id").sortWithinPartitions("token", "doc_id").write.parquet(f"{folder}/postings")
+    rows = T.explode_tokens(docs, "text", "path", "doc_id").groupBy("path", "doc_id", "token").agg(F.count("*").alias("tf"))
+    rows.sortWithinPartitions("token", "doc_id").write.parquet(f"{folder}/postings")
     docs.select("path", "doc_id", F.size(T.tokenize(F.col("text"))).cast("long").alias("doc_length")).write.parquet(f"{folder}/lengths")
     dead.select("path").distinct().write.parquet(f"{folder}/dead")
     return name
@@ -141,8 +140,7 @@ def merge(spark: SparkSession, place: str) -> int:
     name = uuid.uuid4().hex
     for table in ("files", "lengths"):
         _living(spark, place, state, table).write.parquet(f"{place}/segments/{name}/{table}")
-    postings = _living(spark, place, state, "postings")
-    postings.repartitionByRange("token", "doc_id").sortWithinPartitions("token", "doc_id").write.parquet(f"{place}/segments/{name}/postings")
+    _living(spark, place, state, "postings").sortWithinPartitions("token", "doc_id").write.parquet(f"{place}/segments/{name}/postings")
     _all(spark, place, state, "dead").select("path").where("false").write.parquet(f"{place}/segments/{name}/dead")
     number = max(s["number"] for s in state["segments"]) + 1
     publish(spark, place, state["version"] + 1, [{"id": name, "number": number}])
