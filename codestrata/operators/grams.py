@@ -26,7 +26,7 @@ from codestrata.functions import paths, symbols
 from codestrata.functions.text import standing
 from codestrata.operators.search import checked
 
-#: Characters of a gram, lines of a block (a power of two, as a shift), grams of a word that are looked up.
+#: Characters of a gram, lines of a block (a power of two, as a shift; places in it are 16-bit numbers), grams of a word that are looked up.
 GRAM, SHIFT, RAREST = 3, 12, 4
 #: Blocks or grams that a scan is told to read by a filter; of more, those to read are found by a join.
 NAMED = 128
@@ -75,11 +75,11 @@ def _lists(lines: DataFrame) -> DataFrame:
             starts = np.flatnonzero((np.diff(which, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
             names = np.array([chr(k >> 42) + chr(k >> 21 & 0x1FFFFF) + chr(k & 0x1FFFFF) for k in known.tolist()], object)
             ends = pa.array(np.append(starts, len(pairs)), pa.int32())
-            places = pa.ListArray.from_arrays(ends, pa.array(at, pa.int32()))
+            places = pa.ListArray.from_arrays(ends, pa.array(at, pa.int16()))
             yield pa.RecordBatch.from_arrays([pa.array(names[which[starts]], pa.string()), pa.array(block[starts], pa.int64()), places], names=["gram", "block", "places"])
 
     source = lines.select("block", "at", F.lower("line").alias("line")).where(F.length("line") >= GRAM)
-    return source.mapInArrow(run, "gram string, block bigint, places array<int>")
+    return source.mapInArrow(run, "gram string, block bigint, places array<smallint>")
 
 
 def candidates(spark: SparkSession, place: str, words: DataFrame, rarest: int = RAREST) -> DataFrame:
@@ -93,7 +93,7 @@ def candidates(spark: SparkSession, place: str, words: DataFrame, rarest: int =
     found = index.join(checked(needed), "gram").groupBy("word", "block", "needed").agg(F.collect_list("places").alias("lists"))
     # a block is a candidate if it has all of them; each list has at most the lines of a block
     both = F.aggregate(F.slice("lists", 2, rarest), F.element_at("lists", 1), lambda s, x: F.array_intersect(s, x))
-    met = found.where(F.size("lists") == F.col("needed")).select("word", "block", F.explode(both).alias("at"))
+    met = found.where(F.size("lists") == F.col("needed")).select("word", "block", F.explode(both).alias("at")).withColumn("at", F.col("at").cast("int"))
     aside = f"{place}/found-{uuid.uuid4().hex}"  # looked up once, used for bounds and for the join
     met.write.parquet(aside)
     return spark.read.schema(met.schema).parquet(aside)
