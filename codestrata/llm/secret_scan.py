@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import functools
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,8 @@ from . import shared
 FINDINGS, TREES, DEPTH, SEED = 4000, 20, 6, 7
 VOTES = 0.5
 MARK = "<SECRET>"
+#: Pieces of a text whose sizes are summed as one, as a shift.
+_BLOCK = 7
 
 _RUN = r"[A-Za-z0-9_+/-]{16,}={0,2}"
 _VALUE = rf"(?:^|[^A-Za-z0-9_+/-])({_RUN})"
@@ -55,14 +58,13 @@ def candidates(word: Column) -> Column:
     The lead is what stands before the value back to the start of the run before it, and the tail reaches up to the
     next run: each part of a long word is looked at a bounded number of times.
     """
-    length = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda acc, x: acc + F.length(x))
 
-    def of(runs: Column, gaps: Column) -> Column:
+    def of(runs: Column, gaps: Column, place: Callable[[Column], Column]) -> Column:
         def one(value: Column, k: Column) -> Column:
             return F.when(
                 value.rlike("[0-9]"),
                 F.struct(
-                    (length(gaps, k + 1) + length(runs, k)).alias("start"),
+                    place(k).alias("start"),
                     F.concat(F.when(k > 0, F.get(runs, k - 1)).otherwise(""), F.get(gaps, k)).alias("lead"),
                     value.alias("value"),
                     F.get(gaps, k + 1).alias("tail"),
@@ -72,7 +74,28 @@ def candidates(word: Column) -> Column:
         return F.filter(F.transform(runs, one), lambda c: c.isNotNull())
 
     runs = F.regexp_extract_all(word, F.lit(_RUN), F.lit(0))
-    return shared.let(runs, lambda r: shared.let(F.split(word, _RUN, -1), lambda g: of(r, g)))
+    return shared.let(runs, lambda r: shared.let(F.split(word, _RUN, -1), lambda g: _placed(r, g, lambda place: of(r, g, place))))
+
+
+def _placed(pieces: Column, gaps: Column, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
+    """body(place): place(k) is where pieces[k] starts in a text that is a gap, a piece, a gap and so on.
+
+    Sizes are summed once, by blocks of pieces; a place is the sum before its block and of the few pieces in it before."""
+    total = lambda a: F.aggregate(a, F.lit(0), lambda acc, x: acc + x)
+    first = lambda block: F.shiftleft(block, _BLOCK) + 1
+    sizes = F.transform(pieces, lambda x, k: F.length(F.get(gaps, k)) + F.length(x))
+
+    def with_sizes(size: Column) -> Column:
+        own = F.transform(F.sequence(F.lit(0), F.shiftright(F.size(size), _BLOCK)), lambda b: total(F.slice(size, first(b), F.lit(1 << _BLOCK))))
+        sums = F.aggregate(own, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+        def place(before: Column) -> Callable[[Column], Column]:
+            inside = lambda k: total(F.slice(size, first(F.shiftright(k, _BLOCK)), k.bitwiseAND((1 << _BLOCK) - 1)))
+            return lambda k: F.get(before, F.shiftright(k, _BLOCK)) + inside(k) + F.length(F.get(gaps, k))
+
+        return shared.let(sums, lambda before: body(place(before)))
+
+    return shared.let(sizes, with_sizes)
 
 
 def features(before2: Column, before: Column, candidate: Column) -> Column:
@@ -230,39 +253,34 @@ def scan(docs: DataFrame, forest: list, text_col: str = "text", out_col: str = "
     points, in order."""
     if out_col.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"docs has a column {out_col}")
-    words, found = shared.fresh(docs, "words", "found")
     text = F.coalesce(shared.column(text_col).cast("string"), F.lit(""))
     has = lambda w: (F.length(w) >= 16) & w.rlike("[0-9]") & w.rlike(_VALUE)
-    base = docs.withColumn(words, shared.words(text))
-
-    def inside(w: Column, i: Column) -> Column:
-        return F.when(
-            has(w),
-            F.struct(
-                i.alias("i"),
-                candidates(w).alias("own"),
-                F.get(words, i - 1).alias("before"),
-                F.get(words, i - 2).alias("before2"),
-            ),
-        )
 
-    base = base.withColumn(found, F.filter(F.transform(words, inside), lambda w: w.isNotNull() & (F.size(w["own"]) > 0)))
-    length = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda acc, x: acc + F.length(x))
+    def found_in(words: Column) -> Column:
+        def inside(w: Column, i: Column) -> Column:
+            before, before2 = F.get(words, i - 1), F.get(words, i - 2)
+            return F.when(has(w), F.struct(i.alias("i"), candidates(w).alias("own"), before.alias("before"), before2.alias("before2")))
+
+        return F.filter(F.transform(words, inside), lambda w: w.isNotNull() & (F.size(w["own"]) > 0))
 
     def judged(w: Column, place: Column, c: Column) -> Column:
         score = shared.let(features(w["before2"], w["before"], c), lambda x: votes(x, forest))
         start = (place + c["start"]).cast("long")
         return F.struct(start.alias("start"), F.length(c["value"]).cast("long").alias("length"), c["value"].alias("value"), score.alias("score"))
 
-    def judged_in(gaps: Column, w: Column) -> Column:
-        place = length(gaps, w["i"] + 1) + length(F.col(words), w["i"])
-        return shared.let(place, lambda p: F.transform(w["own"], lambda c: judged(w, p, c)))
+    def judged_in(place: Callable[[Column], Column], w: Column) -> Column:
+        return shared.let(place(w["i"]), lambda p: F.transform(w["own"], lambda c: judged(w, p, c)))
+
+    def of(words: Column, found: Column) -> Column:
+        each = lambda place: F.flatten(F.transform(found, lambda w: judged_in(place, w)))
+        gaps = F.split(text, shared.WORD_CLASS + "+", -1)
+        return F.when(F.size(found) > 0, shared.let(gaps, lambda g: _placed(words, g, each))).otherwise(
+            F.array().cast("array<struct<start:bigint,length:bigint,value:string,score:double>>")
+        )
 
-    findings = F.when(
-        F.size(found) > 0,
-        shared.let(F.split(text, shared.WORD_CLASS + "+", -1), lambda gaps: F.flatten(F.transform(found, lambda w: judged_in(gaps, w)))),
-    ).otherwise(F.array().cast("array<struct<start:bigint,length:bigint,value:string,score:double>>"))
-    return base.select(*map(shared.column, docs.columns), findings.alias(out_col))
+    # all is bound to variables: a filter that is pushed below computes the words once for a text, too, not once for a word
+    findings = shared.let(shared.words(text), lambda words: shared.let(found_in(words), lambda found: of(words, found)))
+    return docs.select(*map(shared.column, docs.columns), findings.alias(out_col))
 
 
 def redact(docs: DataFrame, forest: list, votes_needed: float = VOTES) -> DataFrame:
@@ -285,12 +303,12 @@ def redact(docs: DataFrame, forest: list, votes_needed: float = VOTES) -> DataFr
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per candidate of every text: doc_id, start, length, score, is_secret and the value's digest."""
     docs = texts(spark, sf_dir, "doc_id", "text")
-    found = scan(docs, default_forest(spark)).select("doc_id", F.explode("_findings").alias("f"))
-    return found.select(
-        "doc_id",
-        "f.start",
-        "f.length",
-        F.sha2("f.value", 256).alias("value_sha256"),
-        "f.score",
-        (F.col("f.score") >= VOTES).alias("is_secret"),
+    row = lambda f: F.struct(
+        f["start"].alias("start"),
+        f["length"].alias("length"),
+        F.sha2(f["value"], 256).alias("value_sha256"),
+        f["score"].alias("score"),
+        (f["score"] >= VOTES).alias("is_secret"),
     )
+    # inline of an expression: of a column, Spark would first filter by its size, and scan each text for that as well
+    return scan(docs, default_forest(spark)).select("doc_id", F.inline(F.transform("_findings", row)))
