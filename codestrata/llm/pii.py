@@ -304,8 +304,7 @@ def stretches(text: str) -> Iterator[tuple[int, int]]:
     at, n = 0, len(text)
     while m := _MARK.search(text, at):
         start = m.start()
-        low = max(at, start - 64)
-        while start > low and not text[start - 1].isspace():
+        while start > at and not text[start - 1].isspace():
             start -= 1
         end, seen = m.end(), m.end()
         while end < n:
