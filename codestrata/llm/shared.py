@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,23 +49,24 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stashed_at = path
-    for kept in _watched:
+    for kept in _watched.get():
         kept.append(out)
     return out
 
 
-_watched: list[list[DataFrame]] = []
+#: Of each thread its own: pipelines may run side by side.
+_watched: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("watched", default=())
 
 
 @contextlib.contextmanager
 def watched():
     """The list of the stash() tables that are written inside, to be discarded when nothing reads them any more."""
     made: list[DataFrame] = []
-    _watched.append(made)
+    before = _watched.set((*_watched.get(), made))
     try:
         yield made
     finally:
-        _watched[:] = [x for x in _watched if x is not made]
+        _watched.reset(before)
 
 
 def discard(*tables: DataFrame) -> None:
