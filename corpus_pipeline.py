@@ -1,13 +1,14 @@
 """From raw documents to packed sequences: the operators of codestrata.llm as stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a table, which is written and read again as the next one's docs. What
-a stage keeps for itself in the shared folder is deleted when the next one begins, so its rows are to be written first.
+a stage keeps for itself in the shared folder is deleted when the next one begins, unless that one's docs still read it.
 """
 
 from __future__ import annotations
 
 import functools
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,21 +18,30 @@ from codestrata.llm import minhash_dedup, mixing, packing, quality_rules, secret
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-#: The folders of what a stage has written besides its rows, until the next stage begins.
-_left: list[str] = []
+#: The folders of what stages have written besides their rows, until nothing reads them: of each run and thread its own.
+_left: ContextVar[list[str] | None] = ContextVar("left", default=None)
 
 
 def _stage(function: Stage) -> Stage:
-    """function, which first deletes what the stage before wrote: its rows are written by then. The last stage's stays,
-    as its rows are read from it."""
+    """function, which first deletes what stages before it wrote and docs doesn't read: their rows are written by then.
+
+    Stages may be chained without being written: what docs reads is kept. Whoever interleaves stages of several chains in
+    one thread writes a stage's rows before the next one of another chain begins. The last stage's tables stay, as its
+    rows are read from them."""
 
     @functools.wraps(function)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        shared.delete(spark, *_left)
-        _left.clear()
+        left = _left.get()
+        if left is None:
+            _left.set(left := [])
+        if left:
+            read = {f.rsplit("/", 2)[-2] for f in docs.inputFiles()}
+            done = [p for p in left if p.rsplit("/", 1)[-1] not in read]
+            shared.delete(spark, *done)
+            left[:] = [p for p in left if p not in done]
         with shared.watched() as made:
             out = function(spark, docs, sf_dir)
-        _left.extend(x.stashed_at for x in made if function.__name__ != "pack")
+        left.extend(x.stashed_at for x in made if function.__name__ != "pack")
         return out
 
     return run
@@ -117,11 +127,15 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after the other. A stage's docs are deleted when the next one's are written; what the result reads
     stays in the shared folder."""
-    docs = shared.read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        out = shared.stash(stage(spark, docs, sf_dir), name)
+    own = _left.set([])
+    try:
+        docs = shared.read_table(spark, sf_dir, "documents")
+        for name, stage in STAGES[:-1]:
+            out = shared.stash(stage(spark, docs, sf_dir), name)
+            shared.discard(docs)
+            docs = out
+        out = STAGES[-1][1](spark, docs, sf_dir)
         shared.discard(docs)
-        docs = out
-    out = STAGES[-1][1](spark, docs, sf_dir)
-    shared.discard(docs)
-    return out
+        return out
+    finally:
+        _left.reset(own)
