@@ -135,3 +135,28 @@ def test_pipeline(spark, tables):
     places = sorted((r.sequence_id * 1024 + r.offset, r.length) for r in rows)
     assert places[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(places, places[1:], strict=False))
     assert len(got) < len(docs) and max(n for n, _ in expected.values()) >= 1
+
+
+def test_stages_chain_unwritten(spark, tables):
+    """All stages one on the other, nothing written in between, and another run of the pipeline before the rows are read."""
+    folder, _, _ = tables
+    docs = shared.read_table(spark, folder, "documents")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+    want = corpus_pipeline.run(spark, folder).groupBy("doc_id", "start").count().collect()
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
+    assert sorted(packed.groupBy("doc_id", "start").count().collect()) == sorted(want)
+
+
+def test_what_nothing_reads_is_deleted(spark, tables, tmp_path):
+    """A stage's tables go when the next stage begins, once its rows are written; those of another run stay."""
+    folder, _, _ = tables
+    first = corpus_pipeline.quality(spark, shared.read_table(spark, folder, "documents"), folder)
+    kept = corpus_pipeline._left.get()
+    mine = [p for p in kept if p.rsplit("/", 1)[-1].startswith("quality")][-1:]
+    corpus_pipeline.run(spark, folder)
+    first.write.parquet(f"{tmp_path}/first")
+    corpus_pipeline.secrets(spark, spark.read.parquet(f"{tmp_path}/first"), folder)
+    assert mine and not set(mine) & set(corpus_pipeline._left.get())
+    with pytest.raises(Exception, match="(?i)not.?exist"):
+        spark.read.parquet(mine[0])
