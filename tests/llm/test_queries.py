@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from codestrata.llm import minhash_dedup, mixing, packing, pii, queries, secret_scan, shared
+from codestrata.llm import minhash_dedup, mixing, packing, pii, queries, secret_scan, shared, url_filter
 
 SYLLABLES = ("th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "es", "la", "ment", "que", "st", "ou")
 HOSTS = ("a.example.com", "example.com", "x.example.net", "net", "b.org", "cheap-pills.example.org", "com.evil", "EXAMPLE.Com")
@@ -160,3 +160,10 @@ def test_what_nothing_reads_is_deleted(spark, tables, tmp_path):
     assert mine and not set(mine) & set(corpus_pipeline._left.get())
     with pytest.raises(Exception, match="(?i)not.?exist"):
         spark.read.parquet(mine[0])
+
+
+def test_rules_of_the_contract(spark):
+    urls = ["http://a.com/en/1", "http://b.example.com/en/7", "http://a.net/de/1", "http://x.example.net/de/8", "http://a.org/es/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.rule: r.verdict for r in url_filter.filter_urls(pages).collect()}
+    assert got == {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
