@@ -59,17 +59,24 @@ def _text_at(value: Column, path: str) -> Column:
     return F.when(F.schema_of_variant(F.try_variant_get(value, path, "variant")) == "STRING", F.try_variant_get(value, path, "string"))
 
 
-def _entries(rows: DataFrame, spec: str, path: str, *keep: str) -> DataFrame:
-    """(keep..., key, value) of the object at path of the variant spec."""
-    held = rows.select(*keep, F.try_variant_get(spec, path, "variant").alias("_o"))
-    entries = held.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("_o").outer()))
-    return entries.where("key is not null").select(*keep, "key", "value")
+#: What is read of a specification: its path items, each a variant of its own, and those that others may refer to.
+_SPEC = "paths map<string, variant>, components struct<pathItems: map<string, variant>>"
+
+
+def _entries(rows: DataFrame, items: str) -> DataFrame:
+    """(repo, path, key, value) of the map items of specifications (repo, path, content); none of a map that repeats a key.
+
+    Entries of one variant of the whole file would each carry the names of all others; these carry their own.
+    """
+    spec = F.when(F.col("content").rlike(r"^\s*\{"), F.from_json("content", _SPEC))
+    held = rows.select("repo", "path", spec.alias("_s")).select("repo", "path", F.col(f"_s.{items}").alias("_m"))
+    once = held.where(F.size(F.array_distinct(F.map_keys("_m"))) == F.size("_m"))
+    return once.select("repo", "path", F.explode("_m").alias("key", "value"))
 
 
 def _endpoints(specs: DataFrame) -> DataFrame:
-    """Endpoints of specs (repo, path, spec), spec being a variant; items that refer to others of their file are followed."""
-    places = _entries(specs, "spec", "$.paths", "repo", "path")
-    shared = _entries(specs, "spec", "$.components.pathItems", "repo", "path")
+    """Endpoints of specs (repo, path, content) in JSON; items that refer to others of their file are followed."""
+    places, shared = _entries(specs, "paths"), _entries(specs, "components.pathItems")
     pointer = lambda folder: F.concat(F.lit(f"#/{folder}/"), F.replace(F.replace("key", F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")))
     targets = places.select("repo", "path", pointer("paths").alias("ref"), F.col("value").alias("target")).unionByName(
         shared.select("repo", "path", pointer("components/pathItems").alias("ref"), F.col("value").alias("target"))
@@ -77,20 +84,13 @@ def _endpoints(specs: DataFrame) -> DataFrame:
     items = places.withColumn("ref", _text_at(F.col("value"), "$['$ref']"))
     direct = items.where("ref is null").select("repo", "path", "key", F.col("value").alias("item"))
     referred = items.where("ref is not null").join(targets, ["repo", "path", "ref"]).select("repo", "path", "key", F.col("target").alias("item"))
-    each = direct.unionByName(referred).select("repo", "path", "key", "item", F.explode(F.array(*map(F.lit, METHODS))).alias("method"))
-    op = None
-    for m in METHODS:  # paths into a variant are literals
-        here = F.struct(
-            F.try_variant_get("item", f"$.{m}", "variant").isNotNull().alias("there"),
-            _text_at(F.col("item"), f"$.{m}.operationId").alias("operation_id"),
-            _text_at(F.col("item"), f"$.{m}.summary").alias("summary"),
-            F.try_variant_get("item", f"$.{m}.tags", "array<variant>").alias("tags"),
-        )
-        op = F.when(F.col("method") == m, here) if op is None else op.when(F.col("method") == m, here)
-    texts = F.transform(F.filter("op.tags", lambda t: F.schema_of_variant(t) == "STRING"), lambda t: F.try_variant_get(t, "$", "string"))
-    found = each.withColumn("op", op).where("op.there")
-    return found.select(
-        "repo", F.col("path").alias("spec_file"), F.col("key").alias("path"), F.upper("method").alias("method"), "op.operation_id", "op.summary",
+    each = direct.unionByName(referred).withColumnRenamed("key", "place")
+    ops = each.lateralJoin(each.sparkSession.tvf.variant_explode(F.col("item").outer())).where(F.col("key").isin(*METHODS))
+    tags = F.try_variant_get("value", "$.tags", "array<variant>")
+    texts = F.transform(F.filter(tags, lambda t: F.schema_of_variant(t) == "STRING"), lambda t: F.try_variant_get(t, "$", "string"))
+    return ops.select(
+        "repo", F.col("path").alias("spec_file"), F.col("place").alias("path"), F.upper("key").alias("method"),
+        _text_at(F.col("value"), "$.operationId").alias("operation_id"), _text_at(F.col("value"), "$.summary").alias("summary"),
         F.coalesce(texts, F.array().cast("array<string>")).alias("tags"),
     )
 
@@ -98,14 +98,14 @@ def _endpoints(specs: DataFrame) -> DataFrame:
 def openapi_json(files: DataFrame) -> DataFrame:
     """Endpoints of the OpenAPI and Swagger files in JSON: variants, no Python. Files that are no JSON give no rows."""
     found = _spec_files(files).where(F.lower("path").endswith(".json"))
-    return _endpoints(found.select("repo", "path", F.try_parse_json("content").alias("spec")).where("spec is not null"))
+    return _endpoints(found)
 
 
 def openapi(files: DataFrame) -> DataFrame:
     """Endpoints of OpenAPI and Swagger files, JSON or YAML. YAML, which Spark doesn't read, is turned into JSON first."""
     found = _spec_files(files).where(~F.lower("path").endswith(".json"))
     turned = found.mapInPandas(_as_json, "repo string, path string, content string")
-    return openapi_json(files).unionByName(_endpoints(turned.select("repo", "path", F.try_parse_json("content").alias("spec")).where("spec is not null")))
+    return openapi_json(files).unionByName(_endpoints(turned))
 
 
 def _as_json(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

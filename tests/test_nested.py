@@ -115,3 +115,13 @@ def test_openapi_as_variants(spark):
         assert sorted(got, key=str) == sorted(whole, key=str)
     assert {r.spec_file for r in specs.openapi(df).collect()} == {"docs/openapi.json", "swagger.yaml"}
     assert "Python" not in specs.openapi_json(df)._jdf.queryExecution().toString() and "MapInPandas" not in specs.openapi_json(df)._jdf.queryExecution().toString()
+
+
+def test_openapi_of_a_large_file(spark):
+    """Path items are variants of their own: a file may be larger than one variant can be."""
+    import json
+
+    items = {f"/p{i}": {"get": {"operationId": f"op{i}", "summary": "s" * 70_000}} for i in range(2000)}
+    df = spark.createDataFrame([("r", "openapi.json", json.dumps({"paths": items})), ("q", "openapi.json", json.dumps([{"paths": items["/p0"]}]))], "repo string, path string, content string")
+    found = specs.openapi_json(df)
+    assert found.selectExpr("count(*)", "count(distinct path)", "min(length(summary))").first()[:] == (2000, 2000, 70_000)
