@@ -385,3 +385,32 @@ def test_embed_texts(spark):
 
     got = {r.doc_id: r.embedding for r in search.embed_texts(docs.coalesce(1), encode, at_once=2).collect()}
     assert got == {1: [3.0, 294.0], 2: [0.0, 0.0], 3: [2.0, 244.0]}
+
+
+def test_classes_stand_for_their_items(spark, monkeypatch):
+    """Items of equal commits are compared once: pairs, clusters and partners are those of all items."""
+    import itertools
+    import random
+
+    monkeypatch.setattr(graph, "CELL", 2)
+    r = random.Random(8)
+    own = {}
+    for kind in range(8):
+        commits = frozenset(r.sample(range(12), r.choice((5, 6, 9, 11))))
+        own |= {r.randrange(10**6): commits for _ in range(r.choice((1, 2, 7)))}
+    table = spark.createDataFrame([(c, f) for f, cs in own.items() for c in cs] + [(None, min(own))], "sha long, file long")
+    total = {f: len(cs) + (f == min(own)) for f, cs in own.items()}
+    want = {}
+    for a, b in itertools.combinations(sorted(own), 2):
+        n = len(own[a] & own[b])
+        if n / max(total[a], total[b]) >= 0.5:
+            want[a, b] = n, total[a], total[b]
+    found = graph.pairs(table, excludes=())
+    assert {(x.file_a, x.file_b): (x.shared, x.total_a, x.total_b) for x in found.collect()} == want and found.count() == len(want)
+    classed, met = graph.class_pairs(table, excludes=())
+    assert classed.where("file = rep").count() <= 9 and met.agg({"links": "sum"}).first()[0] == len(want)
+    rows = lambda df: sorted((x.component, x.files, x.size, round(x.cohesion, 9)) for x in df.collect())
+    assert rows(graph.class_clusters(classed, met, 0.8)) == rows(graph.clusters(found, 0.8))
+    plan = spark.createDataFrame([(f,) for f in sorted(own)[::5]], "file long")
+    some = graph.partners(*graph.class_pairs(table, excludes=(), wanted=plan), plan)
+    assert sorted(graph.unplanned(some, plan, 0.7).collect()) == sorted(graph.missing(found, plan, 0.7).collect())
