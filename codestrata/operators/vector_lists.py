@@ -2,10 +2,11 @@
 
 write() fits list centres and, for what is left of a vector beyond its centre, a codebook of every two components, on a
 bounded sample; every vector is then put into its list as codes, with the length of what the codes miss. A search
-decodes the lists around a query in blocks and bounds the distance of every vector from below and above by that length.
-The k-th least upper bound of the nearest lists is a limit; lists that lie wholly beyond it are skipped, vectors whose
-lower bound lies beyond it are dropped, and the few left are ranked by their own components. As bounds are never on the
-wrong side, the rows are those of a comparison of all: codes and lists only save work.
+decodes the lists around a query in blocks and bounds the distance of every vector from below by that length.
+The k-th least distance in the nearest lists is a limit; lists that lie wholly beyond it are skipped, vectors whose
+lower bound lies beyond it are dropped, and those left are ranked by their own components, which lie in the block beside
+the codes, so that only pairs within the limit leave the task. As bounds are never on the wrong side, the rows are those
+of a comparison of all: codes and lists only save work.
 
 Similarity is the cosine: vectors are scaled to length one. Cases: null, zero or non-finite vectors, and those of
 another length than most, are in no list and found by nothing, and as queries find nothing; null ids of vectors are
@@ -15,11 +16,11 @@ kept; equal vectors are all found, ties broken by id; fewer than k vectors are a
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.operators import search
@@ -72,17 +73,31 @@ def unit(vectors: DataFrame, id_column: str, vector: str) -> DataFrame:
     """(id, unit) of the vectors that can be scaled to length one."""
     v = F.col(vector).cast("array<double>")
     fine = F.col(vector).isNotNull() & F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
-    scale = F.aggregate("v", F.lit(0.0), lambda s, x: F.greatest(s, F.abs(x)))  # keeps squares in range
-    rows = vectors.where(F.coalesce(fine, F.lit(False))).select(F.col(id_column).alias("id"), v.alias("v")).withColumn("s", scale).where("s > 0")
-    rows = rows.withColumn("v", F.transform("v", lambda x: x / F.col("s")))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    return rows.withColumn("norm", norm).select("id", F.transform("v", lambda x: x / F.col("norm")).alias("unit"))
+    scale = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: F.greatest(s, F.abs(x)))  # noqa: E731  keeps squares in range
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    rows = vectors.where(F.coalesce(fine, F.lit(False)) & (scale(v) > 0)).select(F.col(id_column).alias("id"), v.alias("v"))
+    scaled = rows.select("id", _divided(F.col("v"), scale).alias("v"))
+    return scaled.select("id", _divided(F.col("v"), norm).alias("unit"))
+
+
+def _divided(v: Column, by: Callable[[Column], Column]) -> Column:
+    """v by a number that is taken once for the array: named outside the inner lambda, it is not computed for each component."""
+    return F.get(F.transform(F.array(v), lambda a: F.get(F.transform(F.array(by(a)), lambda s: F.transform(a, lambda x: x / s)), F.lit(0))), F.lit(0))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def _bytes(x: np.ndarray) -> pa.Array:
+    return pa.array([r.tobytes() for r in x], pa.binary())
+
+
+def _rows(column: pa.Array, kind: type) -> np.ndarray:
+    """The rows of a matrix that _bytes() made."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
 def write(vectors: DataFrame, place: str, id_column: str = "vec_id", vector: str = "embedding") -> Codes | None:
     """Write the vectors, scaled, and their codes by list below place; the centres and codebooks that a search needs."""
     spark = vectors.sparkSession
@@ -102,49 +117,54 @@ def write(vectors: DataFrame, place: str, id_column: str = "vec_id", vector: str
         for batch in batches:
             lists, own, missed = sent.value.encode(_matrix(batch.column(1)))
             far = np.sqrt(((_matrix(batch.column(1)) - sent.value.centres[lists]) ** 2).sum(1))
-            arrays = [batch.column(0), batch.column(1), pa.array(lists, pa.int32()), pa.array([c.tobytes() for c in own], pa.binary()), pa.array(missed), pa.array(far)]
+            arrays = [batch.column(0), _bytes(_matrix(batch.column(1))), pa.array(lists, pa.int32()), _bytes(own), pa.array(missed), pa.array(far)]
             yield pa.RecordBatch.from_arrays(arrays, names=["id", "unit", "list", "codes", "missed", "far"])
 
-    coded = rows.mapInArrow(run, f"id {kind}, unit array<double>, list int, codes binary, missed double, far double")
+    coded = rows.mapInArrow(run, f"id {kind}, unit binary, list int, codes binary, missed double, far double")
     coded.withColumn("row", F.monotonically_increasing_id()).write.parquet(f"{place}/vectors")
-    written = spark.read.parquet(f"{place}/vectors").select("row", "list", "codes", "missed", "far")
+    written = spark.read.parquet(f"{place}/vectors")
     sizes = written.groupBy("list").agg(F.count("*").alias("size"), F.max("far").alias("radius"))  # a row for each list
     sizes.write.parquet(f"{place}/lists")
     dealt = written.join(F.broadcast(spark.read.parquet(f"{place}/lists")), "list").withColumn("chunk", F.pmod(F.xxhash64("row"), F.ceil(F.col("size") / BLOCK)))
     # a hot list has many blocks; each holds about BLOCK vectors
-    blocks = dealt.groupBy("list", "chunk").agg(F.sort_array(F.collect_list(F.struct("row", "codes", "missed"))).alias("own"))
-    blocks.select("list", "chunk", "own.row", "own.codes", "own.missed").write.parquet(f"{place}/blocks")
+    blocks = dealt.groupBy("list", "chunk").agg(F.collect_list(F.struct("id", "unit", "codes", "missed")).alias("own"))
+    blocks.select("list", "chunk", "own.id", "own.unit", "own.codes", "own.missed").write.parquet(f"{place}/blocks")
     return codes
 
 
 def _compare(spark: SparkSession, place: str, codes: Codes, asked: DataFrame, k: int | None) -> DataFrame:
-    """(query_id, row, low, high) for asked (query_id, unit, list, reach): of each block the k with the least upper
-    bound (k given), or all whose lower bound is within reach."""
+    """(query_id, id, score) for asked (query_id, unit, list, reach): of each block the k nearest (k given), or all within
+    reach. Codes tell which vectors can be; only these are compared, inside the task, by their own components."""
     sent = spark.sparkContext.broadcast(codes)
     kind = asked.schema["query_id"].dataType.simpleString()
+    own = spark.read.parquet(f"{place}/blocks").select("list", "id", F.col("unit").alias("own"), "codes", "missed")
     sizes = asked.groupBy("list").agg(F.ceil(F.count("*") / ASKED).alias("parts"))  # at most a row for each list
     dealt = asked.join(F.broadcast(sizes), "list").withColumn("part", F.pmod(F.xxhash64("query_id", "list"), F.col("parts")))
     queries = dealt.groupBy("list", "part").agg(F.collect_list(F.struct("query_id", "unit", "reach")).alias("q")).select("list", "q.query_id", "q.unit", "q.reach")
-    met = spark.read.parquet(f"{place}/blocks").join(queries, "list").select("list", "row", "codes", "missed", "query_id", "unit", "reach")
+    met = own.join(queries, "list").select("list", "id", "own", "codes", "missed", "query_id", "unit", "reach")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row, missed = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (1, 3))
-                own = np.frombuffer(b"".join(batch.column(2)[i].as_py()), np.uint8).reshape(len(row), -1)
-                x = sent.value.decode(np.full(len(row), batch.column(0)[i].as_py()), own)
-                q, reach = _matrix(batch.column(5)[i].values), batch.column(6)[i].values.to_numpy(zero_copy_only=False)
-                d = np.sqrt(np.maximum((q * q).sum(1)[:, None] - 2 * q @ x.T + (x * x).sum(1)[None, :], 0))
-                low, high = d - missed[None, :] - ROOM, d + missed[None, :] + ROOM
+                ids, own, coded, missed, asked_ids, q, reach = (batch.column(c)[i].values for c in range(1, 8))
+                q, x = _matrix(q), _rows(own, np.float64)
                 if k is None:
-                    a, b = np.nonzero(low <= reach[:, None])
+                    reach = reach.to_numpy(zero_copy_only=False)
+                    y = sent.value.decode(np.full(len(x), batch.column(0)[i].as_py()), _rows(coded, np.uint8))
+                    d = np.sqrt(np.maximum((q * q).sum(1)[:, None] - 2 * q @ y.T + (y * y).sum(1)[None, :], 0))
+                    can = d - missed.to_numpy(zero_copy_only=False)[None, :] - ROOM <= reach[:, None]
+                    some = np.flatnonzero(can.any(0))
+                    score = q @ x[some].T
+                    a, b = np.nonzero(can[:, some] & (2 - 2 * score <= (reach * reach)[:, None] + ROOM))
+                    found, b = score[a, b], some[b]
                 else:
-                    near = np.argsort(high, 1, kind="stable")[:, :k]
+                    score = q @ x.T
+                    near = np.argsort(-score, 1, kind="stable")[:, :k]
                     a, b = np.repeat(np.arange(len(q)), near.shape[1]), near.ravel()
-                ids = batch.column(4)[i].values.take(pa.array(a))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(row[b]), pa.array(low[a, b]), pa.array(high[a, b])], names=["query_id", "row", "low", "high"])
+                    found = score[a, b]
+                yield pa.RecordBatch.from_arrays([asked_ids.take(pa.array(a)), ids.take(pa.array(b)), pa.array(found)], names=["query_id", "id", "score"])
 
-    return met.mapInArrow(run, f"query_id {kind}, row bigint, low double, high double")
+    return met.mapInArrow(run, f"query_id {kind}, id {own.schema['id'].dataType.elementType.simpleString()}, score double")
 
 
 def _probe(spark: SparkSession, place: str, codes: Codes, queries: DataFrame, probes: int | None) -> DataFrame:
@@ -183,11 +203,8 @@ def nearest(spark: SparkSession, place: str, codes: Codes | None, queries: DataF
     if codes is None:
         return empty
     asked = unit(queries, id_column, vector).where(F.size("unit") == codes.dims).select(F.col("id").alias("query_id"), "unit", F.lit(4.0).alias("reach"))
-    near = search.top(_compare(spark, place, codes, _probe(spark, place, codes, asked, probes), k).withColumn("less", -F.col("high")), k, "query_id", score="less", tie="row")
-    reach = near.groupBy("query_id").agg(F.count("*").alias("n"), F.max("high").alias("most"))
-    wide = F.when(F.col("n") >= k, F.sqrt(F.col("most") * F.col("most") + ROOM)).otherwise(4.0)  # no two unit vectors are 4 apart
+    near = search.top(_compare(spark, place, codes, _probe(spark, place, codes, asked, probes), k), k, "query_id", tie="id")
+    reach = near.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
+    wide = F.when(F.col("n") >= k, F.sqrt(F.greatest(2 - 2 * F.col("least"), F.lit(0.0)) + ROOM)).otherwise(4.0)  # no two unit vectors are 4 apart
     limited = asked.drop("reach").join(reach.select("query_id", wide.alias("reach")), "query_id", "left").fillna(4.0, ["reach"])
-    found = _compare(spark, place, codes, _probe(spark, place, codes, limited, None if exact else probes), None)
-    vectors = spark.read.parquet(f"{place}/vectors").select("row", "id", F.col("unit").alias("other"))
-    pairs = found.select("query_id", "row").join(vectors, "row").join(asked.select("query_id", "unit"), "query_id")
-    return pairs.select("query_id", "id", search.dot(F.col("unit"), F.col("other")).alias("score"))
+    return _compare(spark, place, codes, _probe(spark, place, codes, limited, None if exact else probes), None)

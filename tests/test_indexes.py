@@ -166,6 +166,14 @@ def test_vector_lists_equal_brute_force(spark, tmp_path):
     assert vector_lists.write(table.limit(0), f"{tmp_path}/none") is None and vector_lists.nearest(spark, "", None, asked, 3).count() == 0
 
 
+def test_units_are_linear_in_the_length(spark):
+    began = time.perf_counter()
+    rows = vector_lists.unit(spark.range(8).select("id", F.transform(F.sequence(F.lit(1), F.lit(1500)), lambda x: x * (F.col("id") + 1.0)).alias("v")), "id", "v").collect()
+    assert time.perf_counter() - began < 60  # a norm computed for each component would take 1500 ** 3 steps a row
+    full = np.arange(1, 1501) / np.linalg.norm(np.arange(1, 1501))
+    assert len(rows) == 8 and all(np.allclose(r.unit, full, atol=1e-12) for r in rows)
+
+
 def test_segments(spark, tmp_path):
     r, place = random.Random(9), str(tmp_path / "index")
     schema = "path string, doc_id long, text string"
