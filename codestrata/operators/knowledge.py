@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.functions import paths
+from codestrata.operators.search import checked
 
 # Ageing factors, lifetimes, weights and rules that results depend on.
 DECAY = ((7, 1.0), (30, 0.95), (90, 0.85), (180, 0.70))
@@ -101,7 +102,8 @@ def section_metrics(findings: DataFrame, *by: str) -> DataFrame:
 
 def phantom_features(implemented: DataFrame, open_items: DataFrame, *key: str) -> DataFrame:
     """The open items of a tracker whose feature (the columns key) the code has: done, but still listed as open."""
-    return open_items.join(implemented.select(*key).distinct(), list(key), "left_semi")
+    asked = checked(open_items.select(*key).distinct())  # only features of open items are told apart
+    return open_items.join(implemented.select(*key).join(asked, list(key), "left_semi").distinct(), list(key), "left_semi")
 
 
 def duplicate_specs(specs: DataFrame, least: float = 0.7, key: str = "item_id", terms: str = "terms") -> DataFrame:

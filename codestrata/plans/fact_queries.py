@@ -396,8 +396,9 @@ def phantom_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select("item_id", lead.alias("feature"))
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     docs = texts(spark, sf_dir, "doc_id", "text").join(good, "doc_id", "left_semi")
-    words = F.split("text", " ")
-    runs = F.when(F.size(words) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.array_join(F.slice(words, i, 3), " "))))
+    three = lambda words: F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.array_join(F.slice(words, i, 3), " "))
+    # a text is split once: named outside the lambda, it is not split again for each run
+    runs = F.get(F.transform(F.array(F.split("text", " ")), lambda words: F.when(F.size(words) >= 3, F.array_distinct(three(words)))), F.lit(0))
     return knowledge.phantom_features(docs.select(F.explode(runs).alias("feature")), items, "feature")
 
 
