@@ -3,11 +3,13 @@
 import json
 import os
 
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from codestrata.functions import display
 from codestrata.operators import releases
-from codestrata.plans import instructions
+from codestrata.plans import instructions, parsed_queries
 from codestrata.sources import coverage, layers, registry, repository, specs, vectors
 
 
@@ -201,3 +203,25 @@ def test_display(spark):
     assert [r[0] for r in df.select(display.bar(df.v, df.most, 4)).collect()] == ["██░░", "████", "░░░░"]
     assert display.terminal_table(df).splitlines() == ["name   v  most", "----  --  ----", "a      5    10", "bb    20    10", "c     -1     0"]
     assert display.badge("x", "ok", colour=False) == "[x]" and "31m" in display.badge("x", "critical")
+
+
+def test_yaml_that_is_json(monkeypatch):
+    import yaml
+
+    slow = yaml.safe_load
+    for text in ('{"a": 1e5}', '{"a": NaN, "b": "NaN"}', '{"a": 1.50, "on": [true, null]}', ' {"x": {"y": "é"}}', "{a: 1}", '{"a": 1,}', "a: b"):
+        assert specs._load("x.yml", text) == slow(text)
+    monkeypatch.setattr(yaml, "safe_load", None)
+    assert specs._load(".gitlab-ci.yml", '{"j1": {"script": ["make"]}}') == {"j1": {"script": ["make"]}}
+    content = "{" + ",".join(f'"j{i}": {{"script": [1]}}' for i in range(20_000)) + "}"
+    frame = pd.DataFrame({"repo": ["r"], "path": [".gitlab-ci.yml"], "content": [content]})
+    sizes = [len(f) for f in specs._each(specs._ci, ["repo", "file", "provider", "triggers", "job", "runs_on", "steps_count", "steps"])(iter([frame]))]
+    assert sum(sizes) == 20_000 and max(sizes) <= specs.ROWS
+
+
+def test_a_log_row_holds_one_commit(spark, monkeypatch):
+    seen, parse = [], repository.parse_name_status
+    monkeypatch.setattr(parsed_queries.repository, "parse_name_status", lambda logs: seen.append(logs) or parse(logs))
+    parsed_queries.log_status(spark, "/root/testdata/sf0.001")
+    most = seen[0].agg(F.max(F.regexp_count("content", F.lit("(?m)^COMMIT:")))).first()[0]
+    assert most == 1  # all commits of a repository in one row grow without bound
