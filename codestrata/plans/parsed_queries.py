@@ -50,14 +50,17 @@ _P = f"p AS (SELECT p_partkey AS k, p_name, p_brand, p_size, {PATH_SQL} AS path
 
 def _touched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(repo, sha, author, at, subject, file, line): the parts of orders as files of commits, each once."""
-    items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("sha"), "l_partkey").agg(F.min("l_linenumber").alias("line"))
+    # one exchange by part for the grouping and the join with parts, one by commit for all that follows
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber").repartition("l_partkey")
+    items = lines.groupBy(F.col("l_orderkey").alias("sha"), "l_partkey").agg(F.min("l_linenumber").alias("line"))
     commits = order_commits(spark, sf_dir).withColumn("repo", F.concat(F.lit("r"), (F.col("author") % 20).cast("string")))
-    return items.join(_parts(spark, sf_dir).select(F.col("k").alias("l_partkey"), F.concat("path", F.lit("_"), "k").alias("file")), "l_partkey").join(commits, "sha")
+    named = items.join(_parts(spark, sf_dir).select(F.col("k").alias("l_partkey"), F.concat("path", F.lit("_"), "k").alias("file")), "l_partkey")
+    return commits.join(named, "sha")
 
 
 def log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     commits = _text(_touched(spark, sf_dir), ("repo", "sha"), "line", F.col("file"))
-    logs = _text(commits, ("repo",), "sha", F.concat(F.lit("COMMIT:"), "sha", F.lit("\n\n"), "content", F.lit("\n")))
+    logs = commits.select("repo", F.concat(F.lit("COMMIT:"), "sha", F.lit("\n\n"), "content", F.lit("\n")).alias("content"))  # a row for each commit, as read_logs() gives them
     return repository.parse_log(logs)
 
 
@@ -67,7 +70,7 @@ def log_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     commits = _text(_touched(spark, sf_dir), ("repo", "sha", "author", "authored_at", "subject"), "line", F.concat(status, moved))
     at = F.date_format("authored_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     head = F.concat(F.lit("COMMIT:"), F.concat_ws("\x1f", "sha", "author", at, "subject", F.concat(F.lit("body of "), "sha", F.lit("\nmore"))), F.lit("\x1e\n"))
-    logs = _text(commits, ("repo",), "sha", F.concat(head, "content", F.lit("\n")))
+    logs = commits.select("repo", F.concat(head, "content", F.lit("\n")).alias("content"))  # a row for each commit, as read_logs() gives them
     read, touched = repository.parse_name_status(logs)
     facts = read.select("repo", "sha", "author", F.unix_timestamp("authored_at").alias("made_at"), "subject", F.substring_index("body", "\n", 1).alias("body"))
     return touched.join(facts, ["repo", "sha"]).drop("repo")
