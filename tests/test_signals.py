@@ -82,3 +82,18 @@ def test_files_are_split_into_records(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     expected = sorted([("app", str(i), f) for i in range(3000) if i % 10 for f in (f"src/{i}.c", "src/all.c")] + [("app", str(i), None) for i in range(0, 3000, 10)], key=str)
     assert sorted(map(tuple, got), key=str) == expected
+
+
+def test_touched_files_shuffle_items_twice(spark):
+    from codestrata.plans import parsed_queries
+
+    from .test_indexes import rows_shuffled
+
+    data, was = "/root/testdata/sf0.001", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    items = spark.read.parquet(f"{data}/lineitem.parquet").count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shuffled = rows_shuffled(spark, lambda: parsed_queries._touched(spark, data).write.format("noop").mode("overwrite").save())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert shuffled < 2.6 * items  # by part and by commit, besides the commits; a third exchange for their grouping is spared
