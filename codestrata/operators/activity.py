@@ -30,6 +30,14 @@ def ownership(touches: DataFrame) -> DataFrame:
     return ranked.withColumn("clear_owner", ~((F.col("authors") > 10) & (F.max("share").over(whole) < 0.3)))
 
 
+def owners(touches: DataFrame) -> DataFrame:
+    """(path, author, rank, clear_owner): the rows of ownership() that rank first, by sums alone."""
+    counted = touches.groupBy("path", "author").agg(F.count("*").alias("commits"))
+    first = F.min_by("author", F.struct((-F.col("commits")).alias("n"), "author")).alias("author")
+    unclear = (F.count("*") > 10) & (F.max("commits") / F.sum("commits") < 0.3)
+    return counted.groupBy("path").agg(first, F.lit(1).alias("rank"), (~unclear).alias("clear_owner"))
+
+
 def orphans(touches: DataFrame, reference: Column, path_days: int = 365, author_days: int = 180) -> DataFrame:
     """(path, creator, last_at, creator_last_at): paths long untouched whose first author is long gone."""
     by_path = touches.groupBy("path").agg(F.max("at").alias("last_at"), F.min_by("author", F.struct("at", "author")).alias("creator"))

@@ -120,7 +120,7 @@ def risk(files: DataFrame, fragile: DataFrame, untested: DataFrame, debt: DataFr
     """(path, fragile, untested, debt, zone, owner, clear_owner, drifted, signals) for every path of files.
 
     fragile: (path, score); untested: (path); debt: (path, todo, fixme, hack, xxx, disabled); zones: (path, zone);
-    owners: as activity.ownership gives them; drifted: (path), a row per drifted feature. Each has a path once but
+    owners: as activity.ownership or activity.owners gives them; drifted: (path), a row per drifted feature. Each has a path once but
     owners and drifted. signals: how many of the six speak of a risk.
     """
     marks = sum((F.coalesce(F.col(c), F.lit(0)) for c in ("todo", "fixme", "hack", "xxx", "disabled")), F.lit(0))

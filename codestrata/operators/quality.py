@@ -43,9 +43,10 @@ def ranges(lines: DataFrame) -> DataFrame:
 def flaky(commits: DataFrame, commit_files: DataFrame, least: float = 0.2) -> DataFrame:
     """(file, total, isolated, suspicious, reverts, score, signals) of test files whose history looks flaky.
 
-    commits: (sha, subject); commit_files: (sha, file). isolated: commits that touch nothing but tests.
+    commits: (sha, subject); commit_files: (sha, file), and test where files are no paths. isolated: commits that touch
+    nothing but tests. All files are shuffled as marks of their commits, only tests by name.
     """
-    files = commit_files.select("sha", "file").distinct().withColumn("test", paths.is_test(F.col("file")))
+    files = commit_files if "test" in commit_files.columns else commit_files.withColumn("test", paths.is_test(F.col("file")))
     only_tests = files.groupBy("sha").agg(F.bool_and("test").alias("only_tests"), F.bool_or("test").alias("any")).where("any")
     subject = F.lower("subject")
     flags = commits.select(
@@ -55,6 +56,9 @@ def flaky(commits: DataFrame, commit_files: DataFrame, least: float = 0.2) -> Da
     )
     counted = (
         files.where("test")
+        .select("sha", "file")
+        .repartition("sha")
+        .distinct()
         .join(only_tests, "sha")
         .join(flags, "sha")
         .groupBy("file")

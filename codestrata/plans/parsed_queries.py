@@ -552,20 +552,23 @@ def file_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def risk_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part paths with all six parts of their risk."""
-    parts = _parts(spark, sf_dir)
-    items = table(spark, sf_dir, "lineitem").join(parts.select(F.col("k").alias("l_partkey"), "path"), "l_partkey")
-    every = parts.select("path").distinct().withColumn("test", paths.is_test(F.col("path")))
+    # paths are written once with a number each, by which all is joined and grouped
+    named = _parts(spark, sf_dir).select("path").distinct().withColumn("test", paths.is_test(F.col("path")))
+    named = graph.checkpoint(named.withColumn("file", F.monotonically_increasing_id()))
+    parts = _parts(spark, sf_dir).join(named, "path").select("k", F.col("file").alias("path"), "test")
+    items = table(spark, sf_dir, "lineitem").join(parts.withColumnRenamed("k", "l_partkey"), "l_partkey")
     lines = parts.select("path", F.lit(1).alias("line_no"), _pick(("// TODO a", "x", "FIXME HACK", "y", "z", "it.skip("), F.col("k")).alias("line"))
     found = knowledge.risk(
-        every,
-        quality.flaky(order_commits(spark, sf_dir), items.select(F.col("l_orderkey").alias("sha"), F.col("path").alias("file"))).withColumnRenamed("file", "path"),
-        quality.untested(every.where("not test").select("path"), every.where("test").select("path")),
+        named.select(F.col("file").alias("path")),
+        quality.flaky(order_commits(spark, sf_dir), items.select(F.col("l_orderkey").alias("sha"), F.col("path").alias("file"), "test")).withColumnRenamed("file", "path"),
+        quality.untested(named.where("not test").select("path", "file"), named.where("test").select("path")).select(F.col("file").alias("path")),
         evolution.debt(lines),
         activity.zones(items.select("path", F.col("l_shipdate").alias("at")), F.lit("2001-06-01").cast("timestamp_ntz"), hot_days=60, hot_commits=2),
-        activity.ownership(items.select("path", F.col("l_suppkey").alias("author"))),
+        activity.owners(items.select("path", F.col("l_suppkey").alias("author"))),
         parts.where("k % 9 = 0").select("path"),
     )
-    return found.withColumn("fragile", F.round("fragile", 6))
+    columns = [c for c in found.columns if c != "path"]
+    return found.withColumnRenamed("path", "file").join(named.select("file", "path"), "file").select("path", *columns).withColumn("fragile", F.round("fragile", 6))
 
 
 def feature_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,3 +97,49 @@ def test_touched_files_shuffle_items_twice(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
     assert shuffled < 2.6 * items  # by part and by commit, besides the commits; a third exchange for their grouping is spared
+
+
+def test_a_path_is_made_once_where_it_is_tested(spark):
+    """The filter moves to where the path is made; its expression must not be repeated for each sign of a test."""
+    from codestrata.functions import paths
+
+    made = spark.range(9).select(F.concat(F.translate(F.col("id").cast("string"), "1", "x"), F.lit("_test.go")).alias("path")).distinct()
+    found = made.where(paths.is_test(F.col("path")))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("translate(") <= 3  # the filter, a test for null, the column
+    assert found.count() == 9
+
+
+def test_signs_of_test_paths_as_one_pattern(spark):
+    from codestrata.functions import paths
+
+    known = {
+        "TESTS/a": True, "spec/a.c": True, "__tests__/a": False, "a/__tests__/b": True, "tests": False, "a/test_": True, "test_a/b": False, "a\n/b_test.go": True,
+        "a_test.go\n": False, "a_test.go/b": False, "aXtest.ts": False, "x/Y.Test.Ts": True, "": False, None: None, "a/test_\nb": True, "x\ntests/b": False, "x\ntest_b": False,
+    }
+    rows = spark.createDataFrame([(p,) for p in known], "path string")
+    assert {r.path: r.t for r in rows.select("path", paths.is_test(F.col("path")).alias("t")).collect()} == known
+
+
+def test_owners_are_those_that_rank_first(spark):
+    from codestrata.operators import activity
+
+    rows = [("many", str(i)) for i in range(11)] + [("ten", str(i)) for i in range(10)] + [("own", "b")] * 9 + [("own", str(i)) for i in range(11)]
+    rows += [("null", None), ("null", "a"), (None, "z"), (None, "y"), ("one", "b"), ("one", "a"), ("one", "b")]
+    touches = spark.createDataFrame(rows, "path string, author string")
+    columns = ["path", "author", "rank", "clear_owner"]
+    expected = activity.ownership(touches).where("rank = 1").select(columns).collect()
+    assert sorted(map(str, activity.owners(touches).select(columns).collect())) == sorted(map(str, expected))
+
+
+def test_flaky_files_by_number(spark):
+    """Files that are numbers with a mark give what their paths give; repeated files count once."""
+    from codestrata.operators import quality
+
+    touched = [(s, f) for s in range(6) for f in (("tests/a", "tests/a") if s < 4 else ("tests/a", "src/b"))] + [(9, "src/b"), (7, "tests/lost")]
+    commits = spark.createDataFrame([(s, "fix flaky" if s % 2 else "Revert it") for s in (0, 1, 2, 3, 4, 5, 9)], "sha int, subject string")
+    files = spark.createDataFrame(touched, "sha int, file string")
+    number = F.when(F.col("file") == "tests/a", 1).when(F.col("file") == "src/b", 2).otherwise(3)
+    marked = files.select("sha", number.alias("file"), F.col("file").startswith("tests/").alias("test"))
+    named, numbered = (quality.flaky(commits, x).collect() for x in (files, marked))
+    assert [tuple(r)[1:] for r in named] == [tuple(r)[1:] for r in numbered] and [r.file for r in numbered] == [1]
+    assert (named[0].file, named[0].total, named[0].isolated, named[0].suspicious, named[0].reverts) == ("tests/a", 6, 4, 3, 3)
