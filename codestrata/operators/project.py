@@ -181,21 +181,26 @@ def _best(rows: DataFrame, most: int, *order) -> DataFrame:
     return ranked.where(F.col("rank") <= most)
 
 
+def recent(commits: DataFrame, reference: Column, days: int = DAYS) -> DataFrame:
+    """The commits of the last `days` days before the moment reference, as history_signals() takes them."""
+    since = reference - F.make_interval(days=F.lit(days))
+    return commits.where((F.col("at") >= since) & (F.col("at") <= reference))
+
+
 def history_signals(commits: DataFrame, touches: DataFrame, reference: Column, days: int = DAYS) -> DataFrame:
     """(repo, part, rank, value, count): what histories say of projects at the moment reference, for all repositories.
 
-    commits (repo, sha, author, at, subject, parents), touches (repo, sha, path). Parts: last_commits (short hash and
+    commits (repo, sha, author, at, subject, parents), touches (repo, sha, path), of which those of recent() suffice. Parts: last_commits (short hash and
     subject of the last ten, merges too), subjects (of the last thirty in the window, no merges), commits (how many these
     are, the value null), top_files (fifteen by commits in the window), active_authors (five).
     """
-    since = reference - F.make_interval(days=F.lit(days))
-    recent = commits.where((F.col("at") >= since) & (F.col("at") <= reference))
-    own = recent.where(F.col("parents") <= 1)
+    within = recent(commits, reference, days)
+    own = within.where(F.col("parents") <= 1)
     one, none = F.lit(None).cast("long"), F.lit(None).cast("string")
     newest = (F.desc("at"), F.desc("sha"))
     short = F.concat_ws(" ", F.substring(F.col("sha").cast("string"), 1, 7), "subject")
-    changed = touches.join(recent.select("repo", "sha"), ["repo", "sha"], "left_semi").groupBy("repo", "path").agg(F.count_distinct("sha").alias("count"))
-    people = recent.groupBy("repo", "author").agg(F.count("*").alias("count"))
+    changed = touches.join(within.select("repo", "sha"), ["repo", "sha"], "left_semi").groupBy("repo", "path").agg(F.count_distinct("sha").alias("count"))
+    people = within.groupBy("repo", "author").agg(F.count("*").alias("count"))
     part = lambda df, name, value, count: df.select("repo", F.lit(name).alias("part"), "rank", value.cast("string").alias("value"), count.alias("count"))
     before = commits.where(F.col("at") <= reference)
     parts = [

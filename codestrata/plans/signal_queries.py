@@ -10,19 +10,22 @@ from codestrata.sources import coverage, repository, specs
 from codestrata.streaming import watch
 
 from .adapters import SUBJECT_SQL, order_commits, table
-from .parsed_queries import _COV, _TOUCHED, _covered, _report, _text, _touched, new_folder
+from .parsed_queries import _COV, _TOUCHED, _covered, _parts, _report, _text, _touched, new_folder
 
 _REFERENCE = "1997-06-01"
 
 
 def history_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as commits, each seventh as a merge, in the ninety days before a moment."""
+    now = F.lit(_REFERENCE).cast("timestamp")
     commits = order_commits(spark, sf_dir).select(
         F.concat(F.lit("r"), (F.col("author") % 20).cast("string")).alias("repo"), "sha", F.col("author").cast("string").alias("author"),
         F.col("authored_at").cast("timestamp").alias("at"), "subject", F.when(F.col("sha") % 7 == 0, 2).otherwise(1).alias("parents"),
     )
-    touches = _touched(spark, sf_dir).select("repo", "sha", F.col("file").alias("path"))
-    found = project.history_signals(commits, touches, F.lit(_REFERENCE).cast("timestamp"))
+    # items meet their commits before they get names, so that those outside the window are dropped unnamed
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sha"), F.col("l_partkey").alias("k"))
+    touches = project.recent(commits, now).select("repo", "sha").join(items, "sha").join(_parts(spark, sf_dir), "k").select("repo", "sha", F.concat("path", F.lit("_"), "k").alias("path"))
+    found = project.history_signals(commits, touches, now)
     return found.withColumn("rank", F.col("rank").cast("long"))
 
 
