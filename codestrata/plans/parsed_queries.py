@@ -58,10 +58,19 @@ def _touched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return commits.join(named, "sha")
 
 
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo, content): a row for each commit, with its files in order of their first lines, as read_logs() gives them."""
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sha"), F.col("l_partkey").alias("k"), F.col("l_linenumber").alias("line"))
+    named = items.join(_parts(spark, sf_dir), "k").select("sha", "line", F.concat("path", F.lit("_"), "k").alias("file"))
+    # a commit's files are gathered before its repository is joined, so that commits are sorted, not their files
+    files = named.repartition("sha").groupBy("sha").agg(F.sort_array(F.collect_list(F.struct("line", "file"))).alias("x"))
+    content = F.array_join(F.array_distinct(F.transform("x", lambda x: x["file"])), "\n")
+    commits = order_commits(spark, sf_dir).select("sha", F.concat(F.lit("r"), (F.col("author") % 20).cast("string")).alias("repo"))
+    return commits.join(files, "sha").select("repo", F.concat(F.lit("COMMIT:"), "sha", F.lit("\n\n"), content, F.lit("\n")).alias("content"))
+
+
 def log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    commits = _text(_touched(spark, sf_dir), ("repo", "sha"), "line", F.col("file"))
-    logs = commits.select("repo", F.concat(F.lit("COMMIT:"), "sha", F.lit("\n\n"), "content", F.lit("\n")).alias("content"))  # a row for each commit, as read_logs() gives them
-    return repository.parse_log(logs)
+    return repository.parse_log(_log(spark, sf_dir))
 
 
 def log_status(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from codestrata.sources import coverage, repository, specs
 from codestrata.streaming import watch
 
 from .adapters import SUBJECT_SQL, order_commits, table
-from .parsed_queries import _COV, _TOUCHED, _covered, _parts, _report, _text, _touched, new_folder
+from .parsed_queries import _COV, _TOUCHED, _covered, _log, _parts, _report, _text, new_folder
 
 _REFERENCE = "1997-06-01"
 
@@ -71,9 +71,10 @@ def coverage_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def log_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commits written to a log file of each repository, and read commit by commit; files of each repository by commits."""
     place = new_folder(spark, "logs")
-    commits = _text(_touched(spark, sf_dir), ("repo", "sha"), "line", F.col("file"))
-    commits.select("repo", F.concat(F.lit("COMMIT:"), "sha", F.lit("\n\n"), "content", F.lit("\n"))).write.partitionBy("repo").text(place)
-    return repository.parse_log(repository.read_logs(spark, place)).groupBy("repo", "file").agg(F.count_distinct("sha").alias("commits"))
+    _log(spark, sf_dir).write.partitionBy("repo").text(place)
+    # dealt by file: a file's commits are told apart where they are counted, without a second exchange
+    read = repository.parse_log(repository.read_logs(spark, place)).repartition("repo", "file")
+    return read.groupBy("repo", "file").agg(F.count_distinct("sha").alias("commits"))
 
 
 def ci_forms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import os
 import re
 import subprocess
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.functions import paths
@@ -88,21 +88,27 @@ def read_logs(spark: SparkSession, *places: str, marker: str = "COMMIT:") -> Dat
     return rows.select(repo.alias("repo"), whole.alias("content"))
 
 
+def _records(marker: str) -> Column:
+    """(record): the texts after each marker line's start, null for a log that has none. The outer form keeps Spark from
+    splitting a log once more to see whether there is anything to explode."""
+    return F.explode_outer(F.slice(F.split("content", f"(?m)^{marker}", -1), 2, 1 << 30)).alias("record")
+
+
 def parse_log(logs: DataFrame, marker: str = "COMMIT:") -> DataFrame:
     """(repo, sha, file) of logs (repo, content): a marker line begins a commit, every other line that isn't blank is a file.
 
     What precedes the first marker is dropped; a commit without files has one row with a null file.
     """
-    records = logs.select("repo", F.posexplode(F.split("content", f"(?m)^{marker}", -1)).alias("n", "record")).where("n > 0")
-    rows = F.split("record", r"\r?\n")
-    names = F.filter(F.transform(F.slice(rows, 2, 1 << 30), lambda x: F.trim(x)), lambda x: x != "")
-    return records.select("repo", F.trim(F.get(rows, F.lit(0))).alias("sha"), F.explode_outer(names).alias("file"))
+    records = logs.select("repo", _records(marker)).where("record is not null")
+    split = records.select("repo", F.split("record", r"\r?\n").alias("rows"))
+    names = F.filter(F.transform(F.slice("rows", 2, 1 << 30), lambda x: F.trim(x)), lambda x: x != "")
+    return split.select("repo", F.trim(F.get("rows", F.lit(0))).alias("sha"), F.explode_outer(names).alias("file"))
 
 
 def parse_name_status(logs: DataFrame, marker: str = "COMMIT:", fields: str = "\x1f") -> tuple[DataFrame, DataFrame]:
     """(commits, commit_files) of logs (repo, content): marker lines with sha, author, ISO date, subject and body, then
     status lines; R<score> names the old and the new path, other scored statuses are left out."""
-    records = logs.select("repo", F.posexplode(F.split("content", f"(?m)^{marker}", -1)).alias("n", "record")).where("n > 0")
+    records = logs.select("repo", _records(marker)).where("record is not null")
     head = F.split(F.substring_index("record", "\x1e", 1), fields)
     parts = records.select(
         "repo", *[F.trim(F.get(head, F.lit(i))).alias(c) for i, c in enumerate(("sha", "author", "authored_at", "subject", "body"))], F.regexp_extract("record", "(?s)\x1e(.*)$", 1).alias("_rest")

@@ -1,5 +1,6 @@
 """Coverage reports read as XML, and heads of listings."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from codestrata.operators import project, summaries
@@ -143,3 +144,30 @@ def test_flaky_files_by_number(spark):
     named, numbered = (quality.flaky(commits, x).collect() for x in (files, marked))
     assert [tuple(r)[1:] for r in named] == [tuple(r)[1:] for r in numbered] and [r.file for r in numbered] == [1]
     assert (named[0].file, named[0].total, named[0].isolated, named[0].suspicious, named[0].reverts) == ("tests/a", 6, 4, 3, 3)
+
+
+@pytest.mark.parametrize(("name", "most"), [("history_signals", 2.0), ("log_from_files", 3.4)])
+def test_histories_shuffle_items_once_for_each_need(spark, name, most):
+    """Items outside the window get no names (2.4 rows an item before); what is read from logs is shuffled once (3.8 before)."""
+    from codestrata.plans import signal_queries
+
+    from .test_indexes import rows_shuffled
+
+    data, was = "/root/testdata/sf0.001", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    items = spark.read.parquet(f"{data}/lineitem.parquet").count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shuffled = rows_shuffled(spark, lambda: signal_queries.QUERIES[name](spark, data).write.format("noop").mode("overwrite").save())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert shuffled < most * items
+
+
+def test_records_are_split_once(spark):
+    """No second split of a log for a filter before its records are exploded; what precedes a marker and empty logs give nothing."""
+    from codestrata.sources import repository
+
+    logs = spark.createDataFrame([("r", "x\nCOMMIT:1\r\n\r\na b\r\n c \nCOMMIT: 2 \n"), ("r", "none"), ("r", ""), ("r", None), ("s", "COMMIT:"), ("s", "COMMIT:3\nCOMMIT:3\nd")], "repo string, content string")
+    found = repository.parse_log(logs)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([("r", "1", "a b"), ("r", "1", "c"), ("r", "2", None), ("s", "", None), ("s", "3", "d"), ("s", "3", None)], key=str)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("split(content") == 1
