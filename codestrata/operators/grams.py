@@ -67,14 +67,11 @@ def _lists(lines: DataFrame) -> DataFrame:
                 continue
             row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
             whole = row[2:] == row[:-2]
-            key, row = (chars[:-2] << 42 | chars[1:-1] << 21 | chars[2:])[whole], row[2:][whole]
-            known, which = np.unique(key, return_inverse=True)
-            pairs = np.unique(which * len(texts) + row)  # each gram of a line once, by gram and line
-            which, row = np.divmod(pairs, len(texts))
+            which, row, known = _by_gram(chars, row[2:][whole], whole, len(texts))
             block, at = batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row]
             starts = np.flatnonzero((np.diff(which, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
             names = np.array([chr(k >> 42) + chr(k >> 21 & 0x1FFFFF) + chr(k & 0x1FFFFF) for k in known.tolist()], object)
-            ends = pa.array(np.append(starts, len(pairs)), pa.int32())
+            ends = pa.array(np.append(starts, len(which)), pa.int32())
             places = pa.ListArray.from_arrays(ends, pa.array(at, pa.int16()))
             yield pa.RecordBatch.from_arrays([pa.array(names[which[starts]], pa.string()), pa.array(block[starts], pa.int64()), places], names=["gram", "block", "places"])
 
@@ -82,6 +79,28 @@ def _lists(lines: DataFrame) -> DataFrame:
     return source.mapInArrow(run, "gram string, block bigint, places array<smallint>")
 
 
+def _by_gram(chars: np.ndarray, row: np.ndarray, whole: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gram, line) of each gram of a line once, by gram and line, and what the grams' numbers stand for."""
+    seen = np.zeros(0x110000, bool)
+    seen[chars] = True
+    alphabet = np.flatnonzero(seen)
+    a = len(alphabet)
+    if a**3 * n < 1 << 62:  # a gram and its line are one number, so that one sort tells them apart
+        code = np.zeros(0x110000, np.int64)
+        code[alphabet] = np.arange(a)
+        c = code[chars]
+        pairs = (((c[:-2] * a + c[1:-1]) * a + c[2:])[whole]) * n + row
+        pairs.sort()
+        pairs = pairs[np.diff(pairs, prepend=-1) != 0]
+        gram, row = np.divmod(pairs, n)
+        new = np.diff(gram, prepend=-1) != 0
+        own = gram[new]
+        return np.cumsum(new) - 1, row, alphabet[own // (a * a)] << 42 | alphabet[own // a % a] << 21 | alphabet[own % a]
+    known, which = np.unique((chars[:-2] << 42 | chars[1:-1] << 21 | chars[2:])[whole], return_inverse=True)
+    which, row = np.divmod(np.unique(which * n + row), n)
+    return which, row, known
+
+
 def candidates(spark: SparkSession, place: str, words: DataFrame, rarest: int = RAREST) -> DataFrame:
     """(word, block, at) of the lines that hold the rarest grams of a word; words of fewer characters than a gram lack."""
     asked = words.select("word").where(F.length("word") >= GRAM).distinct()

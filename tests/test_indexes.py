@@ -272,3 +272,20 @@ def test_segments(spark, tmp_path):
     files.clear()
     assert segments.refresh(spark, place, table().union(spark.createDataFrame([(None, 1, "alpha")], schema)) if files else spark.createDataFrame([(None, 1, "alpha")], schema)) == 5
     assert found() == {}
+
+
+def test_grams_of_lines_by_one_sort():
+    """Each gram of a line once, in order, as from sets; of many different characters, too."""
+    import numpy as np
+
+    from codestrata.operators import grams
+
+    many = "".join(map(chr, (*range(0x20, 0xD800), *range(0xE000, 0x110000))))
+    for texts in (["abcabc", "", "ab", "xabc\U0001f600é", "éab"], ["aaaa"], [many, "abcd", many[:5]] * 3):
+        chars = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.int64)
+        row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        whole = row[2:] == row[:-2]
+        which, lines, known = grams._by_gram(chars, row[2:][whole], whole, len(texts))
+        names = [chr(k >> 42) + chr(k >> 21 & 0x1FFFFF) + chr(k & 0x1FFFFF) for k in known.tolist()]
+        expected = sorted({(t[i : i + 3], n) for n, t in enumerate(texts) for i in range(len(t) - 2)})
+        assert [(names[w], n) for w, n in zip(which.tolist(), lines.tolist(), strict=True)] == expected
