@@ -89,8 +89,7 @@ def read_logs(spark: SparkSession, *places: str, marker: str = "COMMIT:") -> Dat
 
 
 def _records(marker: str) -> Column:
-    """(record): the texts after each marker line's start, null for a log that has none. The outer form keeps Spark from
-    splitting a log once more to see whether there is anything to explode."""
+    """(record): the texts after each marker line's start, null for a log that has none."""
     return F.explode_outer(F.slice(F.split("content", f"(?m)^{marker}", -1), 2, 1 << 30)).alias("record")
 
 

@@ -164,10 +164,10 @@ def test_histories_shuffle_items_once_for_each_need(spark, name, most):
 
 
 def test_records_are_split_once(spark):
-    """No second split of a log for a filter before its records are exploded; what precedes a marker and empty logs give nothing."""
+    """A record's lines are split once, not for each use; what precedes a marker and empty logs give nothing."""
     from codestrata.sources import repository
 
     logs = spark.createDataFrame([("r", "x\nCOMMIT:1\r\n\r\na b\r\n c \nCOMMIT: 2 \n"), ("r", "none"), ("r", ""), ("r", None), ("s", "COMMIT:"), ("s", "COMMIT:3\nCOMMIT:3\nd")], "repo string, content string")
     found = repository.parse_log(logs)
     assert sorted(map(tuple, found.collect()), key=str) == sorted([("r", "1", "a b"), ("r", "1", "c"), ("r", "2", None), ("s", "", None), ("s", "3", "d"), ("s", "3", None)], key=str)
-    assert found._jdf.queryExecution().optimizedPlan().toString().count("split(content") == 1
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("split(record") == 1
