@@ -121,23 +121,24 @@ def write(vectors: DataFrame, place: str, id_column: str = "vec_id", vector: str
             yield pa.RecordBatch.from_arrays(arrays, names=["id", "unit", "list", "codes", "missed", "far"])
 
     coded = rows.mapInArrow(run, f"id {kind}, unit binary, list int, codes binary, missed double, far double")
-    coded.withColumn("row", F.monotonically_increasing_id()).write.parquet(f"{place}/vectors")
-    written = spark.read.parquet(f"{place}/vectors")
+    coded = coded.withColumn("row", F.monotonically_increasing_id())
+    coded.write.parquet(f"{place}/vectors")
+    written = spark.read.schema(coded.schema).parquet(f"{place}/vectors")
     sizes = written.groupBy("list").agg(F.count("*").alias("size"), F.max("far").alias("radius"))  # a row for each list
     sizes.write.parquet(f"{place}/lists")
-    dealt = written.join(F.broadcast(spark.read.parquet(f"{place}/lists")), "list").withColumn("chunk", F.pmod(F.xxhash64("row"), F.ceil(F.col("size") / BLOCK)))
+    dealt = written.join(F.broadcast(spark.read.schema(sizes.schema).parquet(f"{place}/lists")), "list").withColumn("chunk", F.pmod(F.xxhash64("row"), F.ceil(F.col("size") / BLOCK)))
     # a hot list has many blocks; each holds about BLOCK vectors
     blocks = dealt.groupBy("list", "chunk").agg(F.collect_list(F.struct("id", "unit", "codes", "missed")).alias("own"))
     blocks.select("list", "chunk", "own.id", "own.unit", "own.codes", "own.missed").write.parquet(f"{place}/blocks")
     return codes
 
 
-def _compare(spark: SparkSession, place: str, codes: Codes, asked: DataFrame, k: int | None) -> DataFrame:
+def _compare(spark: SparkSession, blocks: DataFrame, codes: Codes, asked: DataFrame, k: int | None) -> DataFrame:
     """(query_id, id, score) for asked (query_id, unit, list, reach): of each block the k nearest (k given), or all within
     reach. Codes tell which vectors can be; only these are compared, inside the task, by their own components."""
     sent = spark.sparkContext.broadcast(codes)
     kind = asked.schema["query_id"].dataType.simpleString()
-    own = spark.read.parquet(f"{place}/blocks").select("list", "id", F.col("unit").alias("own"), "codes", "missed")
+    own = blocks.select("list", "id", F.col("unit").alias("own"), "codes", "missed")
     sizes = asked.groupBy("list").agg(F.ceil(F.count("*") / ASKED).alias("parts"))  # at most a row for each list
     dealt = asked.join(F.broadcast(sizes), "list").withColumn("part", F.pmod(F.xxhash64("query_id", "list"), F.col("parts")))
     queries = dealt.groupBy("list", "part").agg(F.collect_list(F.struct("query_id", "unit", "reach")).alias("q")).select("list", "q.query_id", "q.unit", "q.reach")
@@ -167,11 +168,8 @@ def _compare(spark: SparkSession, place: str, codes: Codes, asked: DataFrame, k:
     return met.mapInArrow(run, f"query_id {kind}, id {own.schema['id'].dataType.elementType.simpleString()}, score double")
 
 
-def _probe(spark: SparkSession, place: str, codes: Codes, queries: DataFrame, probes: int | None) -> DataFrame:
+def _probe(spark: SparkSession, radius: np.ndarray, codes: Codes, queries: DataFrame, probes: int | None) -> DataFrame:
     """(query_id, unit, list, reach) of queries (query_id, unit, reach): the nearest lists, or all within reach."""
-    radius = np.full(len(codes.centres), -np.inf)
-    for r in spark.read.parquet(f"{place}/lists").collect():  # at most LISTS rows
-        radius[r["list"]] = r["radius"]
     sent = spark.sparkContext.broadcast((codes.centres, radius))
     kind = queries.schema["query_id"].dataType.simpleString()
 
@@ -203,8 +201,11 @@ def nearest(spark: SparkSession, place: str, codes: Codes | None, queries: DataF
     if codes is None:
         return empty
     asked = unit(queries, id_column, vector).where(F.size("unit") == codes.dims).select(F.col("id").alias("query_id"), "unit", F.lit(4.0).alias("reach"))
-    near = search.top(_compare(spark, place, codes, _probe(spark, place, codes, asked, probes), k), k, "query_id", tie="id")
+    blocks, radius = spark.read.parquet(f"{place}/blocks"), np.full(len(codes.centres), -np.inf)
+    for r in spark.read.parquet(f"{place}/lists").collect():  # at most LISTS rows
+        radius[r["list"]] = r["radius"]
+    near = search.top(_compare(spark, blocks, codes, _probe(spark, radius, codes, asked, probes), k), k, "query_id", tie="id")
     reach = near.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
     wide = F.when(F.col("n") >= k, F.sqrt(F.greatest(2 - 2 * F.col("least"), F.lit(0.0)) + ROOM)).otherwise(4.0)  # no two unit vectors are 4 apart
     limited = asked.drop("reach").join(reach.select("query_id", wide.alias("reach")), "query_id", "left").fillna(4.0, ["reach"])
-    return _compare(spark, place, codes, _probe(spark, place, codes, limited, None if exact else probes), None)
+    return _compare(spark, blocks, codes, _probe(spark, radius, codes, limited, None if exact else probes), None)

@@ -65,7 +65,7 @@ def _kept(df: DataFrame, place: str) -> DataFrame:
 def hybrid_multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents of each benchmark text that has a vector of its number: words and vectors, both by index."""
     vectors, place = table(spark, sf_dir, "embeddings"), new_folder(spark, "mixed")
-    own = _queries(spark, sf_dir).join(vectors.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
+    own = _kept(_queries(spark, sf_dir).join(vectors.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id"), f"{place}/own")
     ranked.write(texts(spark, sf_dir, "doc_id", "text"), f"{place}/words")
     words = ranked.search_blocks(spark, f"{place}/words", own.select("query_id", "text"), search.CANDIDATES).withColumn("score", F.round("score", 6))
     words = _kept(search.top(words, search.CANDIDATES, "query_id").drop("rank"), f"{place}/best")

@@ -289,3 +289,22 @@ def test_grams_of_lines_by_one_sort():
         names = [chr(k >> 42) + chr(k >> 21 & 0x1FFFFF) + chr(k & 0x1FFFFF) for k in known.tolist()]
         expected = sorted({(t[i : i + 3], n) for n, t in enumerate(texts) for i in range(len(t) - 2)})
         assert [(names[w], n) for w, n in zip(which.tolist(), lines.tolist(), strict=True)] == expected
+
+
+def test_tokens_that_no_query_asks_for_are_not_shuffled(spark, tmp_path):
+    table = spark.createDataFrame([(i, " ".join(str(40 * i + k) for k in range(40))) for i in range(300)], "doc_id long, text string")  # 12,000 different tokens
+    queries = spark.createDataFrame([(1, "17 80 absent"), (2, "11999")], "query_id long, text string")
+    found = []
+    assert rows_shuffled(spark, lambda: ranked.write(table, str(tmp_path))) < 100
+    assert rows_shuffled(spark, lambda: found.extend(ranked.search_blocks(spark, str(tmp_path), queries, 5).collect())) < 100
+    assert sorted((r.query_id, r.doc_id) for r in found) == [(1, 0), (1, 2), (2, 299)]
+
+
+def test_blocks_of_many_documents_and_repeats(spark, tmp_path):
+    texts = [(i, "alpha " * (i % 5) + "beta") for i in range(400)] + [(400, "alpha " * 300), (401, "beta " * 70_000), (402, None)]
+    table = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    queries = spark.createDataFrame([(1, "alpha"), (2, "beta alpha")], "query_id long, text string")
+    ranked.write(table, str(tmp_path), block=500)  # numbers of documents and of repeats do not fit a byte
+    best = lambda df: {(x.query_id, x["rank"]): (x.doc_id, x.score) for x in search.top(df.withColumn("score", F.round("score", 6)), 300, "query_id").collect()}
+    got, expected = best(ranked.search_blocks(spark, str(tmp_path), queries, 300)), best(search.bm25(table, queries))
+    assert len(got) == 600 and got == {k: (d, pytest.approx(s)) for k, (d, s) in expected.items()}
