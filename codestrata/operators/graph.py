@@ -3,18 +3,25 @@
 from __future__ import annotations
 
 import tempfile
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codestrata.functions import paths
-from codestrata.operators import search
+from codestrata.operators import cells, search
 
 MIN_COMMITS, MIN_RATIO, CLUSTER_RATIO = 5, 0.5, 0.7
 #: Commits of an item in one row, about; classes of commits by hash where an item's first ones are told apart.
 BUCKET, BINS = 2048, 1024
 #: Items of a class that meet others at once, about; pairs of items that a task writes, about.
 CELL, TASK = 1024, 2_000_000
+#: Candidates that are joined in any case; pairs of classes that are kept; pairs of items that one pair of classes gives in place.
+JOINED, FEW, HEAVY = 1_000_000, 4_000_000, 1_000_000
+#: Items that are sent to every executor at most (two numbers each).
+MEMBERS = 2_000_000
+#: Commits in a row of bits, at most; what a joined candidate costs, and a pair in a cell: by itself and for each commit.
+COMMITS, JOIN_COST, CELL_COST = 1 << 16, 500, (5, 0.04)
 
 
 def strength(ratio: Column) -> Column:
@@ -41,26 +48,32 @@ def classes(known: DataFrame) -> DataFrame:
     return named.join(met, "file", "left").select("file", "total", "n", rep.alias("rep"))
 
 
-def class_pairs(
+class Compared(NamedTuple):
+    """classes(), the commits of each class's least item, those of them that are joined, and blocks if cells are cheaper."""
+
+    classed: DataFrame
+    sized: DataFrame
+    first: DataFrame
+    blocks: cells.Blocks | None
+
+
+def compared(
     commit_files: DataFrame,
     min_commits: int = MIN_COMMITS,
     min_ratio: float = MIN_RATIO,
     excludes: tuple = paths.DEFAULT_EXCLUDES,
     commit: str = "sha",
     item: str = "file",
-    wanted: DataFrame | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """classes(), and (file_a, file_b, shared, total_a, total_b, ratio, links): the pairs of classes, links pairs of items each.
-
-    A class of more than one item is paired with itself, too. Of wanted (column file), only pairs with one of these
-    items' classes are looked for.
+    dense: bool = True,
+) -> Compared:
+    """What class_pairs() compares.
 
     Items with too few commits are dropped first. Of a class's commits, the smallest first, only so many are joined that
     every partner of a ratio of at least min_ratio must share one of them (prefix filtering): a commit of very many
     classes is among them only for those that have hardly another. Where that prefix ends is found from counts of commits
-    by size and hash, so not even a class of all commits is sorted or gathered. The candidates' commits are then compared
-    whole, bucket by bucket: a row holds a class's commits of one bucket, about BUCKET at most, and nothing is lost or
-    estimated.
+    by size and hash, so not even a class of all commits is sorted or gathered. Where the prefixes would give more
+    candidates than it costs to compare all classes (few commits, most of which touch most items), classes become rows
+    of bits in blocks instead, and a task compares two blocks whole: no pair of classes is shuffled or written.
     """
     files = commit_files.select(F.col(commit).alias("sha"), F.col(item).alias("file"))
     if excludes:
@@ -77,6 +90,52 @@ def class_pairs(
     before = F.sum("n").over(Window.partitionBy("file").orderBy("items", "bin").rowsBetween(Window.unboundedPreceding, -1))
     steps = sized.groupBy("file", "total", "items", "bin").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(before, F.lit(0)))
     first = sized.join(steps.where(F.col("before") < need).select("file", "items", "bin"), ["file", "items", "bin"]).select("file", "total", "sha")
+    return Compared(classed, sized, first, _blocks(classed, sized, first) if dense else None)
+
+
+def _blocks(classed: DataFrame, sized: DataFrame, first: DataFrame) -> cells.Blocks | None:
+    """The classes as blocks, if their cells cost less than the candidates of their prefixes."""
+    joined = first.groupBy("sha").agg(F.count("*").cast("double").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
+    if joined <= JOINED:
+        return None
+    commits = sized.select("sha").distinct()
+    width = commits.limit(COMMITS + 1).count()
+    items, named = classed.agg(F.count("*"), F.count_if(F.col("file") == F.col("rep"))).first()
+    if width > COMMITS or joined * JOIN_COST <= named * named / 2 * (CELL_COST[0] + width * CELL_COST[1]):
+        return None
+    numbers = commits.select("sha", (F.row_number().over(Window.orderBy("sha")) - 1).alias("at"))  # at most COMMITS rows
+    sizes = classed.groupBy(F.col("rep").alias("file")).agg(F.count("*").alias("size"))
+    count = max(-(-named // cells.BLOCK), min(5, -(-named // 512)), int(items / (20 * TASK) ** 0.5))
+    listed = sized.join(F.broadcast(numbers), "sha").groupBy("file", "total").agg(F.collect_list("at").alias("at")).join(sizes, "file")
+    listed = listed.withColumn("block", F.pmod(F.xxhash64("file", F.lit(3)), F.lit(count)))
+    return cells.Blocks(checkpoint(cells.packed(listed, -(-width // 8))), count, -(-width // 8))
+
+
+def class_pairs(
+    commit_files: DataFrame,
+    min_commits: int = MIN_COMMITS,
+    min_ratio: float = MIN_RATIO,
+    excludes: tuple = paths.DEFAULT_EXCLUDES,
+    commit: str = "sha",
+    item: str = "file",
+    wanted: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """classes(), and (file_a, file_b, shared, total_a, total_b, ratio, links): the pairs of classes, links pairs of items each.
+
+    A class of more than one item is paired with itself, too. Of wanted (column file), only pairs with one of these
+    items' classes are looked for. See compared() for how; the pairs are kept, so use the functions that take commits
+    where there may be very many.
+    """
+    these = compared(commit_files, min_commits, min_ratio, excludes, commit, item, wanted is None)
+    return these.classed, checkpoint(_in_order(cells.pairs(these.blocks, min_ratio))) if these.blocks else _joined(these, min_ratio, wanted)
+
+
+def _joined(these: Compared, min_ratio: float, wanted: DataFrame | None = None) -> DataFrame:
+    """The pairs of classes by candidates, whose commits are compared whole, bucket by bucket.
+
+    A row holds a class's commits of one bucket, about BUCKET at most, and nothing is lost or estimated.
+    """
+    classed, sized, first, _ = these
     a, b = (first.select("sha", F.col("file").alias(f"file_{s}"), F.col("total").alias(f"total_{s}")) for s in "ab")
     near = F.least("total_a", "total_b") >= min_ratio * F.greatest("total_a", "total_b") - 1e-9  # no more can be shared
     if wanted is None:
@@ -100,7 +159,7 @@ def class_pairs(
     for s in "ab":
         held = held.join(sizes.select(F.col("rep").alias(f"file_{s}"), F.col("size").alias(f"size_{s}")), f"file_{s}")
     links = F.when(F.col("file_a") == F.col("file_b"), F.expr("size_a * (size_a - 1) div 2")).otherwise(F.col("size_a") * F.col("size_b"))
-    return classed, checkpoint(held.select("file_a", "file_b", "shared", "total_a", "total_b", "ratio", links.alias("links")))
+    return checkpoint(held.select("file_a", "file_b", "shared", "total_a", "total_b", "ratio", links.alias("links")))
 
 
 def _in_order(found: DataFrame) -> DataFrame:
@@ -149,7 +208,11 @@ def pairs(
     ratio is shared commits over the larger total; the confidences are over either total. Classes of items are compared
     (see class_pairs), and their pairs are then written out.
     """
-    found = expanded(*class_pairs(commit_files, min_commits, min_ratio, excludes, commit, item))
+    these = compared(commit_files, min_commits, min_ratio, excludes, commit, item)
+    return _named(_expanded(these, min_ratio))
+
+
+def _named(found: DataFrame) -> DataFrame:
     return (
         found.withColumn("strength", strength(F.col("ratio")))
         .withColumn("confidence_ab", F.col("shared") / F.col("total_a"))
@@ -157,6 +220,62 @@ def pairs(
     )
 
 
+def _expanded(these: Compared, min_ratio: float, kept: Column | None = None) -> DataFrame:
+    """The pairs of items; only of pairs of classes that are kept.
+
+    Many pairs of classes are written out where a cell finds them and are never kept or shuffled, but for the few that
+    stand for very many pairs of items each: these are dealt to tasks by expanded().
+    """
+    keep = (lambda df: df) if kept is None else lambda df: df.where(kept)
+    classed, blocks = these.classed, these.blocks
+    if not blocks:
+        return expanded(classed, keep(_joined(these, min_ratio)))
+    if _few(these):
+        return expanded(classed, checkpoint(keep(_in_order(cells.pairs(blocks, min_ratio)))))
+    out = keep(cells.pairs(blocks, min_ratio, many=HEAVY)).drop("links").withColumnsRenamed({"file_a": "rep_a", "file_b": "rep_b"})
+    members = checkpoint(classed.select("rep", "file"))
+    small = members.limit(MEMBERS + 1).count() <= MEMBERS
+    for s in "ab":
+        side = members.select(F.col("rep").alias(f"rep_{s}"), F.col("file").alias(f"file_{s}"))
+        out = out.join(F.broadcast(side) if small else side, f"rep_{s}")
+    light = _in_order(out.where("rep_a <> rep_b or file_a < file_b").drop("rep_a", "rep_b"))
+    heavy = expanded(classed, checkpoint(keep(_in_order(cells.pairs(blocks, min_ratio, HEAVY)))))
+    return light.unionByName(heavy.select(*light.columns))
+
+
+def _few(these: Compared) -> bool:
+    """Whether all pairs of classes are few enough to be kept."""
+    named = these.classed.where("file = rep").count()
+    return named * (named + 1) // 2 <= FEW
+
+
+def best_pairs(
+    commit_files: DataFrame,
+    most: int,
+    digits: int = 6,
+    min_commits: int = MIN_COMMITS,
+    min_ratio: float = MIN_RATIO,
+    excludes: tuple = paths.DEFAULT_EXCLUDES,
+    commit: str = "sha",
+    item: str = "file",
+) -> DataFrame:
+    """Of pairs(), those whose ratio, rounded, and shared commits are among the highest that most pairs need, and all of equal ones.
+
+    Pairs of classes are counted by the two, and only the best of them are written out.
+    """
+    these = compared(commit_files, min_commits, min_ratio, excludes, commit, item)
+    rank = [F.round("ratio", digits).alias("r"), F.col("shared").alias("s")]
+    found = cells.pairs(these.blocks, min_ratio) if these.blocks else _joined(these, min_ratio)
+    groups = found.groupBy(*rank).agg(F.sum("links").alias("links")).orderBy(F.desc("r"), F.desc("s")).limit(most).collect()
+    reached, last = 0, None
+    for last in groups:
+        reached += last["links"]
+        if reached >= most:
+            break
+    kept = F.lit(False) if last is None else (rank[0] > last["r"]) | (rank[0] == last["r"]) & (rank[1] >= last["s"])
+    return _named(expanded(these.classed, found.where(kept)) if not these.blocks else _expanded(these, min_ratio, kept))
+
+
 def stats(commit_files: DataFrame, excludes: tuple = paths.DEFAULT_EXCLUDES, commit: str = "sha", item: str = "file") -> DataFrame:
     """(commits, files_analyzed): commits, and distinct files after exclusion."""
     kept = ~paths.excluded(F.col(item).cast("string"), excludes) if excludes else F.lit(True)
@@ -208,10 +327,30 @@ def clusters(found: DataFrame, ratio: float = CLUSTER_RATIO) -> DataFrame:
     return _clusters(found, reached, reached)
 
 
+def item_members(these: Compared, ratio: float = CLUSTER_RATIO, min_ratio: float = MIN_RATIO) -> DataFrame:
+    """(node, component) of the items of compared(), by pairs at or above ratio."""
+    found = checkpoint(cells.forest(these.blocks, ratio)) if these.blocks else _joined(these, min_ratio).where(F.col("ratio") >= ratio)
+    return _members(these.classed, components(found))
+
+
+def item_clusters(these: Compared, ratio: float = CLUSTER_RATIO, min_ratio: float = MIN_RATIO) -> DataFrame:
+    """clusters() of the items of compared(), without writing any pairs out."""
+    if not these.blocks:
+        return class_clusters(these.classed, _joined(these, min_ratio), ratio)
+    reached = components(checkpoint(cells.forest(these.blocks, ratio)))
+    inside = cells.sums(these.blocks, reached.select(F.col("node").alias("file"), F.col("component").alias("label")), min_ratio)
+    inside = inside.select(F.col("label").alias("component"), (F.col("ratios") / F.col("links")).alias("cohesion"))
+    return _sized(_members(these.classed, reached), inside)
+
+
+def _members(classed: DataFrame, reached: DataFrame) -> DataFrame:
+    return classed.join(reached.withColumnRenamed("node", "rep"), "rep").select(F.col("file").alias("node"), "component")
+
+
 def class_members(classed: DataFrame, found: DataFrame, ratio: float = CLUSTER_RATIO) -> tuple[DataFrame, DataFrame]:
     """components() of class_pairs() at or above ratio, and of the items behind them."""
     reached = components(found.where(F.col("ratio") >= ratio))
-    return reached, classed.join(reached.withColumnRenamed("node", "rep"), "rep").select(F.col("file").alias("node"), "component")
+    return reached, _members(classed, reached)
 
 
 def class_clusters(classed: DataFrame, found: DataFrame, ratio: float = CLUSTER_RATIO) -> DataFrame:
@@ -227,6 +366,10 @@ def _clusters(found: DataFrame, reached: DataFrame, members: DataFrame) -> DataF
         .groupBy(F.col("ca").alias("component"))
         .agg((F.sum(F.col("ratio") * F.col("links")) / F.sum("links")).alias("cohesion"))
     )
+    return _sized(members, inside)
+
+
+def _sized(members: DataFrame, inside: DataFrame) -> DataFrame:
     sized = members.groupBy("component").agg(F.array_sort(F.collect_list("node")).alias("files"), F.count("*").alias("size"))
     return sized.join(inside, "component", "left").fillna(0.0, ["cohesion"])
 

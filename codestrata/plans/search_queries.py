@@ -83,8 +83,17 @@ def _pairs(spark: SparkSession, sf_dir: str, ratio: float = graph.MIN_RATIO) ->
     return graph.pairs(daily_baskets(spark, sf_dir), min_ratio=ratio, excludes=())
 
 
+def _shown(found: DataFrame) -> DataFrame:
+    return found.select("file_a", "file_b", "shared", "total_a", "total_b", F.round("ratio", 6).alias("ratio"), "strength")
+
+
 def cochange_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).select("file_a", "file_b", "shared", "total_a", "total_b", F.round("ratio", 6).alias("ratio"), "strength")
+    return _shown(_pairs(spark, sf_dir))
+
+
+def cochange_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cochange_pairs(), of which a report shows the first 100."""
+    return _shown(graph.best_pairs(daily_baskets(spark, sf_dir), 100, excludes=()))
 
 
 def cochange_asymmetric(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,12 +101,12 @@ def cochange_asymmetric(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cochange_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = graph.class_clusters(*graph.class_pairs(daily_baskets(spark, sf_dir), excludes=()), 0.9)
+    found = graph.item_clusters(graph.compared(daily_baskets(spark, sf_dir), excludes=()), 0.9)
     return found.select("component", F.array_join(F.transform("files", lambda x: x.cast("string")), ",").alias("files"), "size", F.round("cohesion", 6).alias("cohesion"))
 
 
 def cluster_partial_touch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, members = graph.class_members(*graph.class_pairs(daily_baskets(spark, sf_dir), min_ratio=0.9, excludes=()), 0.9)
+    members = graph.item_members(graph.compared(daily_baskets(spark, sf_dir), min_ratio=0.9, excludes=()), 0.9, 0.9)
     plan = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("node"))
     return graph.partly_touched(members, plan)
 

@@ -414,3 +414,86 @@ def test_classes_stand_for_their_items(spark, monkeypatch):
     plan = spark.createDataFrame([(f,) for f in sorted(own)[::5]], "file long")
     some = graph.partners(*graph.class_pairs(table, excludes=(), wanted=plan), plan)
     assert sorted(graph.unplanned(some, plan, 0.7).collect()) == sorted(graph.missing(found, plan, 0.7).collect())
+
+
+@pytest.fixture
+def in_cells(monkeypatch):
+    """Classes of items are compared in blocks, however few they are, and pairs of classes are never kept."""
+    for name, value in (("JOINED", 0), ("JOIN_COST", 1e9), ("FEW", 0), ("HEAVY", 3), ("CELL", 2)):
+        monkeypatch.setattr(graph, name, value)
+    monkeypatch.setattr(graph.cells, "BLOCK", 4)
+    monkeypatch.setattr(graph.cells, "STRIP", 3)
+    monkeypatch.setattr(graph.cells, "WIDE", 1)
+
+
+def _all_different():
+    """Items and their commits: most differ, some are equal, two groups share nothing, one item has few commits."""
+    import random
+
+    r = random.Random(14)
+    own = {f"i{n}": frozenset(r.sample(range(12), r.choice((5, 8, 10, 11)))) for n in range(26)}
+    own |= {f"j{n}": frozenset(r.sample(range(100, 118), r.choice((5, 16, 17)))) for n in range(14)}
+    own |= {f"{x}_{n}": own[x] for x in ("i3", "j2") for n in range(4)}
+    return own | {"one": frozenset((1, 2, 3, 4)), "alone": frozenset(range(200, 206)), "￿": frozenset(range(12)), "\U0001f600": frozenset(range(11))}
+
+
+def _brute(own, least):
+    import itertools
+
+    known = {f: cs for f, cs in own.items() if len(cs) >= 5}
+    found = {}
+    for a, b in itertools.combinations(sorted(known, key=str.encode), 2):
+        n = len(known[a] & known[b])
+        if n and n / max(len(known[a]), len(known[b])) >= least:
+            found[a, b] = n, len(known[a]), len(known[b])
+    return found
+
+
+def _commits_of(spark, own):
+    return spark.createDataFrame([(c, f) for f, cs in own.items() for c in cs], "sha long, file string")
+
+
+@pytest.mark.parametrize("least", [0.5, 0.0])
+def test_pairs_in_cells(spark, in_cells, least):
+    own = _all_different()
+    table = _commits_of(spark, own)
+    these = graph.compared(table, min_ratio=least, excludes=())
+    assert these.blocks and these.blocks.count > 5
+    found = graph.pairs(table, min_ratio=least, excludes=()).collect()
+    assert {(x.file_a, x.file_b): (x.shared, x.total_a, x.total_b) for x in found} == _brute(own, least) and len(found) == len(_brute(own, least))
+    assert all(x.ratio == x.shared / max(x.total_a, x.total_b) for x in found)
+    _, met = graph.class_pairs(table, min_ratio=least, excludes=())
+    assert met.agg({"links": "sum"}).first()[0] == len(found) and met.where("file_a > file_b").count() == 0
+
+
+def test_clusters_in_cells(spark, in_cells):
+    own = _all_different()
+    table, found = _commits_of(spark, own), _brute(own, 0.5)
+    component = {}
+    for a, b in (p for p, (n, x, y) in found.items() if n / max(x, y) >= 0.9):
+        one, other = component.get(a, {a}), component.get(b, {b})
+        for f in one | other:
+            component[f] = one | other
+    want = {}
+    for files in component.values():
+        inside = [n / max(x, y) for (a, b), (n, x, y) in found.items() if a in files and b in files]
+        want[min(files, key=str.encode)] = len(files), round(sum(inside) / len(inside), 9)
+    assert len(want) > 2
+    these = graph.compared(table, excludes=())
+    assert {x.component: (x.size, round(x.cohesion, 9)) for x in graph.item_clusters(these, 0.9).collect()} == want
+    got = {x.node: x.component for x in graph.item_members(graph.compared(table, min_ratio=0.9, excludes=()), 0.9, 0.9).collect()}
+    assert got == {f: min(files, key=str.encode) for f, files in component.items()}
+
+
+@pytest.mark.parametrize("dense", [True, False])
+def test_best_pairs(spark, request, dense):
+    """The first of all pairs, without writing out all of them."""
+    if dense:
+        request.getfixturevalue("in_cells")
+    own = _all_different()
+    table, order = _commits_of(spark, own), ["-ratio", "-shared", "file_a", "file_b"]
+    shown = lambda df: [tuple(r) for r in report.ordered(df.select("file_a", "file_b", "shared", F.round("ratio", 6).alias("ratio")), *order, most=20).collect()]
+    every = graph.pairs(table, excludes=())
+    best = graph.best_pairs(table, 20, excludes=())
+    assert shown(best) == shown(every) and len(shown(best)) == 20 and best.count() < every.count() / 2
+    assert graph.best_pairs(table.where("sha < 0"), 20, excludes=()).count() == 0
