@@ -120,6 +120,31 @@ def pairs(blocks: Blocks, least: float, few: int = 0, many: int = 1 << 62) -> Da
     return _run(blocks, compare, f"file_a {kind}, file_b {kind}, shared long, total_a long, total_b long, ratio double, links long")
 
 
+def counts(blocks: Blocks, least: float) -> DataFrame:
+    """(shared, larger, links): how many pairs at or above least share so many of the larger set's members."""
+
+    def compare(a: _Side, b: _Side, same: bool) -> Iterator[pa.RecordBatch]:
+        wide = int(max(a.total.max(), b.total.max())) + 1
+        for start, shared, _, held in _compared(a, b, same, least):
+            size = a.size[start : start + len(held)]
+            links = size[:, None] * b.size[None, :]
+            if same:
+                row = np.arange(len(held))
+                links[row, start + row] = size * (size - 1) / 2
+            keys = (shared * wide + np.maximum(a.total[start : start + len(held), None], b.total[None, :]))[held].astype(np.int64)
+            if wide * wide <= 1 << 20:
+                n = np.bincount(keys, links[held])
+                found = np.flatnonzero(n)
+                n = n[found]
+            else:
+                found, at = np.unique(keys, return_inverse=True)
+                n = np.bincount(at, links[held])
+            arrays = [pa.array(v.astype(np.int64)) for v in (found // wide, found % wide, n)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["shared", "larger", "links"])
+
+    return _run(blocks, compare, "shared long, larger long, links long").groupBy("shared", "larger").agg(F.sum("links").alias("links"))
+
+
 def _pieces(held: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(rows, columns) of each connected piece; every row and column is looked at once."""
     turned = np.ascontiguousarray(held.T)

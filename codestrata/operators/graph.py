@@ -265,15 +265,18 @@ def best_pairs(
     """
     these = compared(commit_files, min_commits, min_ratio, excludes, commit, item)
     rank = [F.round("ratio", digits).alias("r"), F.col("shared").alias("s")]
-    found = cells.pairs(these.blocks, min_ratio) if these.blocks else _joined(these, min_ratio)
-    groups = found.groupBy(*rank).agg(F.sum("links").alias("links")).orderBy(F.desc("r"), F.desc("s")).limit(most).collect()
-    reached, last = 0, None
+    if these.blocks:
+        found = cells.counts(these.blocks, min_ratio).withColumn("ratio", F.col("shared") / F.col("larger"))
+    else:
+        found = _joined(these, min_ratio)
+    groups = found.groupBy(*rank).agg(F.sum("links").alias("links"), F.min("ratio").alias("least")).orderBy(F.desc("r"), F.desc("s")).limit(most).collect()
+    reached, least, last = 0, 1.0, None
     for last in groups:
-        reached += last["links"]
+        reached, least = reached + last["links"], min(least, last["least"])
         if reached >= most:
             break
     kept = F.lit(False) if last is None else (rank[0] > last["r"]) | (rank[0] == last["r"]) & (rank[1] >= last["s"])
-    return _named(expanded(these.classed, found.where(kept)) if not these.blocks else _expanded(these, min_ratio, kept))
+    return _named(_expanded(these, least, kept) if these.blocks else expanded(these.classed, found.where(kept)))
 
 
 def stats(commit_files: DataFrame, excludes: tuple = paths.DEFAULT_EXCLUDES, commit: str = "sha", item: str = "file") -> DataFrame:

@@ -647,6 +647,7 @@ QUERIES = {
         humanized, vector_bytes, syntax_symbols, cochange_stats,
     )
 } | {k: _ranked(name, key, module.QUERIES[q]) for k, (name, key, module, q, _) in _RANKED.items()}
+QUERIES["cochange_top"] = _ranked("cochange", "pairs", search_queries.cochange_best)  # the same rows, without writing all pairs out
 
 _STEM = r"lower(regexp_replace(regexp_extract(path, '([^/]*)$', 1), '^(.+)\.[^.]*$', '\1'))"
 _TEST_SQL = (
