@@ -497,3 +497,59 @@ def test_best_pairs(spark, request, dense):
     best = graph.best_pairs(table, 20, excludes=())
     assert shown(best) == shown(every) and len(shown(best)) == 20 and best.count() < every.count() / 2
     assert graph.best_pairs(table.where("sha < 0"), 20, excludes=()).count() == 0
+
+
+ODD_SOURCE = '''# first
+@dec(
+  1)
+class A(B,
+        C):  # why
+    # a note
+    """doc
+  of A"""
+
+    if x:
+        def a(self): "doc of a"
+    else:
+        class Q: pass
+    @dec
+    # between
+    @dec
+    async def n(self, y=lambda: 1):
+
+        def inner():
+            """inner
+            doc"""
+            try:
+                return 1
+            except E:
+                class R:
+                    def r(self): return 2
+            finally: pass
+        async with z as w: pass
+        return """
+no indent"""
+    class D:
+        @dec
+        def m(self): pass; "no doc"
+    x = 1; y = 2
+def last(): return 1
+'''
+
+
+@pytest.mark.parametrize("piece", [0, 40, 10**6])
+def test_python_symbols_in_pieces(spark, monkeypatch, piece):
+    """A large source is parsed in pieces, never as one tree, and gives the same rows; one that doesn't parse gives none."""
+    import ast
+
+    want = sorted(map(str, syntax._walk(ast.parse(ODD_SOURCE), "")))
+    monkeypatch.setattr(syntax, "PIECE", piece)
+    parse, sizes = ast.parse, []
+    monkeypatch.setattr(ast, "parse", lambda text: sizes.append(len(text)) or parse(text))
+    for text in (ODD_SOURCE, ODD_SOURCE.replace("\n", "\r\n"), ODD_SOURCE.rstrip("\n")):
+        assert sorted(map(str, syntax._symbols(text))) == want
+    assert piece > 10**5 or max(sizes) < len(ODD_SOURCE) / 2
+    assert list(syntax._symbols("# nothing")) == list(syntax._symbols("")) == []
+    for wrong in ("  x\n", "def (", "class X:\n        def a(): pass\n    def b(): pass\n", "if x:\n    pass\n  y\n", "else: pass\n", "class A:\n    x = 'a\n"):
+        with pytest.raises((SyntaxError, syntax.tokenize.TokenError)):
+            list(syntax._symbols(ODD_SOURCE + wrong))
